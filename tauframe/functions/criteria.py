@@ -1,144 +1,173 @@
-"""Split scores and gains as Column expressions over arm statistics.
+"""Split scores and gains as Spark SQL text over named arm statistics.
 
 Uplift criteria follow Rzepakowski & Jaroszewicz (2012) and the contextual
 treatment selection literature; causal criteria follow Athey & Imbens (2016).
-``p`` and ``n`` are lists of Columns, one per arm, control first.
+
+The formulas are text because a level evaluates many of them and each is parsed
+once. Columns are named by side, ``l``eft, ``r``ight or ``a`` for the whole
+node, and arm: ``n_l0`` rows, ``s_l0`` outcome sum, ``p_l0`` rate, ``slope_l``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from tauframe.functions.stats import safe_divide
-
 UPLIFT_CRITERIA = ("KL", "ED", "Chi", "DDP", "CTS", "CAPE")
 CAUSAL_CRITERIA = ("standard_mse", "causal_mse", "t_test")
-PROBABILITY_FLOOR = 1e-6
+PROBABILITY_FLOOR = "1e-6D"
 
 
-def _total(parts: Sequence[Column]) -> Column:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out + part
-    return out
+def total(name: str, arms) -> str:
+    return "(" + " + ".join(f"{name}{k}" for k in arms) + ")"
 
 
-def bernoulli_divergence(p: Column, q: Column) -> Column:
+def bernoulli_divergence(p: str, q: str) -> str:
     """KL divergence of two Bernoulli rates, the second kept off 0 and 1."""
-    q = F.greatest(F.lit(PROBABILITY_FLOOR), F.least(F.lit(1 - PROBABILITY_FLOOR), q))
-    inner = p * F.log(p / q) + (1 - p) * F.log((1 - p) / (1 - q))
-    return F.when(p == 0, -F.log(1 - q)).when(p == 1, -F.log(q)).otherwise(inner)
+    q = f"greatest({PROBABILITY_FLOOR}, least(1 - {PROBABILITY_FLOOR}, {q}))"
+    return (
+        f"(CASE WHEN {p} = 0 THEN -ln(1 - {q}) WHEN {p} = 1 THEN -ln({q}) "
+        f"ELSE {p} * ln({p} / {q}) + (1 - {p}) * ln((1 - {p}) / (1 - {q})) END)"
+    )
+
+
+def _entropy_term(p: str) -> str:
+    return f"(CASE WHEN {p} > 0 THEN -({p}) * ln({p}) ELSE 0D END)"
 
 
-def _plogp(p: Column) -> Column:
-    return F.when(p > 0, -p * F.log(p)).otherwise(F.lit(0.0))
+def slope(side: str, arms) -> str:
+    """Sample covariance of arm index and outcome over the variance of the index."""
+    n = total(f"n_{side}", arms)
+    st = "(" + " + ".join(f"{k} * n_{side}{k}" for k in arms) + ")"
+    stt = "(" + " + ".join(f"{k * k} * n_{side}{k}" for k in arms) + ")"
+    sy = total(f"s_{side}", arms)
+    sty = "(" + " + ".join(f"{k} * s_{side}{k}" for k in arms) + ")"
+    cov = f"try_divide({sty} - try_divide({st} * {sy}, {n}), {n} - 1)"
+    var = f"(try_divide({stt}, {n}) - try_divide({st}, {n}) * try_divide({st}, {n}))"
+    return f"try_divide({cov}, {var})"
+
+
+def smoothed(side: str, k: int, parent: str, min_rows: int, weight: float) -> str:
+    """A child's rate pulled toward its parent's, or the parent's if it is small."""
+    return (
+        f"CASE WHEN n_{side}{k} > {min_rows} THEN (s_{side}{k} + {parent} * {weight}D) / "
+        f"(n_{side}{k} + {weight}D) ELSE {parent} END"
+    )
 
 
-def node_score(criterion: str, p: Sequence[Column], slope: Column) -> Column:
+def node_score(criterion: str, side: str, arms) -> str:
     """Divergence between the treated arms and control inside one node."""
+    p = [f"p_{side}{k}" for k in arms]
     control, treated = p[0], p[1:]
+    if criterion == "CAPE":
+        return f"slope_{side}"
+    if criterion == "CTS":
+        return f"-greatest({', '.join(p)})" if len(p) > 1 else f"-{p[0]}"
     if criterion == "ED":
-        return _total([2 * (t - control) * (t - control) for t in treated])
-    if criterion == "Chi":
-        floor = F.lit(PROBABILITY_FLOOR)
-        return _total([
-            (t - control) * (t - control) / F.greatest(floor, control)
-            + (t - control) * (t - control) / F.greatest(floor, 1 - control)
+        parts = [f"2 * ({t} - {control}) * ({t} - {control})" for t in treated]
+    elif criterion == "Chi":
+        parts = [
+            f"(({t} - {control}) * ({t} - {control}) / greatest({PROBABILITY_FLOOR}, {control})"
+            f" + ({t} - {control}) * ({t} - {control}) / greatest({PROBABILITY_FLOOR}, 1 - {control}))"
             for t in treated
-        ])
-    if criterion == "DDP":
-        return _total([t - control for t in treated])
-    if criterion == "CTS":
-        return -(F.greatest(*p) if len(p) > 1 else p[0])
-    if criterion == "CAPE":
-        return slope
-    return _total([bernoulli_divergence(t, control) for t in treated])
+        ]
+    elif criterion == "DDP":
+        parts = [f"({t} - {control})" for t in treated]
+    else:
+        parts = [bernoulli_divergence(t, control) for t in treated]
+    return "(" + (" + ".join(parts) or "0D") + ")"
+
+
+def split_shares(arms) -> dict[str, str]:
+    """How much of each arm goes left: columns the normaliser reads."""
+    out = {f"share{k}": f"n_l{k} / (n_a{k} + 0.1D)" for k in arms}
+    treated = list(arms)[1:]
+    out["share_t"] = f"{total('n_l', treated)} / ({total('n_a', treated)} + 0.1D)"
+    return out
 
 
-def split_normalizer(n: Sequence[Column], left: Sequence[Column], alpha: float = 0.9) -> Column:
+def split_normalizer(arms, alpha: float = 0.9) -> str:
     """Penalty on splits that separate the arms or are lopsided."""
-    n_c, n_t = n[0], _total(n[1:])
-    everyone = n_t + n_c
-    share_t = _total(left[1:]) / (n_t + 0.1)
-    share_c = left[0] / (n_c + 0.1)
+    treated = list(arms)[1:]
+    n_t = total("n_a", treated)
+    everyone = f"({n_t} + n_a0)"
     out = (
-        F.lit(alpha) * (_plogp(n_t / everyone) + _plogp(n_c / everyone))
-        * bernoulli_divergence(share_t, share_c)
+        f"{alpha}D * ({_entropy_term(f'{n_t} / {everyone}')} + {_entropy_term(f'n_a0 / {everyone}')})"
+        f" * {bernoulli_divergence('share_t', 'share0')}"
     )
-    for size, moved in zip(n[1:], left[1:]):
-        share = moved / (size + 0.1)
-        pair = size + n_c
-        out = out + (
-            F.lit(1 - alpha) * (_plogp(size / pair) + _plogp(n_c / pair))
-            * bernoulli_divergence(share_c, share)
+    for k in treated:
+        pair = f"(n_a{k} + n_a0)"
+        out += (
+            f" + {1 - alpha}D * ({_entropy_term(f'n_a{k} / {pair}')} + {_entropy_term(f'n_a0 / {pair}')})"
+            f" * {bernoulli_divergence('share0', f'share{k}')}"
+            f" + n_a{k} / {everyone} * {_entropy_term(f'share{k}')}"
         )
-        out = out + size / everyone * _plogp(share)
-    return out + n_c / everyone * _plogp(share_c) + F.lit(0.5)
-
-
-def uplift_gain(
-    criterion: str, parent: Column, left: Column, right: Column, n_left: Column, n_right: Column,
-    normalizer: Column | None,
-) -> tuple[Column, Column]:
-    """(gain deciding the split, gain credited to the feature)."""
-    n = n_left + n_right
-    w = n_left / n
-    weighted = n_left * left + n_right * right - n * parent
+    return f"({out} + n_a0 / {everyone} * {_entropy_term('share0')} + 0.5D)"
+
+
+def uplift_gain(criterion: str, normalizer: str | None) -> tuple[str, str]:
+    """(gain deciding the split, gain credited to the feature).
+
+    Reads ``score`` of the node, ``score_l``, ``score_r`` and ``rows_l``, ``rows_r``.
+    """
+    n = "(rows_l + rows_r)"
+    weighted = f"(rows_l * score_l + rows_r * score_r - {n} * score)"
     if criterion == "CTS":
-        return parent - w * left - (1 - w) * right, -weighted
+        return f"score - rows_l / {n} * score_l - rows_r / {n} * score_r", f"-{weighted}"
     if criterion == "DDP":
-        return F.abs(left - right), F.abs(n_left * left - n_right * right)
+        return "abs(score_l - score_r)", "abs(rows_l * score_l - rows_r * score_r)"
     if criterion == "CAPE":
-        return n_left * n_right / (n * n) * (left - right) * (left - right), weighted
-    gain = w * left + (1 - w) * right - parent
-    return (gain if normalizer is None else gain / normalizer), weighted
-
-
-def slope_from_sums(n: Sequence[Column], s: Sequence[Column]) -> Column:
-    """Sample covariance of arm index and outcome over the variance of the index."""
-    rows = _total(n)
-    st = _total([F.lit(float(k)) * c for k, c in enumerate(n)])
-    stt = _total([F.lit(float(k * k)) * c for k, c in enumerate(n)])
-    sy = _total(s)
-    sty = _total([F.lit(float(k)) * c for k, c in enumerate(s)])
-    cov = safe_divide(sty - safe_divide(st * sy, rows), rows - 1)
-    mean = safe_divide(st, rows)
-    return safe_divide(cov, safe_divide(stt, rows) - mean * mean)
+        square = "(score_l - score_r) * (score_l - score_r)"
+        return f"rows_l * rows_r / ({n} * {n}) * {square}", weighted
+    gain = f"(rows_l / {n} * score_l + rows_r / {n} * score_r - score)"
+    return (gain if normalizer is None else f"{gain} / {normalizer}"), weighted
+
+
+def effect_columns(side: str) -> dict[str, str]:
+    """Effect and arm variances of one side from its counts, sums and squares."""
+    out = {}
+    for arm in ("t", "c"):
+        mean = f"try_divide({side}_s{arm}, {side}_n{arm})"
+        out[f"{side}_v{arm}"] = (
+            f"greatest(try_divide({side}_q{arm}, {side}_n{arm}) - {mean} * {mean}, 0D)"
+        )
+    out[f"{side}_tau"] = (
+        f"try_divide({side}_st, {side}_nt) - try_divide({side}_sc, {side}_nc)"
+    )
+    return out
 
 
-def effect_moments(n_t, s_t, q_t, n_c, s_c, q_c) -> tuple[Column, Column, Column]:
-    """(effect, treated variance, control variance) from counts, sums and squares."""
-    m_t, m_c = safe_divide(s_t, n_t), safe_divide(s_c, n_c)
-    v_t = F.greatest(safe_divide(q_t, n_t) - m_t * m_t, F.lit(0.0))
-    v_c = F.greatest(safe_divide(q_c, n_c) - m_c * m_c, F.lit(0.0))
-    return m_t - m_c, v_t, v_c
+def _sampling_variance(side: str) -> str:
+    return f"(try_divide({side}_vt, {side}_nt) + try_divide({side}_vc, {side}_nc))"
 
 
-def causal_impurity(criterion: str, n_t, s_t, q_t, n_c, s_c, q_c, penalty: Column) -> Column:
+def causal_impurity(criterion: str, side: str) -> str:
     """Node impurity, lower is better.
 
     ``standard_mse`` is the outcome variance, ``causal_mse`` the estimated error
     of the effect: its sampling variance minus its square. ``penalty`` times the
     arms' imbalance share is added to both.
     """
-    n = n_t + n_c
-    imbalance = penalty * F.abs(n_t - n_c) / n
+    n = f"({side}_nt + {side}_nc)"
+    imbalance = f"penalty * abs({side}_nt - {side}_nc) / {n}"
     if criterion == "standard_mse":
-        mean = (s_t + s_c) / n
-        return F.greatest((q_t + q_c) / n - mean * mean, F.lit(0.0)) + imbalance
-    tau, v_t, v_c = effect_moments(n_t, s_t, q_t, n_c, s_c, q_c)
-    return safe_divide(v_t, n_t) + safe_divide(v_c, n_c) - tau * tau + imbalance
-
-
-def effect_t_squared(left: tuple, right: tuple) -> Column:
-    """Squared t of the difference between the effects of two children."""
-    tau_l, vt_l, vc_l = effect_moments(*left)
-    tau_r, vt_r, vc_r = effect_moments(*right)
-    spread = (
-        safe_divide(vt_l, left[0]) + safe_divide(vc_l, left[3])
-        + safe_divide(vt_r, right[0]) + safe_divide(vc_r, right[3])
+        mean = f"(({side}_st + {side}_sc) / {n})"
+        return f"(greatest(({side}_qt + {side}_qc) / {n} - {mean} * {mean}, 0D) + {imbalance})"
+    return f"({_sampling_variance(side)} - {side}_tau * {side}_tau + {imbalance})"
+
+
+def causal_gain() -> str:
+    """Weighted impurity decrease, or the squared t of the children's effects."""
+    n_l, n_r, n = "(l_nt + l_nc)", "(r_nt + r_nc)", "(a_nt + a_nc)"
+
+    def drop(criterion: str) -> str:
+        return (
+            f"{causal_impurity(criterion, 'a')} - {n_l} / {n} * {causal_impurity(criterion, 'l')}"
+            f" - {n_r} / {n} * {causal_impurity(criterion, 'r')}"
+        )
+
+    t_squared = (
+        f"try_divide((l_tau - r_tau) * (l_tau - r_tau), "
+        f"{_sampling_variance('l')} + {_sampling_variance('r')})"
+    )
+    return (
+        f"CASE criterion WHEN 'standard_mse' THEN {drop('standard_mse')} "
+        f"WHEN 't_test' THEN {t_squared} ELSE {drop('causal_mse')} END"
     )
-    return safe_divide((tau_l - tau_r) * (tau_l - tau_r), spread)

@@ -14,11 +14,10 @@ from dataclasses import dataclass, field, replace
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tauframe.functions.criteria import CAUSAL_CRITERIA, causal_impurity, effect_t_squared
+from tauframe.functions.criteria import CAUSAL_CRITERIA, causal_gain, effect_columns
 from tauframe.operators.describe import group_effect_stats
-from tauframe.operators.routing import FlatTrees, literal_array
+from tauframe.operators.routing import FlatTrees, array_text, literal_array
 from tauframe.operators.sampling import split_by_flag
 from tauframe.operators.tree_tables import (
     LESS,
@@ -31,6 +30,12 @@ from tauframe.operators.tree_tables import (
 
 STATS = ("nt", "st", "qt", "nc", "sc", "qc")
 TREES_PER_PASS = 64
+# The condition sits inside the aggregate: as a filter it would be pushed down
+# and the whole gain formula copied into it.
+BEST = (
+    "min(CASE WHEN round(gain, 12) > 0 AND credit >= min_drop THEN "
+    "struct(-round(gain, 12) AS loss, f, bin, credit, left_stats, right_stats) END)"
+)
 
 
 @dataclass(frozen=True)
@@ -56,9 +61,9 @@ def default_tree_grid(min_samples_leaf: int = 400) -> dict[str, CausalTreeParams
     return {
         "ctree_mse": replace(base, criterion="standard_mse", max_depth=None),
         "ctree_cmse": base,
-        "ctree_cmse_p=0.1": replace(base, groups_penalty=0.1),
-        "ctree_cmse_p=0.25": replace(base, groups_penalty=0.25),
-        "ctree_cmse_p=0.5": replace(base, groups_penalty=0.5),
+        "ctree_cmse_p010": replace(base, groups_penalty=0.1),
+        "ctree_cmse_p025": replace(base, groups_penalty=0.25),
+        "ctree_cmse_p050": replace(base, groups_penalty=0.5),
         "ctree_ttest": replace(base, criterion="t_test"),
     }
 
@@ -69,10 +74,10 @@ def default_forest_grid(min_samples_leaf: int = 400, trees: int = 100) -> dict[s
     return {
         "cforest_mse": replace(base, criterion="standard_mse"),
         "cforest_cmse": base,
-        "cforest_cmse_p=0.2": replace(base, groups_penalty=0.2),
-        "cforest_cmse_p=0.2_md=5": replace(base, groups_penalty=0.2, max_depth=5),
-        "cforest_cmse_p=0.5": replace(base, groups_penalty=0.5),
-        "cforest_cmse_p=0.5_md=5": replace(base, groups_penalty=0.5, max_depth=5),
+        "cforest_cmse_p020": replace(base, groups_penalty=0.2),
+        "cforest_cmse_p020_md5": replace(base, groups_penalty=0.2, max_depth=5),
+        "cforest_cmse_p050": replace(base, groups_penalty=0.5),
+        "cforest_cmse_p050_md5": replace(base, groups_penalty=0.5, max_depth=5),
         "cforest_ttest": replace(base, criterion="t_test"),
     }
 
@@ -171,15 +176,15 @@ def bin_features(df: DataFrame, features, thresholds, keep: list[Column]) -> Dat
     return df.select(*names, bins.alias("bins"))
 
 
-def bootstrap_weight(id_col: str, seed: int, tree: Column) -> Column:
+def bootstrap_weight(seed: int, tree: int) -> str:
     """Poisson(1) copies of a row in one tree, from a hash of id, seed and tree."""
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), tree), F.lit(2**40)) / F.lit(float(2**40))
-    weight, mass, upto = F.lit(0), math.exp(-1.0), 0.0
-    for k in range(1, 13):
+    u = f"pmod(xxhash64(id, {seed}, {tree}), {2**40}L) / {float(2**40)}D"
+    mass, upto, cases = math.exp(-1.0), 0.0, []
+    for k in range(13):
         upto += mass
-        weight = weight + (u >= F.lit(upto)).cast("int")
-        mass /= k
-    return weight
+        cases.append(f"WHEN u < {upto!r}D THEN {k}")
+        mass /= k + 1
+    return f"element_at(transform(array({u}), u -> CASE {' '.join(cases)} ELSE 13 END), 1)"
 
 
 @dataclass
@@ -214,31 +219,23 @@ class _Grower:
 
     def _weighted(self, df: DataFrame) -> DataFrame:
         """Rows once per tree with their weight."""
-        trees = F.array(*[
-            F.struct(
-                F.lit(i).alias("slot"),
-                (bootstrap_weight("id", s.params.seed, F.lit(s.number)) if s.params.bootstrap
-                 else F.lit(1)).alias("w"),
-            ) for i, s in enumerate(self.slots)
-        ])
         if len(self.slots) == 1 and not self.slots[0].params.bootstrap:
-            return df.select("t", "y", "bins", F.lit(0).alias("slot"), F.lit(1).alias("w"))
-        return df.select("t", "y", "bins", F.explode(trees).alias("r")).select(
-            "t", "y", "bins", "r.slot", "r.w"
-        ).where("w > 0")
+            return df.selectExpr("t", "y", "bins", "0 AS slot", "1 AS w")
+        copies = ", ".join(
+            f"struct({i} AS slot, "
+            f"{bootstrap_weight(s.params.seed, s.number) if s.params.bootstrap else '1'} AS w)"
+            for i, s in enumerate(self.slots)
+        )
+        each = df.selectExpr("t", "y", "bins", f"explode(array({copies})) AS r")
+        return each.selectExpr("t", "y", "bins", "r.slot AS slot", "r.w AS w").where("w > 0")
 
     @staticmethod
     def _sums() -> list[Column]:
-        w, y = F.col("w"), F.col("y")
-        out = []
-        for arm, tag in ((1, "t"), (0, "c")):
-            mine = F.col("t") == arm
-            out += [
-                F.sum(F.when(mine, w).otherwise(0)).cast("double").alias(f"n{tag}"),
-                F.sum(F.when(mine, w * y).otherwise(0.0)).alias(f"s{tag}"),
-                F.sum(F.when(mine, w * y * y).otherwise(0.0)).alias(f"q{tag}"),
-            ]
-        return out
+        return [
+            F.expr(f"sum(CASE WHEN t = {arm} THEN {value} ELSE 0D END) AS {stat}{tag}")
+            for arm, tag in ((1, "t"), (0, "c"))
+            for stat, value in (("n", "cast(w AS double)"), ("s", "w * y"), ("q", "w * y * y"))
+        ]
 
     def plant(self) -> list[TreeNode]:
         rows = self._weighted(self.base).groupBy("slot").agg(*self._sums()).collect()
@@ -256,69 +253,61 @@ class _Grower:
         )
 
     def splits(self, active: list[TreeNode]) -> DataFrame:
-        flat = self._flat()
-        start = F.get(literal_array(flat.roots, "int"), F.col("slot"))
-        routed = flat.route(self._weighted(self.base), "bins", "node", start)
-        is_active = [False] * len(self.all)
-        for n in active:
-            is_active[n.id] = True
-        flags = literal_array([int(b) for b in is_active], "int")
-        long = routed.where(F.get(flags, F.col("node")) == 1).select(
-            "node", "t", "y", "w", F.posexplode("bins").alias("f", "bin")
+        routed = self._flat().route(self._weighted(self.base), "bins", "node", "slot")
+        chosen = {n.id for n in active}
+        flags = array_text([int(n.id in chosen) for n in self.all], "int")
+        long = routed.where(f"get({flags}, node) = 1").selectExpr(
+            "node", "t", "y", "w", "posexplode(bins) AS (f, bin)"
         )
         useful = [i for i, t in enumerate(self.thresholds) if t]
         binned = long.where(F.col("f").isin(useful)).groupBy("node", "f", "bin").agg(*self._sums())
-        group = Window.partitionBy("node", "f")
-        upto = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        sides = binned.select(
-            "node", "f", "bin", *[F.sum(c).over(upto).alias(f"l_{c}") for c in STATS],
-            *[F.sum(c).over(group).alias(f"a_{c}") for c in STATS],
+        upto = ("OVER (PARTITION BY node, f ORDER BY bin "
+                "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+        sides = binned.selectExpr(
+            "node", "f", "bin", *[f"sum({c}) {upto} AS l_{c}" for c in STATS],
+            *[f"sum({c}) OVER (PARTITION BY node, f) AS a_{c}" for c in STATS],
         )
-        info = self.spark.createDataFrame(
-            [(n.id, p.criterion, float(p.groups_penalty), float(p.min_samples_leaf),
-              float(p.min_impurity_decrease), float(sum(self.slots[self.owner[n.id]].nodes[0].n)))
-             for n in active for p in [self.slots[self.owner[n.id]].params]],
-            "node int, criterion string, penalty double, min_leaf double, min_drop double, total double",
+        owners = [self.slots[i] for i in self.owner]
+        info = {
+            "code": ([CAUSAL_CRITERIA.index(o.params.criterion) for o in owners], "int"),
+            "penalty": ([o.params.groups_penalty for o in owners], "double"),
+            "min_leaf": ([o.params.min_samples_leaf for o in owners], "double"),
+            "min_drop": ([o.params.min_impurity_decrease for o in owners], "double"),
+            "total": ([sum(o.nodes[0].n) for o in owners], "double"),
+        }
+        names = ", ".join(f"'{c}'" for c in CAUSAL_CRITERIA)
+        sides = sides.selectExpr(
+            "*", *[f"get({array_text(v, kind)}, node) AS {c}" for c, (v, kind) in info.items()],
+            *[f"a_{c} - l_{c} AS r_{c}" for c in STATS],
+        ).where(
+            "l_nt + l_nc >= min_leaf AND r_nt + r_nc >= min_leaf "
+            "AND l_nt >= 1 AND l_nc >= 1 AND r_nt >= 1 AND r_nc >= 1"
         )
-        # at most one row per active node
-        sides = sides.join(F.broadcast(info), "node")
-        left = tuple(F.col(f"l_{c}") for c in STATS)
-        whole = tuple(F.col(f"a_{c}") for c in STATS)
-        right = tuple(a - b for a, b in zip(whole, left))
-        n_l, n_r, n = left[0] + left[3], right[0] + right[3], whole[0] + whole[3]
-        sides = sides.where(
-            (n_l >= F.col("min_leaf")) & (n_r >= F.col("min_leaf"))
-            & (left[0] >= 1) & (left[3] >= 1) & (right[0] >= 1) & (right[3] >= 1)
+        effects = {c: e for side in "lra" for c, e in effect_columns(side).items()}
+        sides = sides.selectExpr(
+            "*", f"element_at(array({names}), code + 1) AS criterion",
+            *[f"{e} AS {c}" for c, e in effects.items()],
+        ).selectExpr("*", f"{causal_gain()} AS gain")
+        return sides.selectExpr(
+            "node", "f", "bin", "gain", "(a_nt + a_nc) / total * gain AS credit", "min_drop",
+            f"array({', '.join(f'l_{c}' for c in STATS)}) AS left_stats",
+            f"array({', '.join(f'r_{c}' for c in STATS)}) AS right_stats",
         )
-        penalty = F.col("penalty")
-
-        def drop(criterion):
-            here = causal_impurity(criterion, *whole, penalty)
-            return (
-                here - n_l / n * causal_impurity(criterion, *left, penalty)
-                - n_r / n * causal_impurity(criterion, *right, penalty)
-            )
-
-        gain = (
-            F.when(F.col("criterion") == "standard_mse", drop("standard_mse"))
-            .when(F.col("criterion") == "t_test", effect_t_squared(left, right))
-            .otherwise(drop("causal_mse"))
-        )
-        share = n / F.col("total")
-        return sides.select(
-            "node", "f", "bin", gain.alias("gain"), (share * gain).alias("credit"), "min_drop",
-            F.array(*left).alias("left_stats"), F.array(*right).alias("right_stats"),
+
+    def root_splits(self) -> DataFrame:
+        """Every admissible split of the roots: feature number, threshold and gain."""
+        cuts = F.array(*[literal_array(t or [0.0], "double") for t in self.thresholds])
+        return self.splits(self.plant()).select(
+            "f", F.get(F.get(cuts, F.col("f")), F.col("bin")).alias("threshold"), "gain",
+            (F.get("left_stats", F.lit(0)) + F.get("left_stats", F.lit(3))).cast("long").alias("n_left"),
+            (F.get("right_stats", F.lit(0)) + F.get("right_stats", F.lit(3))).cast("long").alias("n_right"),
         )
 
     def grow(self) -> None:
         active = self._open(self.plant())
         while active:
-            rank = F.struct((-F.round("gain", 12)).alias("loss"), "f", "bin", "credit",
-                            "left_stats", "right_stats")
-            good = self.splits(active).where(
-                (F.round("gain", 12) > 0) & (F.col("credit") >= F.col("min_drop"))
-            )
-            best = good.groupBy("node").agg(F.min(rank).alias("b")).select("node", "b.*").collect()
+            best = self.splits(active).groupBy("node").agg(F.expr(BEST).alias("b"))
+            best = best.where("b IS NOT NULL").select("node", "b.*").collect()
             made = []
             for row in sorted(best, key=lambda r: r["node"]):
                 node = self.all[row["node"]]
@@ -357,6 +346,27 @@ class _Grower:
         return out
 
 
+def _binned_base(train, id_col, treatment, outcome, features, max_bins):
+    keep = [
+        F.col(id_col).alias("id"), F.col(treatment).cast("int").alias("t"),
+        F.col(outcome).cast("double").alias("y"),
+    ]
+    thresholds = learn_thresholds(train, features, max_bins)
+    binned = bin_features(train, features, thresholds, keep)
+    return binned.where("t is not null and y is not null"), thresholds
+
+
+def causal_root_splits(
+    train: DataFrame, id_col: str, treatment: str, outcome: str, features, params: CausalTreeParams
+) -> DataFrame:
+    """All admissible first splits of a single tree with their gains."""
+    features = list(features)
+    base, thresholds = _binned_base(train, id_col, treatment, outcome, features, params.max_bins)
+    grower = _Grower(base, thresholds, [_Slot("tree", 0, params)])
+    names = F.array(*[F.lit(f) for f in features])
+    return grower.root_splits().withColumn("feature", F.get(names, F.col("f"))).drop("f")
+
+
 def fit_grid(
     train: DataFrame, id_col: str, treatment: str, outcome: str, features,
     grid: dict[str, CausalTreeParams], trees_per_pass: int = TREES_PER_PASS,
@@ -364,12 +374,8 @@ def fit_grid(
     """Fit every configuration; trees of all configurations share the scans."""
     features = list(features)
     bins = max(p.max_bins for p in grid.values())
-    keep = [
-        F.col(id_col).alias("id"), F.col(treatment).cast("int").alias("t"),
-        F.col(outcome).cast("double").alias("y"),
-    ]
-    thresholds = learn_thresholds(train, features, bins)
-    base = bin_features(train, features, thresholds, keep).where("t is not null and y is not null").persist()
+    base, thresholds = _binned_base(train, id_col, treatment, outcome, features, bins)
+    base = base.persist()
     slots = [_Slot(name, i, p) for name, p in grid.items() for i in range(p.trees)]
     fitted: dict[str, list[TreeTables]] = {name: [] for name in grid}
     try:

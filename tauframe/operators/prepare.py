@@ -150,7 +150,8 @@ class OneHot:
         return cls(learned)
 
     def names(self, column: str) -> list[str]:
-        return [f"{column}{self.separator}{v}" for v in self.categories[column]]
+        # a dot in a column name would read as a field access
+        return [f"{column}{self.separator}{v}".replace(".", "_") for v in self.categories[column]]
 
     @property
     def output_columns(self) -> list[str]:

@@ -1,8 +1,8 @@
 """Sending rows through fitted trees with array look-ups.
 
-Trees are flat arrays (feature, threshold, children) held as literals. One
-projection per level moves every row one step, so the generated code stays the
-same size whatever the number of leaves.
+Trees are flat arrays (feature, threshold, children) held as literals. A fold
+over the levels moves a row from the root to its leaf in one expression, whose
+size does not depend on the depth and which a pushed-down filter may repeat.
 """
 
 from __future__ import annotations
@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def literal_array(values, kind: str) -> Column:
-    """A constant array from one string, folded once by the optimizer."""
+def array_text(values, kind: str) -> str:
+    """SQL text of a constant array, folded once by the optimizer."""
     text = ",".join(repr(float(v)) if kind == "double" else str(int(v)) for v in values)
-    return F.split(F.lit(text), ",").cast(f"array<{kind}>")
+    return f"cast(split('{text}', ',') AS array<{kind}>)"
+
+
+def literal_array(values, kind: str) -> Column:
+    return F.expr(array_text(values, kind))
 
 
 class FlatTrees:
@@ -25,39 +29,38 @@ class FlatTrees:
     Missing values fail every test.
     """
 
+    SIGNS = {0: ">=", 1: "<=", 2: "="}
+
     def __init__(self, feature, threshold, op, left, right, roots, depth):
         self.feature, self.threshold, self.op = feature, threshold, op
         self.left, self.right, self.roots, self.depth = left, right, roots, depth
-        self._f = literal_array(feature, "int")
-        self._t = literal_array(threshold, "double")
-        self._l = literal_array(left, "int")
-        self._r = literal_array(right, "int")
-        self._o = literal_array(op, "int") if len(set(op)) > 1 else None
-
-    def _test(self, at: Column, x: Column) -> Column:
-        value = F.get(x, F.get(self._f, at))
-        threshold = F.get(self._t, at)
-        tests = {0: value >= threshold, 1: value <= threshold, 2: value == threshold}
-        if self._o is None:
-            return tests[self.op[0]]
-        op = F.get(self._o, at)
-        return F.when(op == 0, tests[0]).when(op == 1, tests[1]).otherwise(tests[2])
-
-    def _step(self, at: Column, x: Column) -> Column:
-        go_left = F.coalesce(self._test(at, x), F.lit(False))
-        child = F.when(go_left, F.get(self._l, at)).otherwise(F.get(self._r, at))
-        return F.when(F.get(self._f, at) < 0, at).otherwise(child)
-
-    def route(self, df: DataFrame, x: str, name: str, start: Column | None = None) -> DataFrame:
-        """Add the leaf reached in one tree, from ``start`` (default: the first root)."""
-        df = df.withColumn(name, F.lit(self.roots[0]) if start is None else start)
-        for _ in range(self.depth):
-            df = df.withColumn(name, self._step(F.col(name), F.col(x)))
-        return df
+
+    def _step(self, x: str) -> str:
+        feature, threshold = array_text(self.feature, "int"), array_text(self.threshold, "double")
+        value, cut = f"get({x}, get({feature}, at))", f"get({threshold}, at)"
+        ops = sorted(set(self.op))
+        if len(ops) > 1:
+            tests = " ".join(f"WHEN {o} THEN {value} {self.SIGNS[o]} {cut}" for o in ops)
+            test = f"CASE get({array_text(self.op, 'int')}, at) {tests} END"
+        else:
+            test = f"{value} {self.SIGNS[ops[0]]} {cut}"
+        return (
+            f"CASE WHEN get({feature}, at) < 0 THEN at WHEN coalesce({test}, false) "
+            f"THEN get({array_text(self.left, 'int')}, at) ELSE get({array_text(self.right, 'int')}, at) END"
+        )
+
+    def leaf(self, x: str, root: str) -> str:
+        """Text of the leaf reached from ``root``."""
+        if self.depth == 0:
+            return root
+        return f"aggregate(array_repeat(0, {self.depth}), {root}, (at, level) -> {self._step(x)})"
+
+    def route(self, df: DataFrame, x: str, name: str, slot: str | None = None) -> DataFrame:
+        """Add the leaf reached in the first tree, or in the tree numbered by ``slot``."""
+        root = f"{self.roots[0]}" if slot is None else f"get({array_text(self.roots, 'int')}, {slot})"
+        return df.withColumn(name, F.expr(self.leaf(x, root)))
 
     def route_all(self, df: DataFrame, x: str, name: str) -> DataFrame:
         """Add an array with the leaf reached in every tree."""
-        df = df.withColumn(name, literal_array(self.roots, "int"))
-        for _ in range(self.depth):
-            df = df.withColumn(name, F.transform(name, lambda at: self._step(at, F.col(x))))
-        return df
+        roots = array_text(self.roots, "int")
+        return df.withColumn(name, F.expr(f"transform({roots}, root -> {self.leaf(x, 'root')})"))

@@ -13,28 +13,29 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
-from pyspark.sql.window import Window
 
 from tauframe.functions.criteria import (
     UPLIFT_CRITERIA,
     node_score,
-    slope_from_sums,
+    slope,
+    smoothed,
     split_normalizer,
+    split_shares,
+    total,
     uplift_gain,
 )
-from tauframe.operators.describe import smoothed_rate
 from tauframe.operators.quantiles import (
     DISTINCT_LIMIT,
     percentiles_bounded,
     percentiles_distributed,
 )
+from tauframe.operators.routing import array_text
 from tauframe.operators.sampling import honest_split, random_columns, split_by_flag
 from tauframe.operators.tree_tables import (
     EQUAL,
     GREATER,
     TreeNode,
     TreeTables,
-    feature_value,
 )
 
 # Percentiles tried as thresholds of a feature with many values.
@@ -228,19 +229,26 @@ class _Level:
         self.base, self.model, self.active = base, model, active
         self.wide, self.allowed, self.validated = wide, allowed, validated
         self.coded = [i for i, f in enumerate(model.features) if f in model.categories]
-        self.k = len(model.arms)
+        self.arms = range(len(model.arms))
+
+    def _by_node(self, values: dict[int, float], kind: str) -> str:
+        """Text that looks a figure up by node id."""
+        return f"get({array_text([values.get(n.id, 0) for n in self.model.nodes], kind)}, node)"
 
     def _long(self) -> DataFrame:
         routed = self.model.flat().route(self.base, "x", "node")
-        ids = [n.id for n in self.active]
-        long = routed.where(F.col("node").isin(ids)).select(
-            "node", "arm", "y", "held", F.posexplode("x").alias("f", "v")
+        ids = ", ".join(str(n.id) for n in self.active)
+        long = routed.where(f"node IN ({ids})").selectExpr(
+            "node", "arm", "y", "held", "posexplode(x) AS (f, v)"
         )
         if self.allowed is None:
             return long
-        pairs = [(n, f) for n, fs in self.allowed.items() for f in fs]
-        frame = self.base.sparkSession.createDataFrame(pairs, "node int, f int")
-        return long.join(F.broadcast(frame), ["node", "f"], "left_semi")
+        width = len(self.model.features)
+        flags = [0] * (len(self.model.nodes) * width)
+        for node, features in self.allowed.items():
+            for f in features:
+                flags[node * width + f] = 1
+        return long.where(f"get({array_text(flags, 'int')}, node * {width} + f) = 1")
 
     def candidates(self) -> DataFrame:
         """(node, f, cand): ascending thresholds, or the codes of a text column."""
@@ -256,9 +264,10 @@ class _Level:
             if not chosen:
                 continue
             stats = route(counts.where(F.col("f").isin(chosen)), by, "v", CANDIDATE_SHARES, FEW_VALUES)
-            cand = F.when(F.col("distinct_values") > FEW_VALUES,
-                          F.array_distinct(F.array_sort("percentiles"))).otherwise(F.col("lowest"))
-            parts.append(stats.select(*by, cand.alias("cand")))
+            parts.append(stats.selectExpr(
+                *by, f"CASE WHEN distinct_values > {FEW_VALUES} "
+                     "THEN array_distinct(array_sort(percentiles)) ELSE lowest END AS cand"
+            ))
         if self.coded:
             codes = counts.where(F.col("f").isin(self.coded) & (F.col("v") >= 0))
             parts.append(codes.groupBy(*by).agg(F.sort_array(F.collect_list("v")).alias("cand")))
@@ -267,145 +276,125 @@ class _Level:
             out = out.unionByName(part)
         return out
 
+    def _is_coded(self) -> str:
+        return f"f IN ({', '.join(map(str, self.coded))})" if self.coded else "false"
+
     def _names(self) -> list[str]:
         kinds = "nsq" + ("uw" if self.validated else "")
-        return [f"{c}{k}" for c in kinds for k in range(self.k)]
+        return [f"{c}{k}" for c in kinds for k in self.arms]
 
     def binned(self) -> DataFrame:
         """Arm statistics per (node, f, bin) with the threshold that opens the bin."""
         cand = self.candidates()
-        reached = sum(
-            (F.coalesce((F.get("cand", F.lit(i)) <= F.col("v")).cast("int"), F.lit(0))
-             for i in range(len(CANDIDATE_SHARES))), F.lit(0),
+        reached = " + ".join(
+            f"coalesce(cast(get(cand, {i}) <= v AS int), 0)" for i in range(len(CANDIDATE_SHARES))
+        )
+        bin_ = (
+            f"CASE WHEN {self._is_coded()} THEN cast(coalesce(array_position(cand, v), 0) AS int) "
+            f"ELSE {reached} END"
         )
-        if self.coded:
-            code = F.coalesce(F.array_position("cand", F.col("v")), F.lit(0)).cast("int")
-            reached = F.when(F.col("f").isin(self.coded), code).otherwise(reached)
         # at most nodes x features rows of 13 thresholds
-        rows = self._long().join(F.broadcast(cand), ["node", "f"]).withColumn("bin", reached)
-        y, train = F.col("y"), ~F.col("held")
+        rows = self._long().join(F.broadcast(cand), ["node", "f"]).withColumn("bin", F.expr(bin_))
         aggregates = []
-        for k in range(self.k):
-            mine = (F.col("arm") == k) & train
+        for k in self.arms:
+            mine = f"arm = {k} AND NOT held"
             aggregates += [
-                F.count_if(mine).alias(f"n{k}"),
-                F.coalesce(F.sum(F.when(mine, y)), F.lit(0.0)).alias(f"s{k}"),
-                F.coalesce(F.sum(F.when(mine, y * y)), F.lit(0.0)).alias(f"q{k}"),
+                f"count_if({mine}) AS n{k}", f"sum(CASE WHEN {mine} THEN y ELSE 0D END) AS s{k}",
+                f"sum(CASE WHEN {mine} THEN y * y ELSE 0D END) AS q{k}",
             ]
             if self.validated:
-                other = (F.col("arm") == k) & F.col("held")
                 aggregates += [
-                    F.count_if(other).alias(f"u{k}"),
-                    F.coalesce(F.sum(F.when(other, y)), F.lit(0.0)).alias(f"w{k}"),
+                    f"count_if(arm = {k} AND held) AS u{k}",
+                    f"sum(CASE WHEN arm = {k} AND held THEN y ELSE 0D END) AS w{k}",
                 ]
-        stats = rows.groupBy("node", "f", "bin").agg(*aggregates)
+        stats = rows.groupBy("node", "f", "bin").agg(*[F.expr(a) for a in aggregates])
         names = self._names()
         # every candidate gets a row even when no value falls in its bin
-        empty = cand.select("node", "f", F.posexplode("cand").alias("i", "value")).select(
-            "node", "f", (F.col("i") + 1).cast("int").alias("bin"), "value",
-            *[F.lit(0 if c[0] in "nu" else 0.0).cast("long" if c[0] in "nu" else "double").alias(c)
-              for c in names],
+        empty = cand.selectExpr("node", "f", "posexplode(cand) AS (i, value)").selectExpr(
+            "node", "f", "i + 1 AS bin", "value",
+            *[f"{'0L' if c[0] in 'nu' else '0D'} AS {c}" for c in names],
         )
-        both = stats.withColumn("value", F.lit(None).cast("double")).unionByName(empty)
+        both = stats.withColumn("value", F.expr("cast(NULL AS double)")).unionByName(empty)
         return both.groupBy("node", "f", "bin").agg(
             F.max("value").alias("value"), *[F.sum(c).alias(c) for c in names]
         )
 
     def splits(self) -> DataFrame:
-        """Every admissible candidate with its gain."""
-        p, params = self.model, self.model.params
+        """Every admissible candidate with its gain and both children's figures."""
+        params, arms = self.model.params, self.arms
+        criterion = params.criterion
         names = self._names()
-        group = Window.partitionBy("node", "f")
-        above = group.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        coded = F.col("f").isin(self.coded) if self.coded else F.lit(False)
-        sides = self.binned().select(
+        above = ("OVER (PARTITION BY node, f ORDER BY bin DESC "
+                 "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+        whole = "OVER (PARTITION BY node, f)"
+        sides = self.binned().selectExpr(
             "node", "f", "bin", "value",
-            *[F.when(coded, F.col(c)).otherwise(F.sum(c).over(above)).alias(f"l_{c}") for c in names],
-            *[F.sum(c).over(group).alias(f"a_{c}") for c in names],
+            *[f"CASE WHEN {self._is_coded()} THEN {c} ELSE sum({c}) {above} END AS {c[0]}_l{c[1:]}"
+              for c in names],
+            *[f"sum({c}) {whole} AS {c[0]}_a{c[1:]}" for c in names],
         ).where("bin > 0")
-        nodes = self.base.sparkSession.createDataFrame(
-            [(n.id, [float(v) for v in n.p], n.score) for n in self.active],
-            "node int, parent array<double>, score double",
+        parent = [self._by_node({n.id: n.p[k] for n in self.active}, "double") for k in arms]
+        score = self._by_node({n.id: n.score or 0.0 for n in self.active}, "double")
+        sides = sides.selectExpr(
+            "*", f"{score} AS score", *[f"{p} AS parent{k}" for k, p in zip(arms, parent)],
+            *[f"{c[0]}_a{c[1:]} - {c[0]}_l{c[1:]} AS {c[0]}_r{c[1:]}" for c in names],
+        ).selectExpr("*", *[f"{total(f'n_{s}', arms)} AS rows_{s}" for s in "lr"])
+        valid = [f"rows_{s} > {params.min_samples_leaf}" for s in "lr"]
+        valid += [f"n_{s}{k} >= {params.min_samples_treatment}" for s in "lr" for k in arms]
+        sides = sides.where(" AND ".join(valid)).selectExpr(
+            "*",
+            *[f"{smoothed(s, k, f'parent{k}', params.min_samples_treatment, params.n_reg)} AS p_{s}{k}"
+              for s in "lr" for k in arms],
+            *[f"{slope(s, arms)} AS slope_{s}" for s in "lr"],
         )
-        sides = sides.join(F.broadcast(nodes), "node")
-        arms = range(self.k)
-
-        def arm_stats(kind, size, total, min_rows, weight):
-            left = [F.col(f"l_{size}{k}") for k in arms]
-            sums = [F.col(f"l_{total}{k}") for k in arms]
-            if kind == "right":
-                left = [F.col(f"a_{size}{k}") - v for k, v in zip(arms, left)]
-                sums = [F.col(f"a_{total}{k}") - v for k, v in zip(arms, sums)]
-            rates = [smoothed_rate(n, s, F.get("parent", F.lit(k)), min_rows, weight)
-                     for k, n, s in zip(arms, left, sums)]
-            return left, rates, slope_from_sums(left, sums)
-
-        min_t, reg = params.min_samples_treatment, params.n_reg
-        left_n, left_p, left_slope = arm_stats("left", "n", "s", min_t, reg)
-        right_n, right_p, right_slope = arm_stats("right", "n", "s", min_t, reg)
-        size_l, size_r = sum(left_n[1:], left_n[0]), sum(right_n[1:], right_n[0])
-        valid = (size_l > params.min_samples_leaf) & (size_r > params.min_samples_leaf)
-        for n in [*left_n, *right_n]:
-            valid = valid & (n >= min_t)
-        if self.validated:
-            for side, rates, slope in (("left", left_p, left_slope), ("right", right_p, right_slope)):
-                _, held_p, held_slope = arm_stats(
-                    side, "u", "w", VALIDATION_MIN_ROWS, VALIDATION_WEIGHT
-                )
-                for a, b in zip([*rates, slope], [*held_p, held_slope]):
-                    far = F.abs(b - a) > F.least(a, b) / params.validation_scale
-                    valid = valid & ~F.coalesce(far, F.lit(False))
-        sides = sides.where(valid)
-        normalizer = None
+        sides = self._hold_up(sides) if self.validated else sides.selectExpr("*", "true AS admissible")
+        columns = {f"score_{s}": node_score(criterion, s, arms) for s in "lr"}
         if params.normalization:
-            normalizer = split_normalizer([F.col(f"a_n{k}") for k in arms], left_n)
-        gain, credit = uplift_gain(
-            params.criterion, F.col("score"),
-            node_score(params.criterion, left_p, left_slope),
-            node_score(params.criterion, right_p, right_slope), size_l, size_r, normalizer,
+            columns.update(split_shares(arms))
+        sides = sides.selectExpr("*", *[f"{e} AS {c}" for c, e in columns.items()])
+        normalizer = split_normalizer(arms) if params.normalization else None
+        gain, credit = uplift_gain(criterion, normalizer)
+        child = ", ".join
+        return sides.selectExpr(
+            "node", "f", "value", f"{gain} AS gain", f"{credit} AS credit",
+            "rows_l AS n_left", "rows_r AS n_right",
+            *[f"array({child(f'cast({c}_{s}{k} AS double)' for c in 'nsqp' for k in arms)}) AS {name}"
+              for s, name in (("l", "left_stats"), ("r", "right_stats"))],
+            "array(score_l, score_r) AS scores", "array(slope_l, slope_r) AS slopes", "admissible",
+        )
+
+    def _hold_up(self, sides: DataFrame) -> DataFrame:
+        """Only splits whose rates and slope are close on the held rows as well."""
+        arms, scale = self.arms, self.model.params.validation_scale
+        held = sides.selectExpr(
+            "*", *[f"u_{s}{k} AS n_h{s}{k}" for s in "lr" for k in arms],
+            *[f"w_{s}{k} AS s_h{s}{k}" for s in "lr" for k in arms],
         )
-        stats = [f"{c}{k}" for c in "nsq" for k in arms]
-        return sides.select(
-            "node", "f", "value", gain.alias("gain"), credit.alias("credit"),
-            size_l.alias("n_left"), size_r.alias("n_right"),
-            F.array(*[F.col(f"l_{c}").cast("double") for c in stats]).alias("left_stats"),
-            F.array(*[(F.col(f"a_{c}") - F.col(f"l_{c}")).cast("double") for c in stats]).alias("right_stats"),
+        held = held.selectExpr(
+            "*",
+            *[f"{smoothed(f'h{s}', k, f'parent{k}', VALIDATION_MIN_ROWS, VALIDATION_WEIGHT)} AS p_h{s}{k}"
+              for s in "lr" for k in arms],
+            *[f"{slope(f'h{s}', arms)} AS slope_h{s}" for s in "lr"],
         )
+        pairs = [(f"p_{s}{k}", f"p_h{s}{k}") for s in "lr" for k in arms]
+        pairs += [(f"slope_{s}", f"slope_h{s}") for s in "lr"]
+        far = [f"coalesce(abs({b} - {a}) > least({a}, {b}) / {scale}D, false)" for a, b in pairs]
+        return held.selectExpr("*", f"NOT ({' OR '.join(far)}) AS admissible")
 
     def best(self) -> list:
         """The best split of each node; ties go to the first feature and lowest value."""
-        rank = F.struct((-F.round("gain", 12)).alias("loss"), "f", "value", "credit",
-                        "left_stats", "right_stats")
-        best = self.splits().where("gain > 0").groupBy("node").agg(F.min(rank).alias("b"))
+        # a condition inside the aggregate keeps the gain from being copied into a filter
+        rank = F.expr("min(CASE WHEN admissible AND gain > 0 THEN struct(-round(gain, 12) AS loss, "
+                      "f, value, credit, left_stats, right_stats, scores, slopes) END)")
+        best = self.splits().groupBy("node").agg(rank.alias("b")).where("b IS NOT NULL")
         return best.select("node", "b.*").collect()
 
 
-def _finish(node: TreeNode, parent: TreeNode | None, params: UpliftTreeParams, spark) -> None:
-    arms = range(len(node.n))
-    if parent is None:
-        node.p = [s / n if n else 0.0 for n, s in zip(node.n, node.s)]
-    else:
-        node.p = [
-            (node.s[k] + parent.p[k] * params.n_reg) / (node.n[k] + params.n_reg)
-            if node.n[k] > params.min_samples_treatment else parent.p[k]
-            for k in arms
-        ]
-
-
-def _score_nodes(nodes: list[TreeNode], params: UpliftTreeParams, spark) -> None:
-    """Node scores through the same expressions the gains use."""
-    arms = range(len(nodes[0].n))
-    frame = spark.createDataFrame(
-        [(n.id, [float(v) for v in n.p], [float(v) for v in n.n], [float(v) for v in n.s])
-         for n in nodes], "node int, p array<double>, n array<double>, s array<double>",
-    )
-    p, n, s = ([F.get(c, F.lit(k)) for k in arms] for c in ("p", "n", "s"))
-    slope = slope_from_sums(n, s)
-    rows = frame.select("node", node_score(params.criterion, p, slope).alias("score"),
-                        slope.alias("slope")).collect()
-    by_id = {r["node"]: r for r in rows}
-    for node in nodes:
-        node.score, node.slope = by_id[node.id]["score"], by_id[node.id]["slope"]
+def _root_figures(model: UpliftTreeModel) -> list[str]:
+    """Rates, slope and score of a node from its own counts and sums."""
+    arms = range(len(model.arms))
+    rates = [f"coalesce(try_divide(s_a{k}, n_a{k}), 0D) AS p_a{k}" for k in arms]
+    return [*rates, f"{slope('a', arms)} AS slope_a"]
 
 
 def _base(train, validation, model, treatment, outcome):
@@ -428,37 +417,34 @@ def start_model(train: DataFrame, treatment: str, features, params: UpliftTreePa
     )
 
 
-def _plant(base: DataFrame, model: UpliftTreeModel) -> TreeNode:
+def _plant(base: DataFrame, model: UpliftTreeModel) -> list[int]:
+    """Add the root; also returns the features with too many values for one task."""
     arms = range(len(model.arms))
-    rows = base.where(~F.col("held"))
-    mine = [F.when(F.col("arm") == k, F.col("y")) for k in arms]
-    r = rows.agg(
-        *[F.count(v).alias(f"n{k}") for k, v in zip(arms, mine)],
-        *[F.coalesce(F.sum(v), F.lit(0.0)).alias(f"s{k}") for k, v in zip(arms, mine)],
-        *[F.coalesce(F.sum(v * v), F.lit(0.0)).alias(f"q{k}") for k, v in zip(arms, mine)],
-    ).first()
-    root = TreeNode(0, n=[r[f"n{k}"] for k in arms], s=[r[f"s{k}"] for k in arms],
-                    q=[r[f"q{k}"] for k in arms])
-    _finish(root, None, model.params, base.sparkSession)
-    model.nodes.append(root)
-    _score_nodes([root], model.params, base.sparkSession)
-    return root
-
-
-def _wide_features(base: DataFrame, model: UpliftTreeModel) -> list[int]:
     plain = [i for i, f in enumerate(model.features) if f not in model.categories]
-    if not plain:
-        return []
-    row = base.agg(*[F.approx_count_distinct(F.get("x", F.lit(i))).alias(f"d{i}") for i in plain]).first()
-    return [i for i in plain if row[f"d{i}"] > model.params.distinct_limit]
+    mine = [f"CASE WHEN arm = {k} THEN y END" for k in arms]
+    sums = base.where("NOT held").agg(*[F.expr(e) for e in [
+        *[f"count({m}) AS n_a{k}" for k, m in zip(arms, mine)],
+        *[f"coalesce(sum({m}), 0D) AS s_a{k}" for k, m in zip(arms, mine)],
+        *[f"coalesce(sum({m} * {m}), 0D) AS q_a{k}" for k, m in zip(arms, mine)],
+        *[f"approx_count_distinct(get(x, {i})) AS d{i}" for i in plain],
+    ]])
+    r = sums.selectExpr("*", *_root_figures(model)).selectExpr(
+        "*", f"{node_score(model.params.criterion, 'a', arms)} AS score"
+    ).first()
+    model.nodes.append(TreeNode(
+        0, n=[r[f"n_a{k}"] for k in arms], s=[r[f"s_a{k}"] for k in arms],
+        q=[r[f"q_a{k}"] for k in arms], p=[r[f"p_a{k}"] for k in arms],
+        slope=r["slope_a"], score=r["score"],
+    ))
+    return [i for i in plain if r[f"d{i}"] > model.params.distinct_limit]
 
 
 def root_splits(train: DataFrame, treatment: str, outcome: str, features, params: UpliftTreeParams):
     """Every admissible split of the root with its gain: (feature, threshold, gain, sizes)."""
     model = start_model(train, treatment, features, params)
     base = _base(train, None, model, treatment, outcome)
-    root = _plant(base, model)
-    level = _Level(base, model, [root], _wide_features(base, model), None, False)
+    wide = _plant(base, model)
+    level = _Level(base, model, model.nodes, wide, None, False)
     names = F.array(*[F.lit(f) for f in model.features])
     return level.splits().select(
         F.get(names, F.col("f")).alias("feature"), F.col("value").alias("threshold"),
@@ -471,12 +457,11 @@ def fit_uplift_tree(
     validation: DataFrame | None = None,
 ) -> UpliftTreeModel:
     """Grow a tree; with ``validation`` a split must hold up there as well."""
-    spark = train.sparkSession
     model = start_model(train, treatment, features, params)
     base = _base(train, validation, model, treatment, outcome).persist()
     try:
-        active = [_plant(base, model)]
-        wide = _wide_features(base, model)
+        wide = _plant(base, model)
+        active = list(model.nodes)
         everything = list(range(len(model.features)))
         while active and active[0].depth < params.max_depth:
             allowed = None
@@ -489,10 +474,6 @@ def fit_uplift_tree(
             made = []
             for row in sorted(level.best(), key=lambda r: r["node"]):
                 made += _split(model, row)
-            for child in made:
-                _finish(child, model.nodes[child.parent], params, spark)
-            if made:
-                _score_nodes(made, params, spark)
             active = made
     finally:
         base.unpersist()
@@ -507,10 +488,11 @@ def _split(model: UpliftTreeModel, row) -> list[TreeNode]:
     model.importance[node.feature] = model.importance.get(node.feature, 0.0) + node.credit
     k = len(model.arms)
     made = []
-    for stats in (row["left_stats"], row["right_stats"]):
+    for side, stats in enumerate((row["left_stats"], row["right_stats"])):
         child = TreeNode(
             len(model.nodes), parent=node.id, depth=node.depth + 1,
-            n=[int(v) for v in stats[:k]], s=list(stats[k:2 * k]), q=list(stats[2 * k:]),
+            n=[int(v) for v in stats[:k]], s=list(stats[k:2 * k]), q=list(stats[2 * k:3 * k]),
+            p=list(stats[3 * k:]), score=row["scores"][side], slope=row["slopes"][side],
         )
         model.nodes.append(child)
         made.append(child)
@@ -519,19 +501,19 @@ def _split(model: UpliftTreeModel, row) -> list[TreeNode]:
 
 
 def refill(model: UpliftTreeModel, df: DataFrame, treatment: str, outcome: str) -> UpliftTreeModel:
-    """The same splits with every node re-estimated on other rows (honest estimates)."""
+    """The same splits with every node re-estimated on other rows (honest estimates).
+
+    Nodes take their own raw rates; a node no row reaches keeps its old figures.
+    """
     arms = range(len(model.arms))
-    rows = model.node_moments(df, model.arm_index(treatment), outcome, len(model.arms)).collect()
-    found = {r["node_id"]: r for r in rows}
-    for node in model.nodes:
-        r = found.get(node.id)
-        node.n = [r[f"n{k}"] if r else 0 for k in arms]
-        node.s = [r[f"s{k}"] if r else 0.0 for k in arms]
-        node.q = [r[f"q{k}"] if r else 0.0 for k in arms]
-    for node in model.nodes:
-        parent = None if node.parent is None else model.nodes[node.parent]
-        _finish(node, parent, model.params, df.sparkSession)
-    _score_nodes(model.nodes, model.params, df.sparkSession)
+    moments = model.node_moments(df, model.arm_index(treatment), outcome, len(model.arms))
+    renamed = moments.selectExpr("node_id", *[f"{c}{k} AS {c}_a{k}" for c in "nsq" for k in arms])
+    scored = renamed.selectExpr("*", *_root_figures(model)).selectExpr(
+        "*", f"{node_score(model.params.criterion, 'a', arms)} AS score")
+    for r in scored.collect():
+        node = model.nodes[r["node_id"]]
+        node.n, node.s, node.q, node.p = ([r[f"{c}_a{k}"] for k in arms] for c in "nsqp")
+        node.score, node.slope = r["score"], r["slope_a"]
     return model
 
 
@@ -548,14 +530,19 @@ def uplift_tree(
     from dataclasses import replace
 
     train, test = split_by_flag(df, train_flag, id_col, 0.8, seed)
-    rows = train.count()
-    params = replace(params or UpliftTreeParams(max_depth=5), min_samples_leaf=int(rows * min_leaf_share))
-    if honest:
-        growth, estimation = honest_split(train, id_col, estimation_share, seed)
-        model = fit_uplift_tree(growth, treatment, outcome, features, params)
-        model = refill(model, estimation, treatment, outcome)
-    else:
-        model = fit_uplift_tree(train, treatment, outcome, features, params)
+    slim = train.select(*dict.fromkeys([id_col, treatment, outcome, *features])).persist()
+    try:
+        rows = slim.count()
+        params = replace(
+            params or UpliftTreeParams(max_depth=5), min_samples_leaf=int(rows * min_leaf_share))
+        if honest:
+            growth, estimation = honest_split(slim, id_col, estimation_share, seed)
+            model = fit_uplift_tree(growth, treatment, outcome, features, params)
+            model = refill(model, estimation, treatment, outcome)
+        else:
+            model = fit_uplift_tree(slim, treatment, outcome, features, params)
+    finally:
+        slim.unpersist()
     return model, model.leaf_report(test, treatment, outcome)
 
 

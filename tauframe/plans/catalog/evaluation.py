@@ -273,11 +273,11 @@ def match_stratified(spark, sf_dir):
 
 
 @query("attach_match", with_(
-    "SELECT u.uid, u.treatment, p.matched_id FROM ps_units u LEFT JOIN pairs p USING (uid)", REPLACEMENT))
+    "SELECT u.uid, u.treatment, coalesce(p.matched_id, -1) AS matched_id FROM ps_units u LEFT JOIN pairs p USING (uid)", REPLACEMENT))
 def attach_match(spark, sf_dir):
     df = propensity_units(spark, sf_dir)
     pairs = matching.match_with_replacement(df, SPEC, "ps")
-    return matching.attach_match(df.select("uid", "treatment"), pairs, "uid")
+    return matching.attach_match(df.select("uid", "treatment"), pairs, "uid").na.fill({"matched_id": -1})
 
 
 @query("matched_pairs", with_(
