@@ -10,16 +10,13 @@ from pyspark.sql import functions as F
 from tauframe.operators import causal_forest as cf
 from tauframe.operators import learners as le
 from tauframe.operators import propensity, ranking, sampling
+from tauframe.operators.prepare import minmax_scale
 from tauframe.plans import daily_matching, daily_targeting
 from tauframe.plans.catalog.fixtures import NUMERIC, SPEC, UNITS, predict_units, units
 from tauframe.plans.catalog.registry import q6, query, rounded, with_
 from tauframe.plans.catalog.trees import small_forests
-from tauframe.operators.prepare import minmax_scale
 from tauframe.spec import CausalSpec
 
-QUICK = le.boosted(max_iter=5)
-
-
 def _scaled(spark, sf_dir):
     return minmax_scale(units(spark, sf_dir).select("uid", "treatment", "y", *NUMERIC), NUMERIC)
 
@@ -80,7 +77,7 @@ def s_learner_linear(spark, sf_dir):
 def _learner(name: str):
     def run(spark, sf_dir):
         df = units(spark, sf_dir).select("uid", "treatment", "y", *NUMERIC)
-        return le.LEARNERS[name](df, SPEC, QUICK).predict(df, "tau").select("uid", "tau")
+        return le.LEARNERS[name](df, SPEC, le.boosted(max_iter=5)).predict(df, "tau").select("uid", "tau")
 
     return run
 
