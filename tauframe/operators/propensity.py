@@ -118,7 +118,7 @@ def search_boosted(
     finally:
         data.unpersist()
     trials = [
-        {**{p.name: v for p, v in params.items()}, "accuracy": score}
+        {**{p.name: v for p, v in params.items()}, "accuracy": float(score)}
         for params, score in zip(chosen, fitted.avgMetrics)
     ]
     best = max(range(len(trials)), key=lambda i: trials[i]["accuracy"])
