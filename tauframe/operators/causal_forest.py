@@ -27,6 +27,7 @@ from tauframe.operators.tree_tables import (
     node_shares,
     node_values,
 )
+from tauframe.session import persist_spread
 
 STATS = ("nt", "st", "qt", "nc", "sc", "qc")
 TREES_PER_PASS = 64
@@ -253,7 +254,8 @@ class _Grower:
         )
 
     def splits(self, active: list[TreeNode]) -> DataFrame:
-        routed = self._flat().route(self._weighted(self.base), "bins", "node", "slot")
+        routed = self._flat().route_once(
+            self._weighted(self.base), "bins", "node", ["t", "y", "w", "bins"], "slot")
         chosen = {n.id for n in active}
         flags = array_text([int(n.id in chosen) for n in self.all], "int")
         long = routed.where(f"get({flags}, node) = 1").selectExpr(
@@ -375,7 +377,7 @@ def fit_grid(
     features = list(features)
     bins = max(p.max_bins for p in grid.values())
     base, thresholds = _binned_base(train, id_col, treatment, outcome, features, bins)
-    base = base.persist()
+    base = persist_spread(base)
     slots = [_Slot(name, i, p) for name, p in grid.items() for i in range(p.trees)]
     fitted: dict[str, list[TreeTables]] = {name: [] for name in grid}
     try:

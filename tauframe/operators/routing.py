@@ -55,10 +55,16 @@ class FlatTrees:
             return root
         return f"aggregate(array_repeat(0, {self.depth}), {root}, (at, level) -> {self._step(x)})"
 
+    def _root(self, slot: str | None) -> str:
+        return f"{self.roots[0]}" if slot is None else f"get({array_text(self.roots, 'int')}, {slot})"
+
     def route(self, df: DataFrame, x: str, name: str, slot: str | None = None) -> DataFrame:
         """Add the leaf reached in the first tree, or in the tree numbered by ``slot``."""
-        root = f"{self.roots[0]}" if slot is None else f"get({array_text(self.roots, 'int')}, {slot})"
-        return df.withColumn(name, F.expr(self.leaf(x, root)))
+        return df.withColumn(name, F.expr(self.leaf(x, self._root(slot))))
+
+    def route_once(self, df: DataFrame, x: str, name: str, keep: list[str], slot: str | None = None):
+        """The leaf as a generated column: a later filter reuses it instead of a copy of the fold."""
+        return df.selectExpr(*keep, f"explode(array({self.leaf(x, self._root(slot))})) AS {name}")
 
     def route_all(self, df: DataFrame, x: str, name: str) -> DataFrame:
         """Add an array with the leaf reached in every tree."""

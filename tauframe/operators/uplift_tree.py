@@ -37,6 +37,7 @@ from tauframe.operators.tree_tables import (
     TreeNode,
     TreeTables,
 )
+from tauframe.session import persist_spread
 
 # Percentiles tried as thresholds of a feature with many values.
 CANDIDATE_PERCENTILES = [3, 5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 97]
@@ -236,7 +237,7 @@ class _Level:
         return f"get({array_text([values.get(n.id, 0) for n in self.model.nodes], kind)}, node)"
 
     def _long(self) -> DataFrame:
-        routed = self.model.flat().route(self.base, "x", "node")
+        routed = self.model.flat().route_once(self.base, "x", "node", ["arm", "y", "held", "x"])
         ids = ", ".join(str(n.id) for n in self.active)
         long = routed.where(f"node IN ({ids})").selectExpr(
             "node", "arm", "y", "held", "posexplode(x) AS (f, v)"
@@ -458,7 +459,7 @@ def fit_uplift_tree(
 ) -> UpliftTreeModel:
     """Grow a tree; with ``validation`` a split must hold up there as well."""
     model = start_model(train, treatment, features, params)
-    base = _base(train, validation, model, treatment, outcome).persist()
+    base = persist_spread(_base(train, validation, model, treatment, outcome))
     try:
         wide = _plant(base, model)
         active = list(model.nodes)

@@ -39,3 +39,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage."""
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def persist_spread(df: DataFrame) -> DataFrame:
+    """Cache a frame that is about to be scanned many times, on every core.
+
+    Small inputs are coalesced into a task or two, too few for work that
+    multiplies each row; those are dealt out again. Large ones stay as they are.
+    """
+    cached = df.persist()
+    cached.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if cached.rdd.getNumPartitions() >= cores:
+        return cached
+    dealt = cached.repartition(cores).persist()
+    dealt.count()
+    cached.unpersist()
+    return dealt
