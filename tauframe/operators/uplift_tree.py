@@ -37,7 +37,7 @@ from tauframe.operators.tree_tables import (
     TreeNode,
     TreeTables,
 )
-from tauframe.session import persist_spread
+from tauframe.session import checkpoint, persist_spread
 
 # Percentiles tried as thresholds of a feature with many values.
 CANDIDATE_PERCENTILES = [3, 5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 97]
@@ -286,7 +286,7 @@ class _Level:
 
     def binned(self) -> DataFrame:
         """Arm statistics per (node, f, bin) with the threshold that opens the bin."""
-        cand = self.candidates()
+        cand = checkpoint(self.candidates())  # small, and read twice below
         reached = " + ".join(
             f"coalesce(cast(get(cand, {i}) <= v AS int), 0)" for i in range(len(CANDIDATE_SHARES))
         )
