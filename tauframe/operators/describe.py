@@ -230,7 +230,8 @@ def density_grid(df: DataFrame, score: str, by: str, points: int = 200, reach: f
         ((F.col("hi") - F.col("lo") + 2 * reach * F.col("bw")) / (points - 1)).alias("step"),
     )
     merged = rows.groupBy(by, score).agg(F.count(F.lit(1)).alias("n"))
-    spread = merged.join(summary, by).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    # one summary row per arm; a shuffle on the arm would leave two tasks with everything
+    spread = merged.join(F.broadcast(summary), by).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     x = F.col("from") + F.col("i") * F.col("step")
     z = (x - F.col(score)) / F.col("bw")
     kernel = F.col("n") * F.exp(-0.5 * z * z)

@@ -31,6 +31,7 @@ def running_totals(
     by: tuple[str, ...] | list[str] = (),
     bucket: Column | None = None,
     position: str = "pos",
+    with_totals: bool = False,
 ) -> DataFrame:
     """Add the 1-based ``position`` and inclusive running sums to every row.
 
@@ -38,6 +39,8 @@ def running_totals(
     rows with a null group are the caller's to drop. ``bucket`` is an optional
     integer that never decreases along ``order`` (for instance the high bits of
     an ordering hash); without it buckets come from a range partitioning.
+    ``with_totals`` adds each sum over the whole group as ``<name>_total``, which
+    spares a join on a group key that may be skewed.
     """
     by = list(by)
     sums = dict(sums or {})
@@ -55,6 +58,8 @@ def running_totals(
         *keys,
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *[F.sum(f"_t_{n}").over(Window.partitionBy(*by)).alias(f"{n}_total")
+          for n in sums if with_totals],
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -71,6 +76,7 @@ def running_totals(
         *original,
         (F.col("_before") + F.col("_local")).cast("long").alias(position),
         *[(F.coalesce(F.col(f"_l_{n}"), F.lit(0)) + F.col(f"_o_{n}")).alias(n) for n in sums],
+        *[F.col(f"{n}_total") for n in sums if with_totals],
     )
 
 
@@ -79,6 +85,6 @@ def hash_order(id_col: str, seed: int) -> Column:
     return F.xxhash64(F.col(id_col), F.lit(seed))
 
 
-def hash_cell(hash_col: str, bits: int = 12) -> Column:
+def hash_cell(hash_col: str, bits: int = 16) -> Column:
     """The top ``bits`` of a hash as a cell number that grows with the hash."""
     return F.shiftright(F.col(hash_col), 64 - bits).cast("int")

@@ -41,10 +41,9 @@ def percentiles_distributed(
         )
         return whole.drop("_all")
     ranked = running_totals(
-        counts, [F.col(value)], {"through": F.col("n")}, by=by, position="rank"
+        counts, [F.col(value)], {"through": F.col("n")}, by=by, position="rank", with_totals=True
     )
-    sizes = counts.groupBy(*by).agg(F.sum("n").alias("rows"))
-    placed = ranked.join(sizes, by)
+    placed = ranked.withColumnRenamed("through_total", "rows")
     start = F.col("through") - F.col("n")
 
     def at(share: float, step: int) -> Column:

@@ -164,7 +164,7 @@ def gain_curve(df: DataFrame, treatment: str, outcome: str, scores) -> DataFrame
 def curve_points(curve: DataFrame, points: int) -> DataFrame:
     """At most ``points`` evenly spaced blocks per model, the last one included."""
     sizes = curve.groupBy("model").agg(F.max("block").alias("last"))
-    joined = curve.join(sizes, "model")
+    joined = curve.join(F.broadcast(sizes), "model")  # one row per model
     at = F.floor(F.col("block") * points / F.col("last"))
     was = F.floor((F.col("block") - 1) * points / F.col("last"))
     return joined.where(at > was).drop("last")
