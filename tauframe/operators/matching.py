@@ -84,7 +84,7 @@ def neighbour_pairs(
     )
 
 
-def _choices(near: DataFrame, block_rows: int) -> DataFrame:
+def _choices(near: DataFrame) -> DataFrame:
     controls = F.filter("near", lambda r: r["arm"] == 0)
     return near.withColumn("near", controls).where(F.size("near") > 0)
 
@@ -105,7 +105,7 @@ def match_with_replacement(
 ) -> DataFrame:
     """Each treated unit takes the first control among its k nearest rows."""
     by = [spec.stratum] if spec.stratum else []
-    near = _choices(nearest_rows(df, spec, score, k, block_rows), block_rows)
+    near = _choices(nearest_rows(df, spec, score, k, block_rows))
     pairs = near.select(
         *by, spec.id, F.col("near")[0]["id"].alias("matched_id"), F.col("near")[0]["gap"].alias("gap")
     )
@@ -159,7 +159,7 @@ def match_without_replacement(
     """
     by = [spec.stratum] if spec.stratum else []
     rows = max(block_rows, k)
-    near = _choices(nearest_rows(df, spec, score, k, rows), rows)
+    near = _choices(nearest_rows(df, spec, score, k, rows))
     state = near.select(
         *by, F.col(spec.id).alias("unit"),
         F.transform("near", lambda r: r["id"]).alias("controls"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tauframe.operators import prepare, sampling
@@ -17,10 +19,9 @@ from tauframe.plans.catalog.fixtures import (
     panel,
     predict_units,
     raw_units,
-    table,
     units,
 )
-from tauframe.plans.catalog.registry import q6, query, r6, rounded, with_
+from tauframe.plans.catalog.registry import q6, query, rounded, with_
 from tauframe.session import _ensure_checkpoint_dir
 from tauframe.sources import tables
 
@@ -29,8 +30,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under the shared checkpoint folder."""
     _ensure_checkpoint_dir(spark)
     base = spark.sparkContext.getCheckpointDir()
-    import uuid
-
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
