@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tauframe.llm import exact_dedup, mixing, sharding, warc
+from tauframe.llm import exact_dedup, mixing, pii, quality_rules, sharding, warc
 
 SHARDS = 24
 MIX_WEIGHTS = [5, 2, 1]
@@ -34,6 +34,21 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(_documents(spark, sf_dir))
+    base = [k.name for k in pii.KINDS if k.base]
+    spans = found.withColumn("_base", F.concat(*base)).withColumn("_all", F.concat(*[k.name for k in pii.KINDS]))
+    return spans.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(pii.span_text(F.col("_base")).cast("binary"), 256).alias("base_sha256"),
+        pii.span_text(F.col("_all")).alias("spans"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive_folder(spark)
     index = warc.write_bundles(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
@@ -44,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_exact_dedup": op2_exact_dedup,
     "op6_mixing": op6_mixing,
+    "op7_pii": op7_pii,
+    "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
 }
 
