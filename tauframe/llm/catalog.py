@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tauframe.llm import exact_dedup, mixing, pii, quality_rules, sharding, warc
+from tauframe.llm import exact_dedup, mixing, pii, quality_rules, sharding, suffix_tree, warc
+from tauframe.llm.storage import id_remainder
 
 SHARDS = 24
 MIX_WEIGHTS = [5, 2, 1]
@@ -44,6 +45,15 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         pii.span_text(F.col("_all")).alias("spans"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = id_remainder("doc_id", 7) == 2
+    tree, counts = suffix_tree.fit(suffix_tree.train_rows(docs, ~held_out))
+    return suffix_tree.score(docs, tree, counts).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+        F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -60,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op6_mixing": op6_mixing,
     "op7_pii": op7_pii,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
 }
