@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tauframe.llm import exact_dedup, mixing, pii, quality_rules, sharding, suffix_tree, warc
+from tauframe.llm import (
+    exact_dedup, mixing, pii, quality_classifier, quality_rules, sharding, suffix_tree, warc)
 from tauframe.llm.storage import id_remainder
 
 SHARDS = 24
 MIX_WEIGHTS = [5, 2, 1]
+#: Documents scored below this are rejected.
+LEAST_QUALITY = 0.3
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +33,19 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_classifier.AttentionModel:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality_classifier.fit(docs, labels, id_remainder("doc_id", 5) != 0)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    scored = quality_classifier.score(docs, quality_model(spark, docs, sf_dir))
+    return scored.select(
+        "doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= LEAST_QUALITY).cast("int").alias("predicted"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir), MIX_WEIGHTS, max_epochs=3).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -68,6 +84,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_mixing": op6_mixing,
     "op7_pii": op7_pii,
     "op8_lm_scoring": op8_lm_scoring,
