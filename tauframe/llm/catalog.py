@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tauframe.llm import (
-    exact_dedup, mixing, pii, quality_classifier, quality_rules, sharding, suffix_tree, warc)
+    exact_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, suffix_tree, warc)
 from tauframe.llm.storage import id_remainder
 
 SHARDS = 24
@@ -33,6 +33,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_documents(spark, sf_dir), words_per_shingle=3, percent=85).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_classifier.AttentionModel:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return quality_classifier.fit(docs, labels, id_remainder("doc_id", 5) != 0)
@@ -84,6 +89,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_near_dedup": op3_near_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_mixing": op6_mixing,
     "op7_pii": op7_pii,
