@@ -23,8 +23,12 @@ from pyspark.sql import functions as F
 
 from tauframe.llm.storage import checkpoint, delete_folder, shared_folder, with_locator
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Files of small partitions must not reserve megabytes that stay empty.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Rows of one group of equal texts that share a copy of the kept text in the byte check.
 ROWS_PER_COPY = 500
 
@@ -50,8 +54,9 @@ def stream_state(
     keys.write.parquet(source)
     pick = F.max if keep == "largest" else F.min
     best = pick(_rank(keep))
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_CONF}
+    for name, value in STATE_CONF.items():
+        spark.conf.set(name, value)
     try:
         stream = (
             spark.readStream.schema(keys.schema).option("maxFilesPerTrigger", files_per_trigger)
@@ -72,7 +77,8 @@ def stream_state(
             F.col("value")[count].alias("group_size"),
         ))
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     delete_folder(spark, source)
     delete_folder(spark, state)
     return groups
