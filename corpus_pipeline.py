@@ -6,24 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tauframe.llm import exact_dedup, mixing
-from tauframe.llm.catalog import MIX_WEIGHTS
+from tauframe.llm import exact_dedup, mixing, near_dedup, quality_classifier
+from tauframe.llm.catalog import LEAST_QUALITY, MIX_WEIGHTS, quality_model, sampled_pieces
 from tauframe.llm.storage import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return quality_classifier.keep_good(docs, quality_model(spark, docs, sf_dir), LEAST_QUALITY)
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest id."""
     return exact_dedup.drop_exact_duplicates(docs, keep="largest")
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by five-word shingles at 0.8 or more, the row with the smallest id."""
+    return near_dedup.drop_near_duplicates(docs, words_per_shingle=5, percent=80)
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
     return mixing.mixed_documents(docs, MIX_WEIGHTS, max_epochs=3)
 
 
+def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their sampled pieces."""
+    return sampled_pieces(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality_stage),
     ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
     ("mixing", mix_stage),
+    ("sentencepiece", piece_stage),
 ]
 
 #: The classifier is fitted, which SQL cannot express.

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tauframe.llm import (
-    exact_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, sharding, suffix_tree, warc)
+    exact_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules,
+    sentencepiece_sampling, sharding, suffix_tree, warc)
 from tauframe.llm.storage import id_remainder
 
 SHARDS = 24
@@ -51,6 +52,19 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= LEAST_QUALITY).cast("int").alias("predicted"))
 
 
+def sampled_pieces(docs: DataFrame) -> DataFrame:
+    """``docs`` with sampled piece_ids, n_pieces, and whether decoding gives the text back."""
+    decoded = sentencepiece_sampling.decode(sentencepiece_sampling.encode(docs))
+    return decoded.select(
+        *docs.columns, "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"),
+        sentencepiece_sampling.lossless("text", "decoded").alias("lossless"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return sampled_pieces(docs).select("doc_id", "piece_ids", "n_pieces", "lossless")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir), MIX_WEIGHTS, max_epochs=3).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -91,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_mixing": op6_mixing,
     "op7_pii": op7_pii,
     "op8_lm_scoring": op8_lm_scoring,
