@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tauframe.llm.storage import checkpoint, delete_folder, shared_folder, with_locator
+from tauframe.llm.storage import checkpoint, delete_folder, free_name, shared_folder, with_locator
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -149,7 +149,8 @@ def drop_exact_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest"
 ) -> DataFrame:
     """``docs`` without the rows whose text another row keeps."""
-    located = with_locator(docs, "_at")
-    result = exact_duplicates(located.drop("_at"), id_col, text_col, keep)
-    stays = result.filter("kept").select(F.col("at").alias("_at"))
-    return located.join(stays, "_at", "left_semi").select(docs.columns)
+    at = free_name(docs, "_at")
+    located = with_locator(docs, at)
+    result = exact_duplicates(located.drop(at), id_col, text_col, keep)
+    stays = result.filter("kept").select(F.col("at").alias(at))
+    return located.join(stays, at, "left_semi").select(docs.columns)

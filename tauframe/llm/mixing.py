@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tauframe.llm.storage import checkpoint, with_locator
+from tauframe.llm.storage import checkpoint, free_name, with_locator
 from tauframe.operators.ordered import running_totals
 
 #: Points are whole numbers below 2**31; the step is the golden ratio's fraction of that,
@@ -144,8 +144,9 @@ def mix_sources(
 
 def mixed_documents(docs: DataFrame, weights: list[int], max_epochs: int = 3, block: int = 32) -> DataFrame:
     """``docs`` with each row as often as the mix takes it, a part of it counting as once."""
-    located = with_locator(docs, "_at")
-    plan = mix_sources(located.drop("_at"), weights, max_epochs, block).filter("taken > 0").select(
-        F.col("at").alias("_at"), F.ceil(F.col("taken") / F.col("size")).alias("_copies"))
-    repeat = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
-    return located.join(plan, "_at").withColumn("_nth", repeat).select(docs.columns)
+    at, copies, nth = (free_name(docs, name) for name in ("_at", "_copies", "_nth"))
+    located = with_locator(docs, at)
+    plan = mix_sources(located.drop(at), weights, max_epochs, block).filter("taken > 0").select(
+        F.col("at").alias(at), F.ceil(F.col("taken") / F.col("size")).alias(copies))
+    repeat = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))
+    return located.join(plan, at).withColumn(nth, repeat).select(docs.columns)

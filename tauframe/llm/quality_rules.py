@@ -66,7 +66,7 @@ def text_counts(texts: pa.Array) -> list[np.ndarray]:
     breaks = np.flatnonzero(raw == 10)
     first = np.unique(np.concatenate((offsets[:-1], breaks + 1)))
     first = first[first < len(raw)]
-    last = np.append(first[1:], len(raw))
+    last = np.append(first[1:], len(raw))[: len(first)]
     last = last - ((last > first) & (raw[last - 1] == 10))
     doc = np.searchsorted(offsets, first, "right") - 1
     has_word = np.searchsorted(words.start, last) > np.searchsorted(words.start, first)

@@ -48,6 +48,29 @@ def id_remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(text.cast("binary")) % modulus
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, or a longer name that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def _place() -> Column:
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def as_scan(df: DataFrame) -> DataFrame:
+    """``df`` if it is a plain scan of Parquet files, else a scan of a copy in the shared folder."""
+    try:
+        df.select(_place())
+        return df
+    except AnalysisException:
+        path = shared_folder(df.sparkSession, "located")
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_locator(df: DataFrame, name: str) -> DataFrame:
     """``df`` with each row's place, a struct (file, row), as column ``name``.
 
@@ -55,10 +78,4 @@ def with_locator(df: DataFrame, name: str) -> DataFrame:
     scan, however the files are split and whichever executors are left. A frame that is
     not a plain scan of Parquet files is written to the shared folder first.
     """
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    try:
-        return df.withColumn(name, place)
-    except AnalysisException:
-        path = shared_folder(df.sparkSession, "located")
-        df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path).withColumn(name, place)
+    return as_scan(df).withColumn(name, _place())

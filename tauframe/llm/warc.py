@@ -41,8 +41,9 @@ from tauframe.llm.storage import bound_batches, checkpoint, shared_folder
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
-FOOTER = struct.Struct("<IBI")
-ENTRY = struct.Struct("<II")
+FOOTER = "<IBI"
+ENTRY = "<II"
+FOOTER_SIZE, ENTRY_SIZE = struct.calcsize(FOOTER), struct.calcsize(ENTRY)
 #: Records of one date: the archive is the same whenever it is written.
 RECORD_DATE = "2000-01-01T00:00:00Z"
 
@@ -123,8 +124,8 @@ class BundleWriter:
             return
         if self.frame:
             self._end_frame()
-        table = b"".join(ENTRY.pack(*x) for x in self.frames)
-        footer = FOOTER.pack(len(self.frames), 0, SEEKABLE_MAGIC)
+        table = b"".join(struct.pack(ENTRY, *x) for x in self.frames)
+        footer = struct.pack(FOOTER, len(self.frames), 0, SEEKABLE_MAGIC)
         self.out.write(struct.pack("<II", SKIPPABLE_MAGIC, len(table) + len(footer)) + table + footer)
         self.out.close()
         self.system.move(self.part, f"{self.folder}/{self.bundle}")
@@ -133,12 +134,12 @@ class BundleWriter:
 
 def seek_table(read, size: int) -> list[tuple[int, int, int]]:
     """(position, compressed size, size) of each frame; ``read(at, n)`` gives bytes."""
-    count, flags, magic = FOOTER.unpack(read(size - FOOTER.size, FOOTER.size))
+    count, flags, magic = struct.unpack(FOOTER, read(size - FOOTER_SIZE, FOOTER_SIZE))
     if magic != SEEKABLE_MAGIC or flags & 0x7F:
         raise ValueError("no seek table")
-    raw = read(size - FOOTER.size - count * ENTRY.size, count * ENTRY.size)
+    raw = read(size - FOOTER_SIZE - count * ENTRY_SIZE, count * ENTRY_SIZE)
     frames, at = [], 0
-    for packed, plain in ENTRY.iter_unpack(raw):
+    for packed, plain in struct.iter_unpack(ENTRY, raw):
         frames.append((at, packed, plain))
         at += packed
     return frames
@@ -189,7 +190,10 @@ def write_bundles(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
         payload.alias("payload"), F.sha2(payload, 256).alias("_key"))
     # Revisits alone are looked up; a page id with several payloads has several keys.
-    rows = rows.join(revisits, ["page_id", "_key"], "left").drop("_key")
+    found = revisits.toDF("_page", "_found", "refers_to")
+    rows = rows.join(
+        found, rows["page_id"].eqNullSafe(found["_page"]) & (rows["_key"] == found["_found"]), "left"
+    ).select("page_id", "url", "payload", "refers_to")
     target, _ = fs.FileSystem.from_uri(folder)
     target.create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
 
