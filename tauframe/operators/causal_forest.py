@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from tauframe.functions.criteria import CAUSAL_CRITERIA, causal_gain, effect_columns
 from tauframe.operators.describe import group_effect_stats
+from tauframe.operators.ordered import running_totals
+from tauframe.operators.quantiles import value_counts
 from tauframe.operators.routing import FlatTrees, array_text, literal_array
 from tauframe.operators.sampling import split_by_flag
 from tauframe.operators.tree_tables import (
@@ -48,7 +50,7 @@ class CausalTreeParams:
     groups_penalty: float = 0.0
     trees: int = 1
     bootstrap: bool = False
-    max_bins: int = 256
+    bins: int | None = 256
     seed: int = 0
 
     def __post_init__(self):
@@ -56,6 +58,7 @@ class CausalTreeParams:
             raise ValueError(f"criterion must be one of {CAUSAL_CRITERIA}")
 
 
+# The configurations of the two default grids below.
 def default_tree_grid(min_samples_leaf: int = 400) -> dict[str, CausalTreeParams]:
     """Six single-tree configurations."""
     base = CausalTreeParams(min_samples_leaf=min_samples_leaf, max_depth=6)
@@ -126,33 +129,30 @@ class CausalForestModel:
         return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def learn_thresholds(df: DataFrame, features, max_bins: int) -> list[list[float]]:
+def learn_thresholds(df: DataFrame, features, bins: int | None) -> list[list[float]]:
     """Ascending thresholds per feature; rows at or below one go left.
 
-    Midpoints between all distinct values when there are at most ``max_bins``,
-    else ``max_bins - 1`` approximate quantiles. Both come from one aggregation
-    over value counts or sketches, and are bounded by features x max_bins.
+    With ``bins`` they are the exact quantiles that cut the rows in so many parts, the
+    same for any partitioning; features x bins figures reach the driver. Without, they
+    are the midpoints between all neighbouring values, for features with few.
     """
-    cols = {i: F.col(f"`{f}`").cast("double") for i, f in enumerate(features)}
-    seen = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in cols.items()]).first()
-    maybe_few = [i for i in cols if seen[f"d{i}"] <= max_bins * 1.2]
-    values: dict[int, list[float]] = {i: [] for i in maybe_few}
-    if maybe_few:
-        long = df.select(F.explode(F.array(*[
-            F.struct(F.lit(i).alias("f"), cols[i].alias("v")) for i in maybe_few
-        ])).alias("r")).select("r.*").where("v is not null").distinct()
-        for r in long.groupBy("f").agg(F.sort_array(F.collect_list("v")).alias("v")).collect():
-            values[r["f"]] = r["v"]
-    many = [i for i in cols if i not in values or len(values[i]) > max_bins]
-    out: list[list[float]] = [[] for _ in cols]
-    for i in maybe_few:
-        out[i] = [a + (b - a) / 2 for a, b in zip(values[i], values[i][1:])]
-    if many:
-        shares = [k / max_bins for k in range(1, max_bins)]
-        row = df.agg(*[F.percentile_approx(cols[i], shares, 10_000).alias(f"q{i}") for i in many]).first()
-        top = df.agg(*[F.max(cols[i]).alias(f"m{i}") for i in many]).first()
-        for i in many:
-            out[i] = sorted(set(v for v in row[f"q{i}"] or [] if v < top[f"m{i}"]))
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("f"), F.col(f"`{f}`").cast("double").alias("v")) for i, f in enumerate(features)
+    ])).alias("r")).select("r.*")
+    out: list[list[float]] = [[] for _ in features]
+    counts = value_counts(long, ["f"], "v")
+    if bins is None:
+        for r in counts.groupBy("f").agg(F.sort_array(F.collect_list("v")).alias("v")).collect():
+            out[r["f"]] = [a + (b - a) / 2 for a, b in zip(r["v"], r["v"][1:])]
+        return out
+    totals = running_totals(
+        counts, [F.col("v")], {"through": F.col("n")}, by=["f"], position="rank", with_totals=True)
+    # A value is a cut if one of the parts ends within its rows; the largest never is.
+    part = lambda rows: F.floor(rows * bins / F.col("through_total"))
+    cuts = totals.where(
+        (part(F.col("through")) > part(F.col("through") - F.col("n"))) & (F.col("through") < F.col("through_total")))
+    for r in cuts.groupBy("f").agg(F.sort_array(F.collect_list("v")).alias("v")).collect():
+        out[r["f"]] = r["v"]
     return out
 
 
@@ -348,12 +348,13 @@ class _Grower:
         return out
 
 
-def _binned_base(train, id_col, treatment, outcome, features, max_bins):
-    keep = [
-        F.col(id_col).alias("id"), F.col(treatment).cast("int").alias("t"),
-        F.col(outcome).cast("double").alias("y"),
-    ]
-    thresholds = learn_thresholds(train, features, max_bins)
+def _binned_base(train, id_col, treatment, outcome, features, bins):
+    # Effects and spreads do not change when a constant is taken off all outcomes, and
+    # squares of centred outcomes stay exact whatever the outcome's level.
+    y = F.col(outcome).cast("double")
+    center = train.agg(F.coalesce(F.avg(y), F.lit(0.0)).alias("m")).first()["m"]
+    keep = [F.col(id_col).alias("id"), F.col(treatment).cast("int").alias("t"), (y - F.lit(center)).alias("y")]
+    thresholds = learn_thresholds(train, features, bins)
     binned = bin_features(train, features, thresholds, keep)
     return binned.where("t is not null and y is not null"), thresholds
 
@@ -363,7 +364,7 @@ def causal_root_splits(
 ) -> DataFrame:
     """All admissible first splits of a single tree with their gains."""
     features = list(features)
-    base, thresholds = _binned_base(train, id_col, treatment, outcome, features, params.max_bins)
+    base, thresholds = _binned_base(train, id_col, treatment, outcome, features, params.bins)
     grower = _Grower(base, thresholds, [_Slot("tree", 0, params)])
     names = F.array(*[F.lit(f) for f in features])
     return grower.root_splits().withColumn("feature", F.get(names, F.col("f"))).drop("f")
@@ -375,7 +376,8 @@ def fit_grid(
 ) -> dict[str, CausalForestModel]:
     """Fit every configuration; trees of all configurations share the scans."""
     features = list(features)
-    bins = max(p.max_bins for p in grid.values())
+    wanted = [p.bins for p in grid.values()]
+    bins = None if None in wanted else max(wanted)
     base, thresholds = _binned_base(train, id_col, treatment, outcome, features, bins)
     base = persist_spread(base)
     slots = [_Slot(name, i, p) for name, p in grid.items() for i in range(p.trees)]

@@ -253,7 +253,7 @@ def caliper(df: DataFrame, score: str, ratio: float, by=()) -> DataFrame:
 
 
 def candidate_thresholds(
-    df: DataFrame, features, shares, few: int = 10, distinct_limit: int | None = None
+    df: DataFrame, features, shares, few: int = 10
 ) -> DataFrame:
     """Split candidates per numeric feature: distinct values if few, else percentiles."""
     long = df.select(
@@ -262,8 +262,7 @@ def candidate_thresholds(
             for f in features
         ])).alias("r")
     ).select("r.*")
-    extra = {} if distinct_limit is None else {"distinct_limit": distinct_limit}
-    stats = grouped_percentiles(long, ["feature"], "value", list(shares), keep=few, **extra)
+    stats = grouped_percentiles(long, ["feature"], "value", list(shares), keep=few)
     chosen = F.when(F.col("distinct_values") > few, F.col("percentiles")).otherwise(F.col("lowest"))
     return stats.select("feature", F.explode(F.array_distinct(F.array_sort(chosen))).alias("threshold"))
 

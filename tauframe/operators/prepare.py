@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegralType, NumericType, StringType
 
-MAX_CATEGORIES = 10_000
-
 
 def drop_columns(df: DataFrame, columns) -> DataFrame:
     return df.drop(*columns)
@@ -136,43 +135,70 @@ class OneHot:
     separator: str = "_"
 
     @classmethod
-    def fit(cls, df: DataFrame, columns, max_categories: int = MAX_CATEGORIES) -> "OneHot":
-        learned = {}
-        for c in columns:
-            values = [
-                r[0]
-                for r in df.select(c).where(F.col(c).isNotNull()).distinct()
-                .limit(max_categories + 1).collect()
-            ]
-            if len(values) > max_categories:
-                raise ValueError(f"{c} has more than {max_categories} categories")
-            learned[c] = tuple(sorted(values))
-        return cls(learned)
+    def fit(cls, df: DataFrame, columns) -> "OneHot":
+        """Learn all values of ``columns``; see ``one_hot_sparse`` for very many."""
+        return cls({
+            c: tuple(sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect()))
+            for c in columns
+        })
+
+    @property
+    def labels(self) -> dict[str, list[str]]:
+        """Output names per column, no two the same, also where only dots or case differ."""
+        taken: set[str] = set()
+        out: dict[str, list[str]] = {}
+        for c, values in self.categories.items():
+            out[c] = []
+            for v in values:
+                # a dot in a column name would read as a field access
+                plain = name = f"{c}{self.separator}{v}".replace(".", "_")
+                copies = 1
+                while name.lower() in taken:
+                    copies += 1
+                    name = f"{plain}{self.separator}{copies}"
+                taken.add(name.lower())
+                out[c].append(name)
+        return out
 
     def names(self, column: str) -> list[str]:
-        # a dot in a column name would read as a field access
-        return [f"{column}{self.separator}{v}".replace(".", "_") for v in self.categories[column]]
+        return self.labels[column]
 
     @property
     def output_columns(self) -> list[str]:
-        return [n for c in self.categories for n in self.names(c)]
+        return [n for names in self.labels.values() for n in names]
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Replace each column by its indicators; null and unseen values are all zero."""
         keep = [F.col(c) for c in df.columns if c not in self.categories]
+        labels = self.labels
         flags = [
             F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)).alias(n)
             for c, values in self.categories.items()
-            for v, n in zip(values, self.names(c))
+            for v, n in zip(values, labels[c])
         ]
         return df.select(*keep, *flags)
 
 
+def one_hot_sparse(df: DataFrame, columns, suffix: str = "_onehot") -> DataFrame:
+    """Add a sparse indicator vector per column, for columns with very many values.
+
+    The categories are a fitted index, not columns of the plan. Values are in text order;
+    null has the last place.
+    """
+    columns = list(columns)
+    index = [f"{c}{suffix}_index" for c in columns]
+    indexed = StringIndexer(
+        inputCols=columns, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"
+    ).fit(df).transform(df)
+    encoder = OneHotEncoder(
+        inputCols=index, outputCols=[f"{c}{suffix}" for c in columns], dropLast=False, handleInvalid="keep")
+    return encoder.fit(indexed).transform(indexed).drop(*index)
+
+
 def date_dummies(df: DataFrame, date_column: str, prefix: str = "") -> tuple[DataFrame, list[str]]:
     """Append one ``_MMdd`` indicator per calendar day seen; returns the new names too."""
     key = F.date_format(date_column, "MMdd")
-    days = [r[0] for r in df.select(key.alias("d")).where("d is not null").distinct()
-            .limit(367).collect()]
+    days = [r[0] for r in df.select(key.alias("d")).where("d is not null").distinct().collect()]
     names = {d: f"{prefix}_{d}" for d in sorted(days)}
     out = df.select(
         "*", *[F.coalesce((key == d).cast("int"), F.lit(0)).alias(n) for d, n in names.items()]

@@ -1,9 +1,7 @@
 """Exact linear-interpolation percentiles per group.
 
-Two routes give the same numbers. Columns with few distinct values go through
-the built-in ``percentile`` over value counts, whose state is bounded by the
-number of distinct values. Columns with many go through running totals over the
-value counts, which no single task has to hold.
+Value counts are put in order with running totals, so no task has to hold the values
+of a group; the order statistics beside each share are then picked by aggregation.
 """
 
 from __future__ import annotations
@@ -13,30 +11,17 @@ from pyspark.sql import functions as F
 
 from tauframe.operators.ordered import running_totals
 
-DISTINCT_LIMIT = 50_000
-
 
 def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def percentiles_bounded(
+def percentiles(
     counts: DataFrame, by: list[str], value: str, shares: list[float], keep: int = 10
 ) -> DataFrame:
     """Percentiles of ``counts`` with the distinct count and the ``keep`` smallest values."""
-    return counts.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("distinct_values"),
-        F.percentile(value, F.array(*[F.lit(s) for s in shares]), F.col("n")).alias("percentiles"),
-        F.slice(F.sort_array(F.collect_list(value)), 1, keep).alias("lowest"),
-    )
-
-
-def percentiles_distributed(
-    counts: DataFrame, by: list[str], value: str, shares: list[float], keep: int = 10
-) -> DataFrame:
-    """The same result from the order statistics on either side of each share."""
     if not by:
-        whole = percentiles_distributed(
+        whole = percentiles(
             counts.withColumn("_all", F.lit(0)), ["_all"], value, shares, keep
         )
         return whole.drop("_all")
@@ -72,15 +57,7 @@ def percentiles_distributed(
 
 
 def grouped_percentiles(
-    df: DataFrame,
-    by: list[str],
-    value: str,
-    shares: list[float],
-    keep: int = 10,
-    distinct_limit: int = DISTINCT_LIMIT,
+    df: DataFrame, by: list[str], value: str, shares: list[float], keep: int = 10
 ) -> DataFrame:
-    """Percentiles of ``value`` per group, by whichever route the data allows."""
-    counts = value_counts(df, by, value)
-    widest = df.agg(F.approx_count_distinct(value).alias("d")).first()["d"] or 0
-    route = percentiles_bounded if widest <= distinct_limit else percentiles_distributed
-    return route(counts, by, value, shares, keep)
+    """Percentiles of ``value`` per group."""
+    return percentiles(value_counts(df, by, value), by, value, shares, keep)

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tauframe.functions.stats import safe_divide, z_p_value
 from tauframe.operators.routing import FlatTrees, literal_array
@@ -110,10 +111,10 @@ class TreeTables:
         )
 
     def node_moments(self, df: DataFrame, arm: Column, outcome: str, arms: int) -> DataFrame:
-        """Raw counts, sums and squares per arm for every node, leaves rolled up.
+        """Counts n, sums s and squared deviations q per arm for every node.
 
-        Rows are aggregated once by leaf; the ancestors' figures are sums over
-        that small table.
+        Rows are aggregated once by leaf. The ancestors' figures come from that small
+        table; deviations are merged around the node's mean, never from raw squares.
         """
         routed = self.route(df.withColumn("_arm", arm))
         y = F.col(outcome).cast("double")
@@ -121,12 +122,19 @@ class TreeTables:
         leaf = routed.groupBy("leaf_id").agg(
             *[F.count(v).alias(f"n{k}") for k, v in enumerate(mine)],
             *[F.coalesce(F.sum(v), F.lit(0.0)).alias(f"s{k}") for k, v in enumerate(mine)],
-            *[F.coalesce(F.sum(v * v), F.lit(0.0)).alias(f"q{k}") for k, v in enumerate(mine)],
+            *[F.coalesce(F.var_pop(v) * F.count(v), F.lit(0.0)).alias(f"q{k}") for k, v in enumerate(mine)],
         )
-        names = [f"{c}{k}" for c in "nsq" for k in range(arms)]
-        ancestors = self.ancestors_frame(df.sparkSession)
-        return F.broadcast(ancestors).join(leaf, "leaf_id").groupBy("node_id").agg(
-            *[F.sum(c).alias(c) for c in names]
+        parts = self.ancestors_frame(df.sparkSession).join(leaf, "leaf_id")
+        node = Window.partitionBy("node_id")
+        around = {
+            f"d{k}": F.when(F.col(f"n{k}") > 0, F.col(f"n{k}") * F.pow(
+                F.col(f"s{k}") / F.col(f"n{k}") - F.sum(f"s{k}").over(node) / F.sum(f"n{k}").over(node), 2
+            )).otherwise(F.lit(0.0))
+            for k in range(arms)
+        }
+        return parts.withColumns(around).groupBy("node_id").agg(
+            *[F.sum(f"{c}{k}").alias(f"{c}{k}") for c in "ns" for k in range(arms)],
+            *[F.sum(F.col(f"q{k}") + F.col(f"d{k}")).alias(f"q{k}") for k in range(arms)],
         )
 
 
@@ -141,7 +149,7 @@ def node_shares(moments: DataFrame) -> DataFrame:
     """Each node's rows relative to the root, per arm and in total, with its effect."""
     root = moments.where("node_id = 0").select(
         F.col("n0").alias("r0"), F.col("n1").alias("r1")
-    ).first()
+    ).first() or {"r0": 0, "r1": 0}
     n0, n1 = F.col("n0"), F.col("n1")
     return moments.select(
         "node_id", n1.alias("num_t"), n0.alias("num_c"),
@@ -158,8 +166,8 @@ def node_p_value(binary: bool) -> Column:
     p0, p1 = safe_divide(s0, n0), safe_divide(s1, n1)
     if binary:
         return z_p_value(p0, n0, p1, n1)
-    v0 = safe_divide(F.col("q0") - n0 * p0 * p0, n0 - 1)
-    v1 = safe_divide(F.col("q1") - n1 * p1 * p1, n1 - 1)
+    v0 = safe_divide(F.col("q0"), n0 - 1)
+    v1 = safe_divide(F.col("q1"), n1 - 1)
     return z_p_value(p0, n0, p1, n1, v0, v1)
 
 

@@ -24,11 +24,7 @@ from tauframe.functions.criteria import (
     total,
     uplift_gain,
 )
-from tauframe.operators.quantiles import (
-    DISTINCT_LIMIT,
-    percentiles_bounded,
-    percentiles_distributed,
-)
+from tauframe.operators.quantiles import percentiles
 from tauframe.operators.routing import array_text
 from tauframe.operators.sampling import honest_split, random_columns, split_by_flag
 from tauframe.operators.tree_tables import (
@@ -59,7 +55,6 @@ class UpliftTreeParams:
     seed: int = 0
     binary_outcome: bool = True
     validation_scale: float = 1.0
-    distinct_limit: int = DISTINCT_LIMIT
 
     def __post_init__(self):
         if self.criterion not in UPLIFT_CRITERIA:
@@ -77,6 +72,7 @@ class UpliftTreeModel(TreeTables):
     params: UpliftTreeParams
     digits: int | None = None
     importance: dict = field(default_factory=dict)
+    center: float = 0.0
 
     def arm_index(self, treatment: str):
         known = F.array(*[F.lit(a) for a in self.arms])
@@ -143,9 +139,14 @@ class UpliftTreeModel(TreeTables):
         )
         gap = [F.round(F.get("p_test", F.col(c)) - F.get("p_test", F.lit(0)), 4)
                for c in ("_best", "_subopt")]
-        return F.broadcast(preferred).join(filled, "node_id").withColumn(
-            "match_score", F.array(*gap)
-        ).drop("_best", "_subopt")
+        # Nodes without a row of ``df`` have zeros.
+        none = {"samples_test": F.lit(0).cast("long"), "num_c_test": F.lit(0).cast("long"), "sum_c_test": F.lit(0.0)}
+        zeros = lambda n, kind: F.array(*[F.lit(0).cast(kind)] * n).cast(f"array<{kind}>")
+        none |= {"p_test": zeros(arms, "double"), "num_t_test": zeros(arms - 1, "bigint")}
+        none |= {c: zeros(arms - 1, "double") for c in ("uplift_test", "sum_t_test")}
+        every = preferred.join(filled, "node_id", "left")
+        every = every.withColumns({c: F.coalesce(F.col(c), v) for c, v in none.items()})
+        return every.withColumn("match_score", F.array(*gap)).drop("_best", "_subopt")
 
     def leaf_report(self, test: DataFrame, treatment: str, outcome: str) -> DataFrame:
         """Leaf paths with their effect on the growing rows and on ``test``."""
@@ -173,39 +174,45 @@ def display_list(column: str, digits: int | None = None):
 
 
 def arm_decision(node: TreeNode, binary: bool) -> dict:
-    """Which arm to prefer in a node, from its per-arm means."""
-    p, n = node.p, node.n
-    variance = [q / c - (s / c) ** 2 if c else 0.0 for c, s, q in zip(node.n, node.s, node.q)]
-    diffs, p_values = [], []
-    best = subopt = widest = 0
-    best_diff, sub_diff, wide_diff, sign = 0.0, (-1.0 if binary else -999.0), 0.0, 0
-    for k in range(1, len(p)):
-        diff = p[k] - p[0]
-        diffs.append(round(diff, 4))
-        spread = None
-        if n[k] and n[0]:
-            parts = (
-                (p[k] * (1 - p[k]), p[0] * (1 - p[0])) if binary else (variance[k], variance[0])
-            )
-            spread = max(parts[0] / n[k] + parts[1] / n[0], 0.0)
-        p_values.append(
-            round(math.erfc(abs(diff) / math.sqrt(2 * spread)), 4) if spread else None
-        )
-        if abs(diff) >= wide_diff:
-            widest, wide_diff, sign = k, abs(diff), (diff > 0) - (diff < 0)
-        if diff >= sub_diff:
-            subopt, sub_diff = k, diff
-            if diff > 0:
-                best, best_diff = k, diff
+    """Which arm to prefer in a node, from its per-arm means.
+
+    The second choice is the arm with the largest difference to the control, the best
+    is the same arm if that difference is a gain, else the control; the widest is the arm
+    that differs most in either direction. Of equal differences the last arm counts.
+    """
+    gaps = [p - node.p[0] for p in node.p[1:]]
+    treated = range(1, len(node.p))
+    second = max(treated, key=lambda k: (gaps[k - 1], k), default=0)
+    widest = max(treated, key=lambda k: (abs(gaps[k - 1]), k), default=0)
+    gap_of = lambda k: gaps[k - 1] if k else 0.0
+    best = second if gap_of(second) > 0 else 0
     return {
-        "diff": diffs, "p_value": p_values, "best": best, "best_diff": round(best_diff, 4),
-        "subopt": subopt, "subopt_diff": round(sub_diff, 4), "widest": widest, "widest_sign": sign,
+        "diff": [round(g, 4) for g in gaps], "p_value": [_gap_p_value(node, k, binary) for k in treated],
+        "best": best, "best_diff": round(gap_of(best), 4),
+        "subopt": second, "subopt_diff": round(gap_of(second), 4),
+        "widest": widest, "widest_sign": int(math.copysign(1, gap_of(widest))) if gap_of(widest) else 0,
     }
 
 
+def _gap_p_value(node: TreeNode, arm: int, binary: bool) -> float | None:
+    """Two-sided z p-value of an arm's difference; None without rows or spread."""
+    if not (node.n[arm] and node.n[0]):
+        return None
+    error = sum(_outcome_variance(node, k, binary) / node.n[k] for k in (arm, 0))
+    if error <= 0:
+        return None
+    return round(math.erfc(abs(node.p[arm] - node.p[0]) / math.sqrt(2 * error)), 4)
+
+
+def _outcome_variance(node: TreeNode, arm: int, binary: bool) -> float:
+    if binary:
+        return node.p[arm] * (1 - node.p[arm])
+    return node.q[arm] / node.n[arm]
+
+
 def learn_arms(df: DataFrame, treatment: str, control: str) -> list[str]:
     """Arm labels, control first and the others in text order."""
-    found = [r[0] for r in df.select(F.col(treatment).cast("string")).distinct().limit(1001).collect()]
+    found = [r[0] for r in df.select(F.col(treatment).cast("string")).distinct().collect()]
     return [control, *sorted(a for a in found if a is not None and a != control)]
 
 
@@ -226,9 +233,9 @@ class _Level:
     """The candidate and gain tables of one level."""
 
     def __init__(self, base: DataFrame, model: UpliftTreeModel, active: list[TreeNode],
-                 wide: list[int], allowed: dict[int, list[int]] | None, validated: bool):
+                 allowed: dict[int, list[int]] | None, validated: bool):
         self.base, self.model, self.active = base, model, active
-        self.wide, self.allowed, self.validated = wide, allowed, validated
+        self.allowed, self.validated = allowed, validated
         self.coded = [i for i, f in enumerate(model.features) if f in model.categories]
         self.arms = range(len(model.arms))
 
@@ -260,11 +267,8 @@ class _Level:
         by = ["node", "f"]
         parts = []
         plain = [i for i in range(len(self.model.features)) if i not in self.coded]
-        narrow = [i for i in plain if i not in self.wide]
-        for chosen, route in ((narrow, percentiles_bounded), (self.wide, percentiles_distributed)):
-            if not chosen:
-                continue
-            stats = route(counts.where(F.col("f").isin(chosen)), by, "v", CANDIDATE_SHARES, FEW_VALUES)
+        if plain:
+            stats = percentiles(counts.where(F.col("f").isin(plain)), by, "v", CANDIDATE_SHARES, FEW_VALUES)
             parts.append(stats.selectExpr(
                 *by, f"CASE WHEN distinct_values > {FEW_VALUES} "
                      "THEN array_distinct(array_sort(percentiles)) ELSE lowest END AS cand"
@@ -301,7 +305,7 @@ class _Level:
             mine = f"arm = {k} AND NOT held"
             aggregates += [
                 f"count_if({mine}) AS n{k}", f"sum(CASE WHEN {mine} THEN y ELSE 0D END) AS s{k}",
-                f"sum(CASE WHEN {mine} THEN y * y ELSE 0D END) AS q{k}",
+                f"sum(CASE WHEN {mine} THEN pow(y - {self.model.center!r}D, 2) ELSE 0D END) AS q{k}",
             ]
             if self.validated:
                 aggregates += [
@@ -418,34 +422,33 @@ def start_model(train: DataFrame, treatment: str, features, params: UpliftTreePa
     )
 
 
-def _plant(base: DataFrame, model: UpliftTreeModel) -> list[int]:
-    """Add the root; also returns the features with too many values for one task."""
+def _plant(base: DataFrame, model: UpliftTreeModel) -> None:
+    """Add the root."""
     arms = range(len(model.arms))
-    plain = [i for i, f in enumerate(model.features) if f not in model.categories]
     mine = [f"CASE WHEN arm = {k} THEN y END" for k in arms]
     sums = base.where("NOT held").agg(*[F.expr(e) for e in [
         *[f"count({m}) AS n_a{k}" for k, m in zip(arms, mine)],
         *[f"coalesce(sum({m}), 0D) AS s_a{k}" for k, m in zip(arms, mine)],
-        *[f"coalesce(sum({m} * {m}), 0D) AS q_a{k}" for k, m in zip(arms, mine)],
-        *[f"approx_count_distinct(get(x, {i})) AS d{i}" for i in plain],
+        *[f"coalesce(var_pop({m}) * count({m}), 0D) AS q_a{k}" for k, m in zip(arms, mine)],
+        "coalesce(avg(y), 0D) AS center",
     ]])
     r = sums.selectExpr("*", *_root_figures(model)).selectExpr(
         "*", f"{node_score(model.params.criterion, 'a', arms)} AS score"
     ).first()
+    model.center = r["center"]
     model.nodes.append(TreeNode(
         0, n=[r[f"n_a{k}"] for k in arms], s=[r[f"s_a{k}"] for k in arms],
         q=[r[f"q_a{k}"] for k in arms], p=[r[f"p_a{k}"] for k in arms],
         slope=r["slope_a"], score=r["score"],
     ))
-    return [i for i in plain if r[f"d{i}"] > model.params.distinct_limit]
 
 
 def root_splits(train: DataFrame, treatment: str, outcome: str, features, params: UpliftTreeParams):
     """Every admissible split of the root with its gain: (feature, threshold, gain, sizes)."""
     model = start_model(train, treatment, features, params)
     base = _base(train, None, model, treatment, outcome)
-    wide = _plant(base, model)
-    level = _Level(base, model, model.nodes, wide, None, False)
+    _plant(base, model)
+    level = _Level(base, model, model.nodes, None, False)
     names = F.array(*[F.lit(f) for f in model.features])
     return level.splits().select(
         F.get(names, F.col("f")).alias("feature"), F.col("value").alias("threshold"),
@@ -461,7 +464,7 @@ def fit_uplift_tree(
     model = start_model(train, treatment, features, params)
     base = persist_spread(_base(train, validation, model, treatment, outcome))
     try:
-        wide = _plant(base, model)
+        _plant(base, model)
         active = list(model.nodes)
         everything = list(range(len(model.features)))
         while active and active[0].depth < params.max_depth:
@@ -471,7 +474,7 @@ def fit_uplift_tree(
                     n.id: random_columns(everything, params.max_features, (params.seed, n.id))
                     for n in active
                 }
-            level = _Level(base, model, active, wide, allowed, validation is not None)
+            level = _Level(base, model, active, allowed, validation is not None)
             made = []
             for row in sorted(level.best(), key=lambda r: r["node"]):
                 made += _split(model, row)
@@ -490,9 +493,12 @@ def _split(model: UpliftTreeModel, row) -> list[TreeNode]:
     k = len(model.arms)
     made = []
     for side, stats in enumerate((row["left_stats"], row["right_stats"])):
+        n, s = [int(v) for v in stats[:k]], list(stats[k:2 * k])
+        # Squares were taken around the center; deviations are around the node's means.
+        q = [max(0.0, v - c * (m / c - model.center) ** 2) if c else 0.0
+             for v, c, m in zip(stats[2 * k:3 * k], n, s)]
         child = TreeNode(
-            len(model.nodes), parent=node.id, depth=node.depth + 1,
-            n=[int(v) for v in stats[:k]], s=list(stats[k:2 * k]), q=list(stats[2 * k:3 * k]),
+            len(model.nodes), parent=node.id, depth=node.depth + 1, n=n, s=s, q=q,
             p=list(stats[3 * k:]), score=row["scores"][side], slope=row["slopes"][side],
         )
         model.nodes.append(child)

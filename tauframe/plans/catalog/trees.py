@@ -352,7 +352,7 @@ cands AS (SELECT feature, (x + nxt) / 2 AS v FROM (
 def _causal_root(criterion: str):
     def run(spark, sf_dir):
         df = units(spark, sf_dir).withColumn("band", F.floor(F.col("price") / 25000))
-        params = cf.CausalTreeParams(criterion=criterion, min_samples_leaf=400, groups_penalty=0.25)
+        params = cf.CausalTreeParams(criterion=criterion, min_samples_leaf=400, groups_penalty=0.25, bins=None)
         out = cf.causal_root_splits(df, "uid", "treatment", "y", ["omonth", "band"], params)
         return rounded(out, "threshold", "gain")
 

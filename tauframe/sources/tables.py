@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def partition_value(name: str) -> str:
@@ -30,11 +30,12 @@ def read_partitions(
 ) -> DataFrame:
     """Scan a partitioned Parquet table, pruned to ``parts``.
 
-    The partition column is read as the string it was written from; inferred
-    types would turn ``20240101`` into a number.
+    The partition column is declared as a string: an inferred number would lose the
+    zeros in front of ``0001``, and the filter would no longer prune.
     """
-    df = spark.read.option("mergeSchema", "false").parquet(path)
-    return select_partitions(df.withColumn(column, F.col(column).cast("string")), parts, column)
+    inferred = spark.read.option("mergeSchema", "false").parquet(path).schema
+    fields = [StructField(f.name, StringType()) if f.name == column else f for f in inferred]
+    return select_partitions(spark.read.schema(StructType(fields)).parquet(path), parts, column)
 
 
 def sql_scan(spark: SparkSession, df: DataFrame, view: str, query: str | None = None) -> DataFrame:
@@ -51,9 +52,14 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
 
 
 def write_partition(df: DataFrame, path: str, part: str | None = None, column: str = "ds") -> None:
-    """Overwrite only the partitions present in ``df``; the others stay."""
+    """Overwrite only the partitions present in ``df``; the others stay.
+
+    With ``part`` all rows go to that partition, which is replaced even by no rows.
+    """
     if part is not None:
-        df = df.withColumn(column, F.lit(partition_value(part)))
+        value = partition_value(part)
+        df.drop(column).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{column}={value}")
+        return
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

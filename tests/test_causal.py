@@ -69,7 +69,7 @@ def grow(rows, crit, min_leaf, depth, penalty, path=""):
 @pytest.mark.parametrize("crit,penalty", [("causal_mse", 0.0), ("causal_mse", 0.25), ("standard_mse", 0.0)])
 def test_tree_equals_exhaustive_search(spark, crit, penalty):
     df = known(spark, 600)
-    params = cf.CausalTreeParams(criterion=crit, max_depth=3, min_samples_leaf=60, groups_penalty=penalty)
+    params = cf.CausalTreeParams(criterion=crit, max_depth=3, min_samples_leaf=60, groups_penalty=penalty, bins=None)
     tree = cf.fit_causal_tree(df, "id", "t", "y", ["a", "b"], params).trees[0]
     got = {tree.path(n): n.value for n in tree.leaves()}
     want = grow([r.asDict() for r in df.collect()], crit, 60, 3, penalty)
@@ -103,7 +103,9 @@ def test_forest_finds_the_effect_and_its_feature(spark):
 def test_quantile_bins_when_values_are_many(spark):
     df = known(spark).withColumn("a", F.col("a") + F.col("id") * 1e-7)
     cuts = cf.learn_thresholds(df, ["a", "b"], 16)
-    assert 10 <= len(cuts[0]) <= 15 and cuts[1] == [0.5, 1.5, 2.5, 3.5]
+    assert 10 <= len(cuts[0]) <= 15 and cuts[1] == [0.0, 1.0, 2.0, 3.0]
+    assert cuts == cf.learn_thresholds(df.repartition(37), ["a", "b"], 16)
+    assert cf.learn_thresholds(df, ["b"], None) == [[0.5, 1.5, 2.5, 3.5]]
     bins = cf.bin_features(df, ["a", "b"], cuts, [F.col("a"), F.col("b")]).collect()
     for r in bins:
         assert r["bins"] == [sum(c < r["a"] for c in cuts[0]), sum(c < r["b"] for c in cuts[1])]

@@ -63,19 +63,18 @@ def test_running_totals_in_hash_cells(spark):
 
 
 @pytest.mark.parametrize("n", [1, 2, 11, 400])
-def test_percentile_routes_agree_with_numpy(spark, n):
+def test_percentiles_agree_with_numpy(spark, n):
     rng = random.Random(n)
     values = [rng.choice([rng.random() * 50, 7.0, 8.0]) for _ in range(n)]
     df = spark.createDataFrame([("x", v) for v in values], "g string, v double")
     counts = quantiles.value_counts(df, ["g"], "v")
     shares = [0.03, 0.25, 0.5, 0.97]
     want = np.percentile(values, [3, 25, 50, 97])
-    for route in (quantiles.percentiles_bounded, quantiles.percentiles_distributed):
-        r = route(counts, ["g"], "v", shares, 3).first()
-        assert r["percentiles"] == pytest.approx(list(want))
-        assert r["distinct_values"] == len(set(values))
-        assert r["lowest"] == sorted(set(values))[:3]
-    whole = quantiles.percentiles_distributed(quantiles.value_counts(df, [], "v"), [], "v", shares).first()
+    r = quantiles.percentiles(counts, ["g"], "v", shares, 3).first()
+    assert r["percentiles"] == pytest.approx(list(want))
+    assert r["distinct_values"] == len(set(values))
+    assert r["lowest"] == sorted(set(values))[:3]
+    whole = quantiles.percentiles(quantiles.value_counts(df, [], "v"), [], "v", shares).first()
     assert whole["percentiles"] == pytest.approx(list(want))
 
 
@@ -208,3 +207,33 @@ def test_score_scan_reads_only_the_needed_columns(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,5.0)]" in text
     assert "o_orderdate" not in text
+
+
+def test_partitions_keep_their_zeros_and_can_be_emptied(spark, tmp_path):
+    from tauframe.sources import tables
+
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(1, "0001"), (2, "0002"), (3, "0010")], "id long, ds string")
+    tables.write_partition(df, path)
+    got = tables.read_partitions(spark, path, ["0001", "p_0002"])
+    assert sorted(map(tuple, got.select("id", "ds").collect())) == [(1, "0001"), (2, "0002")]
+    assert "PartitionFilters: [isnotnull" in got._jdf.queryExecution().toString() or "ds#" in got._jdf.queryExecution().toString()
+    assert tables.read_partitions(spark, path).count() == 3
+    tables.write_partition(df.where("id < 0"), path, "0002")
+    assert tables.read_partitions(spark, path, ["0002"]).count() == 0
+    tables.write_partition(df.where("id = 1"), path, "p_0010")
+    assert sorted(map(tuple, tables.read_partitions(spark, path).select("id", "ds").collect())) == [(1, "0001"), (1, "0010")]
+
+
+def test_one_hot_names_and_many_categories(spark):
+    from tauframe.operators import prepare
+
+    df = spark.createDataFrame([(1, "a.b"), (2, "a_b"), (3, "A_B"), (4, None)], "id long, c string")
+    encoder = prepare.OneHot.fit(df, ["c"])
+    out = encoder.transform(df)
+    assert len({n.lower() for n in encoder.output_columns}) == 3
+    rows = {r["id"]: [r[n] for n in encoder.output_columns] for r in out.select("id", *encoder.output_columns).collect()}
+    assert all(sum(rows[i]) == 1 for i in (1, 2, 3)) and sum(rows[4]) == 0
+    many = spark.range(12_000).select("id", F.format_string("v%05d", "id").alias("c"))
+    sparse = prepare.one_hot_sparse(many, ["c"]).where("id in (0, 11999)").orderBy("id").collect()
+    assert [list(r["c_onehot"].indices) for r in sparse] == [[0], [11999]]

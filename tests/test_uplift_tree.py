@@ -6,6 +6,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tauframe.operators import uplift_tree as ut
 
 SHARES = [p / 100 for p in (3, 5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 97)]
@@ -154,12 +156,11 @@ def test_tree_equals_recursive_definition(spark, crit):
     assert_same(model, grow(rows, 2, ["a", "b", "c"], crit, 40, 4))
 
 
-def test_multi_arm_and_distributed_percentiles(spark):
+def test_several_arms(spark):
     rows = sample(12, 900, 4)
     want = grow(rows, 4, ["a", "b"], "KL", 60, 3)
-    for limit in (0, 10**6):
-        params = ut.UpliftTreeParams(max_depth=3, min_samples_leaf=60, distinct_limit=limit)
-        assert_same(ut.fit_uplift_tree(frame(spark, rows), "t", "y", ["a", "b"], params), want)
+    params = ut.UpliftTreeParams(max_depth=3, min_samples_leaf=60)
+    assert_same(ut.fit_uplift_tree(frame(spark, rows), "t", "y", ["a", "b"], params), want)
 
 
 def test_validation_rejects_unstable_splits(spark):
@@ -210,3 +211,24 @@ def test_decision_prefers_the_best_arm():
     assert d["diff"] == [-0.1, 0.2]
     worse = ut.arm_decision(TreeNode(0, n=[10, 10], s=[5, 4], q=[5, 4], p=[0.5, 0.4]), True)
     assert (worse["best"], worse["subopt"]) == (0, 1)
+
+
+def test_no_arm_is_left_out(spark):
+    df = spark.range(3000).selectExpr("cast(id % 1500 as string) AS t")
+    assert len(ut.learn_arms(df, "t", "0")) == 1500
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e9])
+def test_variances_at_any_level(spark, shift):
+    df = spark.createDataFrame(
+        [(str(i % 2), float(i % 10), shift + (i * 7 % 11) / 10 + (i % 2) * (i % 10 > 4)) for i in range(600)],
+        "t string, a double, y double")
+    params = ut.UpliftTreeParams(criterion="ED", max_depth=2, min_samples_leaf=50, binary_outcome=False, n_reg=0)
+    model = ut.fit_uplift_tree(df, "t", "y", ["a"], params)
+    root = model.nodes[0]
+    for k, r in enumerate(df.groupBy("t").agg(F.var_pop("y").alias("v")).orderBy("t").collect()):
+        assert root.q[k] / root.n[k] == pytest.approx(r["v"], rel=1e-6)
+    for n in model.nodes[1:]:
+        assert all(0 <= q / c < 1 for q, c in zip(n.q, n.n))
+    filled = model.fill(df.where("a < 3"), "t", "y").count()
+    assert filled == len(model.nodes)
