@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
@@ -30,19 +30,18 @@ def day_from_month_day(df: DataFrame, column: str, year: int = 2023, name: str =
     return df.withColumn(name, F.to_date(text, "yyyyMMdd"))
 
 
-def independent_columns(df: DataFrame, columns: list[str], tolerance: float = 1e-9) -> list[str]:
-    """Columns that are not constant and not a combination of earlier ones.
+def independent_columns(vectors: DataFrame, columns: list[str], tolerance: float = 1e-9) -> list[int]:
+    """Places of columns of the vectors ``x`` that are no constant and no combination of earlier ones.
 
     The correlation matrix of the p columns comes from one pass over the rows; a
     sweep over that p-by-p matrix keeps a column only if something of it is left.
     """
-    vectors = VectorAssembler(inputCols=columns, outputCol="x").transform(df).select("x")
     left = np.nan_to_num(Correlation.corr(vectors, "x").first()[0].toArray())
     spread = vectors.select(Summarizer.variance(F.col("x")).alias("v")).first()["v"].toArray()
     kept = []
-    for i, name in enumerate(columns):
+    for i in range(len(columns)):
         if spread[i] > 0 and left[i, i] > tolerance:
-            kept.append(name)
+            kept.append(i)
             left = left - np.outer(left[:, i], left[i, :]) / left[i, i]
     return kept
 
@@ -53,20 +52,25 @@ def ols(df: DataFrame, outcome: str, regressors: list[str]) -> DataFrame:
     Aliased regressors are left out first, since the solver would return huge
     offsetting coefficients for them; list what must stay before what may go.
     """
-    kept = independent_columns(df, regressors)
-    data = VectorAssembler(inputCols=kept, outputCol="features").transform(df).select(
-        "features", F.col(outcome).cast("double").alias("label")
-    )
-    fit = LinearRegression(solver="normal", regParam=0.0).fit(data)
-    summary = fit.summary
-    estimates = [*fit.coefficients.toArray().tolist(), fit.intercept]
-    rows = [
-        (term, float(b), float(se), float(t), float(p), summary.r2, int(summary.degreesOfFreedom))
-        for term, b, se, t, p in zip(
-            [*kept, "intercept"], estimates, summary.coefficientStandardErrors,
-            summary.tValues, summary.pValues,
-        )
-    ]
+    vectors = VectorAssembler(inputCols=regressors, outputCol="x").transform(df).select(
+        "x", F.col(outcome).cast("double").alias("label")
+    ).persist()  # several passes over what may be a long plan
+    try:
+        places = independent_columns(vectors.select("x"), regressors)
+        kept = [regressors[i] for i in places]
+        data = VectorSlicer(inputCol="x", outputCol="features", indices=places).transform(vectors)
+        fit = LinearRegression(solver="normal", regParam=0.0).fit(data)
+        summary = fit.summary
+        estimates = [*fit.coefficients.toArray().tolist(), fit.intercept]
+        rows = [
+            (term, float(b), float(se), float(t), float(p), summary.r2, int(summary.degreesOfFreedom))
+            for term, b, se, t, p in zip(
+                [*kept, "intercept"], estimates, summary.coefficientStandardErrors,
+                summary.tValues, summary.pValues,
+            )
+        ]
+    finally:
+        vectors.unpersist()
     rows = [tuple(None if isinstance(v, float) and math.isnan(v) else v for v in r) for r in rows]
     return df.sparkSession.createDataFrame(
         rows,

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tauframe.functions.stats import safe_divide
 from tauframe.operators.ordered import running_totals
@@ -13,6 +16,43 @@ def _descending(score: str, id_col: str, id_descending: bool) -> list[Column]:
     return [F.desc(score), F.desc(id_col) if id_descending else F.asc(id_col)]
 
 
+def _within(df: DataFrame, id_col: str, score: str, cuts: list[int], id_descending: bool) -> list[Column]:
+    """For each cut k a condition for the first k rows by falling score, ties by id.
+
+    Scores are counted first; only rows that share the score a cut falls into are put in
+    order. No more than two figures for each cut reach the driver, and the conditions
+    need no shuffle of the rows they are applied to.
+    """
+    counts = df.groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = running_totals(counts, [F.desc(score)], {"_through": F.col("_n")})
+    before = F.col("_through") - F.col("_n")
+    hit = [(before < k) & (k <= F.col("_through")) for k in cuts]
+    found = blocks.where(reduce(lambda a, b: a | b, hit)).select(
+        score, before.alias("before"), F.col("_through").alias("through")).collect()
+    at = {k: next(r for r in found if r["before"] < k <= r["through"]) for k in cuts}
+    same = lambda r: F.col(score).eqNullSafe(F.lit(r[score]))
+    torn = [r for r in found if any(r["before"] < k < r["through"] for k in cuts)]
+    last: dict[int, object] = {}
+    if torn:
+        group = reduce(lambda c, ir: c.when(same(ir[1]), ir[0]), enumerate(torn[1:], 1), F.when(same(torn[0]), 0))
+        tied = df.select(id_col, group.alias("_g")).where("_g is not null")
+        order = F.desc(id_col) if id_descending else F.asc(id_col)
+        placed = running_totals(tied, [order], by=["_g"])
+        wanted = {(torn.index(at[k]), k - at[k]["before"]): k for k in cuts if k < at[k]["through"]}
+        pick = reduce(lambda a, b: a | b, [(F.col("_g") == g) & (F.col("pos") == m) for g, m in wanted])
+        for r in placed.where(pick).collect():
+            last[wanted[r["_g"], r["pos"]]] = r[id_col]
+    out = []
+    for k in cuts:
+        row = at[k]
+        above = F.col(score).isNotNull() if row[score] is None else F.coalesce(F.col(score) > F.lit(row[score]), F.lit(False))
+        tied = same(row)
+        if k in last:
+            tied = tied & (F.col(id_col) >= F.lit(last[k]) if id_descending else F.col(id_col) <= F.lit(last[k]))
+        out.append(above | tied)
+    return out
+
+
 def uplift_deciles(
     df: DataFrame, id_col: str, treatment: str, outcome: str, score: str, bins: int = 10
 ) -> DataFrame:
@@ -22,16 +62,13 @@ def uplift_deciles(
     ordered by descending id, which is a reversed stable ascending sort.
     """
     slim = df.select(id_col, treatment, outcome, score)
-    placed = running_totals(slim, _descending(score, id_col, True))
-    n = slim.count()
-    small, larger = divmod(n, bins)
-    edge = larger * (small + 1)
-    at = F.col("pos") - 1
-    place = F.when(at < edge, F.floor(at / (small + 1)))
-    if small:
-        place = place.otherwise(larger + F.floor((at - edge) / small))
+    small, larger = divmod(slim.count(), bins)
+    ends = [i * small + min(i, larger) for i in range(1, bins)]
+    cuts = sorted({e for e in ends if e})
+    inside = dict(zip(cuts, _within(slim, id_col, score, cuts, True))) if cuts else {}
+    place = sum((F.when(inside[e], 0).otherwise(1) for e in ends if e), F.lit(sum(not e for e in ends)))
     t, y = F.col(treatment), F.col(outcome)
-    out = placed.groupBy(((place + 1) * 100 / bins).cast("long").alias("percentile")).agg(
+    out = slim.groupBy(((place + 1) * 100 / bins).cast("long").alias("percentile")).agg(
         F.count_if(t == 1).alias("n_treatment"),
         F.count_if(t != 1).alias("n_control"),
         F.avg(F.when(t == 1, y)).alias("treatment_avg"),
@@ -88,8 +125,9 @@ def flag_top_share(
 ) -> DataFrame:
     """1 for the first ``int(n * share)`` rows by falling score, ties by id."""
     cut = int(df.count() * share)
-    placed = running_totals(df, _descending(score, id_col, False), position="_pos")
-    return placed.withColumn(name, (F.col("_pos") <= cut).cast("int")).drop("_pos")
+    if not cut:
+        return df.withColumn(name, F.lit(0))
+    return df.withColumn(name, _within(df.select(id_col, score), id_col, score, [cut], False)[0].cast("int"))
 
 
 def score_blocks(df: DataFrame, treatment: str, outcome: str, scores) -> DataFrame:
@@ -200,28 +238,34 @@ def curve_areas(df: DataFrame, treatment: str, outcome: str, scores) -> DataFram
     Qini curve treated responders first and control responders last.
     """
     t, y = F.col(treatment), F.col(outcome)
-    mix = df.agg(
-        F.count_if((y == 1) & (t == 0)).alias("cr"), F.count_if((y == 0) & (t == 1)).alias("tn")
-    ).first()
+    # Which of the first two is the best gain order depends on two counts of the last block.
     ideals = {
-        "gain": 2 * (y == t).cast("double") + (y if mix["cr"] > mix["tn"] else t),
-        "qini": y * t - y * (1 - t),
+        "_ideal_y": 2 * (y == t).cast("double") + y, "_ideal_t": 2 * (y == t).cast("double") + t,
+        "_ideal_qini": y * t - y * (1 - t),
     }
-    parts = []
-    for kind, name in (("gain", "auuc"), ("qini", "auqc")):
-        ranked = df.withColumn("_ideal", ideals[kind].cast("double"))
-        curve = _curve(ranked, treatment, outcome, [*scores, "_ideal"], kind)
-        step = F.col("rows").cast("double") * (F.col("value") + F.col("start")) / 2
-        last = F.max_by(F.struct("value", "n_targeted"), "block")
-        areas = curve.groupBy("model").agg(F.sum(step).alias("area"), last.alias("l")).select(
-            "model", (F.col("area") - F.col("l.value") * F.col("l.n_targeted") / 2).alias("excess")
-        )
-        top = areas.where(F.col("model") == "_ideal").first()["excess"]
-        parts.append(
-            areas.where(F.col("model") != "_ideal")
-            .select("model", safe_divide(F.col("excess"), F.lit(top)).alias(name))
-        )
-    return parts[0].join(parts[1], "model")
+    ranked = df.select(treatment, outcome, *scores, *[v.cast("double").alias(k) for k, v in ideals.items()])
+    blocks = score_blocks(ranked, treatment, outcome, [*scores, *ideals])
+    now = [F.col(c) for c in ("s_t", "n_t", "s_c", "n_c", "n")]
+    before = [a - F.col(b) for a, b in zip(now, ("b_st", "b_nt", "b_sc", "b_nc", "rows"))]
+    blocks = blocks.withColumns({
+        "gain": _gain(*now), "gain_before": _gain(*before),
+        "qini": _qini(*now[:4]), "qini_before": _qini(*before[:4])})
+    trapezoid = lambda k: F.sum(F.col("rows") * (F.col(k) + F.col(f"{k}_before")) / 2)
+    areas = blocks.groupBy("model").agg(
+        trapezoid("gain").alias("a_gain"), trapezoid("qini").alias("a_qini"),
+        F.max_by(F.struct("gain", "qini", "n", "n_t", "s_t", "s_c"), "block").alias("l"))
+    excess = areas.select(
+        "model", (F.col("l.s_c") > F.col("l.n_t") - F.col("l.s_t")).alias("by_outcome"),
+        *[(F.col(f"a_{k}") - F.col(f"l.{k}") * F.col("l.n") / 2).alias(k) for k in ("gain", "qini")])
+    # One row for each model.
+    every = Window.partitionBy()
+    best = F.when(F.col("by_outcome"), F.lit("_ideal_y")).otherwise(F.lit("_ideal_t"))
+    tops = excess.select(
+        "*", F.max(F.when(F.col("model") == best, F.col("gain"))).over(every).alias("top_gain"),
+        F.max(F.when(F.col("model") == "_ideal_qini", F.col("qini"))).over(every).alias("top_qini"))
+    return tops.where(~F.col("model").isin(list(ideals))).select(
+        "model", safe_divide(F.col("gain"), F.col("top_gain")).alias("auuc"),
+        safe_divide(F.col("qini"), F.col("top_qini")).alias("auqc"))
 
 
 def top_rows(df: DataFrame, value: str, n: int, tie: str) -> DataFrame:

@@ -34,10 +34,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 @query("scan_partition", with_(
-    "SELECT uid, ds, treatment, price FROM units WHERE ds IN ('199701', '199702')", UNITS))
+    "SELECT uid, '0' || ds AS ds, treatment, price FROM units WHERE ds IN ('199701', '199702')", UNITS))
 def scan_partition(spark, sf_dir):
-    df = tables.select_partitions(units(spark, sf_dir), ["p_199701", "199702"])
-    return df.select("uid", "ds", "treatment", "price")
+    """A pruned scan of a partitioned table whose partition values start with a zero."""
+    path = scratch(spark, "units-by-ds")
+    df = units(spark, sf_dir).select("uid", "treatment", "price", F.concat(F.lit("0"), "ds").alias("ds"))
+    tables.write_partition(df.repartition("ds"), path)
+    return tables.read_partitions(spark, path, ["p_0199701", "0199702"]).select("uid", "ds", "treatment", "price")
 
 
 @query("partition_names", with_(
@@ -208,17 +211,21 @@ def add_partition_column(spark, sf_dir):
     return prepare.prepend_constant(units(spark, sf_dir).select("uid", "treatment"), "part", "20240131")
 
 
-@query("feature_list", with_("""
-SELECT unnest(['price', 'acctbal', 'omonth', 'segment', 'status']) AS feature
-WHERE (SELECT count(*) FROM units) > 0""", UNITS))
+_LISTED = ["price", "acctbal", "omonth", "segment", "status"]
+
+
+@query("feature_list", with_(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count({c}) AS present, count(DISTINCT {c}) AS distinct_values FROM units"
+    for c in _LISTED), UNITS))
 def feature_list(spark, sf_dir):
+    """The features left by exclusion, each with its filled and distinct values."""
     df = units(spark, sf_dir)
     names = prepare.feature_columns(
         df, ["uid", "cust", "ds", "treatment", "priority", "y_num", "y_bin", "y", "yb"]
     )
-    return df.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(
-        F.explode(F.array(*[F.lit(n) for n in names])).alias("feature")
-    )
+    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("string").alias("v")) for n in names])
+    values = df.select(F.explode(pairs).alias("p")).groupBy("p.feature", "p.v").agg(F.count("p.v").alias("n"))
+    return values.groupBy("feature").agg(F.sum("n").alias("present"), F.count("v").alias("distinct_values"))
 
 
 @query("filter_arm", with_("SELECT uid, price, y FROM units WHERE treatment = 1 AND y_num IS NOT NULL", UNITS))

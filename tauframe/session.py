@@ -42,17 +42,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def persist_spread(df: DataFrame) -> DataFrame:
-    """Cache a frame that is about to be scanned many times, on every core.
+    """Cache a frame that is about to be scanned many times, dealt out to every core.
 
-    Small inputs are coalesced into a task or two, too few for work that
-    multiplies each row; those are dealt out again. Large ones stay as they are.
+    What a scan coalesces into a task or two is too few for work that multiplies
+    each row, so the rows are dealt anew, by as many tasks as the session shuffles to.
     """
-    cached = df.persist()
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    cached = df.repartition(parts).persist()
     cached.count()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if cached.rdd.getNumPartitions() >= cores:
-        return cached
-    dealt = cached.repartition(cores).persist()
-    dealt.count()
-    cached.unpersist()
-    return dealt
+    return cached
