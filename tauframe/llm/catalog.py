@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tauframe.llm import (
-    exact_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules,
+    exact_dedup, mixing, near_dedup, oracles, pii, quality_classifier, quality_rules,
     sentencepiece_sampling, sharding, suffix_tree, warc)
 from tauframe.llm.storage import id_remainder
 
@@ -114,9 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op2_exact_dedup": """
-        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-            doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
-        FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
-    """,
+    "op1_sharding": oracles.SHARDING,
+    "op2_exact_dedup": oracles.EXACT_DEDUP,
+    "op6_mixing": oracles.MIXING,
+    "op10_warc": oracles.WARC,
 }

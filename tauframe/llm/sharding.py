@@ -45,7 +45,7 @@ def shard_by_bytes(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(text).cast("long").alias("text_crc32"),
-        F.xxhash64(text).alias("_digest"),
+        F.md5(text).alias("_digest"),
         F.monotonically_increasing_id().alias("_row"),
     )
     order = [F.col("_digest"), F.col("doc_id"), F.col("_row")]
