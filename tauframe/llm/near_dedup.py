@@ -7,10 +7,13 @@ number of leading zeros and ten mantissa bits, 16 bits in all.
 Candidates. A band is a fixed random choice of ``rows`` registers, empty ones filled from the
 next non-empty one; documents that agree on a band fall in one bucket. Documents with
 equal sets are one class with one representative, so groups of copies never enter the
-buckets. Every bucket first links its members to its first one: as many pairs as members.
-Links found true join documents to components. Only buckets that still hold several
-components are then spread out, and only pairs across components are formed, in blocks
-of ``BLOCK`` members, so that no task holds a whole bucket. No candidate is left out.
+buckets. Bucketed documents are dealt to blocks of about ``BLOCK``, cluster by cluster, and
+blocks that meet in a bucket are compared as a tile, all documents of one with all of the
+other: a huge cluster is many tiles of bounded size, its pairs are never rows of a table,
+and however many bands two blocks share, they are compared once. First come the tiles of
+every bucket's first member with the others; links found true join documents to
+components. Of the other tiles only those that still hold several components follow, and
+only pairs across components count. No candidate is left out.
 
 Decision. A pair's Jaccard similarity is estimated from its registers, corrected for
 chance collisions; pairs more than ``DEVIATIONS`` standard deviations below the threshold
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tauframe.llm.storage import bound_batches, checkpoint, delete_folder, shared_folder, with_locator
+from tauframe.llm.storage import as_scan, bound_batches, checkpoint, delete_folder, free_name, shared_folder, with_locator
 from tauframe.llm.textvec import U64, mix, shingle_sets, text_slices, words_of
 
 REGISTERS = 256
@@ -131,6 +134,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = checkpoint(edges.select(
         F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u != v").distinct())
+    # Equal sets of pairs have equal stamps; comparing these needs no shuffle.
+    stamp = lambda p: tuple(p.agg(
+        F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")),
+        F.bit_xor(F.xxhash64("u", "v", F.lit(1)))).first())
+    before = stamp(pairs)
     while True:
         both = pairs.select("v", "u").unionAll(pairs.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("m", "v").alias("m"))
@@ -141,36 +149,92 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u"))
         small = checkpoint(small.unionAll(least.select("v", F.col("m").alias("u"))).filter("v != u").distinct())
-        changed = small.exceptAll(pairs).limit(1).count() + pairs.exceptAll(small).limit(1).count()
-        pairs = small
-        if not changed:
+        pairs, after = small, stamp(small)
+        if after == before:
             break
+        before = after
     roots = pairs.select(F.col("v").alias("node"), F.col("u").alias("root"))
     return checkpoint(roots.unionAll(pairs.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()))
 
 
-def _likely(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose estimate does not rule the threshold out."""
-    registers = signed.select("key", "registers")
-    joined = pairs.join(registers.toDF("a", "_ra"), "a").join(registers.toDF("b", "_rb"), "b")
+def _blocks(buckets: DataFrame) -> DataFrame:
+    """(key, blk): each bucketed document's block of about ``BLOCK`` documents.
+
+    Documents go by the first member of their largest bucket, so that those of one
+    cluster share blocks; a large cluster is dealt to several blocks by hash.
+    """
+    led = buckets.groupBy("key").agg(F.max(F.struct("_n", -F.col("_first"))).alias("x")).select(
+        "key", (-F.col("x.col2")).alias("leader"))
+    sizes = led.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_lots"))
+    return checkpoint(led.join(sizes, "leader").select(
+        "key", F.xxhash64("leader", F.pmod(F.xxhash64("key"), F.col("_lots"))).alias("blk")))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("_ra", "_rb"))
-            guess, used = estimate(a, b)
-            keep = guess >= least - DEVIATIONS * np.sqrt(least * (1 - least) / np.maximum(used, 1))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return joined.select("a", "b", "_ra", "_rb").mapInArrow(compare, "a long, b long")
+def _tiles(pairs: DataFrame) -> DataFrame:
+    """Distinct unordered pairs of blocks (i, j) as rows (i, j, tile)."""
+    return pairs.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).distinct().withColumn(
+        "tile", F.xxhash64("i", "j"))
 
 
-def _true_links(pairs: DataFrame, signed: DataFrame, docs: DataFrame, words_per_shingle: int, percent: int, text_col: str) -> DataFrame:
+def _likely(tiles: DataFrame, blocks: DataFrame, signed: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """(tile, a, b): for each tile the pairs whose estimate does not rule the threshold out.
+
+    A tile compares all documents of its two blocks that are not in one component yet.
+    """
+    roots = blocks.join(labels.toDF("key", "_root"), "key", "left").select(
+        "key", "blk", F.coalesce("_root", "key").alias("root"))
+    held = roots.join(signed.select("key", "registers"), "key")
+    sides = tiles.select("tile", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("blk"))
+    groups = sides.join(held, "blk").groupBy("tile", "i", "j").agg(
+        F.collect_list(F.struct("blk", "key", "root", "registers")).alias("members"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {"tile": [], "a": [], "b": []}
+            for tile, i, j, cell in zip(*(batch.column(c).to_pylist() for c in ("tile", "i", "j")), batch.column("members"), strict=True):
+                blk, key, root = (np.asarray(cell.values.field(c)) for c in ("blk", "key", "root"))
+                regs = np.frombuffer(b"".join(cell.values.field("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+                left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+                cross = root[left][:, None] != root[right][None, :]
+                if i == j:
+                    cross &= np.triu(np.ones(cross.shape, dtype=bool), 1)
+                x, y = np.nonzero(cross)
+                a, b, keep = left[x], right[y], []
+                for at in range(0, len(a), 8192):
+                    guess, used = estimate(regs[a[at : at + 8192]], regs[b[at : at + 8192]])
+                    keep.append(guess >= least - DEVIATIONS * np.sqrt(least * (1 - least) / np.maximum(used, 1)))
+                keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+                if keep.any():
+                    for name, value in (("tile", tile), ("a", key[a[keep]]), ("b", key[b[keep]])):
+                        out[name].append(value)
+            yield pa.RecordBatch.from_pydict({
+                "tile": pa.array(out["tile"], pa.int64()),
+                "a": pa.array(out["a"], pa.list_(pa.int64())), "b": pa.array(out["b"], pa.list_(pa.int64()))})
+
+    return checkpoint(groups.select("tile", "i", "j", "members").mapInArrow(
+        compare, "tile long, a array<long>, b array<long>"))
+
+
+def common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets, through the places of shared members."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    used_a, row_a = np.unique(a, return_inverse=True)
+    used_b, row_b = np.unique(b, return_inverse=True)
+    size = np.zeros((len(used_a), len(used_b)), dtype=np.float32)
+    width = 1 << 14
+    for low in range(0, int(place.max()) + 1 if len(place) else 0, width):
+        inside = (place >= low) & (place < low + width)
+        table = np.zeros((len(sets), width), dtype=np.float32)
+        table[owner[inside], place[inside] - low] = 1
+        size += table[used_a] @ table[used_b].T
+    return size[row_a, row_b].astype(np.int64)
+
+
+def _true_links(likely: DataFrame, signed: DataFrame, docs: DataFrame, words_per_shingle: int, percent: int, text_col: str) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    pairs = checkpoint(pairs)
-    needed = checkpoint(pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct().join(
-        signed.select("key", "at"), "key"))
+    members = checkpoint(likely.select("tile", F.explode(F.array_union("a", "b")).alias("key")))
+    needed = checkpoint(members.select("key").distinct().join(signed.select("key", "at"), "key"))
     if needed.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
     texts = with_locator(docs.select(text_col), "at").join(needed, "at").select("key", F.col(text_col).alias("text"))
@@ -184,56 +248,39 @@ def _true_links(pairs: DataFrame, signed: DataFrame, docs: DataFrame, words_per_
                     "key": batch.column("key").slice(first, len(part)),
                     "members": pa.array([shingle[edge[i] : edge[i + 1]].tobytes() for i in range(len(part))], pa.binary())})
 
-    sets = checkpoint(texts.mapInArrow(collect, "key long, members binary"))
-    joined = pairs.join(sets.toDF("b", "_sb"), "b").join(sets.toDF("a", "_sa"), "a")
+    sets = texts.mapInArrow(collect, "key long, members binary")
+    groups = members.join(sets, "key").groupBy("tile").agg(F.collect_list(F.struct("key", "members")).alias("sets"))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(batch.column("_sa"), batch.column("_sb"), strict=True)):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(a) + len(b) - len(np.union1d(a, b)) if min(len(a), len(b)) else 0
-                keep[i] = 100 * both >= percent * (len(a) + len(b) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return checkpoint(joined.select("a", "b", "_sa", "_sb").mapInArrow(confirm, "a long, b long"))
-
-
-def _cross_pairs(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct pairs of members of one bucket that lie in different components.
-
-    ``buckets``: (band_key, key) of buckets with two members or more.
-    """
-    marked = buckets.join(labels.toDF("key", "_root"), "key", "left").select(
-        "band_key", "key", F.coalesce("_root", "key").alias("root"))
-    span = marked.groupBy("band_key").agg(
-        F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_n"))
-    open_ = checkpoint(marked.join(span.filter("_low < _high"), "band_key").select("band_key", "key", "root", "_n"))
-    # Members are dealt to blocks by hash; every pair of blocks is a group of bounded size.
-    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    dealt = open_.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("key", "band_key"), F.col("_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    placed = dealt.select("band_key", "key", "root", "_own", other).select(
-        "band_key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "key", "root")
-    groups = placed.groupBy("band_key", "_i", "_j").agg(F.collect_list(F.struct("key", "root", "_own")).alias("members"))
-
-    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for i, j, cell in zip(batch.column("_i").to_pylist(), batch.column("_j").to_pylist(), batch.column("members"), strict=True):
-                values = cell.values
-                key, root, own = (np.asarray(values.field(c)) for c in ("key", "root", "_own"))
-                left, right = (own == i, own == j)
-                a, b = key[left], key[right]
-                cross = root[left][:, None] != root[right][None, :]
-                if i == j:
-                    cross &= a[:, None] < b[None, :]
-                x, y = np.nonzero(cross)
-                found.append(np.stack((np.minimum(a[x], b[y]), np.maximum(a[x], b[y])), 1))
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-    return groups.select("_i", "_j", "members").mapInArrow(pair_up, "a long, b long").distinct()
+            links = [np.zeros((0, 2), np.int64)]
+            for a, b, cell in zip(batch.column("a"), batch.column("b"), batch.column("sets"), strict=True):
+                key = np.asarray(cell.values.field("key"))
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell.values.field("members")]
+                order = np.argsort(key)
+                x, y = (order[np.searchsorted(key[order], np.asarray(c.values))] for c in (a, b))
+                size = np.array([len(s) for s in sets])
+                both = common(sets, x, y)
+                keep = 100 * both >= percent * (size[x] + size[y] - both)
+                links.append(np.stack((key[x[keep]], key[y[keep]]), 1))
+            found = np.concatenate(links)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+
+    return checkpoint(likely.join(groups, "tile").select("a", "b", "sets").mapInArrow(confirm, "a long, b long"))
+
+
+def _open_tiles(buckets: DataFrame, blocks: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
+    """Tiles of blocks that meet in a bucket, hold several components and are not done."""
+    roots = blocks.join(labels.toDF("key", "_root"), "key", "left").select(
+        "key", "blk", F.coalesce("_root", "key").alias("root"))
+    spans = checkpoint(buckets.join(roots, "key").groupBy("band_key", "blk").agg(
+        F.min("root").alias("low"), F.max("root").alias("high")))
+    mixed = spans.groupBy("band_key").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).filter("_low < _high")
+    open_ = checkpoint(spans.join(mixed.select("band_key"), "band_key"))
+    other = open_.toDF("band_key", "y", "_l", "_h")
+    met = open_.withColumnRenamed("blk", "x").join(other, "band_key").filter(
+        (F.col("x") <= F.col("y")) & (F.least("low", "_l") < F.greatest("high", "_h")))
+    return _tiles(met.select("x", "y")).join(done.select("tile"), "tile", "left_anti").select("i", "j", "tile")
 
 
 def near_duplicates(
@@ -250,6 +297,8 @@ def near_duplicates(
     ``component_id`` is the smallest id that links reach, ``kept`` marks its row.
     """
     spark = docs.sparkSession
+    # Texts are found again by their place, so all steps must scan the same files.
+    docs = as_scan(docs.select(id_col, text_col))
     folder = shared_folder(spark, "signatures")
     signatures(docs, words_per_shingle, bands, rows, id_col, text_col).withColumn(
         "key", F.monotonically_increasing_id()).write.parquet(folder)
@@ -265,14 +314,19 @@ def near_duplicates(
     banded = signed.filter("n > 0").select("key", "bands").join(repeats, "key", "left_anti").select(
         "key", F.explode("bands").alias("band_key"))
     counted = banded.groupBy("band_key").agg(F.min("key").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    buckets = checkpoint(banded.join(counted, "band_key").select("band_key", "key", "_first"))
+    buckets = checkpoint(banded.join(counted, "band_key").select("band_key", "key", "_first", "_n"))
+    blocks = _blocks(buckets)
 
-    least = percent / 100
-    star = buckets.filter("key != _first").select(F.col("_first").alias("a"), F.col("key").alias("b")).distinct()
-    verify = lambda pairs: _true_links(_likely(pairs, signed, least), signed, docs, words_per_shingle, percent, text_col)
-    links = verify(star)
+    def links_of(tiles: DataFrame, labels: DataFrame) -> DataFrame:
+        likely = _likely(tiles, blocks, signed, labels, percent / 100)
+        return _true_links(likely, signed, docs, words_per_shingle, percent, text_col)
+
+    star = buckets.filter("key != _first").select("key", "_first").distinct().join(
+        blocks.toDF("key", "x"), "key").join(blocks.toDF("_first", "y"), "_first")
+    done = checkpoint(_tiles(star.select("x", "y")))
+    links = links_of(done, spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("root")))
     labels = components(links)
-    cross = verify(_cross_pairs(buckets.select("band_key", "key"), labels))
+    cross = links_of(checkpoint(_open_tiles(buckets, blocks, labels, done)), labels)
     if not cross.isEmpty():
         labels = components(links.unionAll(cross))
 
@@ -292,7 +346,7 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each group of near duplicates."""
-    stays = near_duplicates(docs, **options).filter("kept").select(F.col("at").alias("_at"))
-    return with_locator(docs, "_at").join(stays, "_at", "left_semi").select(docs.columns)
-
-
+    at = free_name(docs, "_at")
+    located = with_locator(docs, at)
+    stays = near_duplicates(located.drop(at), **options).filter("kept").select(F.col("at").alias(at))
+    return located.join(stays, at, "left_semi").select(docs.columns)
