@@ -231,10 +231,14 @@ def pair_table(
 
 
 def matched_sample(df: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
-    """Matched treated rows and the controls they point to, one row per pointer."""
-    treated = df.join(pairs.select(id_col), id_col)
-    controls = df.join(pairs.select(F.col("matched_id").alias(id_col)), id_col)
-    return treated.unionByName(controls)
+    """Matched treated rows and the controls they point to, one row per pointer.
+
+    Pointers are counted per id first, so the wide table is joined once.
+    """
+    both = pairs.select(F.explode(F.array(id_col, "matched_id")).alias(id_col))
+    copies = both.groupBy(id_col).agg(F.count(F.lit(1)).alias("_copies"))
+    repeat = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")
+    return df.join(copies, id_col).select("*", repeat).drop("_copies", "_copy")
 
 
 def semi_join(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
