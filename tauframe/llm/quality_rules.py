@@ -7,7 +7,7 @@ which merge by addition, so partial sketches are added before and after the shuf
 and the sketches of a language's sources add up to that of the language.
 
 A ratio passes while it lies within ``width`` times the spread between the quartiles
-beyond them. Quartiles of a group are drawn towards those of its language with the
+beyond them, and a little further in a short text. Quartiles of a group are drawn towards those of its language with the
 weight of ``prior`` documents, so a small source has no thresholds of its own making. A
 spread counts as ``least`` of its ratio at least.
 
@@ -29,13 +29,14 @@ from pyspark.sql.window import Window
 from tauframe.llm.storage import bound_batches, checkpoint
 from tauframe.llm.textvec import mix, text_slices, windows, words_of
 
-#: Ratio -> (numerator, denominator, smallest spread, whether low values fail too).
-RATIOS: dict[str, tuple[str, str, float, bool]] = {
-    "word_length": ("word_chars", "n_words", 0.8, True),
-    "symbol_share": ("n_symbols", "word_chars", 0.015, False),
-    "upper_share": ("n_upper", "word_chars", 0.03, False),
-    "duplicate_lines": ("n_dup_lines", "n_lines", 0.12, False),
-    "repeated_words": ("n_repeat_words", "n_words", 0.06, False),
+#: Ratio -> (numerator, denominator, smallest spread, noise, whether low values fail too).
+#: A text of few words has ratios by chance: bounds widen by noise / sqrt(denominator).
+RATIOS: dict[str, tuple[str, str, float, float, bool]] = {
+    "word_length": ("word_chars", "n_words", 0.8, 6.0, True),
+    "symbol_share": ("n_symbols", "word_chars", 0.015, 0.3, False),
+    "upper_share": ("n_upper", "word_chars", 0.03, 1.0, False),
+    "duplicate_lines": ("n_dup_lines", "n_lines", 0.12, 0.3, False),
+    "repeated_words": ("n_repeat_words", "n_words", 0.06, 0.3, False),
 }
 #: Bins grow by this factor; values below ``TINY`` share one bin.
 GROWTH, TINY = 1.02, 1e-4
@@ -115,7 +116,7 @@ def rule_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sour
 
 
 def _ratio(name: str) -> Column:
-    above, below, _, _ = RATIOS[name]
+    above, below, *_ = RATIOS[name]
     return F.when(F.col(below) > 0, F.col(above) / F.col(below)).otherwise(F.lit(0.0))
 
 
@@ -151,7 +152,7 @@ def thresholds(counts: DataFrame, width: float, prior: int) -> DataFrame:
     drawn = lambda a, b: (F.col(a) * F.col("docs") + F.col(b) * prior) / (F.col("docs") + prior)
     both = both.withColumn("q1", drawn("low", "_low")).withColumn("q3", drawn("high", "_high"))
     bounds = []
-    for name, (_, _, least, two_sided) in RATIOS.items():
+    for name, (_, _, least, _, two_sided) in RATIOS.items():
         spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(least)) * width
         mine = F.col("ratio") == name
         low = F.col("q1") - spread if two_sided else F.lit(float("-inf"))
@@ -175,8 +176,9 @@ def judge(
     limits = thresholds(counts, width, prior).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     passes = F.lit(True)
-    for name in RATIOS:
-        passes = passes & _ratio(name).between(F.col(f"{name}_least"), F.col(f"{name}_most"))
+    for name, (_, below, _, noise, _) in RATIOS.items():
+        slack = noise / F.sqrt(F.greatest(F.col(below), F.lit(1)))
+        passes = passes & _ratio(name).between(F.col(f"{name}_least") - slack, F.col(f"{name}_most") + slack)
     joined = counts.join(
         limits, counts["lang"].eqNullSafe(limits["_lang"]) & counts["source"].eqNullSafe(limits["_source"]))
     return joined.select(
