@@ -21,7 +21,7 @@ from tauframe.plans.catalog.fixtures import (
     raw_units,
     units,
 )
-from tauframe.plans.catalog.registry import q6, query, rounded, with_
+from tauframe.plans.catalog.registry import hash_order_ctes, q6, query, rounded, with_
 from tauframe.session import _ensure_checkpoint_dir
 from tauframe.sources import tables
 
@@ -312,13 +312,19 @@ def balance_larger_arm(spark, sf_dir):
     return df.groupBy("treatment").agg(F.countDistinct("uid").alias("n"))
 
 
-@query("balanced_sample_rows")
+@query("balanced_sample_rows", with_("""
+SELECT uid, treatment, y FROM (
+  SELECT *, row_number() OVER (PARTITION BY treatment ORDER BY h, uid) AS place,
+    least(count(*) FILTER (treatment = 1) OVER (), count(*) FILTER (treatment = 0) OVER ()) AS n FROM hashed)
+WHERE place <= n""", UNITS, *hash_order_ctes("hashed", "units", "uid", 40)))
 def balanced_sample_rows(spark, sf_dir):
     df = sampling.downsample_larger_arm(units(spark, sf_dir), "uid", "treatment", 40, 42)
     return df.select("uid", "treatment", "y")
 
 
-@query("hash_split")
+@query("hash_split", with_("""
+SELECT uid, treatment, (((h % 1000000 + 1000000) % 1000000) / 1000000 < 0.67)::INT AS train FROM hashed""",
+    UNITS, *hash_order_ctes("hashed", "units", "uid", 20231212)))
 def hash_split(spark, sf_dir):
     return sampling.flag_train(units(spark, sf_dir), "uid", 0.67, 20231212).select("uid", "treatment", "train")
 
@@ -341,7 +347,9 @@ def assemble_test_set(spark, sf_dir):
     return out.select("uid", "treatment", "segment")
 
 
-@query("honest_split")
+@query("honest_split", with_("""
+SELECT uid, CASE WHEN ((h % 1000000 + 1000000) % 1000000) / 1000000 < 0.5 THEN 'estimation' ELSE 'growth' END AS part
+FROM hashed""", UNITS, *hash_order_ctes("hashed", "units", "uid", 11)))
 def honest_split(spark, sf_dir):
     growth, estimation = sampling.honest_split(units(spark, sf_dir), "uid", 0.5, 11)
     return growth.select("uid", F.lit("growth").alias("part")).unionByName(

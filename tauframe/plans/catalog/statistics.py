@@ -375,19 +375,35 @@ def did_parallel_trend(spark, sf_dir):
     return rounded(out.select("term", "estimate"), "estimate")
 
 
-@query("did_ols_time", with_(f"SELECT 'post_x_category' AS term, {q6(DID_SQL)} AS estimate FROM panel", PANEL))
+def _by_date_sql(table: str, period: str) -> str:
+    """Least squares with date effects on two groups, one row for each date and group.
+
+    The groups' difference on a date is the group effect plus, in the period, the
+    interaction; a date's effect is the mean level left after both.
+    """
+    return f"""
+, gaps AS (SELECT dt, max(rate) FILTER (category = 1) AS y1, max(rate) FILTER (category = 0) AS y0,
+  max({period}) AS p FROM {table} GROUP BY dt)
+, effects AS (SELECT avg(y1 - y0) FILTER (p = 0) AS g, avg(y1 - y0) FILTER (p = 1) - avg(y1 - y0) FILTER (p = 0) AS d FROM gaps)
+, levels AS (SELECT dt, (y0 + y1 - g - d * p) / 2 AS level FROM gaps, effects)
+, base AS (SELECT min_by(level, dt) AS first, min(dt) AS day FROM levels)
+SELECT '{period}_x_category' AS term, {q6('d')} AS estimate FROM effects
+UNION ALL SELECT 'category', {q6('g')} FROM effects
+UNION ALL SELECT 'intercept', {q6('first')} FROM base
+UNION ALL SELECT '_' || strftime(dt, '%m%d'), {q6('level - first')} FROM levels, base WHERE dt > day"""
+
+
+@query("did_ols_time", with_("", PANEL).rstrip() + _by_date_sql("panel", "post"))
 def did_ols_time(spark, sf_dir):
     out = did.did_regression_by_date(panel(spark, sf_dir), "rate", "dt", "post", "category")
-    return rounded(out.select("term", "estimate").where("term = 'post_x_category'"), "estimate")
+    return rounded(out.select("term", "estimate"), "estimate")
 
 
-@query("did_parallel_trend_time", with_(
-    f"SELECT 'placebo_x_category' AS term, {q6(DID_SQL.replace('post', 'placebo'))} AS estimate FROM placebo_panel",
-    PANEL, PLACEBO))
+@query("did_parallel_trend_time", with_("", PANEL, PLACEBO).rstrip() + _by_date_sql("placebo_panel", "placebo"))
 def did_parallel_trend_time(spark, sf_dir):
     out = did.parallel_trend_test_by_date(
         panel(spark, sf_dir), "rate", "dt", "category", "2024-01-16", "2024-01-08")
-    return rounded(out.select("term", "estimate").where("term = 'placebo_x_category'"), "estimate")
+    return rounded(out.select("term", "estimate"), "estimate")
 
 
 @query("did_time_effects_full")

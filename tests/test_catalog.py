@@ -6,7 +6,6 @@ from compare import connect, differences
 from tauframe.plans.catalog import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-MODEL_FITS = {"model_tournament", "targeting_output", "daily_matching_pairs", "daily_matching_balance"}
 
 
 @pytest.fixture(scope="module")
