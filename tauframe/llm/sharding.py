@@ -55,11 +55,10 @@ def shard_by_bytes(
     groups = placed.groupBy("_digest").agg(
         F.min("_from").alias("_first"), F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_n"))
     copies = groups.filter("_n > 1").select("_digest", "_first", "_bytes")
-    # One row: the bytes of the whole table.
-    total = F.broadcast(placed.agg(F.sum("size").alias("_total")))
-    target = F.col("_total") / shards
-    start = F.when(F.col("_bytes") <= F.col("_total") * whole_share / shards, F.col("_first")).otherwise(F.col("_from"))
-    sharded = placed.join(copies, "_digest", "left").join(total).withColumn(
+    total = placed.agg(F.sum("size")).first()[0] or 1
+    target = F.lit(total) / shards
+    start = F.when(F.col("_bytes") <= F.lit(total) * whole_share / shards, F.col("_first")).otherwise(F.col("_from"))
+    sharded = placed.join(copies, "_digest", "left").withColumn(
         "shard", F.least(F.floor(start / target), F.lit(shards - 1)).cast("int"))
     # At most one row for each shard.
     first = F.broadcast(sharded.groupBy("shard").agg(
