@@ -231,8 +231,26 @@ def common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return size[row_a, row_b].astype(np.int64)
 
 
+def smallest_reached(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the smallest one that the links (x, y) reach."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
 def _true_links(likely: DataFrame, signed: DataFrame, docs: DataFrame, words_per_shingle: int, percent: int, text_col: str) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """Edges (a, b) that connect what pairs with 100 * intersection >= percent * union connect.
+
+    Every likely pair is decided on its full sets. Of a tile's true links, each document
+    keeps an edge to the first one it reaches, so a dense tile yields few rows.
+    """
     members = checkpoint(likely.select("tile", F.explode(F.array_union("a", "b")).alias("key")))
     needed = checkpoint(members.select("key").distinct().join(signed.select("key", "at"), "key"))
     if needed.count() <= BROADCAST_IDS:
@@ -262,7 +280,9 @@ def _true_links(likely: DataFrame, signed: DataFrame, docs: DataFrame, words_per
                 size = np.array([len(s) for s in sets])
                 both = common(sets, x, y)
                 keep = 100 * both >= percent * (size[x] + size[y] - both)
-                links.append(np.stack((key[x[keep]], key[y[keep]]), 1))
+                first = smallest_reached(len(key), x[keep], y[keep])
+                moved = np.flatnonzero(first != np.arange(len(key)))
+                links.append(np.stack((key[moved], key[first[moved]]), 1))
             found = np.concatenate(links)
             yield pa.RecordBatch.from_pydict({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
