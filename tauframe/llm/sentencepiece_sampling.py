@@ -41,6 +41,8 @@ from tauframe.llm.textvec import U64, Words, mix, raw_bytes, text_slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 SPACE = 32
+#: Bytes filtered at once: the more, the more often a word occurs among them.
+SLICE_BYTES = 1_000_000
 #: Draws of one word are this far apart before they are mixed.
 STEP = 0xD1B54A32D192ED03
 
@@ -164,7 +166,8 @@ def sample(texts: pa.Array, keys: np.ndarray, pieces: Pieces, trie: Trie, alpha:
     owner = word[first]
     source, target = first + owner, after + owner
     depth = after - head[owner]
-    order = np.lexsort((target, depth))
+    # By depth, then node, then length: one whole number, as pieces are short.
+    order = np.argsort((depth * (len(body) + len(pick)) + target) * 256 + target - source)
     source, target, piece, depth = source[order], target[order], piece[order], depth[order]
     log_weight = -alpha * np.log1p(pieces.rank[piece])
     log_sum = np.full(len(body) + len(pick), -np.inf)
@@ -201,7 +204,12 @@ def sample(texts: pa.Array, keys: np.ndarray, pieces: Pieces, trie: Trie, alpha:
         k = len(steps) + 1
         draw = (mix(state[active] + U64(k * STEP % 2**64)) >> U64(11)).astype(np.float64) / (1 << 53)
         group = group_of[node[active]]
-        edge = np.clip(np.searchsorted(ladder, group + draw, "right"), group_first[group], group_last[group])
+        # Few edges enter a node, so steps up the ladder beat a search of all of it.
+        edge, aim = group_first[group], group + draw
+        below = np.flatnonzero((edge < group_last[group]) & (ladder[edge] <= aim))
+        while len(below):
+            edge[below] += 1
+            below = below[(edge[below] < group_last[group[below]]) & (ladder[edge[below]] <= aim[below])]
         steps.append((active, piece[edge]))
         count[active] += 1
         node[active] = source[edge]
@@ -229,7 +237,7 @@ def encode(
         trie = Trie(own)
         for batch in batches:
             keys = np.asarray(pc.fill_null(batch.column(key_at).cast(pa.int64()), -1))
-            for first, texts in text_slices(batch.column(text_at)):
+            for first, texts in text_slices(batch.column(text_at), SLICE_BYTES):
                 part = batch.slice(first, len(texts))
                 ids, count = sample(texts, keys[first : first + len(texts)], own, trie, alpha, seed)
                 edges = pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32())
