@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tauframe.session import checkpoint
 
-#: Rows in an Arrow batch: a batch of long documents stays in the tens of MB.
+#: Rows and bytes in an Arrow batch; a single longer row is a batch of its own.
 BATCH_ROWS = 512
+BATCH_BYTES = "8m"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -40,6 +41,7 @@ def bound_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name, "10000")) > BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def id_remainder(id_col: str, modulus: int) -> Column:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes handled at once; a single longer text is still handled whole.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 _BASE = U64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
