@@ -1,20 +1,20 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Symbols are lower-cased words and one end for each text. The root is the add-one unigram
-distribution. A context of up to ``depth`` words is a candidate if its share of all tokens
-is at least ``min_share``: contexts of one length hence number at most 1 / min_share,
-whatever the corpus, and the tree fits in memory by construction. For a candidate the next
-symbols with at least ``min_next`` of its count (and ``MIN_COUNT`` occurrences) are kept, at
-most 1 / min_next of them, the others pooled; it becomes a state if its next symbols
-diverge from those of its longest suffix state: a likelihood-ratio test, and a divergence of
-``MIN_NATS``. Kept next symbols are smoothed with ``SMOOTHING`` pseudo-counts spread like
-the suffix state's distribution; the rest of the mass is spread like it, too, so every
-state's distribution sums to one. A text's score is the sum of log10 probabilities, each
-token's by the longest suffix state of the words before it in the text.
+distribution. Every context of up to ``depth`` words with ``MIN_COUNT`` occurrences is a
+candidate, whatever the size of the corpus, and every next symbol with ``MIN_COUNT``
+occurrences after it is kept, the others pooled. A candidate becomes a state if its next
+symbols diverge from those of its longest suffix state: a likelihood-ratio test, and a
+divergence of ``MIN_NATS``. Kept next symbols are smoothed with ``SMOOTHING`` pseudo-counts
+spread like the suffix state's distribution; the rest of the mass is spread like it, too, so
+every state's distribution sums to one. A text's score is the sum of log10 probabilities,
+each token's by the longest suffix state of the words before it in the text.
 
 Counts cover every training token. Counting is pre-aggregated in the task, then summed by
-hash. The tree and the counts of frequent words (at most 1 / head_share of them) are
-broadcast; the counts of all other words, which grow with the corpus, are joined by word.
+hash; contexts are tested by group. States and their next symbols are tables that grow with
+the corpus. The most frequent ``head_rows`` of each are broadcast for lookups in the task, as
+are the counts of frequent words (at most 1 / head_share of them); all others are joined. A
+bitmap of fixed size spares tokens that cannot meet a joined row; it decides nothing.
 
 Choices: words are identified by a 64-bit hash. A null text is empty and has the end only;
 a null id counts as empty text in the split. Repeated rows count each. Without training
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tauframe.llm.storage import bound_batches, checkpoint, with_locator
+from tauframe.llm.storage import bound_batches, checkpoint, release, with_locator
 from tauframe.llm.textvec import U64, mix, text_slices, windows, words_of
 
 END = U64(0x0E0F0E0F0E0F0E0F)
@@ -41,6 +41,8 @@ MIN_NATS = 1e-3
 SMOOTHING = 8.0
 #: Standard deviations of the test statistic beyond its mean.
 TEST_WIDTH = 4.0
+#: A bitmap has 2 ** CELL_BITS cells, one for each value of a key's first bits.
+CELL_BITS = 26
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,8 +78,32 @@ def find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.nd
     return place, sorted_keys[place] == wanted
 
 
+def cells(keys: DataFrame, name: str = "key") -> np.ndarray:
+    """The bitmap of the keys in column ``name``; at most 2 ** (CELL_BITS - 6) rows reach the driver."""
+    shift = 64 - CELL_BITS
+    words = keys.select(F.col(name).alias("k")).groupBy(F.expr(f"shiftrightunsigned(k, {shift + 6})").alias("word")).agg(
+        F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(k, {shift}) & 63 as int)))").alias("bits")).toArrow()
+    found = np.zeros(1 << (CELL_BITS - 6), dtype=U64)
+    found[words["word"].to_numpy()] = words["bits"].to_numpy().view(U64)
+    return found
+
+
+def in_cells(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    if not len(bitmap):
+        return np.zeros(len(key), bool)
+    cell = key >> U64(64 - CELL_BITS)
+    return (bitmap[(cell >> U64(6)).astype(np.int64)] >> (cell & U64(63))) & U64(1) > 0
+
+
+def row_keys(rows: np.ndarray) -> np.ndarray:
+    """The context key of the symbols in each row."""
+    n, k = rows.shape
+    return windows(np.ascontiguousarray(rows).ravel(), np.repeat(np.arange(n), k), k)[1]
+
+
 def entry_keys(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return mix(context ^ mix(symbol + U64(1)))
+    # Not symbol + 1, which is symbol ^ 1 for an even one: a pair and its reverse would meet.
+    return mix(context ^ mix(symbol + U64(0x5851F42D4C957F2D)))
 
 
 @dataclass
@@ -92,22 +118,27 @@ class Level:
 
 @dataclass
 class SuffixTree:
-    """The broadcast part of the model; ``total`` tokens, ``distinct`` symbols."""
+    """The broadcast part of the model; ``total`` tokens, ``distinct`` symbols.
+
+    ``tail`` has the other states and entries as rows (key, value), ``tail_cells`` their bitmap.
+    """
 
     total: int
     distinct: int
     head: np.ndarray
     head_log: np.ndarray
     levels: list[Level] = field(default_factory=list)
+    tail_cells: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
+    tail: DataFrame | None = None
 
     def parts(self) -> tuple:
         """The model as plain arrays, which any Python worker can read."""
         return (self.total, self.distinct, self.head, self.head_log, [
-            (x.context, x.log_rest, x.entry, x.log_entry) for x in self.levels])
+            (x.context, x.log_rest, x.entry, x.log_entry) for x in self.levels], self.tail_cells)
 
     @classmethod
     def of_parts(cls, parts: tuple) -> SuffixTree:
-        return cls(*parts[:4], [Level(*x) for x in parts[4]])
+        return cls(*parts[:4], [Level(*x) for x in parts[4]], parts[5])
 
     @property
     def log_all(self) -> float:
@@ -136,33 +167,79 @@ def symbol_counts(train: DataFrame) -> DataFrame:
     return _map_texts(train, count, "symbol long, n long", []).groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
-def next_counts(train: DataFrame, length: int, candidates: np.ndarray, followers: np.ndarray) -> DataFrame:
-    """(context, symbol, n) of candidate contexts before symbols that may be kept."""
-    spark = train.sparkSession
-    shared = spark.sparkContext.broadcast((candidates, followers))
+def gram_counts(train: DataFrame, length: int, shorter: np.ndarray) -> DataFrame:
+    """(w0, ..., w<length>, n): a context and its next symbol, with ``MIN_COUNT`` occurrences.
+
+    ``shorter`` is the bitmap of the runs of ``length`` symbols that have as many: a run of
+    one more can have them only if both runs inside it have.
+    """
+    shared = train.sparkSession.sparkContext.broadcast(shorter)
+    names = [f"w{j}" for j in range(length + 1)]
 
     def count(part, texts) -> dict:
-        known, may_follow = shared.value
         symbol, doc, _ = tokens(texts)
-        at, key = contexts(symbol, doc, length)
-        keep = find(known, key)[1]
-        at, key = at[keep], key[keep]
-        keep = find(may_follow, symbol[at])[1]
-        at, key = at[keep], key[keep]
-        _, first, n = np.unique(entry_keys(key, symbol[at]), return_index=True, return_counts=True)
+        at, key = windows(symbol, doc, length)
+        held = in_cells(shared.value, key)
+        good, context = np.zeros(len(symbol) + 1, bool), np.zeros(len(symbol), U64)
+        good[at[held]], context[at] = True, key
+        first = np.flatnonzero(good[:-1] & good[1:])
+        first = first[doc[first] == doc[first + length]]
+        _, place, n = np.unique(entry_keys(context[first], symbol[first + length]), return_index=True, return_counts=True)
+        first = first[place]
         return {
-            "context": pa.array(key[first].view(np.int64)),
-            "symbol": pa.array(symbol[at[first]].view(np.int64)), "n": pa.array(n, pa.int64())}
+            **{w: pa.array(symbol[first + j].view(np.int64)) for j, w in enumerate(names)}, "n": pa.array(n, pa.int64())}
 
-    return _map_texts(train, count, "context long, symbol long, n long", []).groupBy(
-        "context", "symbol").agg(F.sum("n").alias("n"))
+    schema = ", ".join(f"{w} long" for w in [*names, "n"])
+    return _map_texts(train, count, schema, []).groupBy(*names).agg(F.sum("n").alias("n")).filter(
+        F.col("n") >= MIN_COUNT)
+
+
+def gram_keys(grams: DataFrame, length: int) -> DataFrame:
+    """(gram, context, entry, parent, last, n): the keys of a context and its next symbol.
+
+    ``parent`` is the entry of the symbol after the context's longest suffix; after the
+    empty context it is the symbol itself.
+    """
+    names = [f"w{j}" for j in range(length + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.stack([np.asarray(batch.column(w)).view(U64) for w in names], 1)
+            last = rows[:, -1]
+            keys = {"gram": row_keys(rows), "last": last}
+            if length:
+                keys["context"] = row_keys(rows[:, :-1])
+                keys["entry"] = entry_keys(keys["context"], last)
+                keys["parent"] = entry_keys(row_keys(rows[:, 1:-1]), last) if length > 1 else last
+            yield pa.RecordBatch.from_pydict({
+                **{k: pa.array(np.ascontiguousarray(v).view(np.int64)) for k, v in keys.items()}, "n": batch.column("n")})
+
+    kinds = ["gram", "last", *(["context", "entry", "parent"] if length else []), "n"]
+    return grams.mapInArrow(run, ", ".join(f"{k} long" for k in kinds))
+
+
+def head_limit(table: DataFrame, rows: int) -> int:
+    """The least count that at most ``rows`` rows reach; all rows of a count are on one side."""
+    # One row for each power of a small step, so their number does not grow with the table.
+    step = F.floor(F.log2("n") * 16).cast("int").alias("step")
+    sizes = sorted(table.groupBy(step).agg(F.count(F.lit(1)), F.min("n")).collect(), reverse=True)
+    held, limit = 0, 1 << 62
+    for _, size, least in sizes:
+        held += size
+        if held > rows:
+            break
+        limit = least
+    return limit
 
 
 def fit(
-    train: DataFrame, depth: int = 2, min_share: float = 5e-4, min_next: float = 1 / 64,
-    head_share: float = 1e-6,
+    train: DataFrame, depth: int = 2, min_share: float = 0.0, head_share: float = 1e-6, head_rows: int = 1_000_000,
 ) -> tuple[SuffixTree, DataFrame]:
-    """The tree, and the table (symbol, n) of all counts. ``train`` has a ``text`` column."""
+    """The tree, and the table (symbol, n) of all counts. ``train`` has a ``text`` column.
+
+    Contexts below ``min_share`` of all tokens are left out. ``head_share`` and ``head_rows``
+    say what is broadcast; scores do not depend on them.
+    """
     counts = checkpoint(symbol_counts(train))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     # At most 1 / head_share rows.
@@ -171,97 +248,114 @@ def fit(
     order = np.argsort(symbol)
     symbol, n = symbol[order], n[order]
     tree = SuffixTree(int(total), int(distinct), symbol, np.log10(n + 1.0))
-    root = {int(s): (int(c) + 1.0) / (total + distinct + 1.0) for s, c in zip(symbol, n, strict=True)}
-
-    least = max(MIN_COUNT, int(np.ceil(total * min_share)))
-    followers = symbol[n >= max(MIN_COUNT, least * min_next)]
-    candidates = {(int(s),): int(c) for s, c in zip(symbol, n, strict=True) if c >= least and s != END}
-    states: dict[tuple[int, ...], tuple[dict[int, float], float]] = {}
-
-    def probability(context: tuple[int, ...], s: int) -> float:
-        while context and context not in states:
-            context = context[1:]
-        if not context:
-            return root[s]
-        kept, rest = states[context]
-        return kept[s] if s in kept else rest * probability(context[1:], s)
 
+    least, tails = max(MIN_COUNT, int(np.ceil(total * min_share))), []
+    words = counts.filter(F.col("n") >= MIN_COUNT)
+    grams = checkpoint(gram_keys(words.withColumnRenamed("symbol", "w0"), 0))
+    before = words.select(F.col("symbol").alias("parent"), ((F.col("n") + 1.0) / (total + distinct + 1.0)).alias("before"))
     for length in range(1, depth + 1):
-        if not candidates:
+        held = grams.filter((F.col("n") >= least) & (F.col("last") != int(END))).select(
+            F.col("gram").alias("context"), F.col("n").alias("count"))
+        if held.isEmpty():
             break
-        by_key = {context_key(c): c for c in candidates}
-        keys = np.sort(np.array(list(by_key), dtype=U64))
-        pairs = next_counts(train, length, keys, followers)
-        # Every context has at least ``least`` occurrences, so this keeps all that may be
-        # needed: at most 1 / (min_share * min_next) rows.
-        found = pairs.filter(F.col("n") >= max(MIN_COUNT, int(least * min_next))).toPandas()
-        nexts: dict[tuple[int, ...], dict[int, int]] = {c: {} for c in candidates}
-        unsigned = lambda c: found[c].to_numpy(np.int64).view(U64).tolist()
-        for key, s, c in zip(unsigned("context"), unsigned("symbol"), found["n"].tolist(), strict=True):
-            nexts[by_key[key]][s] = c
-        new = {}
-        for context, seen in sorted(nexts.items()):
-            state = _state(seen, candidates[context], min_next, lambda s, c=context: probability(c[1:], s))
-            if state is not None:
-                new[context] = state
-        states |= new
-        tree.levels.append(_level(new))
-        candidates = {
-            (*context, s): c for context, seen in nexts.items() for s, c in seen.items()
-            if c >= least and s != int(END)}
+        grams = checkpoint(gram_keys(gram_counts(train, length, cells(grams, "gram")), length))
+        states, grams = _states(grams, before, held)
+        before = grams.select(F.col("entry").alias("parent"), F.col("p").alias("before"))
+        entries = grams.filter("log_rest is not null").select(
+            F.col("entry").alias("key"), F.log10("p").alias("value"), "n")
+        parts = [states.select(F.col("context").alias("key"), F.col("log_rest").alias("value"), F.col("count").alias("n")), entries]
+        level = []
+        for table in parts:
+            limit = head_limit(table, head_rows)
+            common = table.filter(F.col("n") >= limit).toArrow()
+            key, value = common["key"].to_numpy().view(U64), common["value"].to_numpy()
+            order = np.argsort(key)
+            level += [key[order], value[order]]
+            tails.append(table.filter(F.col("n") < limit).select("key", "value"))
+        tree.levels.append(Level(*level))
+        release(train.sparkSession)
+    if tails:
+        tail = tails[0]
+        for other in tails[1:]:
+            tail = tail.unionAll(other)
+        tail = checkpoint(tail)
+        if not tail.isEmpty():
+            tree.tail, tree.tail_cells = tail, cells(tail)
     return tree, counts
 
 
-def _state(seen: dict[int, int], count: int, min_next: float, parent) -> tuple[dict[int, float], float] | None:
-    """(kept next symbols, factor of the others) if the context diverges from its suffix."""
-    kept = {s: c for s, c in seen.items() if c >= max(MIN_COUNT, min_next * count)}
-    if not kept:
-        return None
-    before = {s: parent(s) for s in kept}
-    cells = [(c / count, before[s]) for s, c in kept.items()]
-    rest, rest_before = 1 - sum(p for p, _ in cells), 1 - sum(q for _, q in cells)
-    nats = sum(p * np.log(p / q) for p, q in cells)
-    if rest > 0 and rest_before > 0:
-        nats += rest * np.log(rest / rest_before)
-    freedom = len(cells)
-    if nats < MIN_NATS or 2 * count * nats < freedom + TEST_WIDTH * np.sqrt(2 * freedom):
-        return None
-    smooth = {s: (c + SMOOTHING * before[s]) / (count + SMOOTHING) for s, c in kept.items()}
-    return smooth, (1 - sum(smooth.values())) / (1 - sum(before.values()))
-
-
-def _level(states: dict[tuple[int, ...], tuple[dict[int, float], float]]) -> Level:
-    keys = np.array([context_key(c) for c in states], dtype=U64)
+def _states(grams: DataFrame, before: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(context, count, log_rest) of contexts that diverge, and ``grams`` with p and log_rest.
+
+    ``p`` is the symbol's probability after the context by the longest suffix state;
+    ``log_rest`` is null where the context is no state.
+    """
+    known = checkpoint(grams.join(before, "parent").join(held, "context", "left"))
+    share = F.col("n") / F.col("count")
+    sums = known.filter("count is not null").groupBy("context").agg(
+        F.max("count").alias("count"), F.count(F.lit(1)).alias("freedom"), F.sum("n").alias("kept"),
+        F.sum("before").alias("q"), F.sum(share * F.log(share / F.col("before"))).alias("nats"))
+    rest, rest_before = 1 - F.col("kept") / F.col("count"), 1 - F.col("q")
+    nats = F.col("nats") + F.when((rest > 0) & (rest_before > 0), rest * F.log(rest / rest_before)).otherwise(F.lit(0.0))
+    enough = F.col("freedom") + TEST_WIDTH * F.sqrt(2 * F.col("freedom"))
+    left = (F.col("count") - F.col("kept") + SMOOTHING * rest_before) / (F.col("count") + SMOOTHING)
     # A context with nothing left over gives other symbols the least positive share.
-    rest = np.log10(np.maximum([r for _, r in states.values()], 1e-12)) if states else np.zeros(0)
-    order = np.argsort(keys)
-    owner = np.repeat(keys, [len(k) for k, _ in states.values()])
-    symbol = np.array([s for k, _ in states.values() for s in k], dtype=U64)
-    logs = np.log10([p for k, _ in states.values() for p in k.values()]) if states else np.zeros(0)
-    entry = entry_keys(owner, symbol)
-    by_entry = np.argsort(entry)
-    return Level(keys[order], rest[order], entry[by_entry], logs[by_entry])
+    factor = F.when(rest_before > 1e-12, F.greatest(left / rest_before, F.lit(1e-12))).otherwise(F.lit(1e-12))
+    states = checkpoint(sums.filter((nats >= MIN_NATS) & (2 * F.col("count") * nats >= enough)).select(
+        "context", "count", F.log10(factor).alias("log_rest")))
+    smooth = (F.col("n") + SMOOTHING * F.col("before")) / (F.col("count") + SMOOTHING)
+    return states, checkpoint(known.join(states.select("context", "log_rest"), "context", "left").select(
+        "gram", "last", "entry", "n", "log_rest", F.when(F.col("log_rest").isNotNull(), smooth).otherwise(F.col("before")).alias("p")))
 
 
-def token_logs(tree: SuffixTree, symbol: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log10 of count + 1, in the head, log10 probability) of each token.
+@dataclass
+class Lookup:
+    """Keys of one kind, where the broadcast part has them, and where only the tail may."""
+
+    key: np.ndarray
+    value: np.ndarray
+    found: np.ndarray
+    asked: np.ndarray
 
-    A token outside the head has 0 in place of its log10 of count + 1, in both figures.
+
+def lookups(tree: SuffixTree, symbol: np.ndarray, doc: np.ndarray) -> list[tuple[Lookup, Lookup]]:
+    """For each length the lookups of all tokens' contexts and entries."""
+    out = []
+    for length, level in enumerate(tree.levels, 1):
+        at, context = contexts(symbol, doc, length)
+        pair = []
+        for keys, values, key in (
+                (level.context, level.log_rest, context), (level.entry, level.log_entry, entry_keys(context, symbol[at]))):
+            place, held = find(keys, key)
+            one = Lookup(*(np.zeros(len(symbol), kind) for kind in (U64, float, bool, bool)))
+            one.key[at], one.found[at] = key, held
+            one.value[at[held]] = values[place[held]]
+            one.asked[at] = ~held & in_cells(tree.tail_cells, key)
+            pair.append(one)
+        out.append(tuple(pair))
+    return out
+
+
+def token_logs(
+    tree: SuffixTree, symbol: np.ndarray, doc: np.ndarray, looked: list[tuple[Lookup, Lookup]] | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(log10 of count + 1, in the head, log10 probability, whether by an entry) of each token.
+
+    A token outside the head has 0 in place of its log10 of count + 1, in the probability
+    only if no entry gives it. The tail is not looked at.
     """
     place, in_head = find(tree.head, symbol)
     log_count = np.where(in_head, tree.head_log[place] if len(tree.head) else 0.0, 0.0)
-    log_p = log_count - tree.log_all
-    for length, level in enumerate(tree.levels, 1):
-        at, key = contexts(symbol, doc, length)
-        state, held = find(level.context, key)
-        at, key, state = at[held], key[held], state[held]
-        entry, kept = find(level.entry, entry_keys(key, symbol[at]))
-        log_p[at] += level.log_rest[state]
-        log_p[at[kept]] = level.log_entry[entry[kept]]
-    return log_count, in_head, log_p
+    log_p, settled = log_count - tree.log_all, np.zeros(len(symbol), bool)
+    for state, entry in lookups(tree, symbol, doc) if looked is None else looked:
+        log_p = np.where(entry.found, entry.value, log_p + state.value)
+        settled |= entry.found
+    return log_count, in_head, log_p, settled
 
 
-SCORED = "file long, row long, doc_id long, n_tokens long, n_known long, base double, score double, symbol long"
+SCORED = (
+    "file long, row long, doc_id long, n_tokens long, n_known long, base double, score double, symbol long, "
+    "adds boolean, pos int, kind int")
 
 
 def score(docs: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,18 +364,34 @@ def score(docs: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: str = "d
     rows = with_locator(docs.select(id_col, text_col), "_at").select(
         F.xxhash64("_at.file").alias("file"), F.col("_at.row").alias("row"),
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # Kind 0 is a word's count, 2 * length - 1 a state, 2 * length an entry.
+    kinds = 1 + 2 * len(tree.levels) if tree.tail is not None else 0
 
     def scan(part, texts) -> dict:
-        """A row for each text, then one for each token whose count is not broadcast."""
+        """A row for each text, then one for each lookup of a token that is not broadcast."""
         model = SuffixTree.of_parts(shared.value)
         symbol, doc, size = tokens(texts)
-        log_count, in_head, log_p = token_logs(model, symbol, doc)
+        looked = lookups(model, symbol, doc)
+        log_count, in_head, log_p, settled = token_logs(model, symbol, doc, looked)
         n = len(texts)
         sums = lambda x: np.bincount(doc, weights=x, minlength=n)
-        rare = np.flatnonzero(~in_head)
-        owner = pa.array(np.concatenate((np.arange(n), doc[rare])))
-        none = lambda kind: pa.nulls(len(rare), kind)
+        flat = [x for pair in looked for x in pair] if kinds else []
+        asks = [~in_head, *(x.asked for x in flat)]
+        token = np.concatenate([np.flatnonzero(x) for x in asks])
+        kind = np.repeat(np.arange(len(asks)), [x.sum() for x in asks])
+        keys = np.concatenate([x[a] for x, a in zip([symbol, *(x.key for x in flat)], asks, strict=True)])
+        extra = {}
+        if kinds:
+            # A token with lookups is summed up after the join, from what is known of it here.
+            open_ = np.logical_or.reduce(asks)
+            log_p = np.where(open_, 0.0, log_p)
+            values = [(log_count - model.log_all, in_head), *((x.value, x.found) for x in flat)]
+            extra = {f"p{k}": pa.concat_arrays([
+                pa.nulls(n, pa.float64()), pa.array(v[token], pa.float64(), mask=~f[token])]) for k, (v, f) in enumerate(values)}
+        owner = pa.array(np.concatenate((np.arange(n), doc[token])))
+        none = lambda kind: pa.nulls(len(token), kind)
         whole = lambda x, kind: pa.concat_arrays([pa.array(x, kind), none(kind)])
+        after = lambda x, kind: pa.concat_arrays([pa.nulls(n, kind), pa.array(x, kind)])
         # A text's own row needs a symbol that no other row has, or all would meet.
         alone = mix(np.asarray(part.column("row")).astype(U64) ^ END)
         doc_id = part.column("doc_id").cast(pa.int64())
@@ -292,19 +402,36 @@ def score(docs: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: str = "d
             "n_known": whole(sums(in_head).astype(np.int64), pa.int64()),
             "base": whole(sums(log_count) - size * model.log_all, pa.float64()),
             "score": whole(sums(log_p), pa.float64()),
-            "symbol": pa.array(np.concatenate((alone, symbol[rare])).view(np.int64)),
+            "symbol": pa.array(np.concatenate((alone, keys)).view(np.int64)),
+            "adds": after(~settled[token], pa.bool_()), "pos": after(token, pa.int32()), "kind": after(kind, pa.int32()),
+            **extra,
         }
 
-    scanned = _map_texts(rows, scan, SCORED, ["file", "row", "doc_id"])
-    counted = scanned.join(counts.withColumnRenamed("n", "_n"), "symbol", "left")
-    rare = F.col("n_tokens").isNull()
-    log_count = F.when(rare & F.col("_n").isNotNull(), F.log10(F.col("_n") + 1)).otherwise(F.lit(0.0))
-    known = F.when(rare & F.col("_n").isNotNull(), F.lit(1)).otherwise(F.lit(0))
-    return counted.select("file", "row", "doc_id", "n_tokens", "n_known", "base", "score", log_count.alias("_log"), known.alias("_known")).groupBy("file", "row").agg(
+    schema = SCORED + "".join(f", p{k} double" for k in range(kinds))
+    scanned = _map_texts(rows, scan, schema, ["file", "row", "doc_id"])
+    values = counts.select("symbol", F.log10(F.col("n") + 1).alias("_value"))
+    if kinds:
+        values = values.unionAll(tree.tail.toDF("symbol", "_value"))
+    counted = scanned.join(values, "symbol", "left")
+    word = F.when(F.col("kind") == 0, F.col("_value"))
+    figures = ["doc_id", "n_tokens", "n_known", "base", "score"]
+    if kinds:
+        tokens_ = counted.groupBy("file", "row", "pos").agg(
+            *[F.max(c).alias(c) for c in figures], *[F.max(f"p{k}").alias(f"p{k}") for k in range(kinds)],
+            *[F.max(F.when(F.col("kind") == k, F.col("_value"))).alias(f"f{k}") for k in range(kinds)])
+        p = F.coalesce("p0", F.coalesce("f0", F.lit(0.0)) - tree.log_all)
+        for k in range(1, kinds, 2):
+            p = F.coalesce(f"p{k + 1}", f"f{k + 1}", p + F.coalesce(f"p{k}", f"f{k}", F.lit(0.0)))
+        log_count, add, known = F.col("f0"), F.when(F.col("pos").isNotNull(), p), F.col("f0").isNotNull()
+    else:
+        tokens_, log_count, add, known = counted, word, F.when(F.col("adds"), word), word.isNotNull()
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    return tokens_.select(
+        "file", "row", *figures, zero(log_count).alias("_log"), zero(add).alias("_add"), known.cast("int").alias("_known")).groupBy("file", "row").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
         (F.max("n_known") + F.sum("_known")).alias("n_known"),
         (F.max("base") + F.sum("_log")).alias("base_score"),
-        (F.max("score") + F.sum("_log")).alias("score")).drop("file", "row")
+        (F.max("score") + F.sum("_add")).alias("score")).drop("file", "row")
 
 
 def train_rows(docs: DataFrame, training: Column, text_col: str = "text") -> DataFrame:

@@ -135,6 +135,25 @@ def test_tail_counts_do_not_change_scores(spark):
     assert (results[0].n_known == results[1].n_known).all()
 
 
+def test_contexts_are_admitted_by_count(spark):
+    """A context of a vanishing share of the corpus is a state, and broadcasts change no score."""
+    rows = [r.text for r in corpus_with_habits(spark).collect()] + ["rare one two go a b c"] * 9
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    train = docs.select("text")
+    one, counts = suffix_tree.fit(train)
+    key = suffix_tree.context_key((int(suffix_tree.tokens(pa.array(["rare"]))[0][0]),))
+    assert key in one.levels[0].context and 9 / one.total < 5e-4 and one.tail is None
+    two, _ = suffix_tree.fit(train, head_share=2e-2, head_rows=2)
+    assert two.tail is not None and len(two.levels[0].context) <= 2
+    three, _ = suffix_tree.fit(train, head_rows=0)
+    wanted = suffix_tree.score(docs, one, counts).orderBy("doc_id").toPandas()
+    for tree in (two, three):
+        got = suffix_tree.score(docs, tree, counts).orderBy("doc_id").toPandas()
+        assert (got.n_known == wanted.n_known).all()
+        np.testing.assert_allclose(got.score, wanted.score, rtol=1e-9)
+        np.testing.assert_allclose(got.base_score, wanted.base_score, rtol=1e-9)
+
+
 def test_lm_hard_cases(spark):
     docs = hard_docs(spark)
     tree, counts = suffix_tree.fit(suffix_tree.train_rows(docs, catalog.id_remainder("doc_id", 7) != 2))
