@@ -16,6 +16,7 @@ are scored each; an empty table gives no rows. Only id and text are read of the
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -205,9 +206,11 @@ def fit(
 
     encoded = checkpoint(texts.mapInArrow(
         encode, "doc_id long, target double, passages long, figures array<double>"))
-    sizes = encoded.select("doc_id", "passages").collect()
+    sizes = encoded.groupBy("doc_id").agg(F.sum("passages").alias("passages")).collect()
     total, chosen = 0, []
-    for row in sorted(sizes, key=lambda r: (r["passages"], r["doc_id"])):
+    for row in sorted(sizes, key=lambda r: (hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["doc_id"])):
+        if row["passages"] > max_passages:
+            continue
         total += row["passages"]
         if total > max_passages:
             break

@@ -1,5 +1,6 @@
 """Classifier, language model, quality rules and segmentation against plain Python."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -66,6 +67,20 @@ def test_classifier_hard_cases(spark):
     assert quality_classifier.score(empty_docs(spark), model).count() == 0
 
 
+def test_classifier_sample_keeps_long_documents(spark, monkeypatch):
+    """Beyond the bound, documents are taken by id hash, whatever their length."""
+    rows = [(i, " ".join(["word"] * (640 if i % 2 else 10))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i // 2 % 2) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_classifier, "train", lambda bag, x, y: seen.append(np.bincount(bag)))
+    quality_classifier.fit(docs, labels, catalog.id_remainder("doc_id", 5) >= 0, max_passages=100)
+    order = sorted(range(40), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    upto = np.cumsum([10 if i % 2 else 1 for i in order])
+    assert seen[0].tolist() == [10 if i % 2 else 1 for i in sorted(np.array(order)[upto <= 100])]
+    assert 10 in seen[0]
+
+
 def plain_counts(rows):
     counts, tokens = Counter(), {}
     for i, t in rows:
