@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tauframe.llm import (
-    exact_dedup, mixing, near_dedup, oracles, pii, quality_classifier, quality_rules,
-    sentencepiece_sampling, sharding, suffix_tree, warc)
+    exact_dedup, merkle, mixing, near_dedup, oracles, pii, quality_classifier, quality_rules,
+    sentencepiece_sampling, sharding, substring_dedup, suffix_tree, warc, whitening)
 from tauframe.llm.storage import id_remainder
 
 SHARDS = 24
@@ -100,6 +100,29 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(spark, folder, index)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), limit=32)
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(_documents(spark, sf_dir), window=35).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    shifted = [F.try_add("n_chars", F.lit(1)) if c == "n_chars" else F.col(c) for c in columns]
+    tampered = (id_remainder("doc_id", 7) == 0) & F.col("doc_id").isNotNull()
+    leaves = _documents(spark, sf_dir).select(
+        F.col("lang").alias("group"), F.col("doc_id").alias("id"), merkle.leaf_digest([F.col(c) for c in columns]).alias("leaf"),
+        F.when(tampered, F.unhex(merkle.leaf_digest(shifted))).alias("shown"))
+    proved = merkle.manifest(leaves, fanout=2, carry=["shown"])
+    shown = F.coalesce(F.lower(F.hex("shown")), F.col("leaf"))
+    return proved.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        merkle.fold(shown, F.col("proof")).alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_exact_dedup": op2_exact_dedup,
@@ -111,6 +134,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
+    "op11_whitening": op11_whitening,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
@@ -118,4 +144,6 @@ ORACLES: dict[str, str] = {
     "op2_exact_dedup": oracles.EXACT_DEDUP,
     "op6_mixing": oracles.MIXING,
     "op10_warc": oracles.WARC,
+    "op12_substring_dedup": oracles.SUBSTRINGS,
+    "op13_merkle": oracles.MERKLE,
 }

@@ -90,3 +90,74 @@ SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 32), lambd
     CASE WHEN first <> page_id THEN first END AS refers_to
 FROM p
 """
+
+#: Words removed where a window of 35 words starts at two places or more.
+SUBSTRINGS = """
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents),
+windows AS (
+    SELECT r, s, array_to_string(list_slice(w, s, s + 34), ' ') AS h
+    FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM docs WHERE len(w) >= 35)),
+twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(s, s + 35)) AS i FROM windows JOIN twice USING (h)),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+kept AS (
+    SELECT r, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+    sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
+#: Two trees by recursion; a proof is the list of siblings by level, marked left or right.
+MERKLE = """
+WITH RECURSIVE steps(i, k, c) AS (
+    SELECT range, 0, range FROM range(256)
+    UNION ALL
+    SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+fields AS (
+    SELECT doc_id, n_chars, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+        coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+            || coalesce(strlen(lang) || ':' || lang, '-') AS front,
+        coalesce(strlen(text) || ':' || text, '-') AS back,
+        xor(list_reduce(list_prepend(4294967295, list_transform(
+            range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+            lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS sum
+    FROM documents, crc),
+docs AS (
+    SELECT doc_id, g, sha256(front || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || back) AS leaf,
+        sha256(front || coalesce(strlen((n_chars + c)::VARCHAR) || ':' || (n_chars + c), '-') || back) AS shown,
+        row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST) - 1 AS pos
+    FROM (SELECT *, CASE WHEN sum % 7 = 0 THEN 1 ELSE 0 END AS c FROM fields)),
+up AS (
+    SELECT 0 AS level, g, pos, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM docs
+    UNION ALL
+    SELECT level + 1, g, pos // 2, sha256(h || coalesce(next, '')), (n + 1) // 2
+    FROM (SELECT *, lead(h) OVER (PARTITION BY g ORDER BY pos) AS next FROM up WHERE n > 1) WHERE pos % 2 = 0),
+subroots AS (SELECT g, h AS subroot, level AS height FROM up WHERE n = 1),
+top AS (
+    SELECT 0 AS level, g AS pos, subroot AS h, count(*) OVER () AS n FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 2, sha256(h || coalesce(next, '')), (n + 1) // 2
+    FROM (SELECT *, lead(h) OVER (ORDER BY pos) AS next FROM top WHERE n > 1) WHERE pos % 2 = 0),
+root AS (SELECT h AS root, level AS above FROM top WHERE n = 1),
+low AS (SELECT *, unnest(range(height)) AS level FROM docs JOIN subroots USING (g)),
+high AS (SELECT *, unnest(range(above)) AS level FROM docs JOIN subroots USING (g), root),
+sides AS (
+    SELECT low.doc_id, low.g, low.pos, low.level AS place, (low.pos >> low.level) & 1 AS odd, up.h
+    FROM low LEFT JOIN up ON up.g = low.g AND up.level = low.level AND up.pos = xor(low.pos >> low.level, 1)
+    UNION ALL
+    SELECT high.doc_id, high.g, high.pos, height + high.level, (high.g >> high.level) & 1, top.h
+    FROM high LEFT JOIN top ON top.level = high.level AND top.pos = xor(high.g >> high.level, 1)),
+proofs AS (
+    SELECT g, pos, string_agg(coalesce(h, ''), '' ORDER BY place) AS siblings,
+        list(CASE WHEN odd = 1 THEN 'L' ELSE 'R' END || coalesce(h, '') ORDER BY place) AS sides
+    FROM sides GROUP BY g, pos)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, folded AS folded_root,
+    folded = root AS verified
+FROM (
+    SELECT *, list_reduce(list_prepend(shown, coalesce(sides, [])), lambda a, b: sha256(CASE
+        WHEN substr(b, 1, 1) = 'L' THEN substr(b, 2) || a ELSE a || substr(b, 2) END)) AS folded
+    FROM docs JOIN subroots USING (g) LEFT JOIN proofs USING (g, pos), root)
+"""

@@ -27,6 +27,6 @@ def test_matches_sql(spark, name):
 
 def test_all_are_registered():
     names = list(__spark_entry__.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
