@@ -3,17 +3,9 @@
 from __future__ import annotations
 
 import math
-import sys
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-
-# Executors need not have this package installed to run its one pandas UDF.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Published Chebyshev fit of the complementary error function,
 # constant term first.
@@ -82,49 +74,67 @@ def z_p_value(p0, n0, p1, n1, v0=None, v1=None) -> Column:
     return two_sided_normal_p(safe_divide(F.abs(p0 - p1), spread))
 
 
-def _beta_continued_fraction(a: float, b: float, x: float) -> float:
-    # Modified Lentz evaluation of the incomplete-beta continued fraction.
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    total = d
-    for m in range(1, 500):
-        for numerator in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1.0 + numerator * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + numerator / c
-            c = c if abs(c) > tiny else tiny
-            total *= d * c
-        if abs(d * c - 1.0) < 1e-15:
-            break
-    return total
-
-
-def student_t_two_sided(t: float, df: float) -> float:
-    """P(|T| >= |t|) of Student's t by the regularised incomplete beta."""
-    if t is None or df is None or not np.isfinite(t) or not df > 0:
-        return float("nan")
-    x, a, b = df / (df + t * t), df / 2.0, 0.5
-    if x >= 1.0:
-        return 1.0
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-        + a * math.log(x) + b * math.log1p(-x)
-    )
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_continued_fraction(a, b, x) / a
-    return 1.0 - front * _beta_continued_fraction(b, a, 1.0 - x) / b
-
-
-@F.pandas_udf(DoubleType())
-def _t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([student_t_two_sided(a, b) for a, b in zip(t, df)])
-
-
-def t_p_value(t: Column, df: Column) -> Column:
-    """Two-sided Student p; meant for aggregated rows, a handful per query."""
-    p = _t_p_value(t.cast("double"), df.cast("double"))
-    return F.when(F.isnan(p), F.lit(None).cast("double")).otherwise(p)
+#: Two-sided Student p: depth of the continued fraction, and the degrees of freedom from
+#: which the normal transform below is closer than the fraction's rounding.
+FRACTION_DEPTH = 600
+LARGE_DOF = 1000.0
+GAMMA_STEPS = 20
+
+# The asymptotic series of gamma(z + 1/2) / (gamma(z) sqrt(z)) in 1/z.
+HALF_STEP = [1.0, -1 / 8, 1 / 128, 5 / 1024, -21 / 32768, -399 / 262144, 869 / 4194304]
+
+
+def _student_text(t: str, v: str, fold, log1p) -> str:
+    """Two-sided p of ``t`` with ``v`` degrees of freedom, both SQL text of doubles, as SQL text.
+
+    Up to ``LARGE_DOF`` degrees of freedom it is the regularised incomplete beta function
+    by its continued fraction, evaluated from its end in a fold; beyond, a normal
+    deviate with the same tail (Hill's expansion in 1/v). ``fold(start, body)`` runs
+    ``body`` in ``f`` and ``k`` for k from ``FRACTION_DEPTH`` to 1.
+    """
+    a = f"({v} / 2e0)"
+    shifted = f"({a} + {GAMMA_STEPS}e0)"
+    series = " + ".join(f"({c:.17e}) / pow({shifted}, {i})" for i, c in enumerate(HALF_STEP))
+    steps = " * ".join(f"({a} + {i}e0) / ({a} + {i}.5e0)" for i in range(GAMMA_STEPS))
+    ratio = f"(sqrt({shifted}) * ({series}) * {steps})"
+    x, y = f"({v} / ({v} + {t} * {t}))", f"({t} * {t} / ({v} + {t} * {t}))"
+    log = log1p(f"({t} * {t} / {v})")
+    front = f"(exp(-{a} * {log}) * sqrt({y}) * {ratio} / {math.sqrt(math.pi)!r}e0)"
+    # I_x(a, 1/2) directly in the tail, else 1 - I_y(1/2, a).
+    tail = f"{x} < ({a} + 1e0) / ({a} + 2.5e0)"
+    p, q, z = (f"(CASE WHEN {tail} THEN {u} ELSE {w} END)" for u, w in ((a, "0.5e0"), ("0.5e0", a), (x, y)))
+    m = "floor(k / 2e0)"
+    odd = f"-({p} + {m}) * ({p} + {q} + {m}) * {z} / (({p} + 2e0 * {m}) * ({p} + 2e0 * {m} + 1e0))"
+    even = f"{m} * ({q} - {m}) * {z} / (({p} + 2e0 * {m} - 1e0) * ({p} + 2e0 * {m}))"
+    body = f"(CASE WHEN k % 2e0 = 1e0 THEN {odd} ELSE {even} END) / nullif(1e0 + f, 0e0)"
+    fraction = f"({front} / (1e0 + {fold('0e0', body)}))"
+    exact = f"(CASE WHEN {t} = 0e0 THEN 1e0 WHEN {tail} THEN {fraction} / {a} ELSE 1e0 - {fraction} / 0.5e0 END)"
+    b = f"(48e0 * ({v} - 0.5e0) * ({v} - 0.5e0))"
+    w = f"(({v} - 0.5e0) * {log})"
+    # The coefficients of Hill's expansion.
+    bend = f"(((-0.4e0 * {w} - 3.3e0) * {w} - 24e0) * {w} - 85.5e0) / (0.8e0 * {w} * {w} + 100e0 + {b})"
+    normal = f"((({bend} + {w} + 3e0) / {b} + 1e0) * sqrt({w}))"
+    wide = f"least(1e0, {erfc_sql(f'{normal} / {math.sqrt(2.0)!r}e0')})"
+    return f"CASE WHEN {v} <= {LARGE_DOF!r}e0 THEN {exact} ELSE {wide} END"
+
+
+def t_p_sql(t: str, dof: str) -> str:
+    """SQL twin of :func:`t_p_value`."""
+    t, v = f"({t})::double", f"({dof})::double"
+    steps = f"list_reverse(range(1, {FRACTION_DEPTH + 1}))::double[]"
+    text = _student_text(
+        t, v, lambda start, body: f"list_reduce(list_prepend({start}, {steps}), lambda f, k: {body})",
+        lambda u: f"ln(1e0 + {u})")
+    return f"CASE WHEN isfinite({t}) AND {v} > 0 THEN {text} END"
+
+
+def t_p_value(t: str, dof: str) -> Column:
+    """Two-sided Student p of two columns; meant for aggregated rows.
+
+    Null unless t is finite and the degrees of freedom are positive.
+    """
+    t, v = f"double({t})", f"double({dof})"
+    steps = f"transform(sequence({FRACTION_DEPTH}, 1, -1), k -> double(k))"
+    text = _student_text(
+        t, v, lambda start, body: f"aggregate({steps}, {start}, (f, k) -> {body})", lambda u: f"log1p({u})")
+    return F.expr(f"CASE WHEN abs({t}) < double('Infinity') AND {v} > 0 THEN {text} END")

@@ -96,7 +96,7 @@ def t_tests(df: DataFrame, treatment: str, features, by=()) -> DataFrame:
     out = feature_moments(df, treatment, features, by).select(
         *by, "feature", stats["t_stat"].alias("t_stat"), stats["dof"].alias("dof")
     )
-    return out.withColumn("p_value", t_p_value(F.col("t_stat"), F.col("dof")))
+    return out.withColumn("p_value", t_p_value("t_stat", "dof"))
 
 
 def compare_arms(df: DataFrame, treatment: str, outcome: str, alpha: float = 0.05) -> DataFrame:
@@ -108,7 +108,7 @@ def compare_arms(df: DataFrame, treatment: str, outcome: str, alpha: float = 0.0
         stats["t_stat"].alias("t_stat"),
         stats["dof"].alias("dof"),
     )
-    out = out.withColumn("p_value", t_p_value(F.col("t_stat"), F.col("dof")))
+    out = out.withColumn("p_value", t_p_value("t_stat", "dof"))
     return out.withColumn("significant", ~(F.col("p_value") > alpha))
 
 
@@ -120,7 +120,7 @@ def balance_table(df: DataFrame, treatment: str, features, label: str = "before"
         stats["smd"].alias("smd"), stats["t_stat"].alias("t_stat"), stats["dof"].alias("dof"),
     )
     return out.select(
-        "feature", "matching", "smd", t_p_value(F.col("t_stat"), F.col("dof")).alias("p_value")
+        "feature", "matching", "smd", t_p_value("t_stat", "dof").alias("p_value")
     )
 
 
@@ -142,7 +142,7 @@ def balance_before_after(df: DataFrame, matched: DataFrame, treatment: str, feat
     )
     return out.select(
         "feature", "matching", "smd",
-        t_p_value(F.col("t_stat"), F.col("dof")).alias("p_value"), "n_treatment", "n_control",
+        t_p_value("t_stat", "dof").alias("p_value"), "n_treatment", "n_control",
     )
 
 

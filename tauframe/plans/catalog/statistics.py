@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tauframe.functions.stats import erfc_sql
+from tauframe.functions.stats import t_p_sql
 from tauframe.operators import describe, did
 from tauframe.operators.describe import response_slope, smoothed_rate
 from tauframe.operators.matching import match_with_replacement, matched_sample
@@ -102,9 +103,14 @@ def compare_groups(spark, sf_dir):
     return rounded(out, "control_mean", "treatment_mean", "t_stat").drop("p_value", "significant")
 
 
-@query("compare_groups_verdict")
+@query("compare_groups_verdict", with_(f"""
+SELECT control_mean, treatment_mean, t_stat, dof, {q6(t_p_sql('t_stat', 'dof'))} AS p_value,
+  NOT ({t_p_sql('t_stat', 'dof')} > 0.05e0) AS significant
+FROM (SELECT {q6('m0')} AS control_mean, {q6('m1')} AS treatment_mean, {q6(T_SQL)} AS t_stat, n0 + n1 - 2 AS dof
+  FROM ({_moments_sql('units', ['y'])}))""", UNITS))
 def compare_groups_verdict(spark, sf_dir):
-    return describe.compare_arms(units(spark, sf_dir), "treatment", "y")
+    out = describe.compare_arms(units(spark, sf_dir), "treatment", "y")
+    return rounded(out, "control_mean", "treatment_mean", "t_stat", "p_value")
 
 
 @query("t_test", with_(
@@ -113,9 +119,11 @@ def t_test(spark, sf_dir):
     return rounded(describe.t_tests(units(spark, sf_dir), "treatment", FEATURES), "t_stat").drop("p_value")
 
 
-@query("t_test_p_values")
+@query("t_test_p_values", with_(f"""
+SELECT feature, {q6('t')} AS t_stat, dof, {q6(t_p_sql('t', 'dof'))} AS p_value
+FROM (SELECT feature, {T_SQL} AS t, n0 + n1 - 2 AS dof FROM ({_moments_sql('units', FEATURES)}))""", UNITS))
 def t_test_p_values(spark, sf_dir):
-    return describe.t_tests(units(spark, sf_dir), "treatment", FEATURES)
+    return rounded(describe.t_tests(units(spark, sf_dir), "treatment", FEATURES), "t_stat", "p_value")
 
 
 @query("smd", with_(f"SELECT feature, {q6(SMD_SQL)} AS smd FROM ({_moments_sql('units', FEATURES)})", UNITS))
@@ -363,9 +371,43 @@ def did_ols(spark, sf_dir):
     return rounded(out.select("term", "estimate"), "estimate")
 
 
-@query("did_ols_inference")
+INFERENCE = ("estimate", "std_error", "t_stat", "p_value", "r2")
+
+
+def _inference_sql(terms: str) -> str:
+    """t, p and rounding for rows of term, estimate, std_error, r2 and dof."""
+    return f"""
+SELECT term, {q6('estimate')} AS estimate, {q6('std_error')} AS std_error, {q6('estimate / std_error')} AS t_stat,
+  {q6(t_p_sql('estimate / std_error', 'dof'))} AS p_value, {q6('r2')} AS r2, dof FROM ({terms})"""
+
+
+def _cells_inference_sql(source: str, period: str) -> str:
+    """The saturated fit on two groups and two periods: each cell's mean is its fitted value."""
+    cell = [(g, p) for g in (0, 1) for p in (0, 1)]
+    parts = ", ".join(
+        f"{f}(rate) FILTER (category = {g} AND {period} = {p}) AS {n}{g}{p}"
+        for g, p in cell for f, n in (("avg", "m"), ("count", "n"), ("var_pop", "v")))
+    sse = " + ".join(f"n{g}{p} * v{g}{p}" for g, p in cell)
+    terms = {
+        f"{period}_x_category": ("(m11 - m10) - (m01 - m00)", "1e0 / n00 + 1e0 / n01 + 1e0 / n10 + 1e0 / n11"),
+        "category": ("m10 - m00", "1e0 / n00 + 1e0 / n10"), period: ("m01 - m00", "1e0 / n00 + 1e0 / n01"),
+        "intercept": ("m00", "1e0 / n00")}
+    return _inference_sql(" UNION ALL ".join(
+        f"SELECT '{t}' AS term, {e} AS estimate, sqrt(s2 * ({w})) AS std_error, r2, dof FROM "
+        f"(SELECT *, ({sse}) / (n - 4) AS s2, 1 - ({sse}) / sst AS r2, n - 4 AS dof FROM "
+        f"(SELECT {parts}, count(*) AS n, count(*) * var_pop(rate) AS sst FROM {source}))" for t, (e, w) in terms.items()))
+
+
+@query("did_ols_inference", with_(_cells_inference_sql("panel", "post"), PANEL))
 def did_ols_inference(spark, sf_dir):
-    return did.did_regression(panel(spark, sf_dir), "rate", "post", "category")
+    return rounded(did.did_regression(panel(spark, sf_dir), "rate", "post", "category"), *INFERENCE)
+
+
+@query("did_parallel_trend_inference", with_(_cells_inference_sql("placebo_panel", "placebo"), PANEL, PLACEBO))
+def did_parallel_trend_inference(spark, sf_dir):
+    out = did.parallel_trend_test(
+        panel(spark, sf_dir), "rate", "dt", "category", "2024-01-16", "2024-01-08")
+    return rounded(out, *INFERENCE)
 
 
 @query("did_parallel_trend", with_(_cells_sql("placebo_panel", "placebo"), PANEL, PLACEBO))
@@ -406,6 +448,35 @@ def did_parallel_trend_time(spark, sf_dir):
     return rounded(out.select("term", "estimate"), "estimate")
 
 
-@query("did_time_effects_full")
+def _by_date_inference_sql(table: str, period: str) -> str:
+    """Errors of the fit above: gaps and sums of a date's two rows are independent."""
+    steps = f"""
+, gaps AS (SELECT dt, max(rate) FILTER (category = 1) AS y1, max(rate) FILTER (category = 0) AS y0,
+  max({period}) AS p FROM {table} GROUP BY dt)
+, means AS (SELECT avg(y1 - y0) FILTER (p = 0) AS g, avg(y1 - y0) FILTER (p = 1) - avg(y1 - y0) FILTER (p = 0) AS d,
+  count(*) AS days, count(*) FILTER (p = 0) AS t0, count(*) FILTER (p = 1) AS t1 FROM gaps)
+, sizes AS (SELECT sum((y1 - y0 - g - d * p) ** 2) / 2 AS sse FROM gaps, means)
+, fit AS (SELECT *, sse / (days - 2) AS s2, days - 2 AS dof,
+  1 - sse / (SELECT count(*) * var_pop(rate) FROM {table}) AS r2 FROM means, sizes)
+, levels AS (SELECT dt, p, (y0 + y1 - g - d * p) / 2 AS level FROM gaps, fit)
+, base AS (SELECT min_by(level, dt) AS first, min(dt) AS day FROM levels)"""
+    return steps + _inference_sql(f"""
+SELECT '{period}_x_category' AS term, d AS estimate, sqrt(2 * s2 * (1e0 / t0 + 1e0 / t1)) AS std_error, r2, dof FROM fit
+UNION ALL SELECT 'category', g, sqrt(2 * s2 / t0), r2, dof FROM fit
+UNION ALL SELECT 'intercept', first, sqrt((2 * s2 + 2 * s2 / t0) / 4), r2, dof FROM fit, base
+UNION ALL SELECT '_' || strftime(dt, '%m%d'), level - first, sqrt(s2 + p * s2 * (1e0 / t0 + 1e0 / t1) / 2), r2, dof
+  FROM levels, fit, base WHERE dt > day""")
+
+
+@query("did_time_effects_full", with_("", PANEL).rstrip() + _by_date_inference_sql("panel", "post"))
 def did_time_effects_full(spark, sf_dir):
-    return did.did_regression_by_date(panel(spark, sf_dir), "rate", "dt", "post", "category")
+    out = did.did_regression_by_date(panel(spark, sf_dir), "rate", "dt", "post", "category")
+    return rounded(out, *INFERENCE)
+
+
+@query("did_parallel_trend_time_full",
+       with_("", PANEL, PLACEBO).rstrip() + _by_date_inference_sql("placebo_panel", "placebo"))
+def did_parallel_trend_time_full(spark, sf_dir):
+    out = did.parallel_trend_test_by_date(
+        panel(spark, sf_dir), "rate", "dt", "category", "2024-01-16", "2024-01-08")
+    return rounded(out, *INFERENCE)

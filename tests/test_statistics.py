@@ -12,11 +12,56 @@ from tauframe.operators import describe, did, ordered, prepare, quantiles, ranki
 from tauframe.sources import tables
 
 
-def test_student_t_against_known_values():
-    # Two-sided p of Student's t from published tables.
-    for t, df, p in ((12.706, 1, 0.05), (2.228, 10, 0.05), (2.750, 30, 0.01), (1.960, 1e7, 0.05), (0.0, 5, 1.0)):
-        assert stats.student_t_two_sided(t, df) == pytest.approx(p, abs=2e-4)
-    assert math.isnan(stats.student_t_two_sided(None, 3))
+def _beta_continued_fraction(a: float, b: float, x: float) -> float:
+    # Modified Lentz evaluation of the incomplete-beta continued fraction.
+    tiny = 1e-300
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    total = d
+    for m in range(1, 500):
+        for numerator in (
+            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+        ):
+            d = 1.0 + numerator * d
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = 1.0 + numerator / c
+            c = c if abs(c) > tiny else tiny
+            total *= d * c
+        if abs(d * c - 1.0) < 1e-15:
+            break
+    return total
+
+
+def student_t_two_sided(t: float, df: float) -> float:
+    """P(|T| >= |t|) of Student's t by the regularised incomplete beta."""
+    if t is None or df is None or not math.isfinite(t) or not df > 0:
+        return float("nan")
+    x, a, b = df / (df + t * t), df / 2.0, 0.5
+    if x >= 1.0:
+        return 1.0
+    front = math.exp(
+        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+        + a * math.log(x) + b * math.log1p(-x)
+    )
+    if x < (a + 1.0) / (a + b + 2.0):
+        return front * _beta_continued_fraction(a, b, x) / a
+    return 1.0 - front * _beta_continued_fraction(b, a, 1.0 - x) / b
+
+
+def test_student_t_against_the_plain_fraction(spark):
+    cases = [(t, v) for t in (0.0, 1e-9, 0.3, 1.7, 2.0, 4.5, -12.0, 60.0, 1e4) for v in (1, 2, 3, 7, 56, 500, 999, 1001, 20_000, 10**6)]
+    cases += [(None, 3), (1.0, 0), (math.nan, 3), (math.inf, 3), (1.0, None)]
+    df = spark.createDataFrame(cases, "t double, dof long").select("t", "dof", stats.t_p_value("t", "dof").alias("p"))
+    for r in df.collect():
+        want = student_t_two_sided(r["t"], r["dof"])
+        if math.isnan(want):
+            assert r["p"] is None
+        else:
+            assert r["p"] == pytest.approx(want, rel=1e-9 if r["dof"] <= 1000 else 2e-7)
+    # Fixed values from published tables of critical points.
+    for t, dof, p in ((2.228, 10, 0.05), (2.756, 29, 0.01), (12.706, 1, 0.05)):
+        assert student_t_two_sided(t, dof) == pytest.approx(p, abs=2e-4)
 
 
 def test_normal_p_is_close_to_erfc(spark):
@@ -181,7 +226,48 @@ def test_panel_regressions_recover_the_effect(spark):
 def test_aliased_regressors_are_left_out(spark):
     df = spark.createDataFrame([(float(i), float(i % 4)) for i in range(40)], "a double, b double")
     df = df.withColumn("twice", 2 * F.col("a") + F.col("b")).withColumn("one", F.lit(1.0))
-    assert did.independent_columns(df, ["a", "b", "twice", "one"]) == ["a", "b"]
+    df = df.withColumn("y", 3 * F.col("a") - F.col("b") + 1 + F.col("a") % 3)
+    rng = np.array([[r["a"], r["b"], r["twice"], r["one"]] for r in df.collect()])
+    gram = (rng - rng.mean(0)).T @ (rng - rng.mean(0))
+    assert did.independent_columns(gram) == [0, 1]
+    some = {r["term"]: r for r in did.ols(df, "y", ["a", "b", "twice", "one"]).collect()}
+    plain = {r["term"]: r for r in did.ols(df, "y", ["a", "b"]).collect()}
+    assert set(some) == {"a", "b", "intercept"} and some == plain
+
+
+def plain_ols(x, y):
+    """Estimates, errors, t, R2 and degrees of freedom by a QR fit on all columns."""
+    b, *_ = np.linalg.lstsq(x, y, rcond=None)
+    left = y - x @ b
+    dof = len(y) - x.shape[1]
+    errors = np.sqrt(left @ left / dof * np.diag(np.linalg.inv(x.T @ x)))
+    return b, errors, b / errors, 1 - left @ left / ((y - y.mean()) @ (y - y.mean())), dof
+
+
+def test_fits_equal_dense_least_squares(spark):
+    rng = np.random.default_rng(3)
+    n = 300
+    x1, x2, day = rng.normal(50_000, 1, n), rng.normal(size=n), rng.integers(1, 8, n)
+    y = 1e6 + 2 * x1 - x2 + 0.3 * day + rng.normal(size=n)
+    rows = [(float(a), float(b), f"2023-11-{d:02d}", float(c)) for a, b, d, c in zip(x1, x2, day, y)]
+    rows += [(None, 1.0, "2023-11-01", 5.0), (1.0, 1.0, None, 5.0), (1.0, 1.0, "2023-11-01", None)]
+    df = spark.createDataFrame(rows, "x1 double, x2 double, day string, y double")
+    flags = np.stack([(day == d).astype(float) for d in range(2, 8)], 1)
+    ones = np.ones((n, 1))
+    plain = {r["term"]: r for r in did.ols(df.where("day is not null"), "y", ["x1", "x2"]).collect()}
+    dated = {r["term"]: r for r in did.ols_with_effects(
+        df, "y", ["x1", "x2"], F.date_format(F.to_date("day"), "MMdd")).collect()}
+    for fit, extra, names in ((plain, [], []), (dated, [flags], [f"_11{d:02d}" for d in range(2, 8)])):
+        x = np.hstack([np.stack([x1 - 50_000, x2], 1), *extra, ones])
+        b, se, _, r2, dof = plain_ols(x, y)
+        for i, term in enumerate(["x1", "x2", *names]):
+            assert fit[term]["estimate"] == pytest.approx(b[i], rel=1e-7)
+            assert fit[term]["std_error"] == pytest.approx(se[i], rel=1e-7)
+            assert fit[term]["t_stat"] == pytest.approx(b[i] / se[i], rel=1e-7)
+        assert fit["intercept"]["estimate"] == pytest.approx(b[-1] - 50_000 * b[0], rel=1e-7)
+        assert fit["x1"]["r2"] == pytest.approx(r2, abs=1e-9) and fit["x1"]["dof"] == dof
+        assert set(fit) == {"x1", "x2", "intercept", *names}
+    assert did.ols(df.where("y < 0"), "y", ["x1"]).collect() == []
 
 
 def test_month_day_numbers_with_three_digits(spark):
