@@ -11,7 +11,6 @@ node, and arm: ``n_l0`` rows, ``s_l0`` outcome sum, ``p_l0`` rate, ``slope_l``.
 from __future__ import annotations
 
 UPLIFT_CRITERIA = ("KL", "ED", "Chi", "DDP", "CTS", "CAPE")
-CAUSAL_CRITERIA = ("standard_mse", "causal_mse", "t_test")
 PROBABILITY_FLOOR = "1e-6D"
 
 
@@ -118,56 +117,3 @@ def uplift_gain(criterion: str, normalizer: str | None) -> tuple[str, str]:
         return f"rows_l * rows_r / ({n} * {n}) * {square}", weighted
     gain = f"(rows_l / {n} * score_l + rows_r / {n} * score_r - score)"
     return (gain if normalizer is None else f"{gain} / {normalizer}"), weighted
-
-
-def effect_columns(side: str) -> dict[str, str]:
-    """Effect and arm variances of one side from its counts, sums and squares."""
-    out = {}
-    for arm in ("t", "c"):
-        mean = f"try_divide({side}_s{arm}, {side}_n{arm})"
-        out[f"{side}_v{arm}"] = (
-            f"greatest(try_divide({side}_q{arm}, {side}_n{arm}) - {mean} * {mean}, 0D)"
-        )
-    out[f"{side}_tau"] = (
-        f"try_divide({side}_st, {side}_nt) - try_divide({side}_sc, {side}_nc)"
-    )
-    return out
-
-
-def _sampling_variance(side: str) -> str:
-    return f"(try_divide({side}_vt, {side}_nt) + try_divide({side}_vc, {side}_nc))"
-
-
-def causal_impurity(criterion: str, side: str) -> str:
-    """Node impurity, lower is better.
-
-    ``standard_mse`` is the outcome variance, ``causal_mse`` the estimated error
-    of the effect: its sampling variance minus its square. ``penalty`` times the
-    arms' imbalance share is added to both.
-    """
-    n = f"({side}_nt + {side}_nc)"
-    imbalance = f"penalty * abs({side}_nt - {side}_nc) / {n}"
-    if criterion == "standard_mse":
-        mean = f"(({side}_st + {side}_sc) / {n})"
-        return f"(greatest(({side}_qt + {side}_qc) / {n} - {mean} * {mean}, 0D) + {imbalance})"
-    return f"({_sampling_variance(side)} - {side}_tau * {side}_tau + {imbalance})"
-
-
-def causal_gain() -> str:
-    """Weighted impurity decrease, or the squared t of the children's effects."""
-    n_l, n_r, n = "(l_nt + l_nc)", "(r_nt + r_nc)", "(a_nt + a_nc)"
-
-    def drop(criterion: str) -> str:
-        return (
-            f"{causal_impurity(criterion, 'a')} - {n_l} / {n} * {causal_impurity(criterion, 'l')}"
-            f" - {n_r} / {n} * {causal_impurity(criterion, 'r')}"
-        )
-
-    t_squared = (
-        f"try_divide((l_tau - r_tau) * (l_tau - r_tau), "
-        f"{_sampling_variance('l')} + {_sampling_variance('r')})"
-    )
-    return (
-        f"CASE criterion WHEN 'standard_mse' THEN {drop('standard_mse')} "
-        f"WHEN 't_test' THEN {t_squared} ELSE {drop('causal_mse')} END"
-    )

@@ -1,25 +1,29 @@
 """Causal trees and forests for a binary arm, whole grids grown together.
 
-Features are cut once into bins (every distinct value when there are few,
-quantiles otherwise). All trees of a pass share each scan: rows are routed in
-every tree, reduced map-side to arm statistics per (node, feature, bin), and
-only the best split of each node reaches the driver.
+Splits are exact: every threshold between neighbouring values of a node is tried, on
+presorted feature lists (:mod:`tauframe.operators.presorted`). Trees grow level by level;
+the driver holds the fitted trees and reads one best split for each open node, and nodes
+are sent to tasks in bounded chunks. A tree without a depth limit has at most rows /
+``min_samples_leaf`` leaves, which is then the size of the model.
 """
 
 from __future__ import annotations
 
-import math
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tauframe.functions.criteria import CAUSAL_CRITERIA, causal_gain, effect_columns
+from tauframe.operators import presorted
 from tauframe.operators.describe import group_effect_stats
-from tauframe.operators.ordered import running_totals
-from tauframe.operators.quantiles import value_counts
-from tauframe.operators.routing import FlatTrees, array_text, literal_array
+from tauframe.operators.presorted import CRITERIA, STATS, Frontier
 from tauframe.operators.sampling import split_by_flag
 from tauframe.operators.tree_tables import (
     LESS,
@@ -27,19 +31,13 @@ from tauframe.operators.tree_tables import (
     TreeTables,
     node_p_value,
     node_shares,
-    node_values,
-)
-from tauframe.session import persist_spread
-
-STATS = ("nt", "st", "qt", "nc", "sc", "qc")
-TREES_PER_PASS = 64
-# The condition sits inside the aggregate: as a filter it would be pushed down
-# and the whole gain formula copied into it.
-BEST = (
-    "min(CASE WHEN round(gain, 12) > 0 AND credit >= min_drop THEN "
-    "struct(-round(gain, 12) AS loss, f, bin, credit, left_stats, right_stats) END)"
 )
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+CAUSAL_CRITERIA = CRITERIA
+TREES_PER_PASS = 256
+
 
 @dataclass(frozen=True)
 class CausalTreeParams:
@@ -50,7 +48,6 @@ class CausalTreeParams:
     groups_penalty: float = 0.0
     trees: int = 1
     bootstrap: bool = False
-    bins: int | None = 256
     seed: int = 0
 
     def __post_init__(self):
@@ -95,97 +92,34 @@ class CausalForestModel:
     params: CausalTreeParams
     importances: dict = field(default_factory=dict)
 
-    def flat(self) -> tuple[FlatTrees, Column]:
-        feature, threshold, left, right, value, roots = [], [], [], [], [], []
+    def arrays(self) -> tuple[Frontier, np.ndarray]:
+        """The trees as flat arrays, and the value of every node."""
+        nodes, roots = [], []
         for tree in self.trees:
-            shift = len(feature)
-            roots.append(shift)
-            for n in tree.nodes:
-                feature.append(-1 if n.is_leaf else n.feature)
-                threshold.append(n.threshold)
-                left.append(n.left + shift if not n.is_leaf else -1)
-                right.append(n.right + shift if not n.is_leaf else -1)
-                value.append(float("nan") if n.value is None else n.value)
-        depth = max(t.depth for t in self.trees) - 1
-        ops = [LESS] * len(feature)
-        return FlatTrees(feature, threshold, ops, left, right, roots, depth), literal_array(value, "double")
+            roots.append(len(nodes))
+            nodes += [(n, roots[-1]) for n in tree.nodes]
+        return _flat(nodes, roots, max(t.depth for t in self.trees) - 1), np.array(
+            [np.nan if n.value is None else n.value for n, _ in nodes])
 
     def predict(self, df: DataFrame, name: str) -> DataFrame:
         """Add the estimated effect of every row: its leaf's value, averaged over trees."""
-        flat, values = self.flat()
-        x = F.array(*[F.col(f"`{f}`").cast("double") for f in self.features])
-        wide = df.withColumn("_x", x)
-        if len(self.trees) == 1:
-            out = flat.route(wide, "_x", "_leaf").withColumn(name, F.get(values, F.col("_leaf")))
-        else:
-            total = F.aggregate(
-                "_leaf", F.lit(0.0), lambda acc, at: acc + F.get(values, at)
-            ) / len(self.trees)
-            out = flat.route_all(wide, "_x", "_leaf").withColumn(name, total)
-        return out.drop("_x", "_leaf")
+        return predict_grid(df, {name: self})
 
     def importance_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(f, float(self.importances.get(i, 0.0))) for i, f in enumerate(self.features)]
         return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def learn_thresholds(df: DataFrame, features, bins: int | None) -> list[list[float]]:
-    """Ascending thresholds per feature; rows at or below one go left.
-
-    With ``bins`` they are the exact quantiles that cut the rows in so many parts, the
-    same for any partitioning; features x bins figures reach the driver. Without, they
-    are the midpoints between all neighbouring values, for features with few.
-    """
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("f"), F.col(f"`{f}`").cast("double").alias("v")) for i, f in enumerate(features)
-    ])).alias("r")).select("r.*")
-    out: list[list[float]] = [[] for _ in features]
-    counts = value_counts(long, ["f"], "v")
-    if bins is None:
-        for r in counts.groupBy("f").agg(F.sort_array(F.collect_list("v")).alias("v")).collect():
-            out[r["f"]] = [a + (b - a) / 2 for a, b in zip(r["v"], r["v"][1:])]
-        return out
-    totals = running_totals(
-        counts, [F.col("v")], {"through": F.col("n")}, by=["f"], position="rank", with_totals=True)
-    # A value is a cut if one of the parts ends within its rows; the largest never is.
-    part = lambda rows: F.floor(rows * bins / F.col("through_total"))
-    cuts = totals.where(
-        (part(F.col("through")) > part(F.col("through") - F.col("n"))) & (F.col("through") < F.col("through_total")))
-    for r in cuts.groupBy("f").agg(F.sort_array(F.collect_list("v")).alias("v")).collect():
-        out[r["f"]] = r["v"]
-    return out
-
-
-def bin_features(df: DataFrame, features, thresholds, keep: list[Column]) -> DataFrame:
-    """``bins``: per feature, how many thresholds lie below the value; missing goes last."""
-    df = df.select(*keep, *[F.col(f"`{f}`").cast("double").alias(f"_c{i}") for i, f in enumerate(features)])
-    used = [i for i, t in enumerate(thresholds) if t]
-    if used:
-        # Buckets close on the left, so edges sit just above each threshold.
-        splits = [
-            [-math.inf, *[math.nextafter(t, math.inf) for t in thresholds[i]], math.inf] for i in used
-        ]
-        df = Bucketizer(
-            splitsArray=splits, inputCols=[f"_c{i}" for i in used],
-            outputCols=[f"_b{i}" for i in used], handleInvalid="keep",
-        ).transform(df)
-    chosen = set(used)
-    bins = F.array(*[
-        F.col(f"_b{i}").cast("int") if i in chosen else F.lit(0) for i in range(len(features))
-    ])
-    names = [c for c in df.columns if not c.startswith(("_c", "_b"))]
-    return df.select(*names, bins.alias("bins"))
-
-
-def bootstrap_weight(seed: int, tree: int) -> str:
-    """Poisson(1) copies of a row in one tree, from a hash of id, seed and tree."""
-    u = f"pmod(xxhash64(id, {seed}, {tree}), {2**40}L) / {float(2**40)}D"
-    mass, upto, cases = math.exp(-1.0), 0.0, []
-    for k in range(13):
-        upto += mass
-        cases.append(f"WHEN u < {upto!r}D THEN {k}")
-        mass /= k + 1
-    return f"element_at(transform(array({u}), u -> CASE {' '.join(cases)} ELSE 13 END), 1)"
+def _flat(nodes: list[tuple[TreeNode, int]], roots: list[int], depth: int, **more) -> Frontier:
+    """Nodes with the shift of their tree's numbers as flat arrays."""
+    leaf = [n.is_leaf for n, _ in nodes]
+    return Frontier(
+        feature=np.array([-1 if stop else n.feature for (n, _), stop in zip(nodes, leaf)], dtype=np.int32),
+        threshold=np.array([n.threshold for n, _ in nodes], dtype=np.float64),
+        left=np.array([-1 if stop else n.left + shift for (n, shift), stop in zip(nodes, leaf)], dtype=np.int64),
+        right=np.array([-1 if stop else n.right + shift for (n, shift), stop in zip(nodes, leaf)], dtype=np.int64),
+        roots=np.array(roots, dtype=np.int64), depth=depth,
+        **{"slot": None, "trees": None, "seeds": None, "bootstrap": None, **more})
 
 
 @dataclass
@@ -199,164 +133,81 @@ class _Slot:
 
 
 class _Grower:
-    def __init__(self, base: DataFrame, thresholds, slots: list[_Slot]):
-        self.base, self.thresholds, self.slots = base, thresholds, slots
-        self.spark = base.sparkSession
-        self.all: list[TreeNode] = []
-        self.owner: list[int] = []
+    """Grows the trees of one pass; node ids count inside each tree."""
+
+    def __init__(self, rows: DataFrame, lists: DataFrame | None, slots: list[_Slot]):
+        self.rows, self.lists, self.slots = rows, lists, slots
 
-    def _add(self, slot: int, parent: int | None, stats) -> TreeNode:
+    def _add(self, slot: _Slot, parent: int | None, stats: np.ndarray) -> TreeNode:
+        n_t, s_t, q_t, n_c, s_c, q_c = (float(v) for v in stats)
         node = TreeNode(
-            len(self.all), parent=parent, op=LESS,
-            depth=1 if parent is None else self.all[parent].depth + 1,
-            n=[stats["nc"], stats["nt"]], s=[stats["sc"], stats["st"]], q=[stats["qc"], stats["qt"]],
-        )
-        both = node.n[0] and node.n[1]
-        node.value = node.s[1] / node.n[1] - node.s[0] / node.n[0] if both else None
-        self.all.append(node)
-        self.owner.append(slot)
-        self.slots[slot].nodes.append(node)
+            len(slot.nodes), parent=parent, op=LESS, depth=1 if parent is None else slot.nodes[parent].depth + 1,
+            n=[n_c, n_t], s=[s_c, s_t], q=[q_c, q_t])
+        node.value = s_t / n_t - s_c / n_c if n_t and n_c else None
+        slot.nodes.append(node)
         return node
 
-    def _weighted(self, df: DataFrame) -> DataFrame:
-        """Rows once per tree with their weight."""
-        if len(self.slots) == 1 and not self.slots[0].params.bootstrap:
-            return df.selectExpr("t", "y", "bins", "0 AS slot", "1 AS w")
-        copies = ", ".join(
-            f"struct({i} AS slot, "
-            f"{bootstrap_weight(s.params.seed, s.number) if s.params.bootstrap else '1'} AS w)"
-            for i, s in enumerate(self.slots)
-        )
-        each = df.selectExpr("t", "y", "bins", f"explode(array({copies})) AS r")
-        return each.selectExpr("t", "y", "bins", "r.slot AS slot", "r.w AS w").where("w > 0")
+    def frontier(self, open_: list[tuple[_Slot, TreeNode]]) -> Frontier:
+        """The nodes to split and the trees they are in."""
+        slots = list({id(s): s for s, _ in open_}.values())
+        nodes, roots, shift = [], [], {}
+        for s in slots:
+            shift[id(s)] = len(nodes)
+            roots.append(len(nodes))
+            nodes += [(n, roots[-1]) for n in s.nodes]
+        place = np.full(len(nodes), -1, dtype=np.int64)
+        for i, (s, n) in enumerate(open_):
+            place[shift[id(s)] + n.id] = i
+        of = lambda value, kind=np.float64: np.array([value(s) for s, _ in open_], dtype=kind)
+        return _flat(
+            nodes, roots, max(n.depth for _, n in open_) - 1, slot=place,
+            trees=np.array([s.number for s in slots]), seeds=np.array([s.params.seed for s in slots]),
+            bootstrap=np.array([s.params.bootstrap for s in slots]),
+            stats=np.array([[n.n[1], n.s[1], n.q[1], n.n[0], n.s[0], n.q[0]] for _, n in open_]).reshape(-1, 6),
+            code=of(lambda s: CRITERIA.index(s.params.criterion), np.int64), penalty=of(lambda s: s.params.groups_penalty),
+            min_leaf=of(lambda s: s.params.min_samples_leaf), min_drop=of(lambda s: s.params.min_impurity_decrease),
+            total=of(lambda s: max(1.0, sum(s.nodes[0].n))))
+
+    def plant(self) -> list[tuple[_Slot, TreeNode]]:
+        start = [(s, self._add(s, None, np.zeros(6))) for s in self.slots]
+        totals = presorted.node_totals(self.rows, self.frontier(start))
+        for s in self.slots:
+            s.nodes.clear()
+        return [(s, self._add(s, None, t)) for s, t in zip(self.slots, totals)]
+
+    def grow(self) -> None:
+        parts = max(1, self.lists.rdd.getNumPartitions())
+        chunk = max(1, presorted.OFFSETS // (2 * parts))
+        level = self._open(self.plant())
+        while level:
+            made = []
+            for first in range(0, len(level), chunk):
+                some = level[first:first + chunk]
+                for row in sorted(presorted.best_splits(self.lists, self.frontier(some)).collect(), key=lambda r: r["a"]):
+                    slot, node = some[row["a"]]
+                    node.feature, node.threshold, node.credit = row["f"], row["threshold"], row["credit"]
+                    left = np.array([row[c] for c in STATS])
+                    whole = np.array([node.n[1], node.s[1], node.q[1], node.n[0], node.s[0], node.q[0]])
+                    pair = [self._add(slot, node.id, side) for side in (left, whole - left)]
+                    node.left, node.right = pair[0].id, pair[1].id
+                    made += [(slot, n) for n in pair]
+            level = self._open(made)
 
     @staticmethod
-    def _sums() -> list[Column]:
+    def _open(nodes: list[tuple[_Slot, TreeNode]]) -> list[tuple[_Slot, TreeNode]]:
+        """Nodes that are shallow and large enough to be split further."""
         return [
-            F.expr(f"sum(CASE WHEN t = {arm} THEN {value} ELSE 0D END) AS {stat}{tag}")
-            for arm, tag in ((1, "t"), (0, "c"))
-            for stat, value in (("n", "cast(w AS double)"), ("s", "w * y"), ("q", "w * y * y"))
-        ]
+            (s, n) for s, n in nodes
+            if (s.params.max_depth is None or n.depth <= s.params.max_depth)
+            and sum(n.n) >= 2 * s.params.min_samples_leaf]
 
-    def plant(self) -> list[TreeNode]:
-        rows = self._weighted(self.base).groupBy("slot").agg(*self._sums()).collect()
-        found = {r["slot"]: r for r in rows}
-        empty = dict.fromkeys(STATS, 0.0)
-        return [self._add(i, None, found.get(i, empty)) for i in range(len(self.slots))]
-
-    def _flat(self) -> FlatTrees:
-        k = self.all
-        roots = [s.nodes[0].id for s in self.slots]
-        return FlatTrees(
-            [-1 if n.is_leaf else n.feature for n in k],
-            [0.0 if n.is_leaf else n.threshold for n in k], [LESS] * len(k),
-            [n.left for n in k], [n.right for n in k], roots, max(n.depth for n in k) - 1,
-        )
-
-    def splits(self, active: list[TreeNode]) -> DataFrame:
-        routed = self._flat().route_once(
-            self._weighted(self.base), "bins", "node", ["t", "y", "w", "bins"], "slot")
-        chosen = {n.id for n in active}
-        flags = array_text([int(n.id in chosen) for n in self.all], "int")
-        long = routed.where(f"get({flags}, node) = 1").selectExpr(
-            "node", "t", "y", "w", "posexplode(bins) AS (f, bin)"
-        )
-        useful = [i for i, t in enumerate(self.thresholds) if t]
-        binned = long.where(F.col("f").isin(useful)).groupBy("node", "f", "bin").agg(*self._sums())
-        upto = ("OVER (PARTITION BY node, f ORDER BY bin "
-                "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-        sides = binned.selectExpr(
-            "node", "f", "bin", *[f"sum({c}) {upto} AS l_{c}" for c in STATS],
-            *[f"sum({c}) OVER (PARTITION BY node, f) AS a_{c}" for c in STATS],
-        )
-        owners = [self.slots[i] for i in self.owner]
-        info = {
-            "code": ([CAUSAL_CRITERIA.index(o.params.criterion) for o in owners], "int"),
-            "penalty": ([o.params.groups_penalty for o in owners], "double"),
-            "min_leaf": ([o.params.min_samples_leaf for o in owners], "double"),
-            "min_drop": ([o.params.min_impurity_decrease for o in owners], "double"),
-            "total": ([sum(o.nodes[0].n) for o in owners], "double"),
-        }
-        names = ", ".join(f"'{c}'" for c in CAUSAL_CRITERIA)
-        sides = sides.selectExpr(
-            "*", *[f"get({array_text(v, kind)}, node) AS {c}" for c, (v, kind) in info.items()],
-            *[f"a_{c} - l_{c} AS r_{c}" for c in STATS],
-        ).where(
-            "l_nt + l_nc >= min_leaf AND r_nt + r_nc >= min_leaf "
-            "AND l_nt >= 1 AND l_nc >= 1 AND r_nt >= 1 AND r_nc >= 1"
-        )
-        effects = {c: e for side in "lra" for c, e in effect_columns(side).items()}
-        sides = sides.selectExpr(
-            "*", f"element_at(array({names}), code + 1) AS criterion",
-            *[f"{e} AS {c}" for c, e in effects.items()],
-        ).selectExpr("*", f"{causal_gain()} AS gain")
-        return sides.selectExpr(
-            "node", "f", "bin", "gain", "(a_nt + a_nc) / total * gain AS credit", "min_drop",
-            f"array({', '.join(f'l_{c}' for c in STATS)}) AS left_stats",
-            f"array({', '.join(f'r_{c}' for c in STATS)}) AS right_stats",
-        )
-
-    def root_splits(self) -> DataFrame:
-        """Every admissible split of the roots: feature number, threshold and gain."""
-        cuts = F.array(*[literal_array(t or [0.0], "double") for t in self.thresholds])
-        return self.splits(self.plant()).select(
-            "f", F.get(F.get(cuts, F.col("f")), F.col("bin")).alias("threshold"), "gain",
-            (F.get("left_stats", F.lit(0)) + F.get("left_stats", F.lit(3))).cast("long").alias("n_left"),
-            (F.get("right_stats", F.lit(0)) + F.get("right_stats", F.lit(3))).cast("long").alias("n_right"),
-        )
 
-    def grow(self) -> None:
-        active = self._open(self.plant())
-        while active:
-            best = self.splits(active).groupBy("node").agg(F.expr(BEST).alias("b"))
-            best = best.where("b IS NOT NULL").select("node", "b.*").collect()
-            made = []
-            for row in sorted(best, key=lambda r: r["node"]):
-                node = self.all[row["node"]]
-                node.feature, node.threshold, node.credit = row["f"], float(row["bin"]), row["credit"]
-                slot = self.owner[node.id]
-                pair = [
-                    self._add(slot, node.id, dict(zip(STATS, stats)))
-                    for stats in (row["left_stats"], row["right_stats"])
-                ]
-                node.left, node.right = pair[0].id, pair[1].id
-                made += pair
-            active = self._open(made)
-
-    def _open(self, nodes: list[TreeNode]) -> list[TreeNode]:
-        """Nodes that are shallow and large enough to be split further."""
-        out = []
-        for n in nodes:
-            p = self.slots[self.owner[n.id]].params
-            shallow = p.max_depth is None or n.depth <= p.max_depth
-            if shallow and sum(n.n) >= 2 * p.min_samples_leaf:
-                out.append(n)
-        return out
-
-    def trees(self, features) -> list[TreeTables]:
-        out = []
-        for slot in self.slots:
-            place = {n.id: i for i, n in enumerate(slot.nodes)}
-            nodes = [
-                replace(
-                    n, id=place[n.id], parent=None if n.parent is None else place[n.parent],
-                    left=place.get(n.left, -1), right=place.get(n.right, -1),
-                    threshold=0.0 if n.is_leaf else self.thresholds[n.feature][int(n.threshold)],
-                ) for n in slot.nodes
-            ]
-            out.append(TreeTables(features, nodes, digits=4))
-        return out
-
-
-def _binned_base(train, id_col, treatment, outcome, features, bins):
+def _source(train: DataFrame, id_col: str, treatment: str, outcome: str, features) -> DataFrame:
     # Effects and spreads do not change when a constant is taken off all outcomes, and
     # squares of centred outcomes stay exact whatever the outcome's level.
     y = F.col(outcome).cast("double")
     center = train.agg(F.coalesce(F.avg(y), F.lit(0.0)).alias("m")).first()["m"]
-    keep = [F.col(id_col).alias("id"), F.col(treatment).cast("int").alias("t"), (y - F.lit(center)).alias("y")]
-    thresholds = learn_thresholds(train, features, bins)
-    binned = bin_features(train, features, thresholds, keep)
-    return binned.where("t is not null and y is not null"), thresholds
+    return presorted.row_source(train, id_col, treatment, y - F.lit(center), features)
 
 
 def causal_root_splits(
@@ -364,10 +215,11 @@ def causal_root_splits(
 ) -> DataFrame:
     """All admissible first splits of a single tree with their gains."""
     features = list(features)
-    base, thresholds = _binned_base(train, id_col, treatment, outcome, features, params.bins)
-    grower = _Grower(base, thresholds, [_Slot("tree", 0, params)])
+    rows = _source(train, id_col, treatment, outcome, features)
+    grower = _Grower(rows, presorted.feature_lists(rows, len(features)), [_Slot("tree", 0, params)])
+    found = presorted.all_splits(grower.lists, grower.frontier(grower.plant()))
     names = F.array(*[F.lit(f) for f in features])
-    return grower.root_splits().withColumn("feature", F.get(names, F.col("f"))).drop("f")
+    return found.select(F.get(names, F.col("f")).alias("feature"), "threshold", "gain", "n_left", "n_right")
 
 
 def fit_grid(
@@ -376,21 +228,18 @@ def fit_grid(
 ) -> dict[str, CausalForestModel]:
     """Fit every configuration; trees of all configurations share the scans."""
     features = list(features)
-    wanted = [p.bins for p in grid.values()]
-    bins = None if None in wanted else max(wanted)
-    base, thresholds = _binned_base(train, id_col, treatment, outcome, features, bins)
-    base = persist_spread(base)
+    rows = _source(train, id_col, treatment, outcome, features)
+    lists = presorted.feature_lists(rows, len(features))
     slots = [_Slot(name, i, p) for name, p in grid.items() for i in range(p.trees)]
     fitted: dict[str, list[TreeTables]] = {name: [] for name in grid}
     try:
         for first in range(0, len(slots), trees_per_pass):
             some = slots[first:first + trees_per_pass]
-            grower = _Grower(base, thresholds, some)
-            grower.grow()
-            for slot, tree in zip(some, grower.trees(features)):
-                fitted[slot.config].append(tree)
+            _Grower(rows, lists, some).grow()
+            for slot in some:
+                fitted[slot.config].append(TreeTables(features, slot.nodes, digits=4))
     finally:
-        base.unpersist()
+        lists.unpersist()
     return {
         name: CausalForestModel(features, fitted[name], grid[name], _importances(fitted[name]))
         for name in grid
@@ -412,11 +261,41 @@ def fit_causal_tree(train, id_col, treatment, outcome, features, params: CausalT
     return fit_grid(train, id_col, treatment, outcome, features, {"tree": params})["tree"]
 
 
+def _with_features(df: DataFrame, features: list) -> tuple[DataFrame, str]:
+    """``df`` with the features as an array of doubles in a column of a free name."""
+    name = "_x"
+    while name in df.columns:
+        name += "_"
+    return df.select("*", F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias(name)), name
+
+
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return np.asarray(pa.compute.fill_null(column.flatten(), np.nan), dtype=np.float64).reshape(rows, -1)
+
+
 def predict_grid(df: DataFrame, models: dict[str, CausalForestModel]) -> DataFrame:
-    """One effect column per fitted configuration."""
-    for name, model in models.items():
-        df = model.predict(df, name)
-    return df
+    """One effect column per fitted configuration, all in one pass over the rows."""
+    if not models:
+        return df
+    features = list(dict.fromkeys(f for m in models.values() for f in m.features))
+    wide, x_name = _with_features(df, features)
+    fitted = {
+        name: (*m.arrays(), np.array([features.index(f) for f in m.features])) for name, m in models.items()}
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(x_name), batch.num_rows)
+            columns = {c: batch.column(c) for c in batch.schema.names if c != x_name}
+            for name, (trees, values, use) in fitted.items():
+                step = max(1, presorted.CELLS // len(trees.roots))
+                parts = [
+                    values[presorted.route(trees, x[low:low + step][:, use])].mean(axis=0)
+                    for low in range(0, batch.num_rows, step)]
+                columns[name] = pa.array(np.concatenate(parts) if parts else np.zeros(0))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    schema = StructType([*df.schema.fields, *[StructField(name, DoubleType()) for name in models]])
+    return wide.mapInArrow(score, schema)
 
 
 def tree_node_report(
@@ -481,12 +360,21 @@ def causal_tree_report(
 
 def leaf_prediction_values(model: CausalForestModel, df: DataFrame) -> DataFrame:
     """How many rows of ``df`` get each leaf value, per tree of the model."""
-    out = None
-    for i, tree in enumerate(model.trees):
-        part = tree.route(df).groupBy("leaf_id").agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(i).alias("tree"), "leaf_id", F.get(node_values(tree), F.col("leaf_id")).alias("value"), "n"
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
+    wide, x_name = _with_features(df, model.features)
+    trees, values = model.arrays()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(values), dtype=np.int64)
+        step = max(1, presorted.CELLS // len(trees.roots))
+        for batch in batches:
+            x = _matrix(batch.column(x_name), batch.num_rows)
+            for low in range(0, batch.num_rows, step):
+                total += np.bincount(presorted.route(trees, x[low:low + step]).ravel(), minlength=len(values))
+        used = np.flatnonzero(total)
+        tree = np.searchsorted(trees.roots, used, side="right") - 1
+        yield pa.RecordBatch.from_pydict({
+            "tree": pa.array(tree, pa.int32()), "leaf_id": pa.array(used - trees.roots[tree], pa.int32()),
+            "value": pa.array(values[used]), "n": pa.array(total[used])})
+
+    found = wide.select(x_name).mapInArrow(count, "tree int, leaf_id int, value double, n long")
+    return found.groupBy("tree", "leaf_id", "value").agg(F.sum("n").alias("n"))

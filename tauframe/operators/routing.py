@@ -65,8 +65,3 @@ class FlatTrees:
     def route_once(self, df: DataFrame, x: str, name: str, keep: list[str], slot: str | None = None):
         """The leaf as a generated column: a later filter reuses it instead of a copy of the fold."""
         return df.selectExpr(*keep, f"explode(array({self.leaf(x, self._root(slot))})) AS {name}")
-
-    def route_all(self, df: DataFrame, x: str, name: str) -> DataFrame:
-        """Add an array with the leaf reached in every tree."""
-        roots = array_text(self.roots, "int")
-        return df.withColumn(name, F.expr(f"transform({roots}, root -> {self.leaf(x, 'root')})"))

@@ -325,13 +325,12 @@ def _impurity_sql(criterion: str, s: str) -> str:
 
 
 def _causal_root_sql(criterion: str) -> str:
-    feats = {"omonth": "omonth::double", "band": "floor(price / 25000)::double"}
-    long = " UNION ALL ".join(
-        f"SELECT '{f}' AS feature, {e} AS x, treatment AS t, y FROM units" for f, e in feats.items())
-    cond = {"l": "x <= v", "r": "x > v", "a": "true"}
-    counts = ", ".join(
-        f"count(*) FILTER ({c} AND t = {k})::double AS n_{s}{k}, coalesce(sum(y) FILTER ({c} AND t = {k}), 0) AS s_{s}{k}, "
-        f"coalesce(sum(y * y) FILTER ({c} AND t = {k}), 0) AS q_{s}{k}" for s, c in cond.items() for k in (0, 1))
+    """All splits of the root: running sums along each feature, cut where the value changes."""
+    long = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f}::double AS x, treatment AS t, y FROM units" for f in NUMERIC)
+    parts = [(c, k, {"n": "1e0", "s": "y", "q": "y * y"}[c]) for c in "nsq" for k in (0, 1)]
+    each = ", ".join(f"coalesce(sum({e}) FILTER (t = {k} AND y IS NOT NULL), 0)::double AS {c}{k}" for c, k, e in parts)
+    upto = ", ".join(f"sum({c}{k}) OVER along AS {c}_l{k}, sum({c}{k}) OVER whole AS {c}_a{k}" for c, k, _ in parts)
+    right = ", ".join(f"{c}_a{k} - {c}_l{k} AS {c}_r{k}" for c, k, _ in parts)
     n_l, n_r = "(n_l0 + n_l1)", "(n_r0 + n_r1)"
     if criterion == "t_test":
         tau = {s: f"(s_{s}1 / n_{s}1 - s_{s}0 / n_{s}0)" for s in "lr"}
@@ -343,17 +342,17 @@ def _causal_root_sql(criterion: str) -> str:
                 f"- {n_r} / ({n_l} + {n_r}) * {_impurity_sql(criterion, 'r')}")
     return with_(f"""
 SELECT feature, {q6('v')} AS threshold, {q6(gain)} AS gain, {n_l}::bigint AS n_left, {n_r}::bigint AS n_right
-FROM sides WHERE {n_l} >= 400 AND {n_r} >= 400""", UNITS, f"long AS ({long})", """
-cands AS (SELECT feature, (x + nxt) / 2 AS v FROM (
-  SELECT feature, x, lead(x) OVER (PARTITION BY feature ORDER BY x) AS nxt FROM (SELECT DISTINCT feature, x FROM long))
-  WHERE nxt IS NOT NULL)""", f"sides AS (SELECT c.feature, v, {counts} FROM cands c JOIN long USING (feature) GROUP BY 1, 2)")
+FROM sides WHERE v IS NOT NULL AND {n_l} >= 400 AND {n_r} >= 400""", UNITS, f"long AS ({long})",
+        f"points AS (SELECT feature, x, {each} FROM long WHERE y IS NOT NULL AND x IS NOT NULL GROUP BY 1, 2)",
+        f"""sums AS (SELECT feature, x + (lead(x) OVER along - x) / 2 AS v, {upto} FROM points
+WINDOW along AS (PARTITION BY feature ORDER BY x), whole AS (PARTITION BY feature))""",
+        f"sides AS (SELECT *, {right} FROM sums)")
 
 
 def _causal_root(criterion: str):
     def run(spark, sf_dir):
-        df = units(spark, sf_dir).withColumn("band", F.floor(F.col("price") / 25000))
-        params = cf.CausalTreeParams(criterion=criterion, min_samples_leaf=400, groups_penalty=0.25, bins=None)
-        out = cf.causal_root_splits(df, "uid", "treatment", "y", ["omonth", "band"], params)
+        params = cf.CausalTreeParams(criterion=criterion, min_samples_leaf=400, groups_penalty=0.25)
+        out = cf.causal_root_splits(units(spark, sf_dir), "uid", "treatment", "y", NUMERIC, params)
         return rounded(out, "threshold", "gain")
 
     return run
@@ -396,10 +395,18 @@ def causal_forest_grid(spark, sf_dir):
     return cf.predict_grid(df, cf.fit_grid(df, "uid", "treatment", "y", NUMERIC, grid)).select("uid", *grid)
 
 
+@query("causal_forest_grid_full")
+def causal_forest_grid_full(spark, sf_dir):
+    """All seven configurations with their hundred trees and own depths."""
+    df = units(spark, sf_dir)
+    grid = cf.default_forest_grid(400)
+    return cf.predict_grid(df, cf.fit_grid(df, "uid", "treatment", "y", NUMERIC, grid)).select("uid", *grid)
+
+
 @query("forest_importance")
 def forest_importance(spark, sf_dir):
     df = units(spark, sf_dir)
-    grid = {"cforest_cmse": small_forests()["cforest_cmse"]}
+    grid = {"cforest_cmse": cf.default_forest_grid(400)["cforest_cmse"]}
     model = cf.fit_grid(df, "uid", "treatment", "y", NUMERIC, grid)["cforest_cmse"]
     return model.importance_frame(spark).orderBy(F.desc("importance"), "feature")
 
@@ -407,6 +414,6 @@ def forest_importance(spark, sf_dir):
 @query("forest_leaf_values")
 def forest_leaf_values(spark, sf_dir):
     df = units(spark, sf_dir)
-    grid = {"cforest_ttest": small_forests()["cforest_ttest"]}
+    grid = {"cforest_ttest": cf.default_forest_grid(400)["cforest_ttest"]}
     model = cf.fit_grid(df, "uid", "treatment", "y", NUMERIC, grid)["cforest_ttest"]
     return cf.leaf_prediction_values(model, df)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tauframe.operators import causal_forest as cf
 from tauframe.operators import learners as le
-from tauframe.operators import propensity, ranking
+from tauframe.operators import presorted, propensity, ranking
 from tauframe.plans import daily_matching, daily_targeting
 from tauframe.sources import tables
 from tauframe.spec import CausalSpec
@@ -69,7 +69,7 @@ def grow(rows, crit, min_leaf, depth, penalty, path=""):
 @pytest.mark.parametrize("crit,penalty", [("causal_mse", 0.0), ("causal_mse", 0.25), ("standard_mse", 0.0)])
 def test_tree_equals_exhaustive_search(spark, crit, penalty):
     df = known(spark, 600)
-    params = cf.CausalTreeParams(criterion=crit, max_depth=3, min_samples_leaf=60, groups_penalty=penalty, bins=None)
+    params = cf.CausalTreeParams(criterion=crit, max_depth=3, min_samples_leaf=60, groups_penalty=penalty)
     tree = cf.fit_causal_tree(df, "id", "t", "y", ["a", "b"], params).trees[0]
     got = {tree.path(n): n.value for n in tree.leaves()}
     want = grow([r.asDict() for r in df.collect()], crit, 60, 3, penalty)
@@ -100,15 +100,64 @@ def test_forest_finds_the_effect_and_its_feature(spark):
     assert means[True] == pytest.approx(2.0, abs=0.25) and means[False] == pytest.approx(0.0, abs=0.25)
 
 
-def test_quantile_bins_when_values_are_many(spark):
-    df = known(spark).withColumn("a", F.col("a") + F.col("id") * 1e-7)
-    cuts = cf.learn_thresholds(df, ["a", "b"], 16)
-    assert 10 <= len(cuts[0]) <= 15 and cuts[1] == [0.0, 1.0, 2.0, 3.0]
-    assert cuts == cf.learn_thresholds(df.repartition(37), ["a", "b"], 16)
-    assert cf.learn_thresholds(df, ["b"], None) == [[0.5, 1.5, 2.5, 3.5]]
-    bins = cf.bin_features(df, ["a", "b"], cuts, [F.col("a"), F.col("b")]).collect()
-    for r in bins:
-        assert r["bins"] == [sum(c < r["a"] for c in cuts[0]), sum(c < r["b"] for c in cuts[1])]
+def test_thresholds_are_exact_for_continuous_features(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(500):
+        a, b = rng.random() * 1000, None if i % 17 == 0 else rng.choice([0.0, 1.0, 2.5, float("nan")])
+        rows.append((i, i % 2, 3.0 * (a > 777) * (i % 2) + rng.gauss(0, 0.3), a, b))
+    df = spark.createDataFrame(rows, "id long, t int, y double, a double, b double")
+    params = cf.CausalTreeParams(max_depth=2, min_samples_leaf=30)
+    got = {(r["feature"], round(r["threshold"], 9)): (r["gain"], r["n_left"], r["n_right"])
+           for r in cf.causal_root_splits(df.repartition(5), "id", "t", "y", ["a", "b"], params).collect()}
+    want = {}
+    for f in ("a", "b"):
+        value = lambda r: {"a": r[3], "b": r[4]}[f]  # noqa: B023, E731
+        known = sorted({value(r) for r in rows if value(r) is not None and value(r) == value(r)})
+        for low, high in zip(known, known[1:]):
+            v = low + (high - low) / 2
+            left = [r for r in rows if value(r) is not None and value(r) <= v]
+            right = [r for r in rows if not (value(r) is not None and value(r) <= v)]
+            if min(len(left), len(right)) < 30 or any(len({r[1] for r in s}) < 2 for s in (left, right)):
+                continue
+            as_dicts = lambda s: [{"t": r[1], "y": r[2]} for r in s]
+            gain = impurity(as_dicts(rows), "causal_mse", 0) - sum(
+                len(s) / len(rows) * impurity(as_dicts(s), "causal_mse", 0) for s in (left, right))
+            want[f, round(v, 9)] = (gain, len(left), len(right))
+    assert set(got) == set(want)
+    for k, (gain, *sizes) in want.items():
+        assert got[k][0] == pytest.approx(gain, abs=1e-9) and list(got[k][1:]) == sizes
+    tree = cf.fit_causal_tree(df, "id", "t", "y", ["a", "b"], params).trees[0]
+    best = max(want, key=lambda k: round(want[k][0], 12))
+    assert (tree.features[tree.nodes[0].feature], round(tree.nodes[0].threshold, 9)) == best
+
+
+def test_a_value_shared_by_most_rows_is_never_cut(spark):
+    rows = [(i, i % 2, float(i % 7) + 2.0 * (i % 2) * (i % 5 == 0), 5.0 if i % 3 else float(i % 4)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, t int, y double, a double").repartition(16)
+    params = cf.CausalTreeParams(min_samples_leaf=20, max_depth=4)
+    thresholds = {r["threshold"] for r in cf.causal_root_splits(df, "id", "t", "y", ["a"], params).collect()}
+    assert thresholds <= {0.5, 1.5, 2.5, 4.0} and 4.0 in thresholds
+
+
+def test_small_chunks_give_the_same_trees(spark, monkeypatch):
+    df = known(spark, 900)
+    grid = {"m": cf.CausalTreeParams(min_samples_leaf=40), "f": cf.CausalTreeParams(min_samples_leaf=60, trees=3, bootstrap=True)}
+    paths = lambda fit: {k: [sorted((t.path(n), round(n.value, 9)) for n in t.leaves()) for t in m.trees] for k, m in fit.items()}
+    whole = paths(cf.fit_grid(df, "id", "t", "y", ["a", "b"], grid))
+    monkeypatch.setattr(presorted, "OFFSETS", 64)
+    assert paths(cf.fit_grid(df.repartition(3), "id", "t", "y", ["a", "b"], grid)) == whole
+
+
+def test_leaf_counts_cover_all_rows_of_every_tree(spark):
+    df = known(spark, 600)
+    params = cf.CausalTreeParams(min_samples_leaf=60, trees=4, bootstrap=True)
+    model = cf.fit_grid(df, "id", "t", "y", ["a", "b"], {"f": params})["f"]
+    got = cf.leaf_prediction_values(model, df).toPandas()
+    assert (got.groupby("tree").n.sum() == 600).all() and got.tree.nunique() == 4
+    mean = (got.value * got.n).sum() / 4 / 600
+    assert model.predict(df, "tau").agg(F.avg("tau")).first()[0] == pytest.approx(mean)
+    assert model.predict(df.where("id < 0"), "tau").collect() == []
 
 
 def test_leaf_report_with_an_arm_missing_in_a_leaf(spark):
