@@ -148,23 +148,27 @@ def gains(f: Frontier, a: np.ndarray, left: np.ndarray) -> np.ndarray:
 
 
 def feature_lists(rows: DataFrame, features: int) -> DataFrame:
-    """(f, v, h, t, y, x, part): the rows of (h, t, y, x) once a feature, globally sorted.
+    """(part, f, h, t, y, x0, x1, ...): the rows of (h, t, y, x0, ...) once a feature, globally sorted.
 
     Written to the checkpoint folder, since the bounds of the partitions are drawn anew
     in every run, and kept in memory as far as it goes.
     """
-    each = rows.select("h", "t", "y", "x", F.posexplode("x").alias("f", "v")).where("v IS NOT NULL AND NOT isnan(v)")
+    x = [f"x{i}" for i in range(features)]
+    each = rows.select("*", F.posexplode(F.array(*x)).alias("f", "v")).where("v IS NOT NULL AND NOT isnan(v)")
     order = [F.col("f"), F.col("v"), F.col("h")]
     spark = rows.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     ranged = each.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return checkpoint(ranged.withColumn("part", F.spark_partition_id()).select("part", "f", "v", "h", "t", "y", "x")).persist()
+    return checkpoint(ranged.withColumn("part", F.spark_partition_id()).select("part", "f", "h", "t", "y", *x)).persist()
 
 
 def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    out = {c: np.asarray(batch.column(c)) for c in batch.schema.names if c != "x"}
-    flat = np.asarray(pa.compute.fill_null(batch.column("x").flatten(), np.nan), dtype=np.float64)
-    out["x"] = flat.reshape(batch.num_rows, -1)
+    x = [c for c in batch.schema.names if c.startswith("x")]
+    out = {c: np.asarray(batch.column(c)) for c in batch.schema.names if c not in x}
+    # Nulls become nan on the way to numpy.
+    out["x"] = np.stack([np.asarray(batch.column(c), dtype=np.float64) for c in x], 1)
+    if "f" in out:
+        out["v"] = out["x"][np.arange(batch.num_rows), out["f"]]
     return out
 
 
@@ -205,7 +209,7 @@ STATS_SCHEMA = ", ".join(f"{c} double" for c in STATS)
 
 
 def node_totals(rows: DataFrame, f: Frontier) -> np.ndarray:
-    """Statistics of the frontier's nodes over ``rows`` of (h, t, y, x)."""
+    """Statistics of the frontier's nodes over ``rows`` of (h, t, y, x0, ...)."""
     n = int(f.slot.max()) + 1
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,8 +384,8 @@ def best_splits(lists: DataFrame, f: Frontier) -> DataFrame:
 
 
 def row_source(df: DataFrame, id_col: str, treatment: str, y: Column, features) -> DataFrame:
-    """(h, t, y, x) of rows with an arm and an outcome."""
-    x = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
+    """(h, t, y, x0, x1, ...) of rows with an arm and an outcome."""
+    x = [F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(features)]
     return df.select(
-        F.xxhash64(id_col).alias("h"), F.col(treatment).cast("int").alias("t"), y.alias("y"), x.alias("x")
+        F.xxhash64(id_col).alias("h"), F.col(treatment).cast("int").alias("t"), y.alias("y"), *x
     ).where("t IN (0, 1) AND y IS NOT NULL")
