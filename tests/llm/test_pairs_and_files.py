@@ -69,6 +69,42 @@ def test_hard_cases(spark):
     assert left.columns == hard_docs(spark).columns and 0 < left.count() < len(hard_rows())
 
 
+@pytest.mark.parametrize("k, percent", [(3, 85), (5, 80)])
+def test_no_pair_at_the_threshold_is_lost(spark, k, percent):
+    """Pairs as far apart as the threshold lets them be, over set sizes from 3 to 1,000."""
+    rng = random.Random(percent)
+    rows = []
+    for size in (3, 5, 7, 10, 15, 20, 30, 40, 60, 80, 100, 130, 149, 151, 165, 176, 180, 188, 200, 300, 1000):
+        for _ in range(40):
+            base = [f"v{rng.randrange(10**6)}" for _ in range(size + k - 1)]
+            # Other last words change as many shingles: size - m shared of size + m.
+            m = int(size * (100 - percent) / (100 + percent))
+            other = base[: len(base) - m] + [f"u{rng.randrange(10**6)}" for _ in range(m)]
+            if size > 100 and rng.random() < 0.5:  # another size instead: size shared of size + more
+                other = base + [f"u{rng.randrange(10**6)}" for _ in range(int(size * (100 / percent - 1)))]
+            for words_ in (base, other):
+                rows.append((len(rows), " ".join(words_)))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()}
+    lost = [i for i in range(0, len(rows), 2) if got[i + 1] != i]
+    assert lost == []
+
+
+def test_many_members_that_are_not_linked(spark):
+    """Texts that share most shingles but not enough stay apart, in any number."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(400):
+        text = list(base)
+        for at in rng.sample(range(200), 5):
+            text[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(df, 3, 85)
+    check(df, 5, 80)
+
+
 def test_one_large_group_of_chained_copies(spark):
     """Copies drift from the first, so links must be found across many blocks."""
     rng = random.Random(4)
