@@ -11,16 +11,14 @@ buckets. Both kinds exist where they meet, so every similar pair shares one kind
 Candidates. A band is a fixed random choice of ``rows`` registers, empty ones filled from the
 next non-empty one; documents that agree on a band fall in one bucket. Documents with
 equal sets are one class with one representative, so groups of copies never enter the
-buckets. First every document meets the first member of its largest bucket, one pair a
-document, and links found true join documents to components. Buckets that still hold
-several components follow in rounds: members whose hash lies below a growing bound are
-pivots, and meet the bucket's members of other components. The bound doubles until all
-members have been pivots or one component is left. A cluster is joined by a few pivots,
-so its pairs are never formed; no candidate is left out.
-
-Comparison. Pairs are streamed by pivot, dealt to ``LOTS`` lots: a task reads a pivot once and
-then its members one by one, so a pivot that meets a third of all documents is many
-bounded streams and nothing is collected.
+buckets. Documents are dealt to blocks of about ``BLOCK``, cluster by cluster (a cluster is what
+has the same first member in its largest bucket), and two blocks are compared as a tile,
+all documents of one with all of the other: pairs are never rows. First each block meets the
+block of its cluster's first member; links found true join documents to components. Then
+documents are dealt anew by cluster and component, and blocks that meet in a bucket are
+compared unless one component holds both. What grows with the square of a cluster is only
+the product of its largest component and the documents that the first round left out
+of it. No candidate is left out.
 
 Decision. A pair's Jaccard similarity is estimated from its registers, corrected for
 chance collisions; pairs more than ``DEVIATIONS`` standard deviations below the threshold
@@ -58,10 +56,7 @@ DEVIATIONS = 5.0
 COLLISION = 1 / 3 / (1 << MANTISSA_BITS)
 #: Sets of up to this many shingles rest on hash functions instead of buckets.
 SHORT = 150
-#: Streams that the members of one pivot are dealt to.
-LOTS = 64
-#: Rows of a bucket that share a copy of its pivots.
-BUCKET_LOT = 2000
+BLOCK = 128
 
 SIGNATURE = "at struct<file:string,row:long>, doc_id long, n long, fp1 long, fp2 long, registers binary, bands array<long>"
 
@@ -208,46 +203,114 @@ def components(edges: DataFrame) -> DataFrame:
     return checkpoint(roots.unionAll(pairs.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()))
 
 
-def _streamed(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
-    """(pivot, a, payload) sorted so that each pivot's own row comes before its members.
+def _leaders(buckets: DataFrame) -> DataFrame:
+    """(key, leader): the first member of each document's largest bucket."""
+    return checkpoint(buckets.groupBy("key").agg(F.max(F.struct("_n", -F.col("_first"))).alias("x")).select(
+        "key", (-F.col("x.col2")).alias("leader")))
+
+
+def _dealt(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(key, blk): rows dealt to blocks of about ``BLOCK`` that hold one value of ``by``."""
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_lots"))
+    return checkpoint(rows.join(sizes, by).select(
+        "key", F.xxhash64(*by, F.pmod(F.xxhash64("key"), F.col("_lots"))).alias("blk")))
+
 
-    ``held`` has key and ``column``; a pivot's row has a null ``a`` and is there once a lot.
+def _component_blocks(led: DataFrame, labels: DataFrame) -> DataFrame:
+    """Blocks by cluster and component; components of less than a block share theirs.
+
+    Two blocks of one large component never meet, whatever its size: only documents
+    outside it are compared with its members.
     """
-    dealt = pairs.select("a", "pivot", F.pmod(F.xxhash64("a"), F.lit(LOTS)).alias("lot"))
-    members = dealt.join(held.select(F.col("key").alias("a"), F.col(column).alias("payload")), "a")
-    pivots = dealt.select("pivot", "lot").distinct().join(
-        held.select(F.col("key").alias("pivot"), F.col(column).alias("payload")), "pivot")
-    rows = members.select("pivot", "lot", "a", "payload").unionByName(
-        pivots.select("pivot", "lot", F.lit(None).cast("long").alias("a"), "payload"))
-    return rows.repartition("pivot", "lot").sortWithinPartitions("pivot", "lot", F.col("a").asc_nulls_first()).select(
-        "pivot", "a", "payload")
+    rooted = led.join(labels.toDF("key", "_root"), "key", "left").withColumn("root", F.coalesce("_root", "key"))
+    large = rooted.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= BLOCK)
+    part = F.coalesce(F.when(F.col("_c").isNotNull(), F.col("root")), F.lit(-1).cast("long"))
+    return _dealt(rooted.join(large, ["leader", "root"], "left").select("key", "leader", part.alias("part")), ["leader", "part"])
+
+
+def _tiles(pairs: DataFrame) -> DataFrame:
+    """Distinct unordered pairs of blocks (i, j) as rows (i, j, tile)."""
+    return pairs.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).distinct().withColumn(
+        "tile", F.xxhash64("i", "j"))
+
 
+def _likely(tiles: DataFrame, blocks: DataFrame, signed: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """(tile, a, b): for each tile the pairs whose estimate does not rule the threshold out.
 
-def _likely(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, pivot) whose estimate does not rule the threshold out."""
+    A tile compares all documents of its two blocks that are not in one component yet.
+    """
+    roots = blocks.join(labels.toDF("key", "_root"), "key", "left").select(
+        "key", "blk", F.coalesce("_root", "key").alias("root"))
+    held = roots.join(signed.select("key", "registers"), "key")
+    sides = tiles.select("tile", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("blk"))
+    groups = sides.join(held, "blk").groupBy("tile", "i", "j").agg(
+        F.collect_list(F.struct("blk", "key", "root", "registers")).alias("members"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros((1, REGISTERS), dtype=np.uint16)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            registers = np.frombuffer(b"".join(batch.column("payload").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            head = np.asarray(batch.column("a").is_null())
-            known = np.concatenate((own, registers))
-            # Row i compares with the last head at or before it, or the one carried over.
-            place = np.maximum.accumulate(np.where(head, np.arange(1, len(head) + 1), 0))
-            guess, used = estimate(registers, known[place])
-            keep = ~head & (guess >= least - DEVIATIONS * np.sqrt(least * (1 - least) / np.maximum(used, 1)))
-            own = known[place[-1]][None, :]
-            yield batch.select(["a", "pivot"]).filter(pa.array(keep))
-
-    return checkpoint(_streamed(pairs, signed, "registers").mapInArrow(compare, "a long, pivot long"))
+            out = {"tile": [], "a": [], "b": []}
+            for tile, i, j, cell in zip(*(batch.column(c).to_pylist() for c in ("tile", "i", "j")), batch.column("members"), strict=True):
+                blk, key, root = (np.asarray(cell.values.field(c)) for c in ("blk", "key", "root"))
+                regs = np.frombuffer(b"".join(cell.values.field("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+                left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+                cross = root[left][:, None] != root[right][None, :]
+                if i == j:
+                    cross &= np.triu(np.ones(cross.shape, dtype=bool), 1)
+                x, y = np.nonzero(cross)
+                a, b, keep = left[x], right[y], []
+                for at in range(0, len(a), 8192):
+                    guess, used = estimate(regs[a[at : at + 8192]], regs[b[at : at + 8192]])
+                    keep.append(guess >= least - DEVIATIONS * np.sqrt(least * (1 - least) / np.maximum(used, 1)))
+                keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+                if keep.any():
+                    for name, value in (("tile", tile), ("a", key[a[keep]]), ("b", key[b[keep]])):
+                        out[name].append(value)
+            yield pa.RecordBatch.from_pydict({
+                "tile": pa.array(out["tile"], pa.int64()),
+                "a": pa.array(out["a"], pa.list_(pa.int64())), "b": pa.array(out["b"], pa.list_(pa.int64()))})
+
+    return checkpoint(groups.select("tile", "i", "j", "members").mapInArrow(
+        compare, "tile long, a array<long>, b array<long>"))
+
+
+def common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets, through the places of shared members."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    used_a, row_a = np.unique(a, return_inverse=True)
+    used_b, row_b = np.unique(b, return_inverse=True)
+    size = np.zeros((len(used_a), len(used_b)), dtype=np.float32)
+    width = 1 << 14
+    for low in range(0, int(place.max()) + 1 if len(place) else 0, width):
+        inside = (place >= low) & (place < low + width)
+        table = np.zeros((len(sets), width), dtype=np.float32)
+        table[owner[inside], place[inside] - low] = 1
+        size += table[used_a] @ table[used_b].T
+    return size[row_a, row_b].astype(np.int64)
+
+
+def smallest_reached(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the smallest one that the links (x, y) reach."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
 
 
 def _true_links(likely: DataFrame, signed: DataFrame, docs: DataFrame, words_per_shingle: int, percent: int, text_col: str) -> DataFrame:
-    """Edges (a, b) of pairs with 100 * intersection >= percent * union, on full sets."""
-    needed = checkpoint(likely.select(F.explode(F.array("a", "pivot")).alias("key")).distinct().join(
-        signed.select("key", "at"), "key"))
+    """Edges (a, b) that connect what pairs with 100 * intersection >= percent * union connect.
+
+    Every likely pair is decided on its full sets. Of a tile's true links, each document
+    keeps an edge to the first one it reaches, so a dense tile yields few rows.
+    """
+    members = checkpoint(likely.select("tile", F.explode(F.array_union("a", "b")).alias("key")))
+    needed = checkpoint(members.select("key").distinct().join(signed.select("key", "at"), "key"))
     texts = with_locator(docs.select(text_col), "at").join(needed, "at").select("key", F.col(text_col).alias("text"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,52 +322,41 @@ def _true_links(likely: DataFrame, signed: DataFrame, docs: DataFrame, words_per
                     "key": batch.column("key").slice(first, len(part)),
                     "members": pa.array([shingle[edge[i] : edge[i + 1]].tobytes() for i in range(len(part))], pa.binary())})
 
-    folder = shared_folder(docs.sparkSession, "sets")
-    texts.mapInArrow(collect, "key long, members binary").write.parquet(folder)
-    sets = docs.sparkSession.read.parquet(folder)
+    sets = texts.mapInArrow(collect, "key long, members binary")
+    groups = members.join(sets, "key").groupBy("tile").agg(F.collect_list(F.struct("key", "members")).alias("sets"))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(0, dtype=U64)
         for batch in batches:
-            keep = []
-            for a, cell in zip(batch.column("a"), batch.column("payload"), strict=True):
-                members = np.frombuffer(cell.as_buffer(), np.uint64)
-                if not a.is_valid:
-                    own = members.copy()
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(own, members), max(0, len(own) - 1))
-                both = int((own[at] == members).sum()) if len(own) else 0
-                keep.append(100 * both >= percent * (len(members) + len(own) - both))
-            yield batch.select(["a", "pivot"]).filter(pa.array(keep, pa.bool_())).rename_columns(["a", "b"])
-
-    links = checkpoint(_streamed(likely, sets, "members").mapInArrow(confirm, "a long, b long"))
-    delete_folder(docs.sparkSession, folder)
-    return links
-
-
-def _round_pairs(buckets: DataFrame, labels: DataFrame, turn: int) -> tuple[DataFrame | None, bool]:
-    """(pairs of this turn or None, whether a later turn may have any).
-
-    In a bucket of n members with several components, members with a hash below 2 ** turn / n
-    of all hashes are pivots by now; those new in this turn meet all other components.
-    """
-    roots = buckets.join(labels.toDF("key", "_root"), "key", "left").select(
-        "band_key", "key", "_n", F.coalesce("_root", "key").alias("root"))
-    mixed = roots.groupBy("band_key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high")
-    place = F.pmod(F.xxhash64("key", "band_key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = lambda t: F.lit(float(1 << t)) / F.col("_n")
-    before = F.lit(0.0) if turn == 0 else share(turn - 1)
-    lots = F.ceil(F.col("_n") / BUCKET_LOT).cast("long")
-    open_ = checkpoint(roots.join(mixed.select("band_key"), "band_key").withColumn("place", place).filter(before < 1))
-    if open_.isEmpty():
-        return None, False
-    pivots = open_.filter((F.col("place") >= before) & (F.col("place") < share(turn))).select(
-        "band_key", F.col("key").alias("pivot"), F.col("root").alias("_r"),
-        F.explode(F.sequence(F.lit(0).cast("long"), lots - 1)).alias("lot"))
-    pairs = open_.withColumn("lot", F.pmod(F.xxhash64("key"), lots)).join(pivots, ["band_key", "lot"]).filter("root != _r")
-    more = open_.filter(share(turn) < 1).limit(1).count() > 0
-    return pairs.select(F.greatest("key", "pivot").alias("a"), F.least("key", "pivot").alias("pivot")).distinct(), more
+            links = [np.zeros((0, 2), np.int64)]
+            for a, b, cell in zip(batch.column("a"), batch.column("b"), batch.column("sets"), strict=True):
+                key = np.asarray(cell.values.field("key"))
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell.values.field("members")]
+                order = np.argsort(key)
+                x, y = (order[np.searchsorted(key[order], np.asarray(c.values))] for c in (a, b))
+                size = np.array([len(s) for s in sets])
+                both = common(sets, x, y)
+                keep = 100 * both >= percent * (size[x] + size[y] - both)
+                first = smallest_reached(len(key), x[keep], y[keep])
+                moved = np.flatnonzero(first != np.arange(len(key)))
+                links.append(np.stack((key[moved], key[first[moved]]), 1))
+            found = np.concatenate(links)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+
+    return checkpoint(likely.join(groups, "tile").select("a", "b", "sets").mapInArrow(confirm, "a long, b long"))
+
+
+def _open_tiles(buckets: DataFrame, blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """Tiles of blocks that meet in a bucket and hold several components."""
+    roots = blocks.join(labels.toDF("key", "_root"), "key", "left").select(
+        "key", "blk", F.coalesce("_root", "key").alias("root"))
+    spans = checkpoint(buckets.join(roots, "key").groupBy("band_key", "blk").agg(
+        F.min("root").alias("low"), F.max("root").alias("high")))
+    mixed = spans.groupBy("band_key").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).filter("_low < _high")
+    open_ = checkpoint(spans.join(mixed.select("band_key"), "band_key"))
+    other = open_.toDF("band_key", "y", "_l", "_h")
+    met = open_.withColumnRenamed("blk", "x").join(other, "band_key").filter(
+        (F.col("x") <= F.col("y")) & (F.least("low", "_l") < F.greatest("high", "_h")))
+    return _tiles(met.select("x", "y"))
 
 
 def near_duplicates(
@@ -338,24 +390,21 @@ def near_duplicates(
     counted = banded.groupBy("band_key").agg(F.min("key").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     buckets = checkpoint(banded.join(counted, "band_key").select("band_key", "key", "_first", "_n"))
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        likely = _likely(pairs, signed, percent / 100)
+    led = _leaders(buckets)
+    blocks = _dealt(led, ["leader"])
+
+    def links_of(tiles: DataFrame, blocks: DataFrame, labels: DataFrame) -> DataFrame:
+        likely = _likely(tiles, blocks, signed, labels, percent / 100)
         return _true_links(likely, signed, docs, words_per_shingle, percent, text_col)
 
-    led = buckets.groupBy("key").agg(F.max(F.struct("_n", -F.col("_first"))).alias("x")).select(
-        F.col("key").alias("a"), (-F.col("x.col2")).alias("pivot")).filter("a != pivot")
-    links = links_of(led)
+    star = led.filter("key != leader").join(blocks.toDF("key", "x"), "key").join(blocks.toDF("leader", "y"), "leader")
+    none = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("root"))
+    links = links_of(checkpoint(_tiles(star.select("x", "y"))), blocks, none)
     labels = components(links)
-    turn, more = 0, True
-    while more:
-        pairs, more = _round_pairs(buckets, labels, turn)
-        if pairs is None:
-            break
-        found = links_of(pairs)
-        if not found.isEmpty():
-            links = links.unionAll(found)
-            labels = components(links)
-        turn += 1
+    blocks = _component_blocks(led, labels)
+    cross = links_of(checkpoint(_open_tiles(buckets, blocks, labels)), blocks, labels)
+    if not cross.isEmpty():
+        labels = components(links.unionAll(cross))
 
     rooted = checkpoint(classes.join(labels.toDF("rep", "_root"), "rep", "left").withColumn(
         "root", F.coalesce("_root", "rep")))
