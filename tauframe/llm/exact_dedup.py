@@ -28,6 +28,11 @@ STATE_CONF = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Files of small partitions must not reserve megabytes that stay empty.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # All partitions of an executor share one bound; each is closed when its task ends.
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 #: Rows of one group of equal texts that share a copy of the kept text in the byte check.
 ROWS_PER_COPY = 500
