@@ -325,8 +325,9 @@ def _impurity_sql(criterion: str, s: str) -> str:
 
 
 def _causal_root_sql(criterion: str) -> str:
-    """All splits of the root: running sums along each feature, cut where the value changes."""
-    long = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f}::double AS x, treatment AS t, y FROM units" for f in NUMERIC)
+    """All splits of the root: running sums of centred outcomes along each feature, cut where it changes."""
+    long = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f}::double AS x, treatment AS t, y - (SELECT avg(y) FROM units) AS y FROM units"
+                              for f in NUMERIC)
     parts = [(c, k, {"n": "1e0", "s": "y", "q": "y * y"}[c]) for c in "nsq" for k in (0, 1)]
     each = ", ".join(f"coalesce(sum({e}) FILTER (t = {k} AND y IS NOT NULL), 0)::double AS {c}{k}" for c, k, e in parts)
     upto = ", ".join(f"sum({c}{k}) OVER along AS {c}_l{k}, sum({c}{k}) OVER whole AS {c}_a{k}" for c, k, _ in parts)
