@@ -6,10 +6,12 @@ five-word windows. Ratios of these are summarised by a quantile sketch for each
 which merge by addition, so partial sketches are added before and after the shuffle
 and the sketches of a language's sources add up to that of the language.
 
-A ratio passes while it lies within ``width`` times the spread between the quartiles
-beyond them, and a little further in a short text. Quartiles of a group are drawn towards those of its language with the
-weight of ``prior`` documents, so a small source has no thresholds of its own making. A
-spread counts as ``least`` of its ratio at least.
+A group's bounds come from its sketch alone: the median plus ``width`` times the distance
+from there to the quantile ``tail``, and for word length also the same downwards. Quantiles
+of a group are drawn towards those of its language with the weight of ``prior`` documents,
+so a small source has no thresholds of its own making. No ratio has a fixed cutoff or a
+least spread: a text passes while its count is at most what a count with the bound as its rate
+reaches by chance, ``chance`` standard deviations above it (for rate 0: ``chance`` squared).
 
 Choices: a null text has no words and fails; a null language or source is a group
 like any other. Repeated rows count each. An empty table gives no rows. Columns other
@@ -29,14 +31,13 @@ from pyspark.sql.window import Window
 from tauframe.llm.storage import bound_batches, checkpoint
 from tauframe.llm.textvec import mix, text_slices, windows, words_of
 
-#: Ratio -> (numerator, denominator, smallest spread, noise, whether low values fail too).
-#: A text of few words has ratios by chance: bounds widen by noise / sqrt(denominator).
-RATIOS: dict[str, tuple[str, str, float, float, bool]] = {
-    "word_length": ("word_chars", "n_words", 0.8, 6.0, True),
-    "symbol_share": ("n_symbols", "word_chars", 0.015, 0.3, False),
-    "upper_share": ("n_upper", "word_chars", 0.03, 1.0, False),
-    "duplicate_lines": ("n_dup_lines", "n_lines", 0.12, 0.3, False),
-    "repeated_words": ("n_repeat_words", "n_words", 0.06, 0.3, False),
+#: Ratio -> (numerator, denominator, whether low values fail too).
+RATIOS: dict[str, tuple[str, str, bool]] = {
+    "word_length": ("word_chars", "n_words", True),
+    "symbol_share": ("n_symbols", "word_chars", False),
+    "upper_share": ("n_upper", "word_chars", False),
+    "duplicate_lines": ("n_dup_lines", "n_lines", False),
+    "repeated_words": ("n_repeat_words", "n_words", False),
 }
 #: Bins grow by this factor; values below ``TINY`` share one bin.
 GROWTH, TINY = 1.02, 1e-4
@@ -116,7 +117,7 @@ def rule_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sour
 
 
 def _ratio(name: str) -> Column:
-    above, below, *_ = RATIOS[name]
+    above, below, _ = RATIOS[name]
     return F.when(F.col(below) > 0, F.col(above) / F.col(below)).otherwise(F.lit(0.0))
 
 
@@ -131,54 +132,63 @@ def sketches(counts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, ratio, docs, low, high) from merged sketches; the middle of a bin stands for it."""
+def quantiles(sketch: DataFrame, keys: list[str], tail: float) -> DataFrame:
+    """(keys, ratio, docs, low, mid, high) from merged sketches: the quantiles 1 - ``tail``, 0.5
+    and ``tail``; the middle of a bin stands for it."""
     merged = sketch.groupBy(*keys, "ratio", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "ratio")
     upto = F.sum("n").over(group.orderBy("bin"))
     ranked = merged.withColumn("upto", upto).withColumn("docs", F.sum("n").over(group))
     value = F.when(F.col("bin") > -(1 << 20), F.pow(F.lit(GROWTH), F.col("bin") - 0.5)).otherwise(F.lit(0.0))
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("docs") * q, value))
-    return ranked.groupBy(*keys, "ratio").agg(F.max("docs").alias("docs"), at(0.25).alias("low"), at(0.75).alias("high"))
+    return ranked.groupBy(*keys, "ratio").agg(
+        F.max("docs").alias("docs"), at(1 - tail).alias("low"), at(0.5).alias("mid"), at(tail).alias("high"))
 
 
-def thresholds(counts: DataFrame, width: float, prior: int) -> DataFrame:
+def thresholds(counts: DataFrame, tail: float, width: float, prior: int) -> DataFrame:
     """(lang, source, <ratio>_least, <ratio>_most): one row for each group."""
     sketch = checkpoint(sketches(counts))
-    own = quartiles(sketch, ["lang", "source"])
-    wide = quartiles(sketch, ["lang"]).select(
-        F.col("lang").alias("_lang"), F.col("ratio").alias("_ratio"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    own = quantiles(sketch, ["lang", "source"], tail)
+    wide = quantiles(sketch, ["lang"], tail).select(
+        F.col("lang").alias("_lang"), F.col("ratio").alias("_ratio"),
+        *[F.col(c).alias(f"_{c}") for c in ("low", "mid", "high")])
     both = own.join(wide, own["lang"].eqNullSafe(wide["_lang"]) & (own["ratio"] == wide["_ratio"]))
-    drawn = lambda a, b: (F.col(a) * F.col("docs") + F.col(b) * prior) / (F.col("docs") + prior)
-    both = both.withColumn("q1", drawn("low", "_low")).withColumn("q3", drawn("high", "_high"))
+    low, mid, high = (
+        (F.col(c) * F.col("docs") + F.col(f"_{c}") * prior) / (F.col("docs") + prior) for c in ("low", "mid", "high"))
     bounds = []
-    for name, (_, _, least, _, two_sided) in RATIOS.items():
-        spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(least)) * width
+    for name in RATIOS:
         mine = F.col("ratio") == name
-        low = F.col("q1") - spread if two_sided else F.lit(float("-inf"))
         bounds += [
-            F.max(F.when(mine, low)).alias(f"{name}_least"),
-            F.max(F.when(mine, F.col("q3") + spread)).alias(f"{name}_most")]
+            F.max(F.when(mine, F.greatest(mid - (mid - low) * width, F.lit(0.0)))).alias(f"{name}_least"),
+            F.max(F.when(mine, mid + (high - mid) * width)).alias(f"{name}_most")]
     return both.groupBy("lang", "source").agg(*bounds)
 
 
+def _passes(name: str, chance: float) -> Column:
+    above, below, two_sided = RATIOS[name]
+    most, least = F.col(f"{name}_most") * F.col(below), F.col(f"{name}_least") * F.col(below)
+    inside = F.col(above) <= most + chance * F.sqrt(most + chance**2 / 4) + chance**2 / 2
+    return inside & (F.col(above) >= least - chance * F.sqrt(least)) if two_sided else inside
+
+
 def judge(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
-    width: float = 4.0,
+    tail: float = 0.9,
+    width: float = 3.0,
     prior: int = 100,
+    chance: float = 3.0,
 ) -> DataFrame:
     """doc_id, lang, source, ``COUNTS``, base_failed, kept of every row."""
     counts = checkpoint(rule_counts(docs, id_col, text_col, lang_col, source_col))
-    limits = thresholds(counts, width, prior).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    limits = thresholds(counts, tail, width, prior).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     passes = F.lit(True)
-    for name, (_, below, _, noise, _) in RATIOS.items():
-        slack = noise / F.sqrt(F.greatest(F.col(below), F.lit(1)))
-        passes = passes & _ratio(name).between(F.col(f"{name}_least") - slack, F.col(f"{name}_most") + slack)
+    for name in RATIOS:
+        passes = passes & _passes(name, chance)
     joined = counts.join(
         limits, counts["lang"].eqNullSafe(limits["_lang"]) & counts["source"].eqNullSafe(limits["_source"]))
     return joined.select(

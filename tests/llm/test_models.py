@@ -210,14 +210,61 @@ def test_rules_keep_good_and_drop_junk(spark):
     assert quality_rules.judge(empty_docs(spark)).count() == 0
 
 
-def test_quartiles_of_merged_sketches(spark):
-    rng = np.random.default_rng(2)
-    values = rng.integers(40, 900, 3000)
-    rows = [(i, "en", "ab"[i % 2], 100, int(v), 0, 0, 0, 0, 1) for i, v in enumerate(values)]
-    counts = spark.createDataFrame(rows, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in quality_rules.COUNTS))
-    got = quality_rules.quartiles(quality_rules.sketches(counts), ["lang"]).filter("ratio = 'word_length'").first()
-    low, high = np.quantile(values / 100, [0.25, 0.75])
-    assert abs(got.low / low - 1) < 0.025 and abs(got.high / high - 1) < 0.025
+def rule_rows(values, source):
+    return [(i, "en", source, 100, int(v), 0, 0, 0, 0, 1) for i, v in enumerate(values)]
+
+
+def rule_table(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in quality_rules.COUNTS))
+
+
+def test_quantiles_of_merged_sketches(spark):
+    values = np.random.default_rng(2).integers(40, 900, 3000)
+    counts = rule_table(spark, rule_rows(values[:1800], "a") + rule_rows(values[1800:], "b"))
+    got = quality_rules.quantiles(quality_rules.sketches(counts), ["lang"], 0.9).filter("ratio = 'word_length'").first()
+    for found, q in ((got.low, 0.1), (got.mid, 0.5), (got.high, 0.9)):
+        assert abs(found / np.quantile(values / 100, q) - 1) < 0.03
+
+
+def test_bounds_follow_their_group(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(400, 600, 2000), rng.integers(400, 600, 2000)
+
+    def bounds(b):
+        limits = quality_rules.thresholds(rule_table(spark, rule_rows(a, "a") + rule_rows(b, "b")), 0.9, 3.0, 0)
+        return {r.source: (r.word_length_least, r.word_length_most) for r in limits.collect()}
+
+    before, wider, higher = bounds(b), bounds((b - 500) * 2 + 500), bounds(b + 300)
+    assert before["a"] == wider["a"] == higher["a"]
+    assert wider["b"][1] > before["b"][1] + 1 and wider["b"][0] < before["b"][0]
+    assert higher["b"][1] > before["b"][1] + 2.5 and higher["b"][0] > before["b"][0] + 2.5
+
+
+def test_verdicts_match_exact_quantiles(spark):
+    """Only texts within the sketch's error of a bound may be judged otherwise."""
+    got = quality_rules.judge(sf_docs(spark, "sf0.01")).toPandas()
+    chance, surely, maybe = 3.0, ~got.base_failed, ~got.base_failed
+    lang, group = got.lang.fillna("?"), [got.lang.fillna("?"), got.source.fillna("?")]
+    size = got.groupby(group).doc_id.transform("size")
+    for above, below, two_sided in quality_rules.RATIOS.values():
+        count, base = got[above], got[below]
+        ratio = (count / base.where(base > 0, 1)).where(base > 0, 0.0)
+        low, mid, high = (
+            (ratio.groupby(group).transform(lambda x, q=q: np.quantile(x, q, method="inverted_cdf")) * size
+             + ratio.groupby(lang).transform(lambda x, q=q: np.quantile(x, q, method="inverted_cdf")) * 100) / (size + 100)
+            for q in (0.1, 0.5, 0.9))
+        for error, sure in ((-0.07, True), (0.07, False)):
+            most = (mid + 3 * (high - mid)) * (1 + error) * base
+            inside = count <= most + chance * np.sqrt(most + chance**2 / 4) + chance**2 / 2
+            if two_sided:
+                least = (mid - 3 * (mid - low)).clip(lower=0) * (1 - error) * base
+                inside &= count >= least - chance * np.sqrt(least)
+            if sure:
+                surely &= inside
+            else:
+                maybe &= inside
+    assert (got.kept | ~surely).all() and (~got.kept | maybe).all()
+    assert (maybe & ~surely).mean() < 0.02 and surely.mean() > 0.5
 
 
 def test_segmentations_are_lossless(spark):
