@@ -7,7 +7,7 @@ its context.
 
 Each pattern matches from the left without overlaps. Runs are possessive and starts are
 anchored at the beginning of a run, which leaves the matches as they are and keeps long
-runs linear; numbers too short or too long for a card are passed over as a whole.
+runs linear; places come from running sums, n log n for n matches of a text; numbers too short or too long for a card are passed over as a whole.
 
 A span's score is the prior of its kind plus ``CONTEXT_GAIN`` if a word of its kind stands
 within ``CONTEXT`` characters; spans of at least ``least`` are returned. The priors of email,
@@ -95,27 +95,46 @@ KINDS = [
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
+def _bind(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sums(values: Column) -> Column:
+    """Sums of an array's integers up to each place: as many passes as its size has bits,
+    each adding what stands 1, 2, 4, ... places before."""
+    passes = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
+
+    def add(sums: Column, bit: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), bit)
+        return F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - back), F.lit(0)))
+
+    return F.aggregate(passes, values, add)
+
+
 def _spans(kind: Kind, text: Column, found: Column, least: float) -> Column:
     """Confirmed spans of one kind, from the left."""
-    pieces = F.split(text, kind.pattern, -1)
-    count = F.size(found)
-
-    def step(state: Column, i: Column) -> Column:
-        match, before = F.get(found, i), F.get(state["pieces"], i)
-        start = state["at"] + F.length(before)
-        end = start + F.length(match)
-        near = F.concat(F.right(before, F.lit(CONTEXT)), F.lit(" "), F.left(F.get(state["pieces"], i + 1), F.lit(CONTEXT)))
-        gain = F.when(F.lower(near).rlike(kind.context), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
-        score = F.lit(kind.prior) + gain
-        span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
-        passes = kind.confirm(match) & (score >= least)
-        return F.struct(
-            end.alias("at"), state["pieces"].alias("pieces"),
-            F.when(passes, F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), pieces.alias("pieces"), F.array().cast(SPAN).alias("out"))
-    spans = F.aggregate(F.sequence(F.lit(0), count - 1), first, step, lambda s: s["out"])
-    return F.when(count > 0, spans).otherwise(F.array().cast(SPAN))
+    whole = F.struct(found.alias("found"), F.split(text, kind.pattern, -1).alias("pieces"))
+
+    def located(parts: Column) -> Column:
+        found, pieces = parts["found"], parts["pieces"]
+
+        def listed(ends: Column) -> Column:
+            def span(match: Column, i: Column) -> Column:
+                near = F.concat(
+                    F.right(F.get(pieces, i), F.lit(CONTEXT)), F.lit(" "), F.left(F.get(pieces, i + 1), F.lit(CONTEXT)))
+                gain = F.when(F.lower(near).rlike(kind.context), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
+                end = F.get(ends, i)
+                return F.struct(
+                    F.lit(kind.name).alias("kind"), (end - F.length(match)).alias("start"), end.alias("end"),
+                    (F.lit(kind.prior) + gain).alias("score"), kind.confirm(match).alias("passes"))
+
+            sure = F.filter(F.transform(found, span), lambda s: s["passes"] & (s["score"] >= least))
+            return F.transform(sure, lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "score")]))
+
+        return _bind(running_sums(F.transform(found, lambda m, i: F.length(F.get(pieces, i)) + F.length(m))), listed)
+
+    return F.when(F.size(found) > 0, _bind(whole, located).cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:

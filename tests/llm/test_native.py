@@ -190,6 +190,23 @@ def test_checksums_and_context(spark):
     assert near.card[0].score > plain.card[0].score
 
 
+def test_very_many_spans_of_one_text(spark):
+    parts = [f"ä{i % 7} a{i}@b{i % 9}.de" for i in range(20000)]
+    text, at, expected = " ".join(parts), 0, []
+    for part in parts:
+        start = at + part.index(" ") + 1
+        expected.append((start, at + len(part)))
+        at += len(part) + 1
+    got = pii.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(x.start, x.end) for x in got.email] == expected
+
+
+def test_running_sums(spark):
+    values = [[], [5], [1, 2, 3], list(range(100))]
+    got = spark.createDataFrame([(v,) for v in values], "v array<int>").select(pii.running_sums(F.col("v")).alias("s")).collect()
+    assert [r.s for r in got] == [[sum(v[: i + 1]) for i in range(len(v))] for v in values]
+
+
 def test_empty_tables(spark):
     none = empty_docs(spark)
     assert sharding.shard_by_bytes(none, 4).count() == 0
