@@ -1,12 +1,14 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Every source's documents are shuffled by a hash and laid end to end; the stream of
-tokens is cut into blocks of ``block`` tokens. Slot i of the mix is the point
-frac(i * golden ratio), mapped through the cumulative weights of the sources to one of
-them. The slots of a source are ranked, and rank r takes the source's block r modulo its
-number of blocks; the quotient is the epoch. Block for block the mix hence follows the
-weights at every prefix, and the tokens taken from a source differ from its target by a
-few blocks, whatever the size of the corpus.
+tokens is cut into blocks of equal size: at most ``block`` tokens, less in a source that
+would have under ``LEAST_BLOCKS`` of them, never differing by more than one token. Slot i
+of the mix is the point frac(i * golden ratio), mapped to a source through the cumulative
+numbers of slots that the targets call for. The slots of a source are ranked, and rank r
+takes the source's block r modulo its number of blocks; the quotient is the epoch. Block
+for block the mix hence follows the weights at every prefix, and the tokens taken from a
+source differ from its target by a few of its blocks, whatever the size of the corpus or
+of the source.
 
 Targets: weights share the sum of all sizes; a target stops at ``max_epochs`` times its
 source's size and the excess is shared again by weight among the others, until none is
@@ -21,6 +23,8 @@ source are read. All arithmetic that decides is in integers, so reruns agree.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,12 +32,15 @@ from pyspark.sql.window import Window
 from tauframe.llm.storage import checkpoint, free_name, with_locator
 from tauframe.operators.ordered import running_totals
 
-#: Points are whole numbers below 2**31; the step is the golden ratio's fraction of that,
-#: made odd, so that 2**31 slots in a row meet every point once.
-POINTS = 1 << 31
-GOLDEN_STEP = 1327217885
-#: Shares of the points are looked up by cell of this many points.
-CELL = 1 << 21
+#: Points are whole numbers below 2**62; the step is the golden ratio's fraction of that,
+#: made odd, so that 2**62 slots in a row meet every point once.
+HALF = 1 << 31
+POINTS = HALF * HALF
+GOLDEN_STEP = 2850178704830799621
+#: Shares of the points are looked up by cells of 2**52 points.
+CELL_BITS = 52
+#: A source is cut into this many blocks or more, as far as it has the words.
+LEAST_BLOCKS = 64
 #: Slots that one window ranks.
 SLOT_CHUNK = 1 << 15
 WHITE = " \t\n\x0b\x0c\r"
@@ -77,23 +84,79 @@ def source_targets(sources: DataFrame, weights: list[int], max_epochs: int) -> D
     return base.select("source", "source_size", "rank", target.alias("target"))
 
 
-def schedule(targets: DataFrame, total: int, block: int) -> DataFrame:
-    """(rank, slot, turn): for each slot its source, and its number among the source's slots."""
-    spark = targets.sparkSession
-    upto = F.sum("target").over(Window.orderBy("rank"))
-    whole = F.sum("target").over(Window.partitionBy())
-    edge = F.greatest(F.round(upto / whole * POINTS), F.lit(0)).cast("long")
-    shares = targets.filter("target > 0").withColumn("hi", edge)
+def block_counts(targets: DataFrame, block: int) -> DataFrame:
+    """``targets`` of the sources with words, with their blocks and the slots they need.
+
+    The first ``longer`` of the ``blocks`` have ``width`` + 1 words, the others ``width``.
+    """
+    size = F.col("source_size")
+    return targets.filter("target > 0").withColumn(
+        "blocks", F.greatest(F.ceil(size / block), F.least(size, F.lit(LEAST_BLOCKS))).cast("long")
+    ).withColumns({
+        "width": F.floor(size / F.col("blocks")), "longer": size % F.col("blocks"),
+        "need": F.col("target") * F.col("blocks") / size,
+    })
+
+
+def _block_start(number: Column) -> Column:
+    return number * F.col("width") + F.least(number, F.col("longer"))
+
+
+def _block_of(word: Column) -> Column:
+    """The block that holds a word, counted from 0 in its source."""
+    long_words = F.col("longer") * (F.col("width") + 1)
+    return F.when(word < long_words, F.floor(word / (F.col("width") + 1))).otherwise(
+        F.col("longer") + F.floor((word - long_words) / F.col("width")))
+
+
+def golden_point(slot: Column) -> Column:
+    """slot * GOLDEN_STEP modulo 2**62, in two halves so that no product overflows."""
+    high, low = F.floor(slot / HALF), slot % HALF
+    step_high, step_low = divmod(GOLDEN_STEP, HALF)
+    return ((high * step_low + low * step_high) % HALF * HALF + low * step_low) % POINTS
+
+
+def schedule(counts: DataFrame, max_epochs: int) -> DataFrame:
+    """(rank, slot, turn, block): for each slot its source, its number among the source's
+    slots and the block it takes; slots beyond the last epoch are left out."""
+    spark = counts.sparkSession
+    total = counts.agg(F.sum("need")).first()[0] or 0
+    upto = F.sum("need").over(Window.orderBy("rank"))
+    whole = F.sum("need").over(Window.partitionBy())
+    last = F.lead("rank").over(Window.orderBy("rank")).isNull()
+    edge = F.when(last, F.lit(POINTS)).otherwise(F.round(upto / whole * POINTS).cast("long"))
+    shares = counts.withColumn("hi", edge)
     shares = shares.select("rank", "hi", F.lag("hi", 1, 0).over(Window.orderBy("rank")).alias("lo")).filter("hi > lo")
     cells = shares.select("rank", "lo", "hi", F.explode(F.sequence(
-        F.floor(F.col("lo") / CELL), F.floor((F.col("hi") - 1) / CELL))).alias("cell"))
-    point = (F.col("slot") % POINTS) * GOLDEN_STEP % POINTS
-    slots = spark.range(-(-total // block)).select(F.col("id").alias("slot")).withColumn("point", point)
-    dealt = slots.withColumn("cell", F.floor(F.col("point") / CELL)).join(cells, "cell").filter(
+        F.shiftright("lo", CELL_BITS), F.shiftright(F.col("hi") - 1, CELL_BITS))).alias("cell"))
+    slots = spark.range(math.ceil(round(total, 6))).select(F.col("id").alias("slot")).withColumn(
+        "point", golden_point(F.col("slot")))
+    dealt = slots.withColumn("cell", F.shiftright("point", CELL_BITS)).join(cells, "cell").filter(
         "point >= lo and point < hi").select("rank", "slot")
     ranked = running_totals(
         dealt, [F.col("slot")], by=["rank"], bucket=F.floor(F.col("slot") / SLOT_CHUNK), position="_nth")
-    return ranked.select("rank", "slot", (F.col("_nth") - 1).alias("turn"))
+    turn = F.col("_nth") - 1
+    return ranked.join(counts.select("rank", "blocks"), "rank").filter(
+        turn < F.col("blocks") * max_epochs).select(
+        "rank", "slot", turn.alias("turn"), (turn % F.col("blocks")).alias("block"))
+
+
+def _laid_out(
+    docs: DataFrame, weights: list[int], max_epochs: int, block: int, id_col: str, text_col: str, source_col: str,
+) -> tuple[DataFrame, DataFrame]:
+    """The rows with their places in their source's stream of words, and ``block_counts``."""
+    rows = checkpoint(with_locator(docs.select(id_col, text_col, source_col), "at").select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+        word_count(F.col(text_col)).alias("size"), "at"))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = checkpoint(source_targets(sizes, weights, max_epochs))
+    known = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select(
+        "doc_id", "at", "size", "source_size", "rank", "target")
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    stream = running_totals(
+        known.withColumn("_key", key), [F.col("_key"), F.col("at")], sums={"_upto": F.col("size")}, by=["rank"])
+    stream = checkpoint(stream.drop("_key", "pos").withColumn("_from", F.col("_upto") - F.col("size")))
+    return stream, checkpoint(block_counts(targets, block))
 
 
 def mix_sources(
@@ -110,31 +173,15 @@ def mix_sources(
     ``taken`` is the number of words that the mix takes of the row, repeats counted; all
     of a source's documents but one or two are taken whole, a number of times.
     """
-    rows = checkpoint(with_locator(docs.select(id_col, text_col, source_col), "at").select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-        word_count(F.col(text_col)).alias("size"), "at"))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = checkpoint(source_targets(sizes, weights, max_epochs))
-    total = targets.agg(F.sum("source_size")).first()[0] or 0
-    known = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select(
-        "doc_id", "at", "size", "source_size", "rank", "target")
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    stream = running_totals(
-        known.withColumn("_key", key), [F.col("_key"), F.col("at")], sums={"_upto": F.col("size")}, by=["rank"])
-    stream = checkpoint(stream.drop("_key", "pos").withColumn("_from", F.col("_upto") - F.col("size")))
-
-    number = F.explode(F.sequence(
-        F.floor(F.col("_from") / block), F.floor((F.col("_upto") - 1) / block))).alias("block")
-    pieces = stream.filter("size > 0").select("rank", "at", "_from", "_upto", number).select(
+    stream, counts = _laid_out(docs, weights, max_epochs, block, id_col, text_col, source_col)
+    shape = counts.select("rank", "width", "longer")
+    number = F.explode(F.sequence(_block_of(F.col("_from")), _block_of(F.col("_upto") - 1))).alias("block")
+    pieces = stream.filter("size > 0").join(shape, "rank").select(
+        "rank", "at", "_from", "_upto", "width", "longer", number).select(
         "rank", "at", "block",
-        (F.least(F.col("_upto"), (F.col("block") + 1) * block)
-         - F.greatest(F.col("_from"), F.col("block") * block)).alias("words"))
-    counts = targets.filter("target > 0").select(
-        "rank", F.ceil(F.col("source_size") / block).alias("blocks"))
-    drawn = schedule(targets, int(total), block).join(counts, "rank").filter(
-        F.col("turn") < F.col("blocks") * max_epochs)
-    times = drawn.groupBy("rank", (F.col("turn") % F.col("blocks")).alias("block")).agg(
-        F.count(F.lit(1)).alias("times"))
+        (F.least(F.col("_upto"), _block_start(F.col("block") + 1))
+         - F.greatest(F.col("_from"), _block_start(F.col("block")))).alias("words"))
+    times = schedule(counts, max_epochs).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = pieces.join(times, ["rank", "block"]).groupBy("at").agg(
         F.sum(F.col("words") * F.col("times")).alias("taken"))
     return stream.join(taken, "at", "left").select(
@@ -142,11 +189,24 @@ def mix_sources(
         F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, weights: list[int], max_epochs: int = 3, block: int = 32) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, a part of it counting as once."""
-    at, copies, nth = (free_name(docs, name) for name in ("_at", "_copies", "_nth"))
+def mixed_documents(
+    docs: DataFrame, weights: list[int], max_epochs: int = 3, block: int = 32, in_order: bool = True,
+) -> DataFrame:
+    """``docs`` as whole documents in the order of the schedule.
+
+    A document comes once for every slot that takes the block its first word lies in, at
+    that slot, so the documents of a source have its target of words up to a few blocks
+    and documents, and so has every prefix in proportion. Rows are range partitioned and
+    sorted by slot, then by place in the source's stream. Without ``in_order`` this last
+    shuffle of the texts is spared. Documents without words are not taken.
+    """
+    at, slot, first = (free_name(docs, name) for name in ("_at", "_slot", "_first"))
     located = with_locator(docs, at)
-    plan = mix_sources(located.drop(at), weights, max_epochs, block).filter("taken > 0").select(
-        F.col("at").alias(at), F.ceil(F.col("taken") / F.col("size")).alias(copies))
-    repeat = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))
-    return located.join(plan, at).withColumn(nth, repeat).select(docs.columns)
+    stream, counts = _laid_out(located.drop(at), weights, max_epochs, block, "doc_id", "text", "source")
+    starts = stream.filter("size > 0").join(counts.select("rank", "width", "longer"), "rank").select(
+        "rank", F.col("at").alias(at), F.col("_from").alias(first), _block_of(F.col("_from")).alias("block"))
+    plan = starts.join(schedule(counts, max_epochs), ["rank", "block"]).select(at, first, F.col("slot").alias(slot))
+    mixed = located.join(plan, at)
+    if in_order:
+        mixed = mixed.repartitionByRange(F.col(slot), F.col(first)).sortWithinPartitions(slot, first)
+    return mixed.select(docs.columns)

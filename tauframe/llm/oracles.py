@@ -34,7 +34,7 @@ SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, list_transform(
 FROM sharded, crc
 """
 
-#: The mix: water filling, the golden-ratio schedule, blocks of 32 words by hash order.
+#: The mix: water filling, the golden-ratio schedule, equal blocks of 32 words or less by hash order.
 MIXING = """
 WITH docs AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
@@ -51,15 +51,16 @@ levels AS (
     FROM weighed WINDOW w AS (ORDER BY cap / weight, rank)),
 common AS (SELECT min_by(level, place) AS level FROM levels WHERE cap > level * weight),
 targets AS (
-    SELECT source, source_size, rank, ceil(source_size / 32)::BIGINT AS blocks,
+    SELECT source, source_size, rank, greatest(ceil(source_size / 32)::BIGINT, least(source_size, 64)) AS blocks,
         least(cap::DOUBLE, coalesce((SELECT level FROM common), 'inf'::DOUBLE) * weight) AS target, total FROM levels),
 shares AS (
-    SELECT rank, blocks, total, round(sum(target) OVER (ORDER BY rank) / sum(target) OVER () * 2147483648)::BIGINT AS hi
-    FROM targets WHERE target > 0),
+    SELECT rank, blocks, sum(need) OVER () AS slots, CASE WHEN rank = max(rank) OVER () THEN 4611686018427387904
+        ELSE round(sum(need) OVER (ORDER BY rank) / sum(need) OVER () * 4611686018427387904)::BIGINT END AS hi
+    FROM (SELECT *, target * blocks / source_size AS need FROM targets WHERE target > 0)),
 ranges AS (SELECT *, lag(hi, 1, 0) OVER (ORDER BY rank) AS lo FROM shares),
 slots AS (
-    SELECT range AS slot, (range % 2147483648) * 1327217885 % 2147483648 AS point
-    FROM range(0, (SELECT ceil(max(total) / 32)::BIGINT FROM targets))),
+    SELECT range AS slot, range::HUGEINT * 2850178704830799621 % 4611686018427387904 AS point
+    FROM range(0, (SELECT ceil(round(max(slots), 6))::BIGINT FROM shares))),
 turns AS (
     SELECT rank, blocks, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS turn
     FROM slots JOIN ranges ON point >= lo AND point < hi),
@@ -69,11 +70,18 @@ stream AS (
     SELECT doc_id, size, source_size, target, rank, sum(size) OVER (
         PARTITION BY rank ORDER BY md5(doc_id::VARCHAR), doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
     FROM docs JOIN targets ON docs.source IS NOT DISTINCT FROM targets.source),
+placed AS (
+    SELECT *, upto - size AS start, longer * (width + 1) AS edge
+    FROM stream JOIN (SELECT rank, source_size // blocks AS width, source_size % blocks AS longer
+        FROM targets WHERE target > 0) USING (rank) WHERE size > 0),
 pieces AS (
-    SELECT doc_id, rank, unnest(range((upto - size) // 32, (upto - 1) // 32 + 1)) AS block, upto, size
-    FROM stream WHERE size > 0),
+    SELECT doc_id, rank, start, upto, width, longer, unnest(range(
+        CASE WHEN start < edge THEN start // (width + 1) ELSE longer + (start - edge) // width END,
+        CASE WHEN upto - 1 < edge THEN (upto - 1) // (width + 1) ELSE longer + (upto - 1 - edge) // width END + 1)) AS block
+    FROM placed),
 taken AS (
-    SELECT doc_id, sum((least(upto, 32 * (block + 1)) - greatest(upto - size, 32 * block)) * times)::BIGINT AS taken
+    SELECT doc_id, sum((least(upto, (block + 1) * width + least(block + 1, longer))
+        - greatest(start, block * width + least(block, longer))) * times)::BIGINT AS taken
     FROM pieces JOIN times USING (rank, block) GROUP BY doc_id)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM stream LEFT JOIN taken USING (doc_id)
 """

@@ -1,6 +1,8 @@
 """Sharding, exact deduplication, mixing and personal data against plain Python."""
 
+import bisect
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -136,12 +138,77 @@ def test_mix_is_the_same_for_any_partitioning(spark):
     assert sorted(one) == sorted(many)
 
 
+def test_tiny_sources_meet_their_targets(spark):
+    """Sources of 1 to 40 words beside a large one."""
+    sizes = {f"s{n:02d}": n for n in (1, 2, 5, 10, 40)} | {"zz": 60_000}
+    rows = [(i, s, " ".join(["w"] * n)) for i, (s, n) in enumerate(sizes.items())]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string"), [5, 2, 1]).collect()
+    target = plain_targets(sizes, [5, 2, 1], 3)
+    for r in got:
+        goal = target[rows[r.doc_id][1]]
+        assert abs(r.target - goal) < 1e-6 and abs(r.taken - goal) <= max(2, 0.05 * goal)
+
+
+def test_golden_points(spark):
+    slots = [0, 1, 2, 2**31 - 1, 2**31, 2**31 + 1, 10**12, 2**45 + 12345]
+    got = spark.createDataFrame([(s,) for s in slots], "slot long").select(
+        "slot", mixing.golden_point(F.col("slot")).alias("point")).collect()
+    assert all(r.point == r.slot * mixing.GOLDEN_STEP % 2**62 for r in got)
+
+
+def plain_mix(rows, weights, most, block):
+    """(row number, slot) of every whole document of the mix, by the definition."""
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(words(text))
+    target = plain_targets(sizes, weights, most)
+    order = [s for s in sorted(sizes, key=lambda s: (s is None, s or "")) if target[s] > 0]
+    blocks = {s: max(-(-sizes[s] // block), min(sizes[s], 64)) for s in order}
+    need = [target[s] * blocks[s] / sizes[s] for s in order]
+    edges = [round(sum(need[:i + 1]) / sum(need) * 2**62) for i in range(len(need) - 1)] + [2**62]
+    turns, taken = Counter(), defaultdict(list)
+    for slot in range(math.ceil(sum(need))):
+        point = slot * mixing.GOLDEN_STEP % 2**62
+        s = order[next(i for i, e in enumerate(edges) if point < e)]
+        if turns[s] < most * blocks[s]:
+            taken[s, turns[s] % blocks[s]].append(slot)
+        turns[s] += 1
+    out = []
+    for s in order:
+        at, start = 0, [b * (sizes[s] // blocks[s]) + min(b, sizes[s] % blocks[s]) for b in range(blocks[s])]
+        mine = [(i, r) for i, r in enumerate(rows) if r[2] == s]
+        for i, r in sorted(mine, key=lambda x: hashlib.md5(str(x[1][0]).encode()).hexdigest()):
+            if words(r[1]):
+                out += [(i, slot) for slot in taken[s, bisect.bisect_right(start, at) - 1]]
+                at += len(words(r[1]))
+    return sorted(out, key=lambda x: x[1])
+
+
+def test_mixed_documents_follow_the_schedule(spark):
+    docs = sf_docs(spark).select("doc_id", "text", "source")
+    rows = [tuple(r) for r in docs.collect()]
+    expected = [rows[i][0] for i, _ in plain_mix(rows, [5, 2, 1], 3, 32)]
+    got = [r.doc_id for r in mixing.mixed_documents(docs, [5, 2, 1]).collect()]
+    assert Counter(got) == Counter(expected) and len(got) == len(expected)
+    slots = dict()
+    for i, slot in plain_mix(rows, [5, 2, 1], 3, 32):
+        slots.setdefault(rows[i][0], []).append(slot)
+    seen, order = Counter(), []
+    for d in got:
+        order.append(slots[d][seen[d]])
+        seen[d] += 1
+    assert order == sorted(order)
+    loose = mixing.mixed_documents(docs, [5, 2, 1], in_order=False)
+    assert Counter(r.doc_id for r in loose.collect()) == Counter(got)
+
+
 def test_mixed_rows(spark):
     docs = hard_docs(spark)
     out = mixing.mixed_documents(docs, [5, 2, 1], block=4)
     assert out.columns == docs.columns
-    plan = mixing.mix_sources(docs, [5, 2, 1], block=4).filter("taken > 0").toPandas()
-    assert out.count() == int((-(-plan.taken // plan["size"])).sum())
+    known = Counter(map(repr, docs.collect()))
+    got = Counter(map(repr, out.collect()))
+    assert 0 < sum(got.values()) and all(n <= 3 * known[r] for r, n in got.items())
 
 
 def luhn(digits):
