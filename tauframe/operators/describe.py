@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tauframe.functions.stats import (
     pooled_t,
@@ -124,18 +125,47 @@ def balance_table(df: DataFrame, treatment: str, features, label: str = "before"
     )
 
 
-def balance_before_after(df: DataFrame, matched: DataFrame, treatment: str, features) -> DataFrame:
+def _pooled(groups: DataFrame, by: list[str], weight: str) -> DataFrame:
+    """Moments of the union of groups, each taken ``weight`` times, from their own moments.
+
+    Squared deviations are those inside the groups plus those of the group means from the
+    common mean, so nothing is subtracted that could cancel.
+    """
+    everyone = Window.partitionBy(*by)
+    w = F.col(weight)
+    means, sums = {}, []
+    for arm in (0, 1):
+        n, m, v = (F.col(f"{c}{arm}") for c in "nmv")
+        means[f"_m{arm}"] = safe_divide(F.sum(w * n * m).over(everyone), F.sum(w * n).over(everyone))
+        inside = F.coalesce(v * (n - 1), F.lit(0.0))
+        off = F.coalesce(n * (m - F.col(f"_m{arm}")) ** 2, F.lit(0.0))
+        total = F.sum(w * n)
+        sums += [
+            total.alias(f"n{arm}"), F.first(f"_m{arm}").alias(f"m{arm}"),
+            F.when(total > 1, safe_divide(F.sum(w * (inside + off)), total - 1)).alias(f"v{arm}"),
+        ]
+    return groups.withColumns(means).groupBy(*by).agg(*sums)
+
+
+def balance_before_after(df: DataFrame, copies: DataFrame, id_col: str, treatment: str, features) -> DataFrame:
     """Absolute standardized difference, p and arm sizes before and after matching.
 
-    ``matched`` holds matched treated rows and their controls, a control once
-    per pair it is in.
+    ``copies`` is (id, copies), see ``matching.pair_copies``. The matched sample is never
+    made: one aggregation takes the moments of the rows that are in it equally often, and
+    these few groups are pooled with weight one for "before" and with their number of
+    copies for "after".
     """
-    columns = [treatment, *features]
-    both = df.select(F.lit("before").alias("matching"), *columns).unionByName(
-        matched.select(F.lit("after").alias("matching"), *columns)
-    )
+    number = "_copies"
+    counted = df.select(id_col, treatment, *features).join(
+        copies.select(id_col, F.col("copies").alias(number)), id_col, "left")
+    groups = feature_moments(counted, treatment, features, by=[number])
+    sides = F.explode(F.array(
+        F.struct(F.lit("before").alias("matching"), F.lit(1).cast("long").alias("weight")),
+        F.struct(F.lit("after").alias("matching"), F.col(number).alias("weight")),
+    )).alias("_side")
+    weighed = groups.select("*", sides).select("*", "_side.*").where("weight is not null")
     stats = _stat_columns()
-    out = feature_moments(both, treatment, features, by=["matching"]).select(
+    out = _pooled(weighed, ["matching", "feature"], "weight").select(
         "feature", "matching", F.abs(stats["smd"]).alias("smd"),
         stats["t_stat"].alias("t_stat"), stats["dof"].alias("dof"),
         F.col("n1").alias("n_treatment"), F.col("n0").alias("n_control"),

@@ -230,15 +230,19 @@ def pair_table(
     return out.withColumns({c: F.col(c).cast(t) for c, t in (casts or {}).items()})
 
 
+def pair_copies(pairs: DataFrame, id_col: str, name: str = "copies") -> DataFrame:
+    """How often each id stands in the matched sample: a control once per pair it is in."""
+    both = pairs.select(F.explode(F.array(id_col, "matched_id")).alias(id_col))
+    return both.groupBy(id_col).agg(F.count(F.lit(1)).alias(name))
+
+
 def matched_sample(df: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
     """Matched treated rows and the controls they point to, one row per pointer.
 
     Pointers are counted per id first, so the wide table is joined once.
     """
-    both = pairs.select(F.explode(F.array(id_col, "matched_id")).alias(id_col))
-    copies = both.groupBy(id_col).agg(F.count(F.lit(1)).alias("_copies"))
     repeat = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")
-    return df.join(copies, id_col).select("*", repeat).drop("_copies", "_copy")
+    return df.join(pair_copies(pairs, id_col, "_copies"), id_col).select("*", repeat).drop("_copies", "_copy")
 
 
 def semi_join(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:

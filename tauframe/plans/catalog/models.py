@@ -32,7 +32,7 @@ def propensity_logistic(spark, sf_dir):
 def propensity_boosted(spark, sf_dir):
     df = _scaled(spark, sf_dir)
     balanced = sampling.downsample_control(df, "uid", "treatment", 7)
-    model = propensity.fit_boosted(balanced, SPEC, seed=7, max_iter=10, max_depth=3)
+    model = propensity.fit_boosted(balanced, SPEC, seed=7)
     return model.score(df).select("uid", "treatment", "ps")
 
 
@@ -49,7 +49,7 @@ def propensity_search(spark, sf_dir):
 @query("propensity_importance")
 def propensity_importance(spark, sf_dir):
     balanced = sampling.downsample_control(_scaled(spark, sf_dir), "uid", "treatment", 7)
-    return propensity.fit_boosted(balanced, SPEC, seed=7, max_iter=5, max_depth=3).importances(spark)
+    return propensity.fit_boosted(balanced, SPEC, seed=7).importances(spark)
 
 
 ONE = CausalSpec("uid", "treatment", "y", ("omonth",))
@@ -77,7 +77,7 @@ def s_learner_linear(spark, sf_dir):
 def _learner(name: str):
     def run(spark, sf_dir):
         df = units(spark, sf_dir).select("uid", "treatment", "y", *NUMERIC)
-        return le.LEARNERS[name](df, SPEC, le.boosted(max_iter=5)).predict(df, "tau").select("uid", "tau")
+        return le.LEARNERS[name](df, SPEC).predict(df, "tau").select("uid", "tau")
 
     return run
 
@@ -106,6 +106,31 @@ def quick_targeting() -> daily_targeting.TargetingPlan:
     )
 
 
+def learner_targeting() -> daily_targeting.TargetingPlan:
+    """All 6 + 7 + 4 kinds of model; forests of 10 trees and learners of 20 rounds."""
+    return replace(
+        quick_targeting(), tree_grid=cf.default_tree_grid(200), forest_grid=cf.default_forest_grid(200, trees=10),
+        learner=le.boosted(max_iter=20), use_learners=True, top_models=17, top_features=15)
+
+
+@query("tournament_rounds")
+def tournament_rounds(spark, sf_dir):
+    """Trees, forests and learners on all features, then refitted on the leader's top 15."""
+    out = daily_targeting.target_tables(units(spark, sf_dir), predict_units(spark, sf_dir), learner_targeting())
+    return out["first_round"].select(F.lit(1).alias("round"), "model", "qini").unionByName(
+        out["ranking"].select(F.lit(2).alias("round"), "model", "qini"))
+
+
+@query("top_features_fitted")
+def top_features_fitted(spark, sf_dir):
+    """The 15 features of highest importance in a fitted causal tree, encoded categories included."""
+    plan = learner_targeting()
+    train, _, features = daily_targeting.prepare_tables(units(spark, sf_dir), predict_units(spark, sf_dir), plan)
+    grid = {"ctree_cmse": cf.default_tree_grid(200)["ctree_cmse"]}
+    model = cf.fit_grid(train, SPEC.id, SPEC.treatment, SPEC.outcome, features, grid)["ctree_cmse"]
+    return ranking.top_rows(model.importance_frame(spark), "importance", plan.top_features, "feature")
+
+
 @query("targeting_output")
 def targeting_output(spark, sf_dir):
     out = daily_targeting.target_tables(units(spark, sf_dir), predict_units(spark, sf_dir), quick_targeting())
@@ -115,7 +140,7 @@ def targeting_output(spark, sf_dir):
 def quick_matching() -> daily_matching.MatchingPlan:
     return daily_matching.MatchingPlan(
         spec=SPEC, numeric=tuple(NUMERIC), categorical=("segment", "status"),
-        recodes={"status": {"F": "finished", "O": "open"}}, casts={"omonth": "bigint"}, model="logistic",
+        recodes={"status": {"F": "finished", "O": "open"}}, casts={"omonth": "bigint"}, model="boosted",
     )
 
 

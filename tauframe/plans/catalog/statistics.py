@@ -8,7 +8,7 @@ from tauframe.functions.stats import erfc_sql
 from tauframe.functions.stats import t_p_sql
 from tauframe.operators import describe, did
 from tauframe.operators.describe import response_slope, smoothed_rate
-from tauframe.operators.matching import match_with_replacement, matched_sample
+from tauframe.operators.matching import match_with_replacement, pair_copies
 from tauframe.operators.uplift_tree import CANDIDATE_SHARES
 from tauframe.plans.catalog.fixtures import (
     DAILY,
@@ -159,13 +159,14 @@ both_samples AS (
 
 
 @query("balance_before_after", with_(f"""
-SELECT feature, matching, {q6(f'abs({SMD_SQL})')} AS smd, n1 AS n_treatment, n0 AS n_control
+SELECT feature, matching, {q6(f'abs({SMD_SQL})')} AS smd, {q6(t_p_sql(f'({T_SQL})', 'n0 + n1 - 2'))} AS p_value,
+  n1 AS n_treatment, n0 AS n_control
 FROM ({_moments_sql('both_samples', FEATURES, 'matching')})""", MATCHED))
 def balance_before_after(spark, sf_dir):
     df = propensity_units(spark, sf_dir)
     pairs = match_with_replacement(df, SPEC, "ps")
-    out = describe.balance_before_after(df, matched_sample(df, pairs, "uid"), "treatment", FEATURES)
-    return rounded(out, "smd").drop("p_value")
+    out = describe.balance_before_after(df, pair_copies(pairs, "uid"), "uid", "treatment", FEATURES)
+    return rounded(out, "smd", "p_value")
 
 
 @query("node_summary_root", with_(f"""

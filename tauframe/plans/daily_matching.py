@@ -74,14 +74,14 @@ def match_table(df: DataFrame, plan: MatchingPlan) -> dict[str, DataFrame]:
     else:
         pairs = matching.match_without_replacement(scored, spec, "ps", plan.neighbours, plan.ratio)
     features = list(plan.numeric)
-    sample = matching.matched_sample(scored, pairs, spec.id)
+    copies = matching.pair_copies(pairs, spec.id)
     return {
         "comparison": describe.compare_arms(original, spec.treatment, spec.outcome),
         "balance_before": describe.balance_table(wide, spec.treatment, features),
         "scored": scored,
         "score_histogram": describe.score_histogram(scored, "ps", spec.treatment, 0.04),
         "pairs": matching.pair_table(original, pairs, spec.id, plan.casts),
-        "balance": describe.balance_before_after(scored, sample, spec.treatment, features),
+        "balance": describe.balance_before_after(scored, copies, spec.id, spec.treatment, features),
     }
 
 

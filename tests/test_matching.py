@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tauframe.operators import matching
+from tauframe.operators import describe, matching
 from tauframe.spec import CausalSpec
 
 SPEC = CausalSpec("id", "t", "y")
@@ -101,6 +102,24 @@ def test_pairs_are_one_to_one_and_within_caliper(spark):
     assert got and all(r["gap"] <= sd * 0.002 + 1e-12 for r in got)
 
 
+def test_balance_from_copies_equals_the_exploded_sample(spark):
+    """Values far from zero, a constant feature, nulls and controls used many times."""
+    rows = [(i, int(i % 7 == 0), (i * 37 % 101) / 101, "a") for i in range(400)]
+    df = frame(spark, rows).withColumns({
+        "big": 1e6 + F.col("ps"), "flat": F.lit(2.0), "holes": F.when(F.col("id") % 3 != 0, F.col("ps") * 5)})
+    pairs = matching.match_with_replacement(df, SPEC, "ps", k=10)
+    treat, features = SPEC.treatment, ["ps", "big", "flat", "holes"]
+    got = describe.balance_before_after(df, matching.pair_copies(pairs, "id"), "id", treat, features)
+    got = {(r.matching, r.feature): r for r in got.collect()}
+    for label, sample in (("before", df), ("after", matching.matched_sample(df, pairs, "id"))):
+        sizes = {r.feature: r for r in describe.feature_moments(sample, treat, features).collect()}
+        for r in describe.balance_table(sample, treat, features).collect():
+            mine = got[label, r.feature]
+            assert (mine.n_treatment, mine.n_control) == (sizes[r.feature].n1, sizes[r.feature].n0)
+            for a, b in ((mine.smd, r.smd and abs(r.smd)), (mine.p_value, r.p_value)):
+                assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-6)
+
+
 def test_matched_sample_keeps_repeated_controls(spark):
     df = frame(spark, [(1, 1, 0.5, "a"), (2, 1, 0.5, "a"), (3, 0, 0.5, "a"), (4, 0, 0.9, "a")])
     pairs = matching.match_with_replacement(df, SPEC, "ps", k=3)
