@@ -107,10 +107,10 @@ def quick_targeting() -> daily_targeting.TargetingPlan:
 
 
 def learner_targeting() -> daily_targeting.TargetingPlan:
-    """All 6 + 7 + 4 kinds of model; forests of 10 trees and learners of 20 rounds."""
+    """All 6 + 7 + 4 kinds of model; forests of 3 trees and learners of 5 rounds."""
     return replace(
-        quick_targeting(), tree_grid=cf.default_tree_grid(200), forest_grid=cf.default_forest_grid(200, trees=10),
-        learner=le.boosted(max_iter=20), use_learners=True, top_models=17, top_features=15)
+        quick_targeting(), tree_grid=cf.default_tree_grid(200), forest_grid=cf.default_forest_grid(200, trees=3),
+        learner=le.boosted(max_iter=5), use_learners=True, top_models=17, top_features=15)
 
 
 @query("tournament_rounds")
