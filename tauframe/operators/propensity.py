@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tauframe.operators.sampling import share_of, stratified_folds
+from tauframe.session import persist_sized
 from tauframe.spec import CausalSpec
 
 # The search space of the boosted propensity model.
@@ -81,7 +82,7 @@ def fit_boosted(
     max_iter: int = 100, max_depth: int = 6, step: float = 0.3, tolerance: float = 0.001,
 ):
     """Boosted trees that stop once the held-out log loss no longer improves."""
-    data = assemble(train, spec).withColumn("held_out", share_of(spec.id, seed) < holdout).persist()
+    data, kept = persist_sized(assemble(train, spec).withColumn("held_out", share_of(spec.id, seed) < holdout))
     try:
         model = GBTClassifier(
             maxIter=max_iter, maxDepth=max_depth, stepSize=step, seed=seed,
@@ -93,7 +94,7 @@ def fit_boosted(
             F.avg((F.col("prediction") == F.col("label")).cast("int"))
         ).first()[0]
     finally:
-        data.unpersist()
+        kept.unpersist()
     return out
 
 
