@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +49,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def lean(work: Callable) -> Callable:
+    """``work`` on a task's batches; at its end the Python worker gives free memory back.
+
+    Spark uses workers again: without this each of an executor's keeps the most that any
+    stage before has taken.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for batches of very long texts."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

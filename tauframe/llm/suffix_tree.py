@@ -11,10 +11,13 @@ every state's distribution sums to one. A text's score is the sum of log10 proba
 each token's by the longest suffix state of the words before it in the text.
 
 Counts cover every training token. Counting is pre-aggregated in the task, then summed by
-hash; contexts are tested by group. States and their next symbols are tables that grow with
-the corpus. The most frequent ``head_rows`` of each are broadcast for lookups in the task, as
-are the counts of frequent words (at most 1 / head_share of them); all others are joined. A
-bitmap of fixed size spares tokens that cannot meet a joined row; it decides nothing.
+hash; runs of symbols travel as arrays, in lots by their hash. Contexts are tested by group.
+States and their next symbols are tables that grow with the corpus. What each adds to a
+token's log10 probability does not depend on the others: a state the factor of what it
+leaves over, a next symbol the rest. So lookups are summed by text in any order. The most
+frequent ``head_rows`` of each are broadcast for lookups in the task, as are the counts of
+frequent words (at most 1 / head_share of them); all others are joined. A bitmap of fixed size
+spares tokens that cannot meet a joined row; it decides nothing.
 
 Choices: words are identified by a 64-bit hash. A null text is empty and has the end only;
 a null id counts as empty text in the split. Repeated rows count each. Without training
@@ -24,7 +27,7 @@ other than id and text are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tauframe.llm.storage import bound_batches, checkpoint, release, with_locator
+from tauframe.llm.storage import bound_batches, checkpoint, lean, release, with_locator
 from tauframe.llm.textvec import U64, mix, text_slices, windows, words_of
 
 END = U64(0x0E0F0E0F0E0F0E0F)
@@ -43,6 +46,9 @@ SMOOTHING = 8.0
 TEST_WIDTH = 4.0
 #: A bitmap has 2 ** CELL_BITS cells, one for each value of a key's first bits.
 CELL_BITS = 26
+#: Runs of symbols that a task holds before it sends them, and lots in a shuffle partition.
+HELD_GRAMS = 1 << 20
+LOTS = 2
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,12 +76,27 @@ def context_key(symbols: tuple[int, ...]) -> int:
     return int(windows(array, np.zeros(len(array), np.int64), len(array))[1][0])
 
 
-def find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, found) of each wanted key."""
+def starts_of(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where the keys with each value of the first bits start; keys are hashes, so few share one."""
+    bits = max(1, len(sorted_keys).bit_length())
+    sizes = np.bincount((sorted_keys >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.concatenate(([0], np.cumsum(sizes)))
+
+
+def find(sorted_keys: np.ndarray, starts: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, found) of each wanted key; ``starts`` comes from ``starts_of``."""
     if not len(sorted_keys):
         return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    place = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
-    return place, sorted_keys[place] == wanted
+    cell = (wanted >> U64(64 - len(sorted_keys).bit_length())).astype(np.int64)
+    place, last, found = starts[cell], starts[cell + 1], np.zeros(len(wanted), bool)
+    open_ = np.flatnonzero(place < last)
+    while len(open_):
+        hit = sorted_keys[place[open_]] == wanted[open_]
+        found[open_[hit]] = True
+        open_ = open_[~hit]
+        place[open_] += 1
+        open_ = open_[place[open_] < last[open_]]
+    return np.minimum(place, len(sorted_keys) - 1), found
 
 
 def cells(keys: DataFrame, name: str = "key") -> np.ndarray:
@@ -108,12 +129,18 @@ def entry_keys(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Level:
-    """States with contexts of one length, and the entries of their next symbols."""
+    """States with contexts of one length, and the entries of their next symbols.
+
+    A state adds ``log_rest`` to the log10 probability by its suffix state, an entry ``gain`` to that.
+    """
 
     context: np.ndarray
     log_rest: np.ndarray
     entry: np.ndarray
-    log_entry: np.ndarray
+    gain: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.context_at, self.entry_at = starts_of(self.context), starts_of(self.entry)
 
 
 @dataclass
@@ -131,10 +158,13 @@ class SuffixTree:
     tail_cells: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
     tail: DataFrame | None = None
 
+    def __post_init__(self) -> None:
+        self.head_at = starts_of(self.head)
+
     def parts(self) -> tuple:
         """The model as plain arrays, which any Python worker can read."""
         return (self.total, self.distinct, self.head, self.head_log, [
-            (x.context, x.log_rest, x.entry, x.log_entry) for x in self.levels], self.tail_cells)
+            (x.context, x.log_rest, x.entry, x.gain) for x in self.levels], self.tail_cells)
 
     @classmethod
     def of_parts(cls, parts: tuple) -> SuffixTree:
@@ -145,16 +175,17 @@ class SuffixTree:
         return float(np.log10(self.total + self.distinct + 1))
 
 
-def _map_texts(rows: DataFrame, work, schema: str, keep: list[str]) -> DataFrame:
-    """Apply ``work(part, texts)`` to bounded slices; it returns Arrow arrays by name."""
+def _map_texts(rows: DataFrame, work, schema: str, keep: list[str], setup: Callable[[], tuple] = tuple) -> DataFrame:
+    """Apply ``work(part, texts, *setup())`` to bounded slices; it returns Arrow arrays by name."""
     bound_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = setup()
         for batch in batches:
             for first, texts in text_slices(batch.column("text")):
-                yield pa.RecordBatch.from_pydict(work(batch.slice(first, len(texts)), texts))
+                yield pa.RecordBatch.from_pydict(work(batch.slice(first, len(texts)), texts, *own))
 
-    return rows.select(*keep, "text").mapInArrow(run, schema)
+    return rows.select(*keep, "text").mapInArrow(lean(run), schema)
 
 
 def symbol_counts(train: DataFrame) -> DataFrame:
@@ -167,31 +198,99 @@ def symbol_counts(train: DataFrame) -> DataFrame:
     return _map_texts(train, count, "symbol long, n long", []).groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
-def gram_counts(train: DataFrame, length: int, shorter: np.ndarray) -> DataFrame:
+def gram_counts(train: DataFrame, length: int, shorter: np.ndarray, head: np.ndarray) -> DataFrame:
     """(w0, ..., w<length>, n): a context and its next symbol, with ``MIN_COUNT`` occurrences.
 
     ``shorter`` is the bitmap of the runs of ``length`` symbols that have as many: a run of
-    one more can have them only if both runs inside it have.
+    one more can have them only if both runs inside it have. ``head`` are sorted symbols, whose
+    places stand for them on the way.
     """
-    shared = train.sparkSession.sparkContext.broadcast(shorter)
+    spark = train.sparkSession
+    bound_batches(spark)
+    shared, known = spark.sparkContext.broadcast(shorter), spark.sparkContext.broadcast(head)
     names = [f"w{j}" for j in range(length + 1)]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lots = LOTS * parts
 
-    def count(part, texts) -> dict:
-        symbol, doc, _ = tokens(texts)
-        at, key = windows(symbol, doc, length)
-        held = in_cells(shared.value, key)
-        good, context = np.zeros(len(symbol) + 1, bool), np.zeros(len(symbol), U64)
-        good[at[held]], context[at] = True, key
-        first = np.flatnonzero(good[:-1] & good[1:])
-        first = first[doc[first] == doc[first + length]]
-        _, place, n = np.unique(entry_keys(context[first], symbol[first + length]), return_index=True, return_counts=True)
-        first = first[place]
-        return {
-            **{w: pa.array(symbol[first + j].view(np.int64)) for j, w in enumerate(names)}, "n": pa.array(n, pa.int64())}
-
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, starts = [], 0, starts_of(known.value)
+        for batch in batches:
+            for _, texts in text_slices(batch.column("text")):
+                symbol, doc, _ = tokens(texts)
+                at, key = windows(symbol, doc, length)
+                fit_ = in_cells(shared.value, key)
+                good = np.zeros(len(symbol) + 1, bool)
+                good[at[fit_]] = True
+                first = np.flatnonzero(good[:-1] & good[1:])
+                first = first[doc[first] == doc[first + length]]
+                rows = np.stack([symbol[first + j] for j in range(length + 1)], 1)
+                held.append((rows, np.ones(len(rows), np.int64)))
+                size += len(rows)
+                if size >= HELD_GRAMS:
+                    yield from _in_lots(*_summed(held), lots, known.value, starts)
+                    held, size = [], 0
+        if size:
+            yield from _in_lots(*_summed(held), lots, known.value, starts)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            columns = (batch.column(c) for c in ("symbols", "n"))
+            for lot, short, row, n in zip(batch.column("lot").to_pylist(), batch.column("short").to_pylist(), *columns, strict=True):
+                if held and lot != now:
+                    yield _frequent(held, names)
+                    held = []
+                now, n, wide = lot, np.frombuffer(n.as_buffer(), np.int32), 4 * short * (length + 1)
+                body = row.as_buffer()
+                places = np.frombuffer(body, np.uint32, wide // 4).reshape(length + 1, short)
+                whole = np.frombuffer(body, U64, (len(n) - short) * (length + 1), wide).reshape(length + 1, len(n) - short)
+                held.append((np.concatenate((known.value[places], whole), 1).T, n))
+        if held:
+            yield _frequent(held, names)
+
+    packed = train.select("text").mapInArrow(lean(count), "lot long, short long, symbols binary, n binary")
     schema = ", ".join(f"{w} long" for w in [*names, "n"])
-    return _map_texts(train, count, schema, []).groupBy(*names).agg(F.sum("n").alias("n")).filter(
-        F.col("n") >= MIN_COUNT)
+    return packed.repartition(parts, "lot").sortWithinPartitions("lot").mapInArrow(lean(total), schema)
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of symbols, their keys, n): each distinct row once, with the sum of its counts."""
+    rows, n = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+    key = row_keys(rows)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    sums = np.add.reduceat(n[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+    return rows[order[first]], key[first], sums
+
+
+def _in_lots(
+    rows: np.ndarray, key: np.ndarray, n: np.ndarray, lots: int, head: np.ndarray, starts: np.ndarray,
+) -> Iterator[pa.RecordBatch]:
+    """A row (lot, short, symbols, n) for each lot of keys; its symbols stand column by column.
+
+    The first ``short`` runs are all of symbols of the head and have four-byte places there.
+    """
+    lot = ((key >> U64(20)) % U64(lots)).astype(np.int64)
+    place, held = find(head, starts, rows.ravel())
+    place, wide = place.astype(np.uint32).reshape(rows.shape), ~held.reshape(rows.shape).all(1)
+    # Runs of equal symbols are compressed well.
+    order = np.lexsort((*rows.T[-2::-1], wide, lot))
+    rows, place, wide, lot, n = rows[order], place[order], wide[order], lot[order], n[order].astype(np.int32)
+    edges = np.append(np.flatnonzero(np.diff(lot, prepend=-1)), len(lot))
+    ends = edges[:-1] + np.add.reduceat(~wide, edges[:-1], dtype=np.int64) if len(lot) else edges[:-1]
+    yield pa.RecordBatch.from_pydict({
+        "lot": pa.array(lot[edges[:-1]]), "short": pa.array(ends - edges[:-1]),
+        "symbols": pa.array([
+            place[a:m].T.tobytes() + rows[m:b].T.tobytes() for a, m, b in zip(edges, ends, edges[1:])], pa.binary()),
+        "n": pa.array([n[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())})
+
+
+def _frequent(held: list[tuple[np.ndarray, np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    rows, _, n = _summed(held)
+    rows, n = rows[n >= MIN_COUNT], n[n >= MIN_COUNT]
+    return pa.RecordBatch.from_pydict({
+        **{w: pa.array(np.ascontiguousarray(rows[:, j]).view(np.int64)) for j, w in enumerate(names)}, "n": pa.array(n)})
 
 
 def gram_keys(grams: DataFrame, length: int) -> DataFrame:
@@ -215,7 +314,7 @@ def gram_keys(grams: DataFrame, length: int) -> DataFrame:
                 **{k: pa.array(np.ascontiguousarray(v).view(np.int64)) for k, v in keys.items()}, "n": batch.column("n")})
 
     kinds = ["gram", "last", *(["context", "entry", "parent"] if length else []), "n"]
-    return grams.mapInArrow(run, ", ".join(f"{k} long" for k in kinds))
+    return grams.mapInArrow(lean(run), ", ".join(f"{k} long" for k in kinds))
 
 
 def head_limit(table: DataFrame, rows: int) -> int:
@@ -248,6 +347,7 @@ def fit(
     order = np.argsort(symbol)
     symbol, n = symbol[order], n[order]
     tree = SuffixTree(int(total), int(distinct), symbol, np.log10(n + 1.0))
+    release(train.sparkSession)
 
     least, tails = max(MIN_COUNT, int(np.ceil(total * min_share))), []
     words = counts.filter(F.col("n") >= MIN_COUNT)
@@ -258,11 +358,12 @@ def fit(
             F.col("gram").alias("context"), F.col("n").alias("count"))
         if held.isEmpty():
             break
-        grams = checkpoint(gram_keys(gram_counts(train, length, cells(grams, "gram")), length))
+        grams = checkpoint(gram_keys(gram_counts(train, length, cells(grams, "gram"), symbol), length))
+        release(train.sparkSession)
         states, grams = _states(grams, before, held)
         before = grams.select(F.col("entry").alias("parent"), F.col("p").alias("before"))
         entries = grams.filter("log_rest is not null").select(
-            F.col("entry").alias("key"), F.log10("p").alias("value"), "n")
+            F.col("entry").alias("key"), F.col("gain").alias("value"), "n")
         parts = [states.select(F.col("context").alias("key"), F.col("log_rest").alias("value"), F.col("count").alias("n")), entries]
         level = []
         for table in parts:
@@ -285,10 +386,12 @@ def fit(
 
 
 def _states(grams: DataFrame, before: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(context, count, log_rest) of contexts that diverge, and ``grams`` with p and log_rest.
+    """(context, count, log_rest) of contexts that diverge, and ``grams`` with p, log_rest and gain.
 
     ``p`` is the symbol's probability after the context by the longest suffix state;
-    ``log_rest`` is null where the context is no state.
+    ``log_rest`` is null where the context is no state. ``gain`` is what log10 of p has over
+    its value by the suffix state and log_rest: a kept symbol is kept after that state, too,
+    so the suffix state's value is the one that scoring comes to.
     """
     known = checkpoint(grams.join(before, "parent").join(held, "context", "left"))
     share = F.col("n") / F.col("count")
@@ -305,57 +408,43 @@ def _states(grams: DataFrame, before: DataFrame, held: DataFrame) -> tuple[DataF
         "context", "count", F.log10(factor).alias("log_rest")))
     smooth = (F.col("n") + SMOOTHING * F.col("before")) / (F.col("count") + SMOOTHING)
     return states, checkpoint(known.join(states.select("context", "log_rest"), "context", "left").select(
-        "gram", "last", "entry", "n", "log_rest", F.when(F.col("log_rest").isNotNull(), smooth).otherwise(F.col("before")).alias("p")))
+        "gram", "last", "entry", "n", "log_rest", F.when(F.col("log_rest").isNotNull(), smooth).otherwise(F.col("before")).alias("p"),
+        (F.log10(smooth) - F.log10("before") - F.col("log_rest")).alias("gain")))
 
 
-@dataclass
-class Lookup:
-    """Keys of one kind, where the broadcast part has them, and where only the tail may."""
+def token_logs(
+    tree: SuffixTree, symbol: np.ndarray, doc: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(log10 of count + 1, in the head, log10 probability) of each token, (token, key) of open lookups.
 
-    key: np.ndarray
-    value: np.ndarray
-    found: np.ndarray
-    asked: np.ndarray
+    Open lookups are what the broadcast part does not have and the counts of all words or
+    the tail may: each adds its value to the token's log10 probability, the count of a word
+    outside the head to its log10 of count + 1 as well, which is 0 here.
+    """
+    place, in_head = find(tree.head, tree.head_at, symbol)
+    log_count = np.where(in_head, tree.head_log[place] if len(tree.head) else 0.0, 0.0)
+    log_p = log_count - tree.log_all
+    token, wanted = [np.flatnonzero(~in_head)], [symbol[~in_head]]
 
+    def look(keys: np.ndarray, starts: np.ndarray, values: np.ndarray, at: np.ndarray, key: np.ndarray) -> np.ndarray:
+        place, held = find(keys, starts, key)
+        log_p[at[held]] += values[place[held]]
+        open_ = ~held & in_cells(tree.tail_cells, key)
+        token.append(at[open_])
+        wanted.append(key[open_])
+        return held | open_
 
-def lookups(tree: SuffixTree, symbol: np.ndarray, doc: np.ndarray) -> list[tuple[Lookup, Lookup]]:
-    """For each length the lookups of all tokens' contexts and entries."""
-    out = []
     for length, level in enumerate(tree.levels, 1):
         at, context = contexts(symbol, doc, length)
-        pair = []
-        for keys, values, key in (
-                (level.context, level.log_rest, context), (level.entry, level.log_entry, entry_keys(context, symbol[at]))):
-            place, held = find(keys, key)
-            one = Lookup(*(np.zeros(len(symbol), kind) for kind in (U64, float, bool, bool)))
-            one.key[at], one.found[at] = key, held
-            one.value[at[held]] = values[place[held]]
-            one.asked[at] = ~held & in_cells(tree.tail_cells, key)
-            pair.append(one)
-        out.append(tuple(pair))
-    return out
+        state = look(level.context, level.context_at, level.log_rest, at, context)
+        # Only states have entries.
+        at, context = at[state], context[state]
+        look(level.entry, level.entry_at, level.gain, at, entry_keys(context, symbol[at]))
+    return log_count, in_head, log_p, np.concatenate(token), np.concatenate(wanted)
 
 
-def token_logs(
-    tree: SuffixTree, symbol: np.ndarray, doc: np.ndarray, looked: list[tuple[Lookup, Lookup]] | None = None,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(log10 of count + 1, in the head, log10 probability, whether by an entry) of each token.
-
-    A token outside the head has 0 in place of its log10 of count + 1, in the probability
-    only if no entry gives it. The tail is not looked at.
-    """
-    place, in_head = find(tree.head, symbol)
-    log_count = np.where(in_head, tree.head_log[place] if len(tree.head) else 0.0, 0.0)
-    log_p, settled = log_count - tree.log_all, np.zeros(len(symbol), bool)
-    for state, entry in lookups(tree, symbol, doc) if looked is None else looked:
-        log_p = np.where(entry.found, entry.value, log_p + state.value)
-        settled |= entry.found
-    return log_count, in_head, log_p, settled
-
-
-SCORED = (
-    "file long, row long, doc_id long, n_tokens long, n_known long, base double, score double, symbol long, "
-    "adds boolean, pos int, kind int")
+FIGURES = "doc_id long, n_tokens long, n_known long, base double, score double"
+SCORED = f"file long, row long, symbol long, figures struct<{FIGURES}>"
 
 
 def score(docs: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -364,74 +453,37 @@ def score(docs: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: str = "d
     rows = with_locator(docs.select(id_col, text_col), "_at").select(
         F.xxhash64("_at.file").alias("file"), F.col("_at.row").alias("row"),
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # Kind 0 is a word's count, 2 * length - 1 a state, 2 * length an entry.
-    kinds = 1 + 2 * len(tree.levels) if tree.tail is not None else 0
 
-    def scan(part, texts) -> dict:
-        """A row for each text, then one for each lookup of a token that is not broadcast."""
-        model = SuffixTree.of_parts(shared.value)
+    def scan(part, texts, model) -> dict:
+        """A row for each text with its figures so far, then one for each open lookup."""
         symbol, doc, size = tokens(texts)
-        looked = lookups(model, symbol, doc)
-        log_count, in_head, log_p, settled = token_logs(model, symbol, doc, looked)
+        log_count, in_head, log_p, token, wanted = token_logs(model, symbol, doc)
         n = len(texts)
         sums = lambda x: np.bincount(doc, weights=x, minlength=n)
-        flat = [x for pair in looked for x in pair] if kinds else []
-        asks = [~in_head, *(x.asked for x in flat)]
-        token = np.concatenate([np.flatnonzero(x) for x in asks])
-        kind = np.repeat(np.arange(len(asks)), [x.sum() for x in asks])
-        keys = np.concatenate([x[a] for x, a in zip([symbol, *(x.key for x in flat)], asks, strict=True)])
-        extra = {}
-        if kinds:
-            # A token with lookups is summed up after the join, from what is known of it here.
-            open_ = np.logical_or.reduce(asks)
-            log_p = np.where(open_, 0.0, log_p)
-            values = [(log_count - model.log_all, in_head), *((x.value, x.found) for x in flat)]
-            extra = {f"p{k}": pa.concat_arrays([
-                pa.nulls(n, pa.float64()), pa.array(v[token], pa.float64(), mask=~f[token])]) for k, (v, f) in enumerate(values)}
-        owner = pa.array(np.concatenate((np.arange(n), doc[token])))
-        none = lambda kind: pa.nulls(len(token), kind)
-        whole = lambda x, kind: pa.concat_arrays([pa.array(x, kind), none(kind)])
-        after = lambda x, kind: pa.concat_arrays([pa.nulls(n, kind), pa.array(x, kind)])
         # A text's own row needs a symbol that no other row has, or all would meet.
         alone = mix(np.asarray(part.column("row")).astype(U64) ^ END)
-        doc_id = part.column("doc_id").cast(pa.int64())
+        figures = pa.StructArray.from_arrays(
+            [part.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(sums(in_head).astype(np.int64)),
+             pa.array(sums(log_count) - size * model.log_all), pa.array(sums(log_p))],
+            names=[x.split()[0] for x in FIGURES.split(", ")])
+        owner = pa.array(np.concatenate((np.arange(n), doc[token])))
         return {
             "file": part.column("file").take(owner), "row": part.column("row").take(owner),
-            "doc_id": pa.concat_arrays([doc_id, none(pa.int64())]),
-            "n_tokens": whole(size, pa.int64()),
-            "n_known": whole(sums(in_head).astype(np.int64), pa.int64()),
-            "base": whole(sums(log_count) - size * model.log_all, pa.float64()),
-            "score": whole(sums(log_p), pa.float64()),
-            "symbol": pa.array(np.concatenate((alone, keys)).view(np.int64)),
-            "adds": after(~settled[token], pa.bool_()), "pos": after(token, pa.int32()), "kind": after(kind, pa.int32()),
-            **extra,
-        }
-
-    schema = SCORED + "".join(f", p{k} double" for k in range(kinds))
-    scanned = _map_texts(rows, scan, schema, ["file", "row", "doc_id"])
-    values = counts.select("symbol", F.log10(F.col("n") + 1).alias("_value"))
-    if kinds:
-        values = values.unionAll(tree.tail.toDF("symbol", "_value"))
-    counted = scanned.join(values, "symbol", "left")
-    word = F.when(F.col("kind") == 0, F.col("_value"))
-    figures = ["doc_id", "n_tokens", "n_known", "base", "score"]
-    if kinds:
-        tokens_ = counted.groupBy("file", "row", "pos").agg(
-            *[F.max(c).alias(c) for c in figures], *[F.max(f"p{k}").alias(f"p{k}") for k in range(kinds)],
-            *[F.max(F.when(F.col("kind") == k, F.col("_value"))).alias(f"f{k}") for k in range(kinds)])
-        p = F.coalesce("p0", F.coalesce("f0", F.lit(0.0)) - tree.log_all)
-        for k in range(1, kinds, 2):
-            p = F.coalesce(f"p{k + 1}", f"f{k + 1}", p + F.coalesce(f"p{k}", f"f{k}", F.lit(0.0)))
-        log_count, add, known = F.col("f0"), F.when(F.col("pos").isNotNull(), p), F.col("f0").isNotNull()
-    else:
-        tokens_, log_count, add, known = counted, word, F.when(F.col("adds"), word), word.isNotNull()
-    zero = lambda x: F.coalesce(x, F.lit(0.0))
-    return tokens_.select(
-        "file", "row", *figures, zero(log_count).alias("_log"), zero(add).alias("_add"), known.cast("int").alias("_known")).groupBy("file", "row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
-        (F.max("n_known") + F.sum("_known")).alias("n_known"),
-        (F.max("base") + F.sum("_log")).alias("base_score"),
-        (F.max("score") + F.sum("_add")).alias("score")).drop("file", "row")
+            "symbol": pa.array(np.concatenate((alone, wanted)).view(np.int64)),
+            "figures": pa.concat_arrays([figures, pa.nulls(len(token), figures.type)])}
+
+    scanned = _map_texts(rows, scan, SCORED, ["file", "row", "doc_id"], lambda: (SuffixTree.of_parts(shared.value),))
+    values = counts.select("symbol", F.log10(F.col("n") + 1).alias("_value"), F.lit(1).alias("_word"))
+    if tree.tail is not None:
+        values = values.unionAll(tree.tail.toDF("symbol", "_value").withColumn("_word", F.lit(0)))
+    found = scanned.join(values, "symbol", "left").filter("figures is not null or _value is not null")
+    value, word = F.coalesce("_value", F.lit(0.0)), F.coalesce("_word", F.lit(0))
+    return found.groupBy("file", "row").agg(
+        F.max("figures.doc_id").alias("doc_id"), F.max("figures.n_tokens").alias("n_tokens"),
+        (F.max("figures.n_known") + F.sum(word)).alias("n_known"),
+        (F.max("figures.base") + F.sum(value * word)).alias("base_score"),
+        # Parts that are often zero are compressed well.
+        (F.max("figures.score") + F.sum(value * word) + F.sum(value * (1 - word))).alias("score")).drop("file", "row")
 
 
 def train_rows(docs: DataFrame, training: Column, text_col: str = "text") -> DataFrame:

@@ -324,3 +324,28 @@ def test_word_vectors():
         w = words(t, True)
         plain = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} - {()}
         assert (doc == i).sum() == len(plain)
+
+
+def test_gram_counts_match_plain(spark):
+    """Runs of symbols travel as places in the head or whole; both are counted exactly."""
+    rows = [r.text for r in corpus_with_habits(spark).collect()] + ["rare one two go a b c"] * 9 + [None, "", "go"]
+    train = spark.createDataFrame([(r,) for r in rows], "text string").repartition(5)
+    everything = np.full(1 << (suffix_tree.CELL_BITS - 6), 2**64 - 1, np.uint64)
+    lines = [[int(x) for x in suffix_tree.tokens(pa.array([r or ""]))[0]] for r in rows]
+    symbols = np.array(sorted({x for line in lines for x in line}), np.uint64)
+    for length in (1, 2):
+        want = Counter(tuple(line[i : i + length + 1]) for line in lines for i in range(len(line) - length))
+        want = {k: n for k, n in want.items() if n >= suffix_tree.MIN_COUNT}
+        for head in (symbols, symbols[::2], symbols[:0]):
+            got = suffix_tree.gram_counts(train, length, everything, head).collect()
+            assert {tuple(x % 2**64 for x in r[:-1]): r.n for r in got} == want and len(got) == len(want)
+
+
+def test_lookups_add_up_without_a_row_a_token(spark):
+    """A lookup row has no column for each kind of lookup, and nothing is grouped by token."""
+    docs = corpus_with_habits(spark)
+    tree, counts = suffix_tree.fit(docs.select("text"), head_share=2e-2, head_rows=0)
+    scored = suffix_tree.score(docs, tree, counts)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert " pos" not in plan and plan.count("Aggregate [") == 1
+    assert len(suffix_tree.SCORED.split("<")[0].split(", ")) == 4
