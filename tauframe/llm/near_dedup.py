@@ -15,10 +15,13 @@ buckets. Documents are dealt to blocks of about ``BLOCK``, cluster by cluster (a
 has the same first member in its largest bucket), and two blocks are compared as a tile,
 all documents of one with all of the other: pairs are never rows. First each block meets the
 block of its cluster's first member; links found true join documents to components. Then
-documents are dealt anew by cluster and component, and blocks that meet in a bucket are
-compared unless one component holds both. What grows with the square of a cluster is only
-the product of its largest component and the documents that the first round left out
-of it. No candidate is left out.
+clusters are joined to families (a first member leads to the first of its own largest bucket,
+and so on), documents are dealt anew by family and component, and blocks that meet in a bucket
+are compared unless one component holds both. In this round blocks grow with their family,
+``LOTS`` to each of its components, up to ``WIDEST`` documents: a document is sent to a bounded
+number of tiles of its family up to ``LOTS * WIDEST`` documents. What grows with the square of
+a family is the comparing in the task, of documents that the first round left out of its
+largest component. No candidate is left out.
 
 Decision. A pair's Jaccard similarity is estimated from its registers, corrected for
 chance collisions; pairs more than ``DEVIATIONS`` standard deviations below the threshold
@@ -45,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tauframe.llm.storage import as_scan, bound_batches, checkpoint, delete_folder, free_name, shared_folder, with_locator
+from tauframe.llm.storage import as_scan, bound_batches, checkpoint, delete_folder, free_name, lean, release, shared_folder, with_locator
 from tauframe.llm.textvec import U64, mix, shingle_sets, text_slices, words_of
 
 REGISTERS = 256
@@ -57,6 +60,12 @@ COLLISION = 1 / 3 / (1 << MANTISSA_BITS)
 #: Sets of up to this many shingles rest on hash functions instead of buckets.
 SHORT = 150
 BLOCK = 128
+#: Blocks of a component of a family, and the most documents in one of them.
+LOTS = 8
+WIDEST = 4096
+#: Pairs compared at once, and shingles of either side whose sets are decided in one row.
+PAIRS = 1 << 20
+SIDE_SHINGLES = 1 << 19
 
 SIGNATURE = "at struct<file:string,row:long>, doc_id long, n long, fp1 long, fp2 long, registers binary, bands array<long>"
 
@@ -169,7 +178,7 @@ def signatures(docs: DataFrame, words_per_shingle: int, percent: int, id_col: st
                         pa.array(keys[order].view(np.int64))),
                 })
 
-    return located.mapInArrow(sign, SIGNATURE)
+    return located.mapInArrow(lean(sign), SIGNATURE)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -209,15 +218,36 @@ def _leaders(buckets: DataFrame) -> DataFrame:
         "key", (-F.col("x.col2")).alias("leader")))
 
 
-def _dealt(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(key, blk): rows dealt to blocks of about ``BLOCK`` that hold one value of ``by``."""
-    sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_lots"))
+def _families(led: DataFrame) -> DataFrame:
+    """(key, leader) with each leader replaced by the last that its own leaders lead to.
+
+    A leader is the first member of its cluster's bucket, so the ids fall on the way, and it
+    has a leader of its own. Ways double with every step, and only leaders are rows of it.
+    """
+    ways = checkpoint(led.select("leader").distinct().join(led.toDF("leader", "up"), "leader"))
+    while True:
+        ways = checkpoint(ways.join(ways.toDF("up", "_up"), "up").select(
+            "leader", F.col("_up").alias("up"), (F.col("up") != F.col("_up")).alias("moved")))
+        if ways.filter("moved").isEmpty():
+            break
+        ways = ways.drop("moved")
+    return checkpoint(led.join(ways, "leader").select("key", F.col("up").alias("leader")))
+
+
+def _dealt(rows: DataFrame, by: list[str], most: int = BLOCK) -> DataFrame:
+    """(key, blk): rows dealt to blocks that hold one value of ``by``.
+
+    A block has about ``BLOCK`` rows, or an equal share of ``LOTS`` if that is more, up to ``most``.
+    """
+    n = F.count(F.lit(1))
+    wide = F.greatest(F.lit(BLOCK), F.least(F.ceil(n / LOTS), F.lit(most)))
+    sizes = rows.groupBy(*by).agg(F.ceil(n / wide).alias("_lots"))
     return checkpoint(rows.join(sizes, by).select(
         "key", F.xxhash64(*by, F.pmod(F.xxhash64("key"), F.col("_lots"))).alias("blk")))
 
 
 def _component_blocks(led: DataFrame, labels: DataFrame) -> DataFrame:
-    """Blocks by cluster and component; components of less than a block share theirs.
+    """Blocks by family and component; components of less than a block share theirs.
 
     Two blocks of one large component never meet, whatever its size: only documents
     outside it are compared with its members.
@@ -225,7 +255,8 @@ def _component_blocks(led: DataFrame, labels: DataFrame) -> DataFrame:
     rooted = led.join(labels.toDF("key", "_root"), "key", "left").withColumn("root", F.coalesce("_root", "key"))
     large = rooted.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= BLOCK)
     part = F.coalesce(F.when(F.col("_c").isNotNull(), F.col("root")), F.lit(-1).cast("long"))
-    return _dealt(rooted.join(large, ["leader", "root"], "left").select("key", "leader", part.alias("part")), ["leader", "part"])
+    parts = rooted.join(large, ["leader", "root"], "left").select("key", "leader", part.alias("part"))
+    return _dealt(parts, ["leader", "part"], WIDEST)
 
 
 def _tiles(pairs: DataFrame) -> DataFrame:
@@ -234,43 +265,62 @@ def _tiles(pairs: DataFrame) -> DataFrame:
         "tile", F.xxhash64("i", "j"))
 
 
+def _pairs(out: dict) -> pa.RecordBatch:
+    kinds = {"tile": pa.int64(), "a": pa.list_(pa.int64()), "b": pa.list_(pa.int64())}
+    return pa.RecordBatch.from_pydict({name: pa.array(out[name], kind) for name, kind in kinds.items()})
+
+
 def _likely(tiles: DataFrame, blocks: DataFrame, signed: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """(tile, a, b): for each tile the pairs whose estimate does not rule the threshold out.
+    """(tile, a, b): pairs of each tile whose estimate does not rule the threshold out.
 
-    A tile compares all documents of its two blocks that are not in one component yet.
+    A tile compares all documents of its two blocks that are not in one component yet. Its
+    pairs come in several rows, each a tile of its own, if the sets of a side are large.
     """
     roots = blocks.join(labels.toDF("key", "_root"), "key", "left").select(
         "key", "blk", F.coalesce("_root", "key").alias("root"))
-    held = roots.join(signed.select("key", "registers"), "key")
+    held = roots.join(signed.select("key", "n", "registers"), "key")
     sides = tiles.select("tile", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("blk"))
     groups = sides.join(held, "blk").groupBy("tile", "i", "j").agg(
-        F.collect_list(F.struct("blk", "key", "root", "registers")).alias("members"))
+        F.collect_list(F.struct("blk", "key", "root", "n", "registers")).alias("members"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"tile": [], "a": [], "b": []}
+            out, held = {"tile": [], "a": [], "b": []}, 0
             for tile, i, j, cell in zip(*(batch.column(c).to_pylist() for c in ("tile", "i", "j")), batch.column("members"), strict=True):
-                blk, key, root = (np.asarray(cell.values.field(c)) for c in ("blk", "key", "root"))
+                blk, key, root, n = (np.asarray(cell.values.field(c)) for c in ("blk", "key", "root", "n"))
                 regs = np.frombuffer(b"".join(cell.values.field("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
                 left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-                cross = root[left][:, None] != root[right][None, :]
-                if i == j:
-                    cross &= np.triu(np.ones(cross.shape, dtype=bool), 1)
-                x, y = np.nonzero(cross)
-                a, b, keep = left[x], right[y], []
-                for at in range(0, len(a), 8192):
-                    guess, used = estimate(regs[a[at : at + 8192]], regs[b[at : at + 8192]])
-                    keep.append(guess >= least - DEVIATIONS * np.sqrt(least * (1 - least) / np.maximum(used, 1)))
-                keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-                if keep.any():
-                    for name, value in (("tile", tile), ("a", key[a[keep]]), ("b", key[b[keep]])):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_pydict({
-                "tile": pa.array(out["tile"], pa.int64()),
-                "a": pa.array(out["a"], pa.list_(pa.int64())), "b": pa.array(out["b"], pa.list_(pa.int64()))})
+                run = np.zeros(len(key), np.int64)
+                for side in (left, right):
+                    run[side] = np.cumsum(n[side]) // SIDE_SHINGLES
+                step = max(1, PAIRS // max(1, len(right)))
+                for low in range(0, len(left), step):
+                    some = left[low : low + step]
+                    cross = root[some][:, None] != root[right][None, :]
+                    if i == j:
+                        cross &= some[:, None] < right[None, :]
+                    x, y = np.nonzero(cross)
+                    a, b, keep = some[x], right[y], [np.zeros(0, bool)]
+                    for at in range(0, len(a), 8192):
+                        guess, used = estimate(regs[a[at : at + 8192]], regs[b[at : at + 8192]])
+                        keep.append(guess >= least - DEVIATIONS * np.sqrt(least * (1 - least) / np.maximum(used, 1)))
+                    keep = np.concatenate(keep)
+                    a, b = a[keep], b[keep]
+                    sides = run[a] * (run[right[-1]] + 1) + run[b]
+                    for part in np.unique(sides):
+                        one = sides == part
+                        name = mix(np.array([tile, low, part], np.int64).view(U64))
+                        out["tile"].append(int(mix(name[:1] ^ (name[1:2] * U64(3)) ^ (name[2:] * U64(5))).view(np.int64)[0]))
+                        out["a"].append(key[a[one]])
+                        out["b"].append(key[b[one]])
+                    held += len(a)
+                    if held >= PAIRS:
+                        yield _pairs(out)
+                        out, held = {"tile": [], "a": [], "b": []}, 0
+            yield _pairs(out)
 
     return checkpoint(groups.select("tile", "i", "j", "members").mapInArrow(
-        compare, "tile long, a array<long>, b array<long>"))
+        lean(compare), "tile long, a array<long>, b array<long>"))
 
 
 def common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -280,7 +330,7 @@ def common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     used_a, row_a = np.unique(a, return_inverse=True)
     used_b, row_b = np.unique(b, return_inverse=True)
     size = np.zeros((len(used_a), len(used_b)), dtype=np.float32)
-    width = 1 << 14
+    width = min(1 << 14, max(64, (1 << 20) // max(1, len(sets))))
     for low in range(0, int(place.max()) + 1 if len(place) else 0, width):
         inside = (place >= low) & (place < low + width)
         table = np.zeros((len(sets), width), dtype=np.float32)
@@ -322,7 +372,7 @@ def _true_links(likely: DataFrame, signed: DataFrame, docs: DataFrame, words_per
                     "key": batch.column("key").slice(first, len(part)),
                     "members": pa.array([shingle[edge[i] : edge[i + 1]].tobytes() for i in range(len(part))], pa.binary())})
 
-    sets = texts.mapInArrow(collect, "key long, members binary")
+    sets = texts.mapInArrow(lean(collect), "key long, members binary")
     groups = members.join(sets, "key").groupBy("tile").agg(F.collect_list(F.struct("key", "members")).alias("sets"))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +392,7 @@ def _true_links(likely: DataFrame, signed: DataFrame, docs: DataFrame, words_per
             found = np.concatenate(links)
             yield pa.RecordBatch.from_pydict({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
-    return checkpoint(likely.join(groups, "tile").select("a", "b", "sets").mapInArrow(confirm, "a long, b long"))
+    return checkpoint(likely.join(groups, "tile").select("a", "b", "sets").mapInArrow(lean(confirm), "a long, b long"))
 
 
 def _open_tiles(buckets: DataFrame, blocks: DataFrame, labels: DataFrame) -> DataFrame:
@@ -389,19 +439,23 @@ def near_duplicates(
         "key", F.explode("bands").alias("band_key"))
     counted = banded.groupBy("band_key").agg(F.min("key").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     buckets = checkpoint(banded.join(counted, "band_key").select("band_key", "key", "_first", "_n"))
+    release(spark)
 
     led = _leaders(buckets)
     blocks = _dealt(led, ["leader"])
 
     def links_of(tiles: DataFrame, blocks: DataFrame, labels: DataFrame) -> DataFrame:
         likely = _likely(tiles, blocks, signed, labels, percent / 100)
-        return _true_links(likely, signed, docs, words_per_shingle, percent, text_col)
+        found = _true_links(likely, signed, docs, words_per_shingle, percent, text_col)
+        release(spark)
+        return found
 
     star = led.filter("key != leader").join(blocks.toDF("key", "x"), "key").join(blocks.toDF("leader", "y"), "leader")
     none = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("root"))
     links = links_of(checkpoint(_tiles(star.select("x", "y"))), blocks, none)
     labels = components(links)
-    blocks = _component_blocks(led, labels)
+    release(spark)
+    blocks = _component_blocks(_families(led), labels)
     cross = links_of(checkpoint(_open_tiles(buckets, blocks, labels)), blocks, labels)
     if not cross.isEmpty():
         labels = components(links.unionAll(cross))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from corpus import empty_docs, hard_docs, hard_rows, sf_docs, words
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tauframe.llm import near_dedup, warc
@@ -236,3 +237,24 @@ def test_pipeline_stages(spark):
 def test_pipeline_run(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_tile_rows_grow_with_a_family(spark):
+    """Documents that share a bucket and are not linked are sent to a bounded number of tiles."""
+    none = spark.range(0).selectExpr("id as node", "id as root")
+    sent = []
+    for n in (4_000, 16_000):
+        buckets = spark.range(n).selectExpr("7L as band_key", "id as key")
+        led = spark.range(n).selectExpr("id as key", "0L as leader")
+        blocks = near_dedup._component_blocks(led, none)
+        sizes = {r.blk: r.n for r in blocks.groupBy("blk").agg(F.count("key").alias("n")).collect()}
+        tiles = near_dedup._open_tiles(buckets, blocks, none).collect()
+        assert len(tiles) == len(sizes) * (len(sizes) + 1) // 2
+        sent.append(sum(sum(sizes[b] for b in {t.i, t.j}) for t in tiles))
+    assert sent[1] <= 5 * sent[0]
+
+
+def test_clusters_join_their_leaders_family(spark):
+    led = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (9, 9), (10, 9)], "key long, leader long")
+    assert sorted(map(tuple, near_dedup._families(led).collect())) == [
+        (0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (9, 9), (10, 9)]
