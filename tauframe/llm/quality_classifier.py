@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tauframe.llm.storage import bound_batches, checkpoint
+from tauframe.llm.storage import bound_batches, checkpoint, lean
 from tauframe.llm.textvec import text_slices, words_of
 
 #: Words in a passage.
@@ -205,7 +205,7 @@ def fit(
                 })
 
     encoded = checkpoint(texts.mapInArrow(
-        encode, "doc_id long, target double, passages long, figures array<double>"))
+        lean(encode), "doc_id long, target double, passages long, figures array<double>"))
     sizes = encoded.groupBy("doc_id").agg(F.sum("passages").alias("passages")).collect()
     total, chosen = 0, []
     for row in sorted(sizes, key=lambda r: (hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["doc_id"])):
@@ -243,7 +243,7 @@ def score(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "score": pa.array(_scores(model, batch.column("text")))})
 
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(lean(run), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: AttentionModel, least: float, text_col: str = "text") -> DataFrame:
@@ -255,4 +255,4 @@ def keep_good(docs: DataFrame, model: AttentionModel, least: float, text_col: st
         for batch in batches:
             yield batch.filter(pa.array(_scores(model, batch.column(place)) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

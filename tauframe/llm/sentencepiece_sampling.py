@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from tauframe.llm.storage import bound_batches
+from tauframe.llm.storage import bound_batches, lean
 from tauframe.llm.textvec import U64, Words, mix, raw_bytes, text_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -247,7 +247,7 @@ def encode(
 
     schema = StructType([*[StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)],
                          StructField(f"c{len(docs.columns)}", ArrayType(IntegerType()))])
-    return docs.mapInArrow(run, schema).toDF(*docs.columns, out_col)
+    return docs.mapInArrow(lean(run), schema).toDF(*docs.columns, out_col)
 
 
 def _without_first(joined: pa.Array) -> pa.Array:
@@ -278,7 +278,7 @@ def decode(encoded: DataFrame, model: str = MODEL, ids_col: str = "piece_ids", o
 
     schema = StructType([*[StructField(f"c{i}", f.dataType) for i, f in enumerate(encoded.schema)],
                          StructField(f"c{len(encoded.columns)}", StringType())])
-    return encoded.mapInArrow(run, schema).toDF(*encoded.columns, out_col)
+    return encoded.mapInArrow(lean(run), schema).toDF(*encoded.columns, out_col)
 
 
 def lossless(text: str, decoded: str):
