@@ -11,13 +11,17 @@ every state's distribution sums to one. A text's score is the sum of log10 proba
 each token's by the longest suffix state of the words before it in the text.
 
 Counts cover every training token. Counting is pre-aggregated in the task, then summed by
-hash; runs of symbols travel as arrays, in lots by their hash. Contexts are tested by group.
+hash. Most runs of symbols are too rare to be kept, so a first pass counts cells of their
+hashes, which travel as compressed differences; only runs in a cell with ``MIN_COUNT``
+occurrences, among them all that have as many themselves, travel as arrays to be counted
+exactly, in lots by their hash. Contexts are tested by group.
 States and their next symbols are tables that grow with the corpus. What each adds to a
 token's log10 probability does not depend on the others: a state the factor of what it
 leaves over, a next symbol the rest. So lookups are summed by text in any order. The most
 frequent ``head_rows`` of each are broadcast for lookups in the task, as are the counts of
-frequent words (at most 1 / head_share of them); all others are joined. A bitmap of fixed size
-spares tokens that cannot meet a joined row; it decides nothing.
+frequent words (at most 1 / head_share of them); all others meet what is looked up lot by lot,
+a lot being a range of keys, which travel as compressed differences. A bitmap of fixed size
+spares tokens that cannot meet a row there; it decides nothing.
 
 Choices: words are identified by a 64-bit hash. A null text is empty and has the end only;
 a null id counts as empty text in the split. Repeated rows count each. Without training
@@ -32,6 +36,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +51,14 @@ SMOOTHING = 8.0
 TEST_WIDTH = 4.0
 #: A bitmap has 2 ** CELL_BITS cells, one for each value of a key's first bits.
 CELL_BITS = 26
-#: Runs of symbols that a task holds before it sends them, and lots in a shuffle partition.
+#: The bitmap of cells to count exactly grows to 2 ** MOST_CELL_BITS, a quarter of the tokens.
+MOST_CELL_BITS = 28
+#: Runs of symbols and keys that a task holds before it sends them, and lots in a shuffle partition.
 HELD_GRAMS = 1 << 20
+HELD_KEYS = 1 << 22
 LOTS = 2
+#: A text has a sum for each lot its lookups fall into, so few lots would make sums grow with the partitions.
+LEAST_SCORE_LOTS = 128
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,9 +120,10 @@ def cells(keys: DataFrame, name: str = "key") -> np.ndarray:
 
 
 def in_cells(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the cell of each key is set; the bitmap's length, a power of two, says how many there are."""
     if not len(bitmap):
         return np.zeros(len(key), bool)
-    cell = key >> U64(64 - CELL_BITS)
+    cell = key >> U64(64 - 6 - (len(bitmap).bit_length() - 1))
     return (bitmap[(cell >> U64(6)).astype(np.int64)] >> (cell & U64(63))) & U64(1) > 0
 
 
@@ -198,16 +209,123 @@ def symbol_counts(train: DataFrame) -> DataFrame:
     return _map_texts(train, count, "symbol long, n long", []).groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
-def gram_counts(train: DataFrame, length: int, shorter: np.ndarray, head: np.ndarray) -> DataFrame:
+def _candidates(symbol: np.ndarray, doc: np.ndarray, length: int, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first position, key) of runs of ``length`` + 1 symbols; both runs inside have a cell in ``shorter``."""
+    at, key = windows(symbol, doc, length)
+    good = np.zeros(len(symbol) + 1, bool)
+    good[at[in_cells(shorter, key)]] = True
+    first, key = windows(symbol, doc, length + 1)
+    fit_ = good[first] & good[first + 1]
+    return first[fit_], key[fit_]
+
+
+def gram_cells(train: DataFrame, length: int, shorter: np.ndarray, total: int) -> np.ndarray:
+    """A bitmap of the runs of ``length`` + 1 symbols that may have ``MIN_COUNT`` occurrences, and all that do.
+
+    Runs are counted by cells of their keys, of which there are 8 to 16 for each of the ``total``
+    tokens. Counts are summed up to ``MIN_COUNT`` in the task, which keeps what reaches it.
+    ``shorter`` is as in ``gram_counts``. At most 2 ** (MOST_CELL_BITS - 6) rows for the bitmap's
+    words, and two for each lot, reach the driver.
+    """
+    spark = train.sparkSession
+    bound_batches(spark)
+    shared = spark.sparkContext.broadcast(shorter)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lots = LOTS * parts
+    fine = U64(64 - max(CELL_BITS, total.bit_length() + 3))
+    word = U64(64 + 6 - min(MOST_CELL_BITS, max(CELL_BITS, total.bit_length() - 2)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for _, texts in text_slices(batch.column("text")):
+                symbol, doc, _ = tokens(texts)
+                held.append(_candidates(symbol, doc, length, shared.value)[1] >> fine)
+                size += len(held[-1])
+                if size >= HELD_KEYS:
+                    yield _packed_cells(np.concatenate(held), fine, lots)
+                    held, size = [], 0
+        if size:
+            yield _packed_cells(np.concatenate(held), fine, lots)
+
+    def total_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            for lot, size, planes in zip(*(batch.column(c).to_pylist() for c in ("lot", "size", "planes")), strict=True):
+                if held and lot != now:
+                    yield _frequent_words(held, fine, word)
+                    held = []
+                now = lot
+                held.append(_of_planes(size, planes))
+        if held:
+            yield _frequent_words(held, fine, word)
+
+    packed = train.select("text").mapInArrow(lean(count), "lot long, size long, planes array<binary>")
+    words = packed.repartition(parts, "lot").sortWithinPartitions("lot").mapInArrow(
+        lean(total_), "word long, bits long").toArrow()
+    found = np.zeros(1 << (64 - int(word)), dtype=U64)
+    # Two lots can share a word at their edge.
+    np.bitwise_or.at(found, words["word"].to_numpy(), words["bits"].to_numpy().view(U64))
+    return found
+
+
+def _lot_edges(key: np.ndarray, lots: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lots, where each begins and the last ends) of sorted keys; a lot is a range of keys."""
+    lot = (((key >> U64(44)) * U64(lots)) >> U64(20)).astype(np.int64)
+    edges = np.append(np.flatnonzero(np.diff(lot, prepend=-1)), len(lot))
+    return lot[edges[:-1]], edges
+
+
+def _planes(rising: np.ndarray, other: np.ndarray) -> list[bytes]:
+    """The differences of ``rising`` and the values of ``other``, compressed.
+
+    Bytes of one place stand together: the low ones are near random, the high ones near zero.
+    """
+    columns = (np.diff(rising, prepend=U64(0)), np.ascontiguousarray(other, U64))
+    return [pa.compress(np.ascontiguousarray(x), "zstd", asbytes=True) for c in columns for x in c.view(np.uint8).reshape(-1, 8).T]
+
+
+def _of_planes(size: int, planes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.stack([np.frombuffer(pa.decompress(x, size, "zstd"), np.uint8) for x in planes], 1).view(U64)
+    return np.cumsum(raw[:, 0], dtype=U64), raw[:, 1]
+
+
+def _packed_cells(cell: np.ndarray, fine: U64, lots: int) -> pa.RecordBatch:
+    """A row (lot, size, planes) for each lot of cells, with their counts up to ``MIN_COUNT``."""
+    cell, n = np.unique(cell, return_counts=True)
+    lot, edges = _lot_edges(cell << fine, lots)
+    n = np.minimum(n, MIN_COUNT)
+    return pa.RecordBatch.from_pydict({
+        "lot": pa.array(lot), "size": pa.array(np.diff(edges)),
+        "planes": pa.array([_planes(cell[a:b], n[a:b]) for a, b in zip(edges, edges[1:])], pa.list_(pa.binary()))})
+
+
+def _frequent_words(held: list[tuple[np.ndarray, np.ndarray]], fine: U64, word: U64) -> pa.RecordBatch:
+    """(word, bits) of the bitmap, for the cells of one lot whose counts sum to ``MIN_COUNT``."""
+    cell, n = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+    order = np.argsort(cell)
+    cell = cell[order]
+    first = np.flatnonzero(np.concatenate((np.ones(1, bool), cell[1:] != cell[:-1])))
+    key = cell[first[np.add.reduceat(n[order], first) >= U64(MIN_COUNT)]] << fine
+    bits = U64(1) << ((key >> (word - U64(6))) & U64(63))
+    at = (key >> word).astype(np.int64)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    bits = np.bitwise_or.reduceat(bits, first) if len(first) else bits
+    return pa.RecordBatch.from_pydict({"word": pa.array(at[first]), "bits": pa.array(bits.view(np.int64))})
+
+
+def gram_counts(
+    train: DataFrame, length: int, shorter: np.ndarray, head: np.ndarray, wanted: np.ndarray | None = None,
+) -> DataFrame:
     """(w0, ..., w<length>, n): a context and its next symbol, with ``MIN_COUNT`` occurrences.
 
     ``shorter`` is the bitmap of the runs of ``length`` symbols that have as many: a run of
     one more can have them only if both runs inside it have. ``head`` are sorted symbols, whose
-    places stand for them on the way.
+    places stand for them on the way. ``wanted``, from ``gram_cells``, spares runs that are rare.
     """
     spark = train.sparkSession
     bound_batches(spark)
-    shared, known = spark.sparkContext.broadcast(shorter), spark.sparkContext.broadcast(head)
+    shared, known = spark.sparkContext.broadcast((shorter, wanted)), spark.sparkContext.broadcast(head)
     names = [f"w{j}" for j in range(length + 1)]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lots = LOTS * parts
@@ -217,12 +335,10 @@ def gram_counts(train: DataFrame, length: int, shorter: np.ndarray, head: np.nda
         for batch in batches:
             for _, texts in text_slices(batch.column("text")):
                 symbol, doc, _ = tokens(texts)
-                at, key = windows(symbol, doc, length)
-                fit_ = in_cells(shared.value, key)
-                good = np.zeros(len(symbol) + 1, bool)
-                good[at[fit_]] = True
-                first = np.flatnonzero(good[:-1] & good[1:])
-                first = first[doc[first] == doc[first + length]]
+                shorter, wanted = shared.value
+                first, key = _candidates(symbol, doc, length, shorter)
+                if wanted is not None:
+                    first = first[in_cells(wanted, key)]
                 rows = np.stack([symbol[first + j] for j in range(length + 1)], 1)
                 held.append((rows, np.ones(len(rows), np.int64)))
                 size += len(rows)
@@ -358,7 +474,9 @@ def fit(
             F.col("gram").alias("context"), F.col("n").alias("count"))
         if held.isEmpty():
             break
-        grams = checkpoint(gram_keys(gram_counts(train, length, cells(grams, "gram"), symbol), length))
+        shorter = cells(grams, "gram")
+        wanted = gram_cells(train, length, shorter, int(total))
+        grams = checkpoint(gram_keys(gram_counts(train, length, shorter, symbol, wanted), length))
         release(train.sparkSession)
         states, grams = _states(grams, before, held)
         before = grams.select(F.col("entry").alias("parent"), F.col("p").alias("before"))
@@ -444,46 +562,96 @@ def token_logs(
 
 
 FIGURES = "doc_id long, n_tokens long, n_known long, base double, score double"
-SCORED = f"file long, row long, symbol long, figures struct<{FIGURES}>"
+FIGURE_TYPE = pa.struct([
+    ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+#: A row for each text with its figures so far, or one for the open lookups of a file's texts in
+#: one lot: their keys, and the rows of their texts, counted from ``row``.
+SCORED = f"file long, row long, lot long, figures struct<{FIGURES}>, size long, planes array<binary>"
+
+
+def _packed_lookups(file: int, key: np.ndarray, row: np.ndarray, lots: int) -> pa.RecordBatch:
+    order = np.lexsort((row, key))
+    key, row = key[order], row[order]
+    lot, edges = _lot_edges(key, lots)
+    least = row.min()
+    return pa.RecordBatch.from_pydict({
+        "file": pa.array(np.full(len(lot), file)), "row": pa.array(np.full(len(lot), least)), "lot": pa.array(lot),
+        "figures": pa.nulls(len(lot), FIGURE_TYPE),
+        "size": pa.array(np.diff(edges)),
+        "planes": pa.array([_planes(key[a:b], row[a:b] - least) for a, b in zip(edges, edges[1:])], pa.list_(pa.binary()))})
+
+
+def _met(scanned: pa.Table, values: pa.Table) -> pa.Table:
+    """(file, row, figures) of a lot's texts, and what each text's lookups in the lot add."""
+    schema = pa.schema([("file", pa.int64()), ("row", pa.int64()), *FIGURE_TYPE])
+    own = scanned.filter(pc.is_null(scanned["size"]))
+    parts = [pa.Table.from_arrays([own["file"], own["row"], *own["figures"].combine_chunks().flatten()], schema=schema)]
+    key = values["symbol"].to_numpy().view(U64)
+    order = np.argsort(key)
+    key, value, word = key[order], values["value"].to_numpy()[order], values["word"].to_numpy()[order]
+    starts = starts_of(key)
+    lookups = scanned.filter(pc.is_valid(scanned["size"]))
+    for file, first, size, planes in zip(*(lookups[c].to_pylist() for c in ("file", "row", "size", "planes")), strict=True):
+        wanted, row = _of_planes(size, planes)
+        place, found = find(key, starts, wanted)
+        place, (row, at) = place[found], np.unique(row[found], return_inverse=True)
+        sums = lambda x: np.bincount(at, weights=x, minlength=len(row))  # noqa: E731, B023
+        none = pa.nulls(len(row), pa.int64())
+        parts.append(pa.Table.from_arrays([
+            pa.array(np.full(len(row), file)), pa.array(row.astype(np.int64) + first), none, none,
+            pa.array(sums(word[place]).astype(np.int64)), pa.array(sums(value[place] * word[place])),
+            pa.array(sums(value[place]))], schema=schema))
+    return pa.concat_tables(parts).combine_chunks()
 
 
 def score(docs: DataFrame, tree: SuffixTree, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree.parts())
+    spark = docs.sparkSession
+    bound_batches(spark)
+    shared = spark.sparkContext.broadcast(tree.parts())
+    lots = max(LEAST_SCORE_LOTS, LOTS * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = with_locator(docs.select(id_col, text_col), "_at").select(
         F.xxhash64("_at.file").alias("file"), F.col("_at.row").alias("row"),
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def scan(part, texts, model) -> dict:
-        """A row for each text with its figures so far, then one for each open lookup."""
-        symbol, doc, size = tokens(texts)
-        log_count, in_head, log_p, token, wanted = token_logs(model, symbol, doc)
-        n = len(texts)
-        sums = lambda x: np.bincount(doc, weights=x, minlength=n)
-        # A text's own row needs a symbol that no other row has, or all would meet.
-        alone = mix(np.asarray(part.column("row")).astype(U64) ^ END)
-        figures = pa.StructArray.from_arrays(
-            [part.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(sums(in_head).astype(np.int64)),
-             pa.array(sums(log_count) - size * model.log_all), pa.array(sums(log_p))],
-            names=[x.split()[0] for x in FIGURES.split(", ")])
-        owner = pa.array(np.concatenate((np.arange(n), doc[token])))
-        return {
-            "file": part.column("file").take(owner), "row": part.column("row").take(owner),
-            "symbol": pa.array(np.concatenate((alone, wanted)).view(np.int64)),
-            "figures": pa.concat_arrays([figures, pa.nulls(len(token), figures.type)])}
-
-    scanned = _map_texts(rows, scan, SCORED, ["file", "row", "doc_id"], lambda: (SuffixTree.of_parts(shared.value),))
-    values = counts.select("symbol", F.log10(F.col("n") + 1).alias("_value"), F.lit(1).alias("_word"))
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held, size = SuffixTree.of_parts(shared.value), {}, 0
+        for batch in batches:
+            for first, texts in text_slices(batch.column("text")):
+                part, n = batch.slice(first, len(texts)), len(texts)
+                symbol, doc, n_tokens = tokens(texts)
+                log_count, in_head, log_p, token, wanted = token_logs(model, symbol, doc)
+                sums = lambda x: np.bincount(doc, weights=x, minlength=n)  # noqa: E731, B023
+                file, row = np.asarray(part.column("file")), np.asarray(part.column("row"))
+                figures = pa.StructArray.from_arrays(
+                    [part.column("doc_id").cast(pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(sums(in_head).astype(np.int64)),
+                     pa.array(sums(log_count) - n_tokens * model.log_all), pa.array(sums(log_p))], fields=list(FIGURE_TYPE))
+                # Texts are dealt over the lots.
+                lot = (mix(row.astype(U64) ^ END) % U64(lots)).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({
+                    "file": part.column("file"), "row": part.column("row"), "lot": pa.array(lot), "figures": figures,
+                    "size": pa.nulls(n, pa.int64()), "planes": pa.nulls(n, pa.list_(pa.binary()))})
+                owner = doc[token]
+                for f in np.unique(file[owner]):
+                    mine = file[owner] == f
+                    held.setdefault(f, []).append((wanted[mine], row[owner[mine]]))
+                size += len(wanted)
+                if size >= HELD_GRAMS:
+                    for f, x in held.items():
+                        yield _packed_lookups(f, *(np.concatenate(c) for c in zip(*x)), lots)
+                    held, size = {}, 0
+        for f, x in held.items():
+            yield _packed_lookups(f, *(np.concatenate(c) for c in zip(*x)), lots)
+
+    scanned = rows.mapInArrow(lean(scan), SCORED)
+    values = counts.select("symbol", F.log10(F.col("n") + 1).alias("value"), F.lit(1).alias("word"))
     if tree.tail is not None:
-        values = values.unionAll(tree.tail.toDF("symbol", "_value").withColumn("_word", F.lit(0)))
-    found = scanned.join(values, "symbol", "left").filter("figures is not null or _value is not null")
-    value, word = F.coalesce("_value", F.lit(0.0)), F.coalesce("_word", F.lit(0))
-    return found.groupBy("file", "row").agg(
-        F.max("figures.doc_id").alias("doc_id"), F.max("figures.n_tokens").alias("n_tokens"),
-        (F.max("figures.n_known") + F.sum(word)).alias("n_known"),
-        (F.max("figures.base") + F.sum(value * word)).alias("base_score"),
-        # Parts that are often zero are compressed well.
-        (F.max("figures.score") + F.sum(value * word) + F.sum(value * (1 - word))).alias("score")).drop("file", "row")
+        values = values.unionAll(tree.tail.toDF("symbol", "value").withColumn("word", F.lit(0)))
+    values = values.withColumn("lot", F.expr(f"shiftrightunsigned(shiftrightunsigned(symbol, 44) * {lots}L, 20)"))
+    met = scanned.groupBy("lot").cogroup(values.groupBy("lot")).applyInArrow(_met, f"file long, row long, {FIGURES}")
+    return met.groupBy("file", "row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
+        F.sum("base").alias("base_score"), F.sum("score").alias("score")).drop("file", "row")
 
 
 def train_rows(docs: DataFrame, training: Column, text_col: str = "text") -> DataFrame:

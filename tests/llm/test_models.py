@@ -349,3 +349,40 @@ def test_lookups_add_up_without_a_row_a_token(spark):
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert " pos" not in plan and plan.count("Aggregate [") == 1
     assert len(suffix_tree.SCORED.split("<")[0].split(", ")) == 4
+
+
+def test_cells_hold_all_frequent_runs_and_few_others(spark):
+    """The first pass loses no run that is frequent, spares nearly all that are not, and travels small."""
+    rng = np.random.default_rng(5)
+    rows = [" ".join(f"w{x}" for x in rng.integers(0, 300, 2000)) for _ in range(20)] + ["rare one two"] * 8 + ["rare one"] * 7 + [None, ""]
+    train = spark.createDataFrame([(r,) for r in rows], "text string").repartition(7)
+    everything = np.full(1 << (suffix_tree.CELL_BITS - 6), 2**64 - 1, np.uint64)
+    lines = [suffix_tree.tokens(pa.array([r or ""]))[0] for r in rows]
+    for length in (1, 2):
+        plain = Counter(tuple(line[i : i + length + 1]) for line in lines for i in range(len(line) - length))
+        key = suffix_tree.row_keys(np.array(list(plain), np.uint64))
+        frequent = np.array([n >= suffix_tree.MIN_COUNT for n in plain.values()])
+        wanted = suffix_tree.gram_cells(train, length, everything, sum(map(len, lines)))
+        marked = suffix_tree.in_cells(wanted, key)
+        assert marked[frequent].all() and frequent.any() and marked[~frequent].mean() < 0.01
+        got = suffix_tree.gram_counts(train, length, everything, np.zeros(0, np.uint64), wanted).collect()
+        assert {tuple(x % 2**64 for x in r[:-1]): r.n for r in got} == {
+            tuple(int(x) for x in k): n for k, n in plain.items() if n >= suffix_tree.MIN_COUNT}
+    cell = np.unique(rng.integers(0, 1 << 29, 1 << 20, dtype=np.uint64))
+    packed = suffix_tree._packed_cells(cell, np.uint64(35), 8)
+    assert sum(len(x) for planes in packed.column("planes").to_pylist() for x in planes) < 2 * len(cell)
+
+
+def test_lookups_travel_packed(spark):
+    """A lookup costs less than the 16 bytes of its key and row, and comes back to its own text."""
+    rng = np.random.default_rng(6)
+    key, row = rng.integers(0, 2**64, 200_000, dtype=np.uint64), np.sort(rng.integers(10**6, 10**6 + 5000, 200_000))
+    packed = suffix_tree._packed_lookups(3, key, row, 10)
+    assert sum(len(x) for planes in packed.column("planes").to_pylist() for x in planes) < 10 * len(key)
+    back = [suffix_tree._of_planes(n, planes) for n, planes in zip(packed.column("size").to_pylist(), packed.column("planes").to_pylist())]
+    order = np.lexsort((row, key))
+    assert (np.concatenate([x for x, _ in back]) == key[order]).all()
+    assert (np.concatenate([x for _, x in back]).astype(np.int64) + packed.column("row")[0].as_py() == row[order]).all()
+    docs = corpus_with_habits(spark)
+    tree, counts = suffix_tree.fit(docs.select("text"), head_share=2e-2, head_rows=0)
+    assert "Join" not in suffix_tree.score(docs, tree, counts)._jdf.queryExecution().optimizedPlan().toString()
