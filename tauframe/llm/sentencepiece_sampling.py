@@ -12,9 +12,10 @@ A merge-based model has no piece probabilities, only an order; a piece of rank r
 
 No piece has a space after another character, so paths cannot cross the place before a
 space: the lattice of a text is a chain of small ones, one for each word with the spaces
-before it, and equal ones of a batch are filtered once. Draws are numbered: the k-th draw
-of the j-th word of a row comes from a hash of (seed, row key, j, k), so a row has the same
-segmentation in every run, on any cluster.
+before it, and equal ones of a slice are filtered once, some different words at a time, so
+a task holds few lattices whatever the length of its texts; only a single word without an
+end grows it. Draws are numbered: the k-th draw of the j-th word of a row comes from a hash
+of (seed, row key, j, k), so a row has the same segmentation in every run, on any cluster.
 
 Decoding joins the pieces' bytes and takes off the space that encoding puts first; it gives
 back every text exactly: the marker that stands for a space in the pieces is spelt in bytes
@@ -41,8 +42,12 @@ from tauframe.llm.textvec import U64, Words, mix, raw_bytes, text_slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 SPACE = 32
-#: Bytes filtered at once: the more, the more often a word occurs among them.
-SLICE_BYTES = 1_000_000
+#: Bytes handled at once: the more, the more often a word occurs among them.
+SLICE_BYTES = 500_000
+#: Bytes of different words filtered at once; a longer word is filtered alone.
+LATTICE_BYTES = 50_000
+#: Pieces decoded at once; a longer row is decoded whole.
+SLICE_PIECES = 200_000
 #: Draws of one word are this far apart before they are mixed.
 STEP = 0xD1B54A32D192ED03
 
@@ -78,7 +83,10 @@ class Pieces:
 
 
 class Trie:
-    """Pieces by their bytes: a table of next states, state 0 the root."""
+    """Pieces by their bytes: next states, state 0 the root.
+
+    Most states have a single next one; only those with more have a row in ``table``.
+    """
 
     def __init__(self, pieces: Pieces):
         bytes_of = {int(i) for i in pieces.byte_id}
@@ -98,12 +106,23 @@ class Trie:
                     moves.append((at, surface[k - 1], to))
                 at = to
             ends[at] = i
-        self.next = np.zeros((len(states), 256), dtype=np.int32)
         at, byte, to = np.array(moves).T
-        self.next[at, byte] = to
+        many = np.bincount(at, minlength=len(states)) > 1
+        self.row = np.where(many, np.cumsum(many), 0).astype(np.int32)
+        self.table = np.zeros((many.sum() + 1, 256), dtype=np.int32)
+        self.table[self.row[at], byte] = np.where(many[at], to, 0)
+        lone = ~many[at]
+        self.only = np.full(len(states), -1, dtype=np.int16)
+        self.only[at[lone]] = byte[lone]
+        self.only_next = np.zeros(len(states), dtype=np.int32)
+        self.only_next[at[lone]] = to[lone]
         self.piece = np.full(len(states), -1, dtype=np.int32)
         self.piece[list(ends)] = list(ends.values())
 
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The next states of ``state`` by ``byte``, 0 for none."""
+        return np.where(self.only[state] == byte, self.only_next[state], self.table[self.row[state], byte])
+
 
 def _segments(data: np.ndarray, offsets: np.ndarray, alone: np.ndarray) -> np.ndarray:
     """Where lattices begin: before the first space of a run, around bytes of no piece."""
@@ -124,7 +143,7 @@ def _edges(trie: Trie, byte_id: np.ndarray, body: np.ndarray, last: np.ndarray):
     state, at, owner = np.zeros(len(start), np.int32), start.copy(), np.arange(len(start))
     found, single = [], np.zeros(len(start), dtype=bool)
     while len(owner):
-        state = trie.next[state, body[at]]
+        state = trie.step(state, body[at])
         alive = state > 0
         state, at, owner = state[alive], at[alive] + 1, owner[alive]
         piece = trie.piece[state]
@@ -139,38 +158,27 @@ def _edges(trie: Trie, byte_id: np.ndarray, body: np.ndarray, last: np.ndarray):
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def sample(texts: pa.Array, keys: np.ndarray, pieces: Pieces, trie: Trie, alpha: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts in a row, number of each text's ids); texts without nulls."""
-    spaced = pc.binary_join_element_wise(" ", texts, "")
-    data, offsets = raw_bytes(spaced)
-    n = len(texts)
-    begin = _segments(data, offsets, trie.alone)
-    end = np.append(begin[1:], len(data))
-    doc = np.searchsorted(offsets, begin, "right") - 1
+def _draw(
+    body: np.ndarray, size: np.ndarray, kind: np.ndarray, state: np.ndarray, pieces: Pieces, trie: Trie, alpha: float,
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A draw for each of ``kind``, from the last piece to the first: (who has a k-th, which).
 
-    # Equal words are filtered once. Equal hashes are compared byte by byte.
-    hashes = Words(data, data, offsets, begin, end, doc, np.bincount(doc, minlength=n)).span_hash(begin, end)
-    _, pick, kind = np.unique(hashes, return_index=True, return_inverse=True)
-    size = end - begin
-    if not np.array_equal(size[pick][kind], size) or not np.array_equal(
-            data, data[np.repeat(begin[pick][kind] - begin, size) + np.arange(len(data))]):
-        pick, kind = np.arange(len(begin)), np.arange(len(begin))
-    size = size[pick]
+    ``body`` has the bytes of different words of ``size``, ``kind`` numbers them.
+    """
     head = np.cumsum(size) - size
-    body = data[np.repeat(begin[pick] - head, size) + np.arange(size.sum())]
-    word = np.repeat(np.arange(len(pick)), size)
+    word = np.repeat(np.arange(len(size)), size)
 
     # A word of n bytes has n + 1 nodes.
-    origin = head + np.arange(len(pick))
+    origin = head + np.arange(len(size))
     first, after, piece = _edges(trie, pieces.byte_id, body, (head + size)[word])
     owner = word[first]
     source, target = first + owner, after + owner
     depth = after - head[owner]
     # By depth, then node, then length: one whole number, as pieces are short.
-    order = np.argsort((depth * (len(body) + len(pick)) + target) * 256 + target - source)
+    order = np.argsort((depth * (len(body) + len(size)) + target) * 256 + target - source)
     source, target, piece, depth = source[order], target[order], piece[order], depth[order]
     log_weight = -alpha * np.log1p(pieces.rank[piece])
-    log_sum = np.full(len(body) + len(pick), -np.inf)
+    log_sum = np.full(len(body) + len(size), -np.inf)
     log_sum[origin] = 0
     share = np.empty(len(source))
     opens = np.ones(len(source), dtype=bool)
@@ -191,34 +199,87 @@ def sample(texts: pa.Array, keys: np.ndarray, pieces: Pieces, trie: Trie, alpha:
     group_last = np.append(group_first[1:], len(source)) - 1
     group_of = np.zeros(len(log_sum), dtype=np.int64)
     group_of[target[group_first]] = np.arange(len(group_first))
-    # Shares of a node sum to one, so the g-th node's lie between g and g + 1.
-    ladder = np.cumsum(share)
-
-    within = np.arange(len(begin)) - np.searchsorted(begin, offsets[:-1])[doc]
-    base = mix(keys.astype(np.int64).view(U64) ^ mix(np.array([seed], dtype=np.int64).view(U64)))
-    state = mix(base[doc] + (within.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
-    node, active = (origin + size)[kind], np.arange(len(begin))
-    count, steps = np.zeros(len(begin), dtype=np.int64), []
-    home = origin[kind]
+    # Each node's shares add up on their own, so draws do not depend on what else is in the lot.
+    rung = np.flatnonzero(~opens)
+    place = rung - group_first[np.cumsum(opens)[rung] - 1]
+    ladder = share
+    for k in range(1, int(place.max(initial=0)) + 1):
+        at = rung[place == k]
+        ladder[at] += ladder[at - 1]
+
+    node, active = (origin + size)[kind], np.arange(len(kind))
+    steps, home = [], origin[kind]
     while len(active):
         k = len(steps) + 1
         draw = (mix(state[active] + U64(k * STEP % 2**64)) >> U64(11)).astype(np.float64) / (1 << 53)
         group = group_of[node[active]]
         # Few edges enter a node, so steps up the ladder beat a search of all of it.
-        edge, aim = group_first[group], group + draw
-        below = np.flatnonzero((edge < group_last[group]) & (ladder[edge] <= aim))
+        edge = group_first[group]
+        below = np.flatnonzero((edge < group_last[group]) & (ladder[edge] <= draw))
         while len(below):
             edge[below] += 1
-            below = below[(edge[below] < group_last[group[below]]) & (ladder[edge[below]] <= aim[below])]
+            below = below[(edge[below] < group_last[group[below]]) & (ladder[edge[below]] <= draw[below])]
         steps.append((active, piece[edge]))
-        count[active] += 1
         node[active] = source[edge]
         active = active[node[active] != home[active]]
-    place = np.cumsum(count) - 1
+    return steps
+
+
+def _sample_words(
+    data: np.ndarray, begin: np.ndarray, state: np.ndarray, pieces: Pieces, trie: Trie, alpha: float,
+) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words in a row, number of each word's ids); words begin at ``begin``."""
+    end = np.append(begin[1:], len(data))
+    size = end - begin
+    # Equal words are filtered once. Equal hashes are compared byte by byte.
+    hashes = Words(data, data, begin, begin, end, begin, size).span_hash(begin, end)
+    _, pick, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    if not np.array_equal(size[pick][kind], size) or not np.array_equal(
+            data, data[np.repeat(begin[pick][kind] - begin, size) + np.arange(len(data))]):
+        pick, kind = np.arange(len(begin)), np.arange(len(begin))
+
+    # Short words first, as the longest of a lot tells how deep its lattices are.
+    order = np.argsort(size[pick], kind="stable")
+    pick, place = pick[order], np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    kind = place[kind]
+    lot = (np.cumsum(size[pick]) - size[pick]) // LATTICE_BYTES
+    edges = np.append(np.flatnonzero(np.diff(lot, prepend=-1)), len(lot))
+    members = np.argsort(kind, kind="stable")
+    member_edges = np.searchsorted(kind[members], edges)
+
+    count, steps = np.zeros(len(begin), dtype=np.int64), []
+    for i in range(len(edges) - 1):
+        words, who = pick[edges[i] : edges[i + 1]], members[member_edges[i] : member_edges[i + 1]]
+        wide = size[words]
+        body = data[np.repeat(begin[words] - (np.cumsum(wide) - wide), wide) + np.arange(wide.sum())]
+        for k, (some, piece) in enumerate(_draw(body, wide, kind[who] - edges[i], state[who], pieces, trie, alpha)):
+            count[who[some]] += 1
+            steps.append((k, who[some].astype(np.int32), piece))
+    last = np.cumsum(count) - 1
     ids = np.empty(int(count.sum()), dtype=np.int32)
-    for k, (who, what) in enumerate(steps):
-        ids[place[who] - k] = what
-    return ids, np.bincount(doc, weights=count, minlength=n).astype(np.int64)
+    for k, who, piece in steps:
+        ids[last[who] - k] = piece
+    return ids, count
+
+
+def sample(texts: pa.Array, keys: np.ndarray, pieces: Pieces, trie: Trie, alpha: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in a row, number of each text's ids); texts without nulls."""
+    data, offsets = raw_bytes(pc.binary_join_element_wise(" ", texts, ""))
+    begin = _segments(data, offsets, trie.alone)
+    doc_first = np.searchsorted(begin, offsets[:-1])
+    base = mix(keys.astype(np.int64).view(U64) ^ mix(np.array([seed], dtype=np.int64).view(U64)))
+    found, total = [np.zeros(0, dtype=np.int32)], np.zeros(len(texts), dtype=np.int64)
+    edges = np.unique(np.append(np.searchsorted(begin, np.arange(0, len(data), SLICE_BYTES)), len(begin)))
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        first, after = begin[low], begin[high] if high < len(begin) else len(data)
+        doc = np.searchsorted(offsets, begin[low:high], "right") - 1
+        within = np.arange(low, high) - doc_first[doc]
+        state = mix(base[doc] + (within.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
+        ids, count = _sample_words(data[first:after], begin[low:high] - first, state, pieces, trie, alpha)
+        found.append(ids)
+        total += np.bincount(doc, weights=count, minlength=len(texts)).astype(np.int64)
+    return np.concatenate(found), total
 
 
 def encode(
@@ -229,12 +290,11 @@ def encode(
     bound_batches(docs.sparkSession)
     docs = docs.select([c for c in docs.columns if c != out_col])
     pieces = Pieces.load(model)
-    parts = docs.sparkSession.sparkContext.broadcast((pieces.surface, pieces.rank, pieces.byte_id))
+    parts = docs.sparkSession.sparkContext.broadcast((pieces, Trie(pieces)))
     text_at, key_at = docs.columns.index(text_col), docs.columns.index(key_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Pieces(*parts.value)
-        trie = Trie(own)
+        own, trie = parts.value
         for batch in batches:
             keys = np.asarray(pc.fill_null(batch.column(key_at).cast(pa.int64()), -1))
             for first, texts in text_slices(batch.column(text_at), SLICE_BYTES):
@@ -253,10 +313,10 @@ def encode(
 def _without_first(joined: pa.Array) -> pa.Array:
     """Each byte string less its first byte, as text."""
     data, offsets = raw_bytes(joined)
-    keep = np.ones(len(data), dtype=bool)
-    keep[offsets[:-1][np.diff(offsets) > 0]] = False
-    upto = np.concatenate(([0], np.cumsum(keep)))[offsets].astype(np.int32)
-    return pa.Array.from_buffers(pa.string(), len(joined), [None, pa.py_buffer(upto), pa.py_buffer(data[keep])])
+    filled = np.diff(offsets) > 0
+    upto = (offsets - np.concatenate(([0], np.cumsum(filled)))).astype(np.int32)
+    rest = np.delete(data, offsets[:-1][filled])
+    return pa.Array.from_buffers(pa.string(), len(joined), [None, pa.py_buffer(upto), pa.py_buffer(rest)])
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:
@@ -268,13 +328,17 @@ def decode(encoded: DataFrame, model: str = MODEL, ids_col: str = "piece_ids", o
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(surfaces.value, pa.binary())
         for batch in batches:
-            ids = batch.column(ids_at)
-            sizes = np.asarray(pc.fill_null(pc.list_value_length(ids), 0))
-            edges = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-            parts = pa.ListArray.from_arrays(edges, table.take(ids.flatten()))
-            texts = pc.if_else(
-                pc.is_valid(ids), _without_first(pc.binary_join(parts, b"")), pa.nulls(len(ids), pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[f"c{i}" for i in range(len(batch.columns) + 1)])
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column(ids_at)), 0))
+            lot = np.cumsum(sizes) // SLICE_PIECES
+            bounds = np.append(np.flatnonzero(np.diff(lot, prepend=-1)), len(lot))
+            for first, after in zip(bounds[:-1], bounds[1:], strict=True):
+                part = batch.slice(first, after - first)
+                ids = part.column(ids_at)
+                edges = pa.array(np.concatenate(([0], np.cumsum(sizes[first:after]))), pa.int32())
+                parts = pa.ListArray.from_arrays(edges, table.take(ids.flatten()))
+                texts = pc.if_else(
+                    pc.is_valid(ids), _without_first(pc.binary_join(parts, b"")), pa.nulls(len(ids), pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[f"c{i}" for i in range(len(part.columns) + 1)])
 
     schema = StructType([*[StructField(f"c{i}", f.dataType) for i, f in enumerate(encoded.schema)],
                          StructField(f"c{len(encoded.columns)}", StringType())])

@@ -3,11 +3,13 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from corpus import empty_docs, hard_docs, hard_rows, sf_docs, words
 
@@ -311,6 +313,28 @@ def test_draws_follow_all_paths():
         assert abs(seen[path] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-4
 
 
+def test_lattices_of_long_texts_are_few_at_once(monkeypatch):
+    """Memory follows the slice, not the text, and slices change no draw."""
+    model = pieces.Pieces.load()
+    trie = pieces.Trie(model)
+    assert sum(x.nbytes for x in vars(trie).values()) < 16e6
+    rng = np.random.default_rng(8)
+    texts = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 10**9, 150_000)), "", " a  b ", "é" * 50])
+    draw = lambda: pieces.sample(texts, np.arange(len(texts)), model, trie, 0.5, 3)
+    tracemalloc.start()
+    ids, count = draw()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and count.sum() == len(ids)
+    for name, value in (("SLICE_BYTES", 70_000), ("LATTICE_BYTES", 3_000)):
+        monkeypatch.setattr(pieces, name, value)
+        again = draw()
+        assert (again[0] == ids).all() and (again[1] == count).all()
+    table = pa.array([x or b"" for x in model.surface], pa.binary())
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), table.take(pa.array(ids)))
+    assert pieces._without_first(pc.binary_join(lists, b"")).to_pylist() == texts.to_pylist()
+
+
 def test_word_vectors():
     texts = [r[1] or "" for r in hard_rows()]
     for lower in (False, True):
