@@ -44,6 +44,15 @@ def test_empty_and_missing_features(spark):
     assert len(cf.fit_grid(df.where("id < 0"), "id", "t", "y", ["a"], grid)["one"].trees[0].nodes) == 1
 
 
+def test_rows_are_sent_through_many_trees_by_all_cores(spark):
+    grid = {"one": cf.CausalTreeParams(min_samples_leaf=40, trees=cf.MANY_TREES, bootstrap=True)}
+    df = units(spark, 600).coalesce(1)
+    model = cf.fit_grid(df, "id", "t", "y", ["a", "b", "c"], grid)["one"]
+    assert model.predict(df, "effect").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    counted = cf.leaf_prediction_values(model, df).groupBy("tree").sum("n").collect()
+    assert [r[1] for r in counted] == [600] * cf.MANY_TREES
+
+
 def rows(n=3000, seed=1):
     """(features, outcomes, signed copies) with ties, missing values and heavy ends."""
     rng = np.random.default_rng(seed)
